@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op4_quality": "op04_quality",
     "op5_exact_dedup": "op05_exact_dedup",
+    "op2_suffix_dedup": "op02_suffix_dedup",
     "op3_ngram_join": "op03_ngram_join",
     "op6_mixing": "op06_mixing",
     "op9_decontamination": "op09_decontamination",
