@@ -6,7 +6,8 @@ and size are one group; groups are paired where they share a prefix token and th
 threshold, and only then are their members expanded and verified on whole sets.
 
 Pairing runs in two rounds, so that a large group of near copies costs rows in proportion to its members. First every
-member is held against one leader for each of its tokens (and its group's leader); components of these links follow.
+group is held against one leader, the first group of the tokens it shares most of, and every member against its group's
+first; components of these links follow.
 Then, at each token that still has members of several components, members of different components are paired. Pairs
 within a component need no check, so no link between different texts is lost.
 """
@@ -25,6 +26,8 @@ from .components import components
 
 #: Counters of the sketch that sets the global order, and the slices it is summed in: 2 MB whatever the input.
 SKETCH, SLICES = 1 << 18, 16
+#: Pairs of one text that are verified in one place.
+PAIRS = 1000
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 
@@ -65,12 +68,8 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     return sum_vectors(docs.select("text").mapInArrow(count, "slice int, part int, counts binary"), SLICES, SKETCH)
 
 
-def _sets(docs: DataFrame, width: int, percent: int, order=None) -> DataFrame:
-    """Of each row: doc_id, n, k1 and k2 (hashes of the whole set), and with order its prefix (p1, p2 hashes of it), else the set."""
-    schema = "doc_id long, n long, k1 long, k2 long" + (", p1 long, p2 long, prefix array<long>" if order is not None else ", items array<long>")
-
-    def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int64)))
+def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
+    """Of each row: doc_id, n (size of its set), k1 and k2 (hashes of the set), its prefix, p1 and p2 (hashes of that)."""
 
     def total(values: np.ndarray, row: np.ndarray, n: int, seed: int) -> pa.Array:
         return pa.array(_sums(mix(values + np.uint64(seed)), row, n).view(np.int64))
@@ -82,20 +81,17 @@ def _sets(docs: DataFrame, width: int, percent: int, order=None) -> DataFrame:
                 m = rows.num_rows
                 n = np.bincount(row, minlength=m)
                 out = {"doc_id": rows.column(0), "n": pa.array(n, pa.int64()), "k1": total(h, row, m, 11), "k2": total(h, row, m, 12)}
-                if order is None:
-                    out["items"] = lists(h, n)
-                else:
-                    rank = order.value[(h % np.uint64(SKETCH)).astype(np.int64)]
-                    by = np.lexsort((h, rank, row))
-                    length = n - -(-percent * n // 100) + 1
-                    length[n == 0] = 0
-                    keep = np.arange(len(h)) - np.r_[0, np.cumsum(n)][row] < length[row]
-                    h, row = h[by][keep], row[keep]
-                    # a prefix as a sequence: its members are in the global order, so sums tell prefixes apart as sets do
-                    out |= {"p1": total(h, row, m, 13), "p2": total(h, row, m, 14), "prefix": lists(h, length)}
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else x.combine_chunks() for x in out.values()], names=list(out))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+                by = np.lexsort((h, order.value[(h % np.uint64(SKETCH)).astype(np.int64)], row))
+                length = n - -(-percent * n // 100) + 1
+                length[n == 0] = 0
+                keep = np.arange(len(h)) - np.r_[0, np.cumsum(n)][row] < length[row]
+                h, row = h[by][keep], row[keep]
+                # a prefix is a sequence, but its members stand in the global order: sums tell prefixes apart as they do sets
+                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(h.view(np.int64)))
+                out |= {"p1": total(h, row, m, 13), "p2": total(h, row, m, 14), "prefix": prefix}
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p1 long, p2 long, prefix array<long>")
 
 
 def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -105,14 +101,35 @@ def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return upto[edge[1:]] - upto[edge[:-1]]
 
 
-def _verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives whose whole sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
-    items = _sets(docs.join(ids, F.col("doc_id") == F.col("i"), "left_semi"), width, percent).dropDuplicates(["doc_id"]).select("doc_id", "items")
-    items = stored(spark, items)
-    left, right = items.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), items.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of texts (doc_id, text) whose whole sets reach the threshold.
+
+    Both texts of a pair travel to b's place; a b with many pairs has several places, each with a copy of its text.
+    """
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    roles = pairs.join(many, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("lead"), F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
+    leads = many.select(F.col("b").alias("doc_id"), F.col("b").alias("lead"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
+    rows = texts.join(roles.union(leads).hint("merge"), "doc_id").select("doc_id", "text", "lead", "part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for rows, raw, at in pieces(batch, "text"):
+                h, row = shingle_sets(raw, at, width)
+                edge = np.searchsorted(row, np.arange(rows.num_rows + 1))
+                ids, to, role = (rows.column(i).to_pylist() for i in (0, 2, 4))
+                good = []
+                for i in range(rows.num_rows):
+                    own = h[edge[i] : edge[i + 1]]
+                    if role[i] == 0:
+                        lead, held = to[i], own
+                    elif to[i] == lead and len(held):
+                        both = int((held[np.minimum(np.searchsorted(held, own), len(held) - 1)] == own).sum())
+                        if 100 * both >= percent * (len(held) + len(own) - both):
+                            good.append((ids[i], lead))
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in good], pa.int64()), "b": pa.array([x for _, x in good], pa.int64())})
+
+    return rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "role").mapInArrow(run, "a long, b long")
 
 
 def _size_ok(small, large, percent: int):
@@ -130,24 +147,31 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = spark.sparkContext.broadcast(_sketch(docs, width))
     rows = stored(spark, _sets(docs, width, percent, order))
-    rep = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = stored(spark, rows.where("n > 0").join(rep, ["k1", "k2", "n"]).where("doc_id = rep").select("rep", "n", "p1", "p2", "prefix").dropDuplicates(["rep"]))
-    group = classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("members"))
-    members = stored(spark, classes.select("rep", "n", "p1", "p2").join(group, ["p1", "p2", "n"]).select("rep", "n", "gid", "members"))
-    tokens = classes.join(members.where("rep = gid").select(F.col("gid").alias("g")), F.col("rep") == F.col("g")).select(F.col("rep").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
+    # equal sets have equal prefixes, so any row's prefix stands for its class, and any class's for its group
+    classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("p1", "p2", "prefix")))
+    classes = stored(spark, classes)
+    group = classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
+    group = stored(spark, group)
+    members = stored(spark, classes.select("rep", "n", "p1", "p2").join(group.drop("prefix"), ["p1", "p2", "n"]).select("rep", "n", "gid", "members"))
+    tokens = group.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     # tokens that only one group has pair nothing
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    tokens = stored(spark, tokens.join(shared, "token"))
+    tokens = stored(spark, tokens.join(shared.hint("merge"), "token"))
+
+    # texts that can have a partner
+    able = members.join(tokens.select("gid").distinct(), "gid", "left_semi").select("rep").union(members.where("members > 1").select("rep")).distinct()
+    texts = stored(spark, docs.join(able.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"))
 
-    # round 1: against the leader of each token, for every band of sizes within the threshold, and against the group's
+    # round 1: leaders are the first groups of a token, for every band of sizes; a group goes to the one that it meets at
+    # most tokens, and members of a group go to its first
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent)).cast("double")).cast("int")
     banded = tokens.withColumn("band", band)
     leader = banded.groupBy("token", "band").agg(F.min(F.struct("gid", "n")).alias("l")).select("token", "band", F.col("l.gid").alias("lead"), F.col("l.n").alias("ln"))
     near = leader.union(leader.select("token", F.col("band") + 1, "lead", "ln"))
-    stars = banded.join(near, ["token", "band"]).where(F.col("gid") != F.col("lead")).where(_size_ok("n", "ln", percent) & _size_ok("ln", "n", percent)).select("gid", "lead").distinct()
-    pairs = members.join(stars, "gid").select(F.col("rep").alias("a"), F.col("lead").alias("b")).union(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-    pairs = stored(spark, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = stored(spark, _verified(spark, docs, pairs, width, percent))
+    stars = banded.join(near, ["token", "band"]).where(F.col("gid") > F.col("lead")).where(_size_ok("n", "ln", percent) & _size_ok("ln", "n", percent))
+    stars = stars.groupBy("gid", "lead").agg(F.count("*").alias("k")).groupBy("gid").agg(F.max(F.struct("k", (-F.col("lead")).alias("l")))["l"].alias("l")).select("gid", (-F.col("l")).alias("lead"))
+    pairs = stars.select(F.col("gid").alias("a"), F.col("lead").alias("b")).union(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
+    links = stored(spark, _verified(texts, stored(spark, pairs), width, percent))
     found = components(spark, links)
 
     # round 2: members of different components that meet at a token, or in a group
@@ -165,11 +189,10 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     meet = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _size_ok("n_x", "n_y", percent) & _size_ok("n_y", "n_x", percent) & (reach >= least)).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
     mx, my = (placed.select(F.col("rep").alias(f"rep_{s}"), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
     more = meet.join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
-    more = stored(spark, more.join(pairs, ["a", "b"], "left_anti"))
-    final = components(spark, links.union(_verified(spark, docs, more, width, percent)))
+    final = components(spark, links.union(_verified(texts, stored(spark, more), width, percent)))
 
     of_class = members.select("rep").join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
-    of_key = rep.join(of_class, "rep").select("k1", "k2", "n", "component_id")
+    of_key = classes.select("k1", "k2", "n", "rep").join(of_class, "rep").select("k1", "k2", "n", "component_id")
     return rows.select("doc_id", "n", "k1", "k2").join(of_key, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
