@@ -8,13 +8,15 @@ from importlib import import_module
 _QUERIES = {
     "op4_quality": "op04_quality",
     "op5_exact_dedup": "op05_exact_dedup",
+    "op1_chat": "op01_chat",
     "op2_suffix_dedup": "op02_suffix_dedup",
     "op3_ngram_join": "op03_ngram_join",
     "op6_mixing": "op06_mixing",
+    "op7_licenses": "op07_licenses",
     "op9_decontamination": "op09_decontamination",
     "op10_language_id": "op10_language_id",
 }
-_SQL = ("op5_exact_dedup", "op9_decontamination")
+_SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination")
 
 
 def queries() -> dict:
