@@ -174,6 +174,21 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return pooled.select("doc_id", "pooled").mapInArrow(run, "doc_id long, score double")
 
 
+def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
+    """The rows of docs that score least or more, with all their columns; no row leaves its partition."""
+    vectors = spark.sparkContext.broadcast(word_vectors(docs))
+    known = labels.select(F.col("doc_id").alias("l_doc_id")).distinct()
+    pooled = features(docs.join(known, F.col("doc_id") == F.col("l_doc_id"), "left_semi"), vectors)
+    net = spark.sparkContext.broadcast(train(spark, pooled, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, at in pieces(batch, "text"):
+                yield rows.filter(pa.array(net.value.score(pool(raw, at, vectors.value).astype(float)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

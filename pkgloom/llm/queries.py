@@ -13,6 +13,7 @@ _QUERIES = {
     "op3_ngram_join": "op03_ngram_join",
     "op6_mixing": "op06_mixing",
     "op7_licenses": "op07_licenses",
+    "op8_pii": "op08_pii",
     "op9_decontamination": "op09_decontamination",
     "op10_language_id": "op10_language_id",
 }
@@ -20,7 +21,7 @@ _SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination")
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
+    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()} | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
