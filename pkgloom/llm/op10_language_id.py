@@ -37,15 +37,17 @@ def train(rows: DataFrame) -> dict[str, bytes]:
     """Dictionary of each language of rows (doc_id, text, lang). Only the sample comes to the driver: at most TRAIN_TEXTS
     texts a language on average, of which DICT_BYTES bytes are used; shorter and longer texts alike, each whole."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= DICT_BYTES // 8))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    common = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    if not common:
+        return {}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(counts, "lang").where(draw * F.col("n") < TRAIN_TEXTS).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    share = F.create_map(*(F.lit(x) for lang, n in common.items() for x in (lang, TRAIN_TEXTS / n)))
+    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
     texts: dict[str, list[bytes]] = {}
     for lang, text, _, _ in sorted(sample.collect(), key=lambda r: (r[2], r[3], r[1])):
         have = texts.setdefault(lang, [])
         if sum(map(len, have)) < DICT_BYTES:
             have.append(letters(text).encode())
-    common = {r[0]: r[1] for r in counts.collect()}
     return {lang: b"\n".join(texts[lang])[-DICT_BYTES:] for lang in sorted(texts, key=lambda x: (-common[x], x))}
 
 
