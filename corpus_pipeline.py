@@ -16,7 +16,8 @@ from pkgloom.llm.common import stored, table
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id is in ids; rows without a doc_id are nobody's repeat and stay."""
     keep = ids.select(F.col("doc_id").alias("k_doc_id")).distinct()
-    return docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("k_doc_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    known = docs.where(docs["doc_id"].isNotNull())
+    return known.join(keep, known["doc_id"] == keep["k_doc_id"], "left_semi").union(docs.where(docs["doc_id"].isNull()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,8 @@ def turn_spans(render: Callable[[Turns], str], turns: Turns) -> tuple[str, list[
     return out, spans
 
 
+#: No conversation yet; None is the id of one.
+_NOBODY = "nobody"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(_SPAN)), ("rewrites", pa.int64())])
 
@@ -77,7 +79,7 @@ def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, number, held, out = None, 0, [], []
+        conv, number, held, out = _NOBODY, 0, [], []
 
         def close() -> None:
             if held:

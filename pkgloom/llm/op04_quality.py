@@ -178,7 +178,7 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float =
     """The rows of docs that score least or more, with all their columns; no row leaves its partition."""
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     known = labels.select(F.col("doc_id").alias("l_doc_id")).distinct()
-    pooled = features(docs.join(known, F.col("doc_id") == F.col("l_doc_id"), "left_semi"), vectors)
+    pooled = features(docs.join(known, docs["doc_id"] == known["l_doc_id"], "left_semi"), vectors)
     net = spark.sparkContext.broadcast(train(spark, pooled, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

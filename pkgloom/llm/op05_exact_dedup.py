@@ -20,6 +20,8 @@ BUCKET_DIGESTS = 50_000
 MIN_BUCKETS = 48
 #: Bits of a level for each digest that is still to be placed.
 SPREAD = 2.0
+#: The winner of a group in which no row has a doc_id, inside the index; null outside.
+NO_ID = (1 << 63) - 1
 
 _INDEX = "bucket int, n long, levels binary, bits binary, slots binary, winners binary, counts binary"
 _FOUND = "digest binary, keep_id long, group_size long, member boolean"
@@ -71,7 +73,7 @@ def digests(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
 def _grouped(rows: DataFrame, n: int) -> DataFrame:
     bucket = F.pmod(F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
-    return rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumn("bucket", bucket)
+    return rows.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.count("*").alias("n")).withColumn("bucket", bucket)
 
 
 def build_index(history: DataFrame, buckets: int) -> DataFrame:
@@ -121,7 +123,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history_below: int | None
 
     Rows with doc_id below history_below are the history (by default the lower half of the range of ids), the others
     come in. Null and empty texts are equal; rows that share doc_id and text share one fate; an empty table gives an
-    empty result; other columns are not read. Null ids are not supported as winners and sort last.
+    empty result; other columns are not read. A row without doc_id stays only where no row of its group has one.
     """
     rows = stored(spark, digests(docs, text, id))
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -129,6 +131,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history_below: int | None
     buckets = max(MIN_BUCKETS, -(-n // BUCKET_DIGESTS))
     index = stored(spark, build_index(rows.where(F.col("doc_id") < split), buckets))
     groups = look_up(index, rows.where((F.col("doc_id") >= split) | F.col("doc_id").isNull()), buckets)
+    groups = groups.withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID)))
     return rows.join(groups, "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 

@@ -80,25 +80,27 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
     seeds = seeds.join(spans.select("fp").distinct(), "fp", "left_semi").groupBy("doc_id", "tk").agg(F.collect_set("fp").alias("fps"))
     seeds = stored(spark, seeds)
 
+    def span(w: Column, j: Column, length: int) -> Column:
+        return F.struct(j.cast("int").alias("start"), F.lit(length).alias("length"), F.array_join(F.slice(w, j + 1, length), " ").alias("words"))
+
+    def starts(at: Column, n: Column, back: int, length: int) -> Column:
+        near = F.transform(at, lambda p: F.sequence(F.greatest(p - back, F.lit(0)), F.least(p, n - length)))
+        return F.array_distinct(F.flatten(near))
+
+    def of_length(w: Column, fps: Column, length: int) -> Column:
+        n = F.size(w)
+        at = F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.array_contains(fps, _anchor(w[p])) & (p - (length - 1) <= n - length))
+        return F.transform(starts(at, n, length - 1, length), lambda j: span(w, j, length))
+
     def around(w: Column, fps: Column) -> Column:
         """The spans of w that hold a fingerprint, as (start, length, words)."""
         n = F.size(w)
 
-        def span(j: Column, length: Column | int) -> Column:
-            return F.struct(j.cast("int").alias("start"), F.lit(length).cast("int").alias("length"), F.array_join(F.slice(w, j + 1, length), " ").alias("words"))
-
-        def starts(at: Column, back: int, length: int) -> Column:
-            near = F.transform(at, lambda p: F.sequence(F.greatest(p - back, F.lit(0)), F.least(p, n - length)))
-            return F.array_distinct(F.flatten(near))
-
         empty = F.array().cast("array<struct<start:int,length:int,words:string>>")
         held = let(_grams(w), lambda g: F.filter(F.sequence(F.lit(0), n - K), lambda p: F.array_contains(fps, g[p])))
-        out = F.when(n >= T, F.transform(starts(held, T - K, T), lambda j: span(j, T))).otherwise(empty)
+        out = F.when(n >= T, F.transform(starts(held, n, T - K, T), lambda j: span(w, j, T))).otherwise(empty)
         for length in short:
-            at = F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.array_contains(fps, _anchor(w[p])))
-            in_reach = F.filter(at, lambda p, m=length: p - (m - 1) <= n - m)
-            some = F.transform(starts(in_reach, length - 1, length), lambda j, m=length: span(j, m))
-            out = F.concat(out, F.when(n >= length, some).otherwise(empty))
+            out = F.concat(out, F.when(n >= length, of_length(w, fps, length)).otherwise(empty))
         return out
 
     found = docs.join(seeds, ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", F.inline(let(words(F.col("text")), lambda w: around(w, F.col("fps")))))
