@@ -161,7 +161,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the window starts of docs (doc_id, text) whose LENGTH bytes start anywhere else too."""
     rows = stored(spark, _anchor_rows(docs))
     buckets = rows.groupBy("b").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1")
-    met = stored(spark, rows.join(buckets.select("b", (F.col("c1") == F.col("c2")).alias("pure")), "b"))
+    # written first, so that the join can split a bucket that holds many rows
+    buckets = stored(spark, buckets.select("b", (F.col("c1") == F.col("c2")).alias("pure")))
+    met = stored(spark, rows.join(buckets.hint("merge"), "b"))
     mixed = met.where("NOT pure")
     contexts = stored(spark, mixed.groupBy("b", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("one")))
     whole = mixed.join(contexts.where("n > 1").select("b", "c"), ["b", "c"], "left_semi").select("doc_id", "span")
