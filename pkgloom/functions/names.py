@@ -136,3 +136,22 @@ def lookup_key(name: Column) -> Column:
 
 def ros_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, "^ros-[^-]*-(.*)$", 1), F.lit("")), name)
+
+
+def version_key(version: Column) -> Column:
+    """A key in whose order versions stand naturally: runs of digits compare as numbers. Sorts and aggregates take it."""
+    parts = F.regexp_extract_all(version, F.lit(r"([0-9]+|[^0-9]+)"))
+    return F.transform(parts, lambda p: F.struct(F.coalesce(p.try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")).alias("n"), p.alias("s")))
+
+
+def base_name(name: Column) -> Column:
+    """A file's name without the version or platform that shared objects, Python extensions and jars carry."""
+    # fixed values: where the names carry them
+    numbered, versioned = r"^(.+?\.so)(?:\.[0-9]+)+$", r"^(lib.+?)-[0-9][0-9.]*\.so$"
+    extension, jar = r"(?i)^(.+?)\.(?:cpython-[0-9]+[a-z]*|abi3|pypy[0-9]+)(?:-[^.]+)*\.so$", r"(?i)^(.+?)-[0-9][\w.\-+]*\.jar$"
+    s = F.regexp_replace(name, numbered, "$1")
+    return (
+        F.when(s.rlike(versioned), F.lower(F.regexp_replace(s, versioned, "$1.so")))
+        .when(s.rlike(extension), F.regexp_replace(s, extension, "$1.so"))
+        .when(s.rlike(jar), F.regexp_replace(s, jar, "$1.jar")).otherwise(s)
+    )

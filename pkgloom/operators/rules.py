@@ -36,3 +36,24 @@ def lookup(rules: DataFrame, targets: DataFrame) -> DataFrame:
     best = hit.groupBy("rosdep_key", "os_name", "os_version").agg(F.min_by("d", F.col("d.prio")).alias("d"))
     state = F.when(F.col("d").isNull(), "NULL").when(F.size("d.packages") == 0, "EMPTY").otherwise("LISTED")
     return best.select("rosdep_key", "os_name", "os_version", state.alias("state"), "d.packages", "d.package_manager")
+
+
+def is_manager(name: Column) -> Column:
+    """Whether a key of a rule names a package manager."""
+    # fixed values: the names that count
+    return name.isin(
+        "apt", "apt-cyg", "brew", "dnf", "homebrew", "macports", "pacman", "pip", "pkg_add", "port", "portage", "slackpkg", "slackware", "source", "yum", "zypper",
+    )
+
+
+def managers(rules: DataFrame) -> DataFrame:
+    """(rosdep_key, platform, os_version, managers, manager): the managers that a rule lists; manager where it is one."""
+    names = F.array_sort(F.collect_set(F.when(~F.col("is_null"), F.col("package_manager"))))
+    out = rules.groupBy("rosdep_key", "platform", "os_version").agg(names.alias("managers"))
+    return out.withColumn("manager", F.when(F.size("managers") == 1, F.col("managers")[0]))
+
+
+def configured(rules: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets for which a key lists packages, with all of these and the first manager by name."""
+    found = lookup(rules, targets.select("os_name", "os_version")).where("state = 'LISTED'")
+    return found.select("rosdep_key", "os_name", "os_version", "package_manager", "packages")

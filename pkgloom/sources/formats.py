@@ -68,3 +68,45 @@ def attributes(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.option("wholetext", True).text(path)
     doc = doc.select(F.coalesce(F.from_json("value", f"struct<packages:map<string,{record}>>")["packages"], F.from_json("value", f"map<string,{record}>")).alias("m"))
     return doc.select(F.explode("m").alias("name", "r")).where("r IS NOT NULL").select("name", "r.version", F.col("r.pname").alias("source_name"), F.col("name").alias("binary_name"), F.col("r.meta.description").alias("description"))
+
+
+def apk_packages(blocks: DataFrame) -> DataFrame:
+    """fields of index blocks as packages: one row for each, and one for every plain name that it provides."""
+    f = F.col("fields")
+    base = blocks.select(f["P"].alias("name"), f["V"].alias("version"), F.coalesce(f["o"], f["P"]).alias("source_name"), f["P"].alias("binary_name"), f["T"].alias("description"), f["p"].alias("p"))
+    more = base.withColumn("d", F.explode(F.split("p", " "))).where("d <> '' AND NOT contains(d, ':')").select(dependency(F.col("d"))["name"].alias("name"), "version", "source_name", "binary_name", "description")
+    return base.drop("p").unionByName(more)
+
+
+def sections(text: DataFrame) -> DataFrame:
+    """value (%KEY% lines, each followed by its values) as fields: map of key to its list of values."""
+    lines = F.filter(F.split(F.regexp_replace("value", r"(?m)^%([A-Z0-9]+)%$", "\u0001$1"), "\u0001"), lambda x: x.rlike("^[A-Z0-9]+\n"))
+    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("k"), F.filter(F.slice(F.split(x, "\n"), 2, 1 << 30), lambda v: v != "").alias("v")))
+    return text.withColumn("fields", F.map_from_entries(pairs))
+
+
+def pacman_packages(sections: DataFrame) -> DataFrame:
+    """One row for each package and one for each of its provides, taken as they are written."""
+    f = F.col("fields")
+    base = sections.select(f["NAME"][0].alias("name"), f["VERSION"][0].alias("version"), F.coalesce(f["BASE"][0], f["NAME"][0]).alias("source_name"), f["NAME"][0].alias("binary_name"), F.array_join(f["DESC"], " ").alias("description"), f["PROVIDES"].alias("p"))
+    more = base.select(F.explode("p").alias("name"), "version", "source_name", "binary_name", "description")
+    return base.drop("p").unionByName(more)
+
+
+def changed_lines(diffs: DataFrame) -> DataFrame:
+    """(diff_id, path, side, lines) of unified diffs (diff_id, value): sorted numbers of added lines in the new file and of
+    removed lines in the old one; files that the diff deletes are left out. Hunks are numbered apart, so a long diff is
+    many small groups."""
+    hunk = r"^@@ -([0-9]+)(?:,[0-9]+)? \+([0-9]+)(?:,[0-9]+)? @@"
+    files = diffs.select("diff_id", F.explode(F.filter(F.split("value", r"(?m)^(?=--- )"), lambda x: x.startswith("--- "))).alias("f"))
+    files = files.withColumn("path", F.regexp_extract("f", r"(?m)^\+\+\+ ([^\t\n]+)", 1)).where("path <> '/dev/null'").withColumn("path", F.regexp_replace("path", "^[ab]/", ""))
+    hunks = files.select("diff_id", "path", F.explode(F.filter(F.split("f", r"(?m)^(?=@@ -)"), lambda x: x.startswith("@@ -"))).alias("h"))
+    hunks = hunks.select("diff_id", "path", *(F.regexp_extract("h", hunk, i).cast("int").alias(s) for i, s in ((1, "old"), (2, "new"))), F.slice(F.split("h", "\n"), 2, 1 << 30).alias("body"))
+
+    def numbered(first: str, own: str) -> Column:
+        # the k-th line that this side has stands at first + k - 1
+        side = F.filter("body", lambda x: x.startswith(" ") | x.startswith(own))
+        return F.filter(F.transform(side, lambda x, i: F.when(x.startswith(own), i + F.col(first))), lambda n: n.isNotNull())
+
+    rows = hunks.select("diff_id", "path", F.explode(F.array(F.struct(F.lit("added").alias("side"), numbered("new", "+").alias("n")), F.struct(F.lit("removed").alias("side"), numbered("old", "-").alias("n")))).alias("x"))
+    return rows.select("diff_id", "path", "x.side", F.explode("x.n").alias("n")).groupBy("diff_id", "path", "side").agg(F.array_sort(F.collect_set("n")).alias("lines"))
