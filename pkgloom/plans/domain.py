@@ -43,20 +43,20 @@ SELECT b.p_partkey AS probe_id, e.p_brand AS os_name, e.p_name AS name, min(e.p_
 
 
 def j06_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("needle"))
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
     return resolve.contained(items, read(spark, sf_dir, "documents").select("doc_id", "text"), "needle", "text").select("item_id", "doc_id")
 
 
-J06 = "SELECT item_id, doc_id FROM (SELECT item_id, lower(trim(substr(text, 1, 60))) AS n FROM benchmark) b JOIN documents d ON contains(lower(trim(d.text)), n) WHERE n <> ''"
+J06 = "SELECT item_id, doc_id FROM (SELECT item_id, lower(trim(text)) AS n FROM benchmark) b JOIN documents d ON contains(lower(trim(d.text)), n) WHERE n <> ''"
 
 
 def f16_lcs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part").where("p_partkey <= 300").select("p_partkey", F.substring("p_name", 1, 12).alias("n"))
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("n"))
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("n").alias("m"))
     return p.join(q, "p_partkey").select("p_partkey", F.round(S.lcs_ratio(F.col("n"), F.col("m")), 6).alias("ratio"))
 
 
-F16 = """WITH RECURSIVE p AS (SELECT p_partkey AS k, substr(p_name, 1, 12) AS a FROM part WHERE p_partkey <= 300), q AS (SELECT x.k, x.a, y.a AS b FROM p x JOIN p y ON y.k = x.k + 1),
+F16 = """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_name AS a FROM part), q AS (SELECT x.k, x.a, y.a AS b FROM p x JOIN p y ON y.k = x.k + 1),
 t AS (SELECT k, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda z: 0) AS r FROM q
   UNION ALL SELECT k, a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda done, j: list_append(done, CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INT), 1) THEN r[j] + 1 ELSE greatest(r[j + 1], done[-1]) END), [0]) FROM t WHERE i < length(a))
 SELECT k AS p_partkey, round(CASE WHEN a = b THEN 1.0 ELSE 2.0 * r[-1] / (length(a) + length(b)) END, 6) AS ratio FROM t WHERE i = length(a)"""
