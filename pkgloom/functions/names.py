@@ -107,6 +107,33 @@ def roles(name: Column) -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("application"))).otherwise(found)
 
 
+def variant_templates() -> dict[str, list[str]]:
+    """For each role the spellings (% is the base name) of all groups of roles that it is in, or of itself alone."""
+    heads = [*PREFIX_ROLES.items(), ("python3Packages.", "py3")]
+    out = {}
+    for role in {*PREFIX_ROLES.values(), *SUFFIX_ROLES.values(), *VERSIONED_ROLES.values(), "application", "runtime-lib", "plugins"}:
+        found = set()
+        for group in [g for g in RELATED if role in g] or [(role,)]:
+            before, after = ["", *(p for p, r in heads if r in group)], ["", *(p for p, r in SUFFIX_ROLES.items() if r in group)]
+            found |= {f"{b}%{a}" for b in before for a in after if not b or b.strip("-") != a.strip("-")}
+        out[role] = sorted(found)
+    return out
+
+
+def variant_seeds(name: Column) -> Column:
+    """The names whose variants are a name's: itself, and its base name without versions and symbols."""
+    base, short, bare = clean_name(name), clean_name(name, subversion=True), clean_name(name, version=True, symbols=True)
+    return F.array_distinct(F.array_compact(F.array(name, F.when((short != name) & (short != base), short), F.when(bare != base, bare))))
+
+
+def plain_variants(name: Column, base: Column) -> Column:
+    """The spellings of a name that don't depend on its roles."""
+    number, py = F.regexp_extract(name, "^python([0-9])-(.*)", 1), F.regexp_extract(name, "^python([0-9])-(.*)", 2)
+    dist = [F.when(number != "", F.concat(F.lit("python"), number, F.lit("dist("), s, F.lit(")"))) for s in (py, F.translate(py, "-", "_"), F.translate(py, "_", "-"))]
+    full = F.when(base == "", name).otherwise(base)
+    return F.array_distinct(F.array_compact(F.array(name, F.translate(name, "_", "-"), F.translate(name, "-", "_"), base, F.concat(F.lit("cmake("), full, F.lit(")")), F.concat(F.lit("pkgconfig("), full, F.lit(")")), *dist)))
+
+
 def change_log_name(name: Column) -> Column:
     """The form in which names before and after a change are compared."""
     s = F.lower(name)

@@ -88,6 +88,29 @@ QUERIES = {
     "f29_message": "SELECT s_suppkey, concat('Package ', s_name, ' is missing in nation ', CAST(s_nationkey AS VARCHAR(9))) AS message FROM supplier",
     "p25_clamp": "SELECT p_partkey, greatest(1, least(coalesce(p_size, 5), 20)) AS k FROM part",
     "s02_codec_by_url": "SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'html' WHEN url LIKE '%/' THEN 'index' WHEN MATCHES(url, '[?#]') THEN 'query' ELSE 'plain' END AS kind FROM pages",
+    "a03_build_table": "SELECT concat(p_brand, '_', CAST(p_size AS VARCHAR(9))) AS repo_key, SETJOIN(p_name) AS packages FROM part GROUP BY 1",
+    "a14_overlap_summary": "SELECT lang, count(*) AS n, sum(hit) AS n_overlap, round(100.0E0 * sum(hit) / count(*), 4) AS pct FROM (SELECT d.lang, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = d.doc_id) x GROUP BY lang",
+    "a17_verification_counts": "SELECT event_type AS tool, count(*) AS n_entries, count(c_custkey) AS n_verified, count(*) - count(c_custkey) AS n_fake FROM events LEFT JOIN customer ON c_custkey = user_id * 2 GROUP BY event_type",
+    "a18_source_comparison": "SELECT source, count(*) AS n, count(DISTINCT lang) AS n_lang, sum(CASE WHEN text IS NULL OR text = '' THEN 1 ELSE 0 END) AS n_empty FROM documents GROUP BY source",
+    "a27_counters": "SELECT count(*) AS n_calls, round(sum(value), 2) AS total FROM events",
+    "j16_pair_matrix": "SELECT a.user_id, a.event_type AS p1, b.event_type AS p2, a.n + b.n AS n FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) a JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) b ON a.user_id = b.user_id AND a.event_type < b.event_type",
+    "j21_extras": "SELECT o_orderpriority AS tool, unverified, extra, round(100.0E0 * unverified / nullif(extra, 0), 4) AS rate FROM (SELECT o_orderpriority, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS extra, sum(CASE WHEN o_orderstatus = 'O' AND c_custkey IS NULL THEN 1 ELSE 0 END) AS unverified FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey GROUP BY o_orderpriority) x",
+    "j24_assembly": "SELECT k, name, load_ord FROM (SELECT k, name, load_ord, row_number() OVER (PARTITION BY k ORDER BY load_ord DESC, name) AS r FROM (SELECT n_name AS k, 'base' AS name, 0 AS load_ord FROM nation UNION ALL SELECT n_name, s_name, 1 FROM nation JOIN supplier ON s_nationkey = n_nationkey) x) y WHERE r = 1",
+    "k04_rows_with_clean_keys": "SELECT o_orderkey AS entry_key, coalesce(l_linenumber, 0) AS line, coalesce(l_returnflag, 'no_issues') AS status FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'R') l ON l_orderkey = o_orderkey",
+    "k05_markdown": "SELECT n_name, concat('# ', n_name, chr(10), '- ', replace(SETJOIN(s_name), ',', concat(chr(10), '- '))) AS report FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "k08_latex_rows": "SELECT n_name, concat(replace(n_name, '_', '-'), ' & ', CAST(count(*) AS VARCHAR(20)), ' & ', CAST(min(s_suppkey) AS VARCHAR(20))) AS latex FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "l03_head": "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25",
+    "m04_utc": "SELECT event_id, MICROS(ts) AS us FROM events",
+    "m07_weighted": "SELECT l_orderkey, l_linenumber, round(0.7E0 / 3 * (l_discount + l_tax + 1) + 0.3E0 / 3 * (l_discount + 2), 6) AS score FROM lineitem",
+    "m08_stats": "SELECT p_brand, count(*) AS n, min(p_size) AS lo, max(p_size) AS hi, round(avg(p_size), 6) AS mean, round(median(p_size), 6) AS mid, round(100.0E0 * sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) / count(*), 4) AS share FROM part GROUP BY p_brand",
+    "m11_list_strings": "SELECT p_partkey, replace(p_name, ' ', ',') AS binnames, concat(p_name, ' ', p_type) AS description FROM part",
+    "p27_key_parts": "SELECT k, CASE WHEN length(k) - length(replace(k, '_', '')) = 1 THEN split_part(k, '_', 1) ELSE k END AS platform, CASE WHEN length(k) - length(replace(k, '_', '')) = 1 THEN split_part(k, '_', 2) ELSE '' END AS version FROM (SELECT concat(lower(r_name), '_', lower(n_name)) AS k FROM region JOIN nation ON n_regionkey = r_regionkey UNION SELECT lower(r_name) FROM region UNION SELECT concat(lower(r_name), '_x_', r_name) FROM region) x",
+    "p30_distribution_accessors": "SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS n_repos FROM orders GROUP BY o_orderstatus",
+    "p31_membership": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)",
+    "p07_repo_accessors": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'unknown') AS status, coalesce(n, 1) AS n_packages FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) l ON l_orderkey = o_orderkey",
+    "w10_key_choice": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 9 END, o_orderdate, o_orderkey) AS r FROM orders) x WHERE r = 1",
+    "c09_ground_truth": "SELECT l_partkey AS key, l_orderkey AS change_id, l_suppkey AS package FROM (SELECT l_partkey, l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x WHERE r = 1",
+    "c10_change_database": "SELECT c_custkey, n_orders, first_order FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey HAVING count(*) > 1) o ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'",
     "q01_flagship_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
 }
 
