@@ -1,8 +1,10 @@
 """License scans: TF-IDF cosine to templates, then inheritance along the folder tree; DataFrame functions only.
 
-Statements (sentences of a file) that name a licence become sparse TF-IDF vectors over words and are compared with each
-template. A file has the licence of its best statement. A folder has the licence that most of the licence files
-directly in it state; a file without one inherits that of its nearest ancestor folder that has one.
+Statements become sparse TF-IDF vectors over words and are compared with each template. Statements are the blocks of
+lines of a file (cut at lines without a letter), their sentences, and the parts of their single lines; document
+frequencies are counted over the parts of lines of all files. A file has the licence of its best statement. A folder has
+the licence that most of the licence files directly in it state; a file without one inherits that of its nearest ancestor
+folder that has one.
 """
 
 from __future__ import annotations
@@ -15,47 +17,129 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-# fixed values: licence statements by name
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_COPY = "You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+# fixed values: by licence its one-line statements, titles, headers and the paragraphs of its text that no other licence has;
+# of the texts that run over pages (Apache, GNU, MPL, CC) the title and the paragraphs that name the licence
 TEMPLATES = {
-    "MIT": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL": "Licensed under the GNU Lesser General Public License, version 3.",
-    "BSD": "Redistributed under the BSD License.",
-    "MPL": "Subject to the terms of the Mozilla Public License.",
-    "CC-BY": "Licensed under CC BY 4.0.",
-    "CC-BY-NC": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA": "Licensed under CC BY-SA 4.0.",
-    "proprietary": "All rights reserved.",
+    "MIT": [
+        "Released under the MIT License.", "MIT License", "The MIT License (MIT)", "Licensed under the MIT License. See the LICENSE file in the project root for license information.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    ],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Apache License", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0",
+    ],
+    "GPL": [
+        "This work is licensed under the GNU General Public License, version 3.", "GNU General Public License", "GNU General Public License Version 3, 29 June 2007", "Licensed under the GPL.", "Licensed under the GNU General Public License, version 3.",
+        _GNU.format("program", "General Public License"), _COPY.format("program", "General Public License"),
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    ],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License", "GNU Lesser General Public License Version 3, 29 June 2007", "GNU Library General Public License", "Licensed under the LGPL.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        _GNU.format("library", "Lesser General Public License"), _GNU.format("program", "Lesser General Public License"), _COPY.format("library", "Lesser General Public License"),
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
+    ],
+    "AGPL": [
+        "Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License", "GNU Affero General Public License Version 3, 19 November 2007", "Licensed under the AGPL.",
+        _GNU.format("program", "Affero General Public License"), _COPY.format("program", "Affero General Public License"),
+    ],
+    "BSD": [
+        "Redistributed under the BSD License.", "BSD License", "BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
+    "MPL": [
+        "Subject to the terms of the Mozilla Public License.", "Mozilla Public License", "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "CC-BY": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International", "Attribution 4.0 International", _CC.format("Attribution")],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International", "Attribution-NonCommercial 4.0 International", _CC.format("Attribution-NonCommercial")],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International", "Attribution-ShareAlike 4.0 International", _CC.format("Attribution-ShareAlike")],
+    "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
-#: Every template has one of these; what a statement shares with a template besides them stays below THRESHOLD.
-ANCHOR = r"(?i)licen[sc]e|rights reserved"
+#: Words that make a licence's name. A statement is only compared with templates whose name words it has: a line "License" is no "MIT License".
+NAMES = {"mit", "apache", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "bsd", "mozilla", "mpl", "cc", "by", "nc", "sa", "attribution", "noncommercial", "sharealike", "reserved", "proprietary"}
 THRESHOLD = 0.7
 
 
-def _vectors() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    bags = {name: re.findall(r"[a-z]+", text.lower()) for name, text in TEMPLATES.items()}
-    idf = {w: log((1 + len(bags)) / (1 + sum(w in b for b in bags.values()))) + 1 for b in bags.values() for w in b}
+def _words(text: str) -> list[str]:
+    return re.findall(r"[a-z]+", text.lower())
+
+
+def _vectors(n: int = 0, df: dict[str, int] | None = None) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
+    """(template, word, weight) of unit vectors, the idf of their words and that of a word of no statement, where df of n statements have a word."""
+    bags = {f"{name}/{i}": _words(text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)}
+    idf = {w: log((1 + n) / (1 + (df or {}).get(w, 0))) + 1 for b in bags.values() for w in b}
     rows = []
     for name, bag in bags.items():
         weight = {w: bag.count(w) * idf[w] for w in bag}
         norm = sum(x * x for x in weight.values()) ** 0.5
         rows += [(name, w, x / norm) for w, x in sorted(weight.items())]
-    return rows, idf, log(1 + len(bags)) + 1
+    return rows, idf, log(1 + n) + 1
+
+
+def needed(rows: list[tuple[str, str, float]], idf: dict[str, float]) -> list[str]:
+    """Words of which every statement at THRESHOLD has one: of each template its rarest ones, until the norm of the others,
+    which no cosine of a statement without the former exceeds, is below THRESHOLD."""
+    out = set()
+    for name in {r[0] for r in rows}:
+        rest = {w: x for n, w, x in rows if n == name}
+        for w in sorted(rest, key=lambda w: (-idf[w], -rest[w], w)):
+            if sum(x * x for x in rest.values()) ** 0.5 < THRESHOLD - 1e-5:
+                break
+            out.add(w)
+            del rest[w]
+    return sorted(out)
+
+
+def _plain(text: Column) -> Column:
+    """The words of a lower-case text with single spaces between."""
+    return F.trim(F.regexp_replace(text, "[^a-z]+", " "))
+
+
+def _parts(text: Column) -> Column:
+    return F.split(text, r"[\n.!?]+(?=\s|$)|\n")
+
+
+def _statements(text: Column) -> Column:
+    blocks = F.split(text, r"\n(?:[^a-z\n]*\n)+")
+    sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, r"[.!?]+(?=\s|$)")))
+    return F.array_distinct(F.transform(F.concat(_parts(text), sentences, blocks), _plain))
 
 
 def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(path, license, cosine) of the files (path, text) with a statement that reaches THRESHOLD; ties go by name."""
-    rows, idf, unknown = _vectors()
-    template = spark.createDataFrame(rows, "license string, word string, weight double")
-    known = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
-    part = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"[\n.!?]+(?=\s|$)|\n")).alias("at", "s")).where(F.col("s").rlike(ANCHOR))
-    bag = part.select("path", "at", F.explode(F.regexp_extract_all(F.lower("s"), F.lit("([a-z]+)"))).alias("word")).groupBy("path", "at", "word").agg(F.count("*").alias("tf"))
-    bag = bag.join(known, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
-    norm = bag.groupBy("path", "at").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = bag.join(template, "word").groupBy("path", "at", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    best = dot.join(norm, ["path", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
-    return best.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"))
+    files = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    # the empty word stands for the statement: its count is their number
+    parts = files.select(F.explode(_parts(F.col("text"))).alias("s")).select(_plain(F.col("s")).alias("s")).where("s <> ''")
+    df = stored(spark, parts.select(F.explode(F.array_append(F.array_distinct(F.split("s", " ")), F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    known = {r[0]: r[1] for r in df.where(F.col("word").isin("", *_vectors()[1])).collect()}
+    n = known.get("", 0)
+    rows, idf, _ = _vectors(n, known)
+    some = F.lit(needed(rows, idf))
+    template = spark.createDataFrame(rows, "template string, word string, weight double")
+    names = spark.createDataFrame([(t, sum(w in NAMES for m, w, _ in rows if m == t)) for t in dict.fromkeys(r[0] for r in rows)], "template string, n_names long")
+
+    held = files.where(F.arrays_overlap(F.split(_plain(F.col("text")), " "), some))
+    held = held.select("path", F.explode(_statements(F.col("text"))).alias("s")).where(F.arrays_overlap(F.split("s", " "), some))
+    held = stored(spark, held.select("path", F.md5("s").alias("id"), "s"))
+    bag = held.groupBy("id").agg(F.first("s").alias("s")).select("id", F.explode(F.split("s", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    # written first, so that the join can split a word of many statements
+    bag = stored(spark, bag)
+    weighed = stored(spark, bag.join(df, "word").select("id", "word", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("x")))
+    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dot = weighed.join(F.broadcast(template), "word").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n_names"), F.count("*").alias("k"))
+    # one word, such as the German 'mit', states nothing
+    dot = dot.where("k > 1").join(F.broadcast(names), ["template", "n_names"])
+    best = dot.join(norm, "id").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
+    rank = F.min(F.struct((-F.col("cosine")).alias("c"), F.substring_index("template", "/", 1).alias("license"))).alias("m")
+    best = stored(spark, best.groupBy("id").agg(rank))
+    return held.join(best, "id").groupBy("path").agg(F.min("m").alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"))
 
 
 def folder(path):

@@ -315,3 +315,23 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in docs.collect()}
     assert 50 not in ids and 1 not in ids and 7 not in ids and 8 not in ids and {0, 3, 5, 6, 14, 15} <= ids
     assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def licenses_of(spark, texts):
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r["path"]: r["license"] for r in op07_licenses.stated(spark, files).collect()}
+    return [got.get(str(i)) for i in range(len(texts))]
+
+
+def test_license_titles_headers_and_texts(spark):
+    mit = "MIT License\n\nCopyright (c) 2024 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# tail\n"
+    cases = [
+        ("MIT License", "MIT"), (mit, "MIT"), (mit[mit.index("Permission"):], "MIT"), ("code\n\n * Licensed under the Apache\n * License, Version\n * 2.0.\n", "Apache-2.0"),
+        ("GNU General Public License, version 3", "GPL"), ("GNU Lesser General Public License, version 3", "LGPL"), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "GPL"),
+        ("                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "LGPL"), (gnu.format(""), "GPL"), (gnu.format("Lesser "), "LGPL"), (gnu.format("Affero "), "AGPL"),
+        ("License", None), ("the license of a driver", None), ("fahren mit dem Bus", None), ("all the rights of a person", None),
+    ]
+    words = ["fahren mit dem bus und mit dem rad." for _ in range(40)] + ["the end of the day is near, and the night is long." for _ in range(40)]
+    assert licenses_of(spark, [t for t, _ in cases] + words)[: len(cases)] == [x for _, x in cases]
+    assert licenses_of(spark, ["Mit."] + ["a license"] * 20) == [None] * 21
