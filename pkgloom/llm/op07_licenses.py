@@ -97,6 +97,20 @@ def needed(rows: list[tuple[str, str, float]], idf: dict[str, float]) -> list[st
     return sorted(out)
 
 
+def _may_reach(rows: list[tuple[str, str, float]], s: Column) -> Column:
+    """False only where the words of s cannot reach THRESHOLD: a cosine is at most the norm of what a template shares with them.
+    One shared word states nothing."""
+    templates = F.array(*(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(x * x).alias("x")) for n, w, x in rows if n == t)) for t in dict.fromkeys(r[0] for r in rows)))
+    known = F.array_intersect(F.split(s, " "), F.lit(sorted({r[1] for r in rows})))
+
+    def reached(template: Column, held: Column) -> Column:
+        shared = F.filter(template, lambda p: F.array_contains(held, p["w"]))
+        return (F.size(shared) > 1) & (F.aggregate(shared, F.lit(0.0), lambda a, p: a + p["x"]) >= (THRESHOLD - 1e-5) ** 2)
+
+    # held as a lambda's argument, so that it is made once a statement
+    return F.exists(F.array(known), lambda held: (F.size(held) > 1) & F.exists(templates, lambda t: reached(t, held)))
+
+
 def _plain(text: Column) -> Column:
     """The words of a lower-case text with single spaces between."""
     return F.trim(F.regexp_replace(text, "[^a-z]+", " "))
@@ -126,7 +140,7 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     names = spark.createDataFrame([(t, sum(w in NAMES for m, w, _ in rows if m == t)) for t in dict.fromkeys(r[0] for r in rows)], "template string, n_names long")
 
     held = files.where(F.arrays_overlap(F.split(_plain(F.col("text")), " "), some))
-    held = held.select("path", F.explode(_statements(F.col("text"))).alias("s")).where(F.arrays_overlap(F.split("s", " "), some))
+    held = held.select("path", F.explode(_statements(F.col("text"))).alias("s")).where(F.arrays_overlap(F.split("s", " "), some)).where(_may_reach(rows, F.col("s")))
     held = stored(spark, held.select("path", F.md5("s").alias("id"), "s"))
     bag = held.groupBy("id").agg(F.first("s").alias("s")).select("id", F.explode(F.split("s", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
     # written first, so that the join can split a word of many statements

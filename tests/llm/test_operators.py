@@ -335,3 +335,13 @@ def test_license_titles_headers_and_texts(spark):
     words = ["fahren mit dem bus und mit dem rad." for _ in range(40)] + ["the end of the day is near, and the night is long." for _ in range(40)]
     assert licenses_of(spark, [t for t, _ in cases] + words)[: len(cases)] == [x for _, x in cases]
     assert licenses_of(spark, ["Mit."] + ["a license"] * 20) == [None] * 21
+
+
+def test_license_prefilter_follows_from_the_threshold(spark):
+    texts = ["Redistributed under the BSD", "Released under the MIT", "Subject to the terms of the Mozilla Public\nhat of mine", "no"]
+    assert licenses_of(spark, texts) == ["BSD", "MIT", "MPL", None]
+    for n, df in ((0, {}), (10_000, {"the": 5_000, "of": 4_000, "mit": 3_000, "license": 7, "rights": 900})):
+        rows, idf, _ = op07_licenses._vectors(n, df)
+        some = op07_licenses.needed(rows, idf)
+        for name in {r[0] for r in rows}:  # without a needed word no statement reaches the threshold
+            assert sum(x * x for t, w, x in rows if t == name and w not in some) ** 0.5 < op07_licenses.THRESHOLD
