@@ -90,13 +90,13 @@ A02 = "SELECT user_id AS baseline_id, event_type AS bin_name, min(event_id) AS c
 
 
 def c02_w01_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapping on part: for each part of size 1 the best package of every brand among those that share a word."""
+    """The mapping on part: for each part the best package of every brand among those that share a word."""
     part = read(spark, sf_dir, "part")
-    base = part.where("p_size = 1").select(F.col("p_partkey").alias("probe_id"), F.split("p_name", " ").alias("filelist"), F.col("p_name").alias("t_bin_name"), F.col("p_type").alias("t_description"))
+    base = part.select(F.col("p_partkey").alias("probe_id"), F.split("p_name", " ").alias("filelist"), F.col("p_name").alias("t_bin_name"), F.col("p_type").alias("t_description"))
     found = resolve.shared_files(base.select("probe_id", "filelist"), _entries(part)).drop("os_version", "os_arch")
     rows = found.join(base, "probe_id").join(_entries(part).select("os_name", "row_ord", F.col("description").alias("c_description"), F.col("filelist").alias("c_filelist")), ["os_name", "row_ord"])
     rows = rows.withColumns({"t_src_name": F.col("t_bin_name"), "t_filelist": F.col("filelist"), "c_src_name": F.col("name"), "c_bin_name": F.col("name"), "c_source": F.array(F.lit("filelist"))})
-    rows = rows.withColumns({"score": F.round(select.score(0.7, text=F.lit(0.0)), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist")), "cand_ord": F.col("row_ord"), "baseline_id": F.col("probe_id"), "repo_name": F.col("os_name"), "repo_version": F.lit("")})
+    rows = rows.withColumns({"score": F.round(select.score(0.7), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist")), "cand_ord": F.col("row_ord"), "baseline_id": F.col("probe_id"), "repo_name": F.col("os_name"), "repo_version": F.lit("")})
     return select.top_k(rows).select("baseline_id", "repo_name", F.col("name").alias("bin_name"), "score")
 
 

@@ -31,3 +31,21 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_best_match_of_every_part(spark, tmp_path):
+    names = [(1, "red big bolt", "A", "STEEL ROD", 7), (2, "red bolt", "B", "STEEL RODS", 9), (3, "red nut", "B", "STEEL ROD", 1), (4, "big red bolt", "B", "BRASS", 2)]
+    spark.createDataFrame(names, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r["baseline_id"], r["repo_name"]): (r["bin_name"], r["score"]) for r in registry.queries()["c02_w01_best_match"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, b) for i in (1, 2, 3, 4) for b in "AB"}
+    # the descriptions 'STEEL RODS' and 'STEEL ROD' share 9 of 19 characters twice; 0.1 is a description's weight
+    [(name, score)] = [got[2, "A"]]
+    one = spark.createDataFrame([("red bolt", "red big bolt", "STEEL RODS", "STEEL ROD")], "a string, b string, x string, y string")
+    from pyspark.sql import functions as F
+
+    from pkgloom.functions import similarity as S
+    from pkgloom.operators import select
+
+    cols = {f"{p}_{k}": F.col(v) for p, v, d in (("t", "a", "x"), ("c", "b", "y")) for k, v in (("src_name", v), ("bin_name", v), ("description", d))} | {"t_filelist": F.split("a", " "), "c_filelist": F.split("b", " "), "c_source": F.array(F.lit("filelist"))}
+    constant = one.withColumns(cols).select(select.score(0.7, text=F.lit(0.0))).first()[0]
+    assert name == "red big bolt" and abs(score - constant - 0.1 * 18 / 19) < 1e-5
