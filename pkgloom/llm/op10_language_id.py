@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose dictionary encodes a text in the fewest bytes.
 
-Every learned language has one raw-content zstandard dictionary, made of whole training texts. A text is compressed
-with each; the smallest result names the language, and a narrow margin sets rejected. Before encoding, letters are
+Every learned language has one raw-content zstandard dictionary, made of pieces of training texts. A text is compressed
+whole with each; the smallest result names the language, and a narrow margin sets rejected. Before encoding, letters are
 lower-cased and everything else becomes single spaces, in dictionaries and texts alike.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Training texts of a language, about (drawn by a hash of doc_id), and bytes of its dictionary: the bounds of the sample.
-TRAIN_TEXTS, DICT_BYTES = 400, 110_000
-#: Texts of up to SHORT bytes are encoded at a stronger level.
-SHORT, SHORT_LEVEL, LEVEL = 1_000, 12, 5
+#: The bounds of the training sample: rows of a language, about (drawn by a hash of doc_id), characters of a row's text
+#: (a longer text gives a piece that begins at a place drawn by the same hash), and the bytes at which a dictionary is full.
+TRAIN_TEXTS, PIECE, DICT_BYTES = 400, 4_000, 110_000
+LEVEL = 7
 #: Share of the best size by which the second must be larger.
 MARGIN = 0.01
 UNKNOWN = "und"
@@ -30,25 +30,32 @@ _SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin
 
 
 def held_out(id="doc_id"):
-    return F.crc32(F.col(id).cast("string")) % 4 == 2
+    """Rows without an id are held out too."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(True))
 
 
 def train(rows: DataFrame) -> dict[str, bytes]:
-    """Dictionary of each language of rows (doc_id, text, lang). Only the sample comes to the driver: at most TRAIN_TEXTS
-    texts a language on average, of which DICT_BYTES bytes are used; shorter and longer texts alike, each whole."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= DICT_BYTES // 8))
+    """Dictionary of each language of rows (doc_id, text, lang), however long its texts are.
+
+    Only the sample comes to the driver: of each language about TRAIN_TEXTS rows, of each row at most PIECE characters.
+    Pieces go in whole, in the order of the hash, until DICT_BYTES are reached. Rows with a null are not learned from;
+    no rows give no dictionary.
+    """
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     common = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not common:
         return {}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    h = F.xxhash64("doc_id")
+    draw = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*(F.lit(x) for lang, n in common.items() for x in (lang, TRAIN_TEXTS / n)))
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    place = F.pmod(F.xxhash64(F.lit("place"), "doc_id"), F.greatest(F.lit(1), F.length("text") - PIECE + 1)).cast("int")
+    sample = rows.where(draw < share[F.col("lang")]).select("lang", F.substring("text", place + 1, F.lit(PIECE)).alias("piece"), h.alias("h"), "doc_id")
     texts: dict[str, list[bytes]] = {}
-    for lang, text, _, _ in sorted(sample.collect(), key=lambda r: (r[2], r[3], r[1])):
+    for lang, piece, _, _ in sorted(sample.collect(), key=lambda r: (r[2], r[3], r[1])):
         have = texts.setdefault(lang, [])
         if sum(map(len, have)) < DICT_BYTES:
-            have.append(letters(text).encode())
-    return {lang: b"\n".join(texts[lang])[-DICT_BYTES:] for lang in sorted(texts, key=lambda x: (-common[x], x))}
+            have.append(letters(piece).encode())
+    return {lang: b"\n".join(texts[lang]) for lang in sorted(texts, key=lambda x: (-common[x], x))}
 
 
 def letters(text: str) -> str:
@@ -65,12 +72,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = list(dictionaries)
-        tools = {}
-        for level in (SHORT_LEVEL, LEVEL):
-            for lang in langs:
-                d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                tools[level, lang] = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
+        tools = []
+        for lang in langs:
+            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
         for batch in batches:
             out = {"doc_id": batch.column(0), "held_out": batch.column(2), "lang_pred": [], "score": [], "margin": [], "rejected": []}
             for value in batch.column(1):
@@ -78,8 +84,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                 pred, score, margin = UNKNOWN, 0.0, 0.0
                 if langs and text:
                     raw = text.encode()
-                    level = SHORT_LEVEL if len(raw) <= SHORT else LEVEL
-                    sizes = np.array([len(tools[level, lang].compress(raw)) for lang in langs], float)
+                    sizes = np.array([len(tool.compress(raw)) for tool in tools], float)
                     order = np.argsort(sizes, kind="stable")
                     pred, best = langs[order[0]], sizes[order[0]]
                     margin = (sizes[order[1]] - best) / best if len(langs) > 1 else 1.0
