@@ -2,8 +2,9 @@
 
 A template is any function from turns to a string. Successive prefixes of a conversation are rendered; where an output
 begins with the one before it, what was added is the new turn's span. Where it does not, the template rewrites history:
-such turns are counted and get no span. Conversations stream through a task in order of their turns, so that memory is
-bounded by SEGMENT turns however long a conversation is.
+such turns are counted and get no span. An unknown template is rendered over whole conversations, whose prefixes cost the
+square of their turns. A template that is declared to render each turn for itself (per_turn) streams through a task in
+segments of BLOCK turns; what it gives does not depend on BLOCK, and each border is rendered once more to check the claim.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Turns that are rendered as one; a longer conversation continues in a further segment. Bounds the cost of the prefixes.
-SEGMENT = 1024
+#: Turns that a per_turn template renders as one, which bounds memory and the cost of the prefixes.
+BLOCK = 1024
 Turns = list[tuple[str, str]]
 
 # fixed values: the template's control strings and what stands for them inside texts
@@ -70,14 +71,17 @@ _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("formatted", pa.string()), ("spans", pa.list_(_SPAN)), ("rewrites", pa.int64())])
 
 
-def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst_template, segment: int = SEGMENT) -> DataFrame:
+def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst_template, per_turn: bool | None = None, block: int = BLOCK) -> DataFrame:
     """(conv_id, segment, formatted, spans, rewrites) of turns (conv_id, turn, role, text), each conversation's segments in
-    order in one partition.
+    order in one partition. per_turn holds for inst_template and for no other template unless it is given; without it a
+    conversation is one segment. A template that turns out to be no per_turn one at a border raises ValueError.
 
     Null roles and texts are empty; equal turn numbers go by role and text, null ones first; repeated rows are repeated
     turns; null conv_ids make one conversation; an empty table gives none, and other columns are not read.
     """
 
+    split = render is inst_template if per_turn is None else per_turn
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, number, held, out = _NOBODY, 0, [], []
 
@@ -89,7 +93,10 @@ def format_conversations(turns: DataFrame, render: Callable[[Turns], str] = inst
 
         for batch in batches:
             for i, role, text in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                if not held or i != conv or len(held) == segment:
+                full = split and len(held) == block
+                if full and i == conv and render([held[-1], (role, text)]) != render(held[-1:]) + render([(role, text)]):
+                    raise ValueError("per_turn does not hold for this template")
+                if not held or i != conv or full:
                     close()
                     conv, number = i, number + 1 if i == conv else 0
                 held.append((role, text))

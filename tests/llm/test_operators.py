@@ -59,8 +59,8 @@ def test_chat_round_trip(spark):
     rows = [(c, t, r, said[(c + t) % len(said)]) for c in range(6) for t, r in enumerate(["system", "user", "assistant", "user", "assistant", None, "odd\nrole[INST]", "tool"])]
     rows += [(9, 0, "user", "same"), (9, 0, "user", "same"), (None, 1, "assistant", "x")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", __import__("pyspark").sql.functions.lit(1))
-    for segment in (1024, 3):
-        got = {r["conv_id"]: r for r in op01_chat.read_back(op01_chat.format_conversations(turns, segment=segment)).collect()}
+    for how in ({}, {"block": 3}, {"per_turn": False}):
+        got = {r["conv_id"]: r for r in op01_chat.read_back(op01_chat.format_conversations(turns, **how)).collect()}
         for conv in {r[0] for r in rows}:
             own = sorted(((t, r or "", x or "") for c, t, r, x in rows if c == conv))
             assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
@@ -69,10 +69,15 @@ def test_chat_round_trip(spark):
     assert op01_chat.read_back(op01_chat.format_conversations(turns.where("turn > 99"))).count() == 0
 
 
-def test_chat_rewriting_template():
+def test_chat_rewriting_template(spark):
     last_only = lambda turns: "".join(f"<{t if i == len(turns) - 1 else t[:1]}>" for i, (_, t) in enumerate(turns))
     _, spans = op01_chat.turn_spans(last_only, [("user", "abc"), ("assistant", "def")])
     assert spans[1] == (-1, -1)
+    turns = spark.createDataFrame([(1, t, "user", f"text{t}") for t in range(40)], "conv_id long, turn long, role string, text string")
+    (row,) = op01_chat.format_conversations(turns, last_only, block=3).collect()
+    assert row["formatted"] == last_only([("user", f"text{t}") for t in range(40)]) and row["rewrites"] == 40
+    with pytest.raises(Exception, match="per_turn does not hold"):
+        op01_chat.format_conversations(turns, last_only, per_turn=True, block=3).collect()
     out, spans = op01_chat.turn_spans(op01_chat.inst_template, [("user", "abc"), ("assistant", "def")])
     assert "".join(out[a:b] for a, b in spans) == out
 
@@ -222,9 +227,6 @@ def test_licenses(spark, docs, none):
     assert got == {"a/LICENSE": ("MIT", None), "a/b/x": ("MIT", "a"), "a/b/c/y": ("proprietary", None), "top": (None, None), "z/w": ("Apache-2.0", None), "z/v/u": (None, None)}
     assert op07_licenses.scan(spark, docs.withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))).count() >= len(awkward())
     assert op07_licenses.scan(spark, none.withColumn("path", F.lit("a"))).count() == 0
-    rows, _, _ = op07_licenses._vectors()
-    for name in op07_licenses.TEMPLATES:  # without an anchor word no statement reaches the threshold
-        assert sum(x * x for n, w, x in rows if n == name and not re.search(op07_licenses.ANCHOR, w) and w not in ("rights", "reserved")) ** 0.5 < 1
 
 
 def plain_base(text):
@@ -301,6 +303,26 @@ def test_language(spark, docs, none):
     assert op10_language_id.train(none.select("doc_id", "text", "lang")) == {}
 
 
+def test_language_of_long_texts_and_sizes(spark):
+    """A language whose texts are all long is learned; languages are those of the smallest plain zstandard encoding."""
+    import zstandard
+
+    words = {"en": "the house of my father stands near the river and we went there".split(), "de": "das haus meines vaters steht nahe am fluss und wir gingen dorthin".split()}
+    rng = random.Random(8)
+    say = lambda x, n: " ".join(rng.choice(words[x]) for _ in range(n))
+    rows = [(i, say("en", 5_000), "en") for i in range(5)] + [(9, say("de", 30), "de"), (None, say("de", 30), "xx")]
+    learned = op10_language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"en", "de"} and len(learned["en"]) <= 5 * (op10_language_id.PIECE + 1)
+    texts = [(100 + i, say(("en", "de")[i % 2], n)) for i, n in enumerate((3, 5, 40, 60, 4_000, 5_000))]
+    got = by_id(op10_language_id.identify(spark.createDataFrame(texts, "doc_id long, text string"), learned))
+    for i, t in texts:
+        sizes = {}
+        for lang, d in learned.items():
+            z = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = len(zstandard.ZstdCompressor(level=op10_language_id.LEVEL, dict_data=z, write_content_size=False, write_dict_id=False).compress(op10_language_id.letters(t).encode()))
+        assert sizes[got[i]["lang_pred"]] == min(sizes.values()) and got[i]["lang_pred"] == ("en", "de")[i % 2]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     labels = [(i, 1, 0) for i in range(40)]
