@@ -1,10 +1,11 @@
 """License scans: TF-IDF cosine to templates, then inheritance along the folder tree; DataFrame functions only.
 
-Statements become sparse TF-IDF vectors over words and are compared with each template. Statements are the blocks of
-lines of a file (cut at lines without a letter), their sentences, and the parts of their single lines; document
-frequencies are counted over the parts of lines of all files. A file has the licence of its best statement. A folder has
-the licence that most of the licence files directly in it state; a file without one inherits that of its nearest ancestor
-folder that has one.
+Statements become sparse TF-IDF vectors over words and are compared with each template: titles, headers, short notices,
+tags, and whole texts of the short licences. Statements of any file are its blocks of lines (cut at lines without a
+letter), their sentences, and the parts of their single lines, which is where headers stand; a licence file, told by its
+name, is one statement as a whole too. Document frequencies are counted over all files. A file has the licence of its
+best statement. Licence files speak for their folder: it has the licence that most of them state, and a file without a
+statement of its own inherits from its nearest ancestor folder that has one.
 """
 
 from __future__ import annotations
@@ -20,16 +21,24 @@ from .common import stored, table
 _GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 _COPY = "You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
 _CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
-# fixed values: by licence its one-line statements, titles, headers and the paragraphs of its text that no other licence has;
-# of the texts that run over pages (Apache, GNU, MPL, CC) the title and the paragraphs that name the licence
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+_MIT_REST = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_REST = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_NOTICE = ", provided that the above copyright notice and this permission notice appear in all copies."
+# fixed values: by licence its one-line statements, titles, headers, and of the short licences the whole text; of those that
+# run over pages (Apache, GNU, MPL, EPL, CC) the title and the paragraphs that name the licence
 TEMPLATES = {
-    "MIT": [
-        "Released under the MIT License.", "MIT License", "The MIT License (MIT)", "Licensed under the MIT License. See the LICENSE file in the project root for license information.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    ],
+    "MIT": ["Released under the MIT License.", "MIT License", "The MIT License (MIT)", "Licensed under the MIT License. See the LICENSE file in the project root for license information.", _MIT, f"{_MIT} {_MIT_REST}"],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.", "Apache License", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
         "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0",
     ],
     "GPL": [
@@ -47,40 +56,71 @@ TEMPLATES = {
         "Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License", "GNU Affero General Public License Version 3, 19 November 2007", "Licensed under the AGPL.",
         _GNU.format("program", "Affero General Public License"), _COPY.format("program", "Affero General Public License"),
     ],
-    "BSD": [
-        "Redistributed under the BSD License.", "BSD License", "BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ],
+    "BSD": ["Redistributed under the BSD License.", "BSD License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", _BSD, _BSD_SOURCE, _BSD_BINARY],
+    "BSD-2-Clause": [f"{_BSD} 1. {_BSD_SOURCE} 2. {_BSD_BINARY} {_BSD_REST}"],
+    "BSD-3-Clause": [_BSD_NAME, f"{_BSD} 1. {_BSD_SOURCE} 2. {_BSD_BINARY} 3. {_BSD_NAME} {_BSD_REST}"],
+    "ISC": ["ISC License", "Licensed under the ISC License.", _ISC + _NOTICE, f"{_ISC}{_NOTICE} {_ISC_REST}"],
+    "0BSD": [f"{_ISC}. {_ISC_REST}"],
     "MPL": [
         "Subject to the terms of the Mozilla Public License.", "Mozilla Public License", "Mozilla Public License Version 2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
+    "EPL": [
+        "Eclipse Public License", "Eclipse Public License Version 2.0", "Licensed under the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "BSL-1.0": [
+        "Boost Software License", "Boost Software License Version 1.0 August 17th, 2003", "Distributed under the Boost Software License, Version 1.0.",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    ],
+    "Zlib": [
+        "zlib License",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ],
+    "Artistic-2.0": ["The Artistic License 2.0", "Licensed under the Artistic License 2.0."],
+    "CC0": ["CC0 1.0 Universal", "Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal"],
     "CC-BY": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International", "Attribution 4.0 International", _CC.format("Attribution")],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International", "Attribution-NonCommercial 4.0 International", _CC.format("Attribution-NonCommercial")],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International", "Attribution-ShareAlike 4.0 International", _CC.format("Attribution-ShareAlike")],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+# fixed values: identifiers in tags
+TAGS = {
+    "MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "GPL": ["GPL-3.0-only", "GPL-3.0-or-later"], "LGPL": ["LGPL-3.0-only", "LGPL-3.0-or-later"], "AGPL": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "BSD-2-Clause": ["BSD-2-Clause"], "BSD-3-Clause": ["BSD-3-Clause"],
+    "ISC": ["ISC"], "MPL": ["MPL-2.0"], "EPL": ["EPL-2.0"], "Unlicense": ["Unlicense"], "BSL-1.0": ["BSL-1.0"], "Zlib": ["Zlib"], "Artistic-2.0": ["Artistic-2.0"], "CC0": ["CC0-1.0"], "CC-BY": ["CC-BY-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"],
+}
 #: Words that make a licence's name. A statement is only compared with templates whose name words it has: a line "License" is no "MIT License".
-NAMES = {"mit", "apache", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "bsd", "mozilla", "mpl", "cc", "by", "nc", "sa", "attribution", "noncommercial", "sharealike", "reserved", "proprietary"}
+NAMES = {
+    "mit", "apache", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "bsd", "isc", "mozilla", "mpl", "eclipse", "epl", "boost", "bsl", "zlib", "unlicense", "artistic",
+    "cc", "cc0", "by", "nc", "sa", "attribution", "noncommercial", "sharealike", "reserved", "proprietary", "unencumbered",
+}
+#: Names of files that hold a folder's licence.
+LICENSE_FILE = r"(?i)^(?:un)?licen[cs]es?(?:[-_.].*)?$|^copying(?:[-_.].*)?$|^notice(?:\.(?:txt|md))?$|^mit-license.*$"
 THRESHOLD = 0.7
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z]+", text.lower())
+def _templates() -> dict[str, list[str]]:
+    """The words of each template, by its name (licence/number)."""
+    texts = {name: [*TEMPLATES.get(name, []), *(f"SPDX-License-Identifier: {tag}" for tag in TAGS.get(name, []))] for name in TEMPLATES}
+    return {f"{name}/{i}": re.findall("[a-z0-9]+", text.lower()) for name, some in texts.items() for i, text in enumerate(some)}
 
 
-def _vectors(n: int = 0, df: dict[str, int] | None = None) -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(template, word, weight) of unit vectors, the idf of their words and that of a word of no statement, where df of n statements have a word."""
-    bags = {f"{name}/{i}": _words(text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)}
+def vectors(n: int = 0, df: dict[str, int] | None = None) -> tuple[list[tuple[str, str, float]], dict[str, float]]:
+    """(template, word, weight) of unit vectors, and the idf of their words, where df of n files have a word."""
+    bags = _templates()
     idf = {w: log((1 + n) / (1 + (df or {}).get(w, 0))) + 1 for b in bags.values() for w in b}
     rows = []
     for name, bag in bags.items():
         weight = {w: bag.count(w) * idf[w] for w in bag}
         norm = sum(x * x for x in weight.values()) ** 0.5
         rows += [(name, w, x / norm) for w, x in sorted(weight.items())]
-    return rows, idf, log(1 + n) + 1
+    return rows, idf
 
 
 def needed(rows: list[tuple[str, str, float]], idf: dict[str, float]) -> list[str]:
@@ -97,50 +137,57 @@ def needed(rows: list[tuple[str, str, float]], idf: dict[str, float]) -> list[st
     return sorted(out)
 
 
-def _may_reach(rows: list[tuple[str, str, float]], s: Column) -> Column:
-    """False only where the words of s cannot reach THRESHOLD: a cosine is at most the norm of what a template shares with them.
-    One shared word states nothing."""
-    templates = F.array(*(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(x * x).alias("x")) for n, w, x in rows if n == t)) for t in dict.fromkeys(r[0] for r in rows)))
-    known = F.array_intersect(F.split(s, " "), F.lit(sorted({r[1] for r in rows})))
-
-    def reached(template: Column, held: Column) -> Column:
-        shared = F.filter(template, lambda p: F.array_contains(held, p["w"]))
-        return (F.size(shared) > 1) & (F.aggregate(shared, F.lit(0.0), lambda a, p: a + p["x"]) >= (THRESHOLD - 1e-5) ** 2)
-
-    # held as a lambda's argument, so that it is made once a statement
-    return F.exists(F.array(known), lambda held: (F.size(held) > 1) & F.exists(templates, lambda t: reached(t, held)))
+def most(rows: list[tuple[str, str, float]]) -> dict[str, float]:
+    """The largest squared weight of each word in any template: their sum over a statement's words bounds its squared cosine."""
+    out: dict[str, float] = {}
+    for _, w, x in rows:
+        out[w] = max(out.get(w, 0.0), x * x)
+    return out
 
 
 def _plain(text: Column) -> Column:
     """The words of a lower-case text with single spaces between."""
-    return F.trim(F.regexp_replace(text, "[^a-z]+", " "))
-
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
-def _parts(text: Column) -> Column:
-    return F.split(text, r"[\n.!?]+(?=\s|$)|\n")
 
-
-def _statements(text: Column) -> Column:
+def _statements(text: Column, whole: Column) -> Column:
+    """The plain statements of a lower-case text; of a licence file (whole) the text without its copyright lines as well."""
     blocks = F.split(text, r"\n(?:[^a-z\n]*\n)+")
     sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, r"[.!?]+(?=\s|$)")))
-    return F.array_distinct(F.transform(F.concat(_parts(text), sentences, blocks), _plain))
+    parts = F.split(text, r"[.!?]+(?=\s|$)|\n")
+    all_of_it = F.when(whole, F.array(F.regexp_replace(text, r"(?m)^\W*(?:\(c\)|copyright)\b.*$", ""))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(parts, sentences, blocks, all_of_it), _plain))
+
+
+def is_license_file(path: Column) -> Column:
+    return F.substring_index(path, "/", -1).rlike(LICENSE_FILE)
 
 
 def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, license, cosine) of the files (path, text) with a statement that reaches THRESHOLD; ties go by name."""
+    """(path, license, cosine) of the files (path, text) with a statement that reaches THRESHOLD; ties go by name.
+
+    Two scans of the texts: one counts words over all files, one takes the statements. Before scoring only what cannot
+    reach THRESHOLD is left out: a statement without any needed word, or with too little weight on the templates' words.
+    """
     files = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    # the empty word stands for the statement: its count is their number
-    parts = files.select(F.explode(_parts(F.col("text"))).alias("s")).select(_plain(F.col("s")).alias("s")).where("s <> ''")
-    df = stored(spark, parts.select(F.explode(F.array_append(F.array_distinct(F.split("s", " ")), F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
-    known = {r[0]: r[1] for r in df.where(F.col("word").isin("", *_vectors()[1])).collect()}
+    # the empty word stands for the file: its count is their number
+    words = files.select(F.explode(F.array_distinct(F.array_append(F.split("text", "[^a-z0-9]+"), F.lit("")))).alias("word"))
+    df = stored(spark, words.groupBy("word").agg(F.count("*").alias("df")))
+    known = {r[0]: r[1] for r in df.where(F.col("word").isin("", *vectors()[1])).collect()}
     n = known.get("", 0)
-    rows, idf, _ = _vectors(n, known)
+    rows, idf = vectors(n, known)
     some = F.lit(needed(rows, idf))
+    bound = most(rows)
     template = spark.createDataFrame(rows, "template string, word string, weight double")
     names = spark.createDataFrame([(t, sum(w in NAMES for m, w, _ in rows if m == t)) for t in dict.fromkeys(r[0] for r in rows)], "template string, n_names long")
 
-    held = files.where(F.arrays_overlap(F.split(_plain(F.col("text")), " "), some))
-    held = held.select("path", F.explode(_statements(F.col("text"))).alias("s")).where(F.arrays_overlap(F.split("s", " "), some)).where(_may_reach(rows, F.col("s")))
+    square = F.create_map(*(F.lit(x) for kv in bound.items() for x in kv))
+    held = files.where(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), some))
+    held = held.select("path", F.explode(_statements(F.col("text"), is_license_file(F.col("path")))).alias("s"))
+    held = held.withColumn("w", F.split("s", " ")).where(F.arrays_overlap("w", some))
+    reach = F.aggregate(F.array_intersect("w", F.lit(sorted(bound))), F.lit(0.0), lambda a, w: a + square[w])
+    # one shared word, such as the German 'mit', states nothing
+    held = held.where((reach >= (THRESHOLD - 1e-5) ** 2) & (F.size(F.array_intersect("w", F.lit(sorted(bound)))) > 1))
     held = stored(spark, held.select("path", F.md5("s").alias("id"), "s"))
     bag = held.groupBy("id").agg(F.first("s").alias("s")).select("id", F.explode(F.split("s", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
     # written first, so that the join can split a word of many statements
@@ -148,7 +195,6 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     weighed = stored(spark, bag.join(df, "word").select("id", "word", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("x")))
     norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = weighed.join(F.broadcast(template), "word").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n_names"), F.count("*").alias("k"))
-    # one word, such as the German 'mit', states nothing
     dot = dot.where("k > 1").join(F.broadcast(names), ["template", "n_names"])
     best = dot.join(norm, "id").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
     rank = F.min(F.struct((-F.col("cosine")).alias("c"), F.substring_index("template", "/", 1).alias("license"))).alias("m")
@@ -160,15 +206,15 @@ def folder(path):
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(spark: SparkSession, files: DataFrame, is_license_file: Column | None = None) -> DataFrame:
+def scan(spark: SparkSession, files: DataFrame) -> DataFrame:
     """files (path, text, ...) as path, license, cosine, inherited_from.
 
-    is_license_file tells which stating files speak for their folder (all, if None). Null texts state nothing; a null path lies in no
-    folder; rows that repeat a path share their statements; a folder's ties go by name; empty tables are fine.
+    Only files named as LICENSE_FILE says speak for their folder. Null texts state nothing; a null path lies in no folder
+    and has no licence; rows that repeat a path share their statements; a folder's ties go by name; empty tables are fine,
+    and other columns are not read.
     """
     found = stored(spark, stated(spark, files.where("path IS NOT NULL").select("path", "text")))
-    speak = files.where((F.lit(True) if is_license_file is None else is_license_file) & F.col("path").isNotNull()).select("path").distinct()
-    votes = found.join(speak, "path").groupBy(folder(F.col("path")).alias("dir"), "license").agg(F.count("*").alias("k"))
+    votes = found.where(is_license_file(F.col("path"))).groupBy(folder(F.col("path")).alias("dir"), "license").agg(F.count("*").alias("k"))
     dirs = votes.groupBy("dir").agg(F.min(F.struct((-F.col("k")).alias("k"), "license"))["license"].alias("d_license"))
     places = files.select("path").join(found, "path", "left").withColumn("dir", folder(F.col("path")))
     # the answer for each folder with files, once: its ancestors are as many as its path has parts
@@ -180,9 +226,12 @@ def scan(spark: SparkSession, files: DataFrame, is_license_file: Column | None =
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files: source/lang/shard/doc_id, and texts of under 500 bytes directly in source/lang."""
-    docs = table(spark, sf_dir, "documents")
-    shard = F.when(F.octet_length(F.coalesce("text", F.lit(""))) >= 500, F.concat(F.floor(F.col("doc_id") / 50).cast("string"), F.lit("/"))).otherwise("")
-    files = docs.select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), shard, F.col("doc_id").cast("string")).alias("path"), "text")
-    out = scan(spark, files)
-    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "cosine", "inherited_from")
+    """documents as the files of a tree: source/lang/shard of 50 ids/id; in place of a name, ids that 50, 1,000 and 10,000
+    divide make a document the licence file of its shard, of source/lang and of source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), "text")
+    id = F.col("doc_id")
+    name = F.concat(F.lit("LICENSE-"), id.cast("string"))
+    shard = F.concat_ws("/", "s", "l", F.floor(id / 50).cast("string"))
+    path = F.when(id % 10_000 == 0, F.concat_ws("/", "s", name)).when(id % 1_000 == 0, F.concat_ws("/", "s", "l", name)).when(id % 50 == 0, F.concat_ws("/", shard, name)).otherwise(F.concat_ws("/", shard, id.cast("string")))
+    out = scan(spark, docs.select(path.alias("path"), "text"))
+    return out.select(F.regexp_extract("path", "[0-9]+$", 0).cast("long").alias("doc_id"), "path", "license", "cosine", "inherited_from")

@@ -221,10 +221,11 @@ def test_water_fill():
 
 
 def test_licenses(spark, docs, none):
-    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b/x", "code"), ("a/b/c/y", "(c) all rights reserved. more"), ("top", None), ("z/w", "Licensed under the Apache License, Version 2.0!"), ("z/v/u", "no")], "path string, text string")
+    files = spark.createDataFrame([("a/LICENSE", "Released under the MIT License."), ("a/b/x", "code"), ("a/b/c/y", "(c) all rights reserved. more"), ("top", None), ("z/w", "Licensed under the Apache License, Version 2.0!"), ("z/v/u", "no"), (None, "MIT License")], "path string, text string")
     F = __import__("pyspark").sql.functions
-    got = {r["path"]: (r["license"], r["inherited_from"]) for r in op07_licenses.scan(spark, files, F.col("path").endswith("LICENSE")).collect()}
-    assert got == {"a/LICENSE": ("MIT", None), "a/b/x": ("MIT", "a"), "a/b/c/y": ("proprietary", None), "top": (None, None), "z/w": ("Apache-2.0", None), "z/v/u": (None, None)}
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in op07_licenses.scan(spark, files).collect()}
+    # a source file speaks for itself only
+    assert got == {"a/LICENSE": ("MIT", None), "a/b/x": ("MIT", "a"), "a/b/c/y": ("proprietary", None), "top": (None, None), "z/w": ("Apache-2.0", None), "z/v/u": (None, None), None: (None, None)}
     assert op07_licenses.scan(spark, docs.withColumn("path", F.concat(F.lit("d/"), F.col("doc_id").cast("string")))).count() >= len(awkward())
     assert op07_licenses.scan(spark, none.withColumn("path", F.lit("a"))).count() == 0
 
@@ -359,11 +360,59 @@ def test_license_titles_headers_and_texts(spark):
     assert licenses_of(spark, ["Mit."] + ["a license"] * 20) == [None] * 21
 
 
+def plain_licenses(files):
+    """Best licence and cosine of each path, by every statement against every template."""
+    import math
+
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    df = collections.Counter(w for t in files.values() for w in {*words(t or "")})
+    idf = lambda w: math.log((1 + len(files)) / (1 + df[w])) + 1
+
+    def vector(bag):
+        v = {w: bag.count(w) * idf(w) for w in bag}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    templates = [(name.rpartition("/")[0], vector(bag), {*bag} & op07_licenses.NAMES) for name, bag in op07_licenses._templates().items()]
+    out = {}
+    for path, text in files.items():
+        low = (text or "").lower()
+        blocks = re.split(r"\n(?:[^a-z\n]*\n)+", low)
+        some = re.split(r"[.!?]+(?=\s|$)|\n", low) + blocks + [x for b in blocks for x in re.split(r"[.!?]+(?=\s|$)", b)]
+        if re.search(op07_licenses.LICENSE_FILE, path.rpartition("/")[2]):
+            some.append(re.sub(r"(?m)^\W*(?:\(c\)|copyright)\b.*$", "", low))
+        for bag in map(words, some):
+            v = vector(bag)
+            for name, t, names in templates:
+                cosine = round(sum(x * t[w] for w, x in v.items() if w in t), 6)
+                if len(v.keys() & t.keys()) > 1 and names <= v.keys() and cosine >= op07_licenses.THRESHOLD and (-cosine, name) < out.get(path, (0, "")):
+                    out[path] = (-cosine, name)
+    return {path: (name, -c) for path, (c, name) in out.items()}
+
+
+def test_licenses_like_plain_cosines(spark):
+    rng = random.Random(6)
+    texts = [x for some in op07_licenses.TEMPLATES.values() for x in some]
+    files = {"n": None, "e": "", "tag.c": "// SPDX-License-Identifier: BSD-3-Clause\nint x;", "asf.py": texts[7], "mit/LICENSE": f"The MIT License (MIT)\n\nCopyright (c) 2020 A Person\n\n{texts[5]}"}
+    for i in range(150):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randrange(6)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randrange(2)] = [rng.choice(["house", "the", "license", "of", "mit", "zzz"])]
+        sep = rng.choice([" ", " ", "\n", "\n# "])
+        files[rng.choice(["d/LICENSE.", "d/COPYING-", "d/f"]) + str(i)] = "some code here.\n\n" * rng.randrange(2) + sep.join(w) + "\n\nthe end of the file" * rng.randrange(2)
+    want = plain_licenses(files)
+    got = {r["path"]: r for r in op07_licenses.stated(spark, spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    assert {p: r["license"] for p, r in got.items()} == {p: name for p, (name, _) in want.items()} and len(want) > 100
+    assert all(r["cosine"] == pytest.approx(want[p][1], abs=2e-6) for p, r in got.items())
+    assert want["tag.c"][0] == "BSD-3-Clause" and want["asf.py"][0] == "Apache-2.0" and want["mit/LICENSE"][0] == "MIT"
+
+
 def test_license_prefilter_follows_from_the_threshold(spark):
     texts = ["Redistributed under the BSD", "Released under the MIT", "Subject to the terms of the Mozilla Public\nhat of mine", "no"]
     assert licenses_of(spark, texts) == ["BSD", "MIT", "MPL", None]
     for n, df in ((0, {}), (10_000, {"the": 5_000, "of": 4_000, "mit": 3_000, "license": 7, "rights": 900})):
-        rows, idf, _ = op07_licenses._vectors(n, df)
+        rows, idf = op07_licenses.vectors(n, df)
         some = op07_licenses.needed(rows, idf)
         for name in {r[0] for r in rows}:  # without a needed word no statement reaches the threshold
             assert sum(x * x for t, w, x in rows if t == name and w not in some) ** 0.5 < op07_licenses.THRESHOLD
