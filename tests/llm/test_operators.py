@@ -270,6 +270,7 @@ def test_field():
 
 def test_decontamination(spark, docs, none):
     items = [(1, LONG), (2, "one"), (3, "B C D"), (4, None), (5, "!!"), (6, " ".join(LONG.split()[100:110])), (7, "zzz " + " ".join(LONG.split()[:9])), (1, LONG)]
+    rng = random.Random(9)
     table = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -278,16 +279,22 @@ def test_decontamination(spark, docs, none):
         w = word.findall((t or "").translate(low))
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(i)
-    for r in op09_decontamination.decontaminate(spark, docs.where("doc_id IS NOT NULL AND doc_id <> 14"), table).collect():
-        w = word.findall((awkward()[r["doc_id"]][1] or "").translate(low))
+    extra = [(None, LONG), (None, LONG + " and " + LONG), (6, "another text under the id of a copy"), (30, " ".join(rng.choice(["w1", "w2", "w3"]) for _ in range(3_000)) + " " + LONG), (31, "a " * 500 + LONG + " one" * 300)]
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = []
+    for i, t in [(r[0], r[1]) for r in awkward()] + extra:
+        w = word.findall((t or "").translate(low))
         hit, ids = set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in windows:
                     hit |= set(range(k, k + n))
                     ids |= windows[tuple(w[k : k + n])]
-        assert (r["n_words"], r["n_hit"], r["item_ids"]) == (len(w), len(hit), sorted(map(str, ids))), r
-    assert op09_decontamination.decontaminate(spark, docs, table).count() == len(awkward())
+        want.append((i, len(w), len(hit), sorted(map(str, ids)), bool(hit)))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in op09_decontamination.decontaminate(spark, all_docs, table).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    plain = op09_decontamination.decontaminate(spark, all_docs, table.where("item_id IN (1, 6, 7)")).where("contaminated")
+    assert plain.count() == sum(bool({"1", "6", "7"} & {*x[3]}) for x in want)
     assert op09_decontamination.decontaminate(spark, none, table).count() == 0
     assert op09_decontamination.decontaminate(spark, docs, table.limit(0)).where("contaminated").count() == 0
 
