@@ -1,9 +1,9 @@
 """Repeated byte strings by bucket-pointer refinement of suffixes.
 
-Every suffix starts in the bucket of its first Q bytes. A bucket is refined by the bucket identifiers found Q bytes
-later, the refined identifiers by those found 2Q bytes later, and so on, each step reusing what the last one named:
-after four steps an identifier names a suffix's first LENGTH = 16 Q bytes. Names are hashes, so that every task gives
-equal strings equal names.
+Every suffix starts in the bucket of its first Q bytes. Buckets are refined by sorting on the identifiers of the buckets
+found Q bytes later, the refined ones on those found 2Q bytes later, and so on, each step reusing what the last one
+updated: after four steps a bucket holds the suffixes that agree in their first LENGTH = 16 Q bytes. Where suffixes of
+several tasks have to meet, the same steps run on hashes as identifiers (names), which tasks give alike.
 
 Only part of the suffixes needs to meet in the shuffle. Of the half-length buckets in a window of LENGTH bytes the one
 with the least name is its anchor, which equal windows choose alike; the windows of one anchor are consecutive. Rows of
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, flat, mix, pieces, stored, table
+from .common import PIECE_BYTES, SpanHash, flat, mix, pieces, stored, table
 
 Q, STEPS = 25, 4
 LENGTH = Q << STEPS
@@ -47,6 +48,32 @@ def names(raw: np.ndarray, steps: int, first: SpanHash | None = None) -> np.ndar
     return name
 
 
+def refined(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the suffixes with LENGTH bytes in their row of raw, and the identifier of each one's bucket: equal where
+    and only where those bytes are."""
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(raw))
+
+    def step(have: np.ndarray, more: np.ndarray, width: int, reach: int) -> np.ndarray:
+        start = np.flatnonzero(left >= reach)
+        out = np.zeros(len(raw), np.int64)
+        out[start] = np.unique(have[start] * (more.max(initial=0) + 1) + more[start + width], return_inverse=True)[1]
+        return out
+
+    # the initial buckets, of Q bytes: single bytes doubled, and what is missing added from the bits of Q
+    power, whole, width, size = raw.astype(np.int64), None, 0, 1
+    while size <= Q:
+        if Q & size:
+            whole = power if whole is None else step(whole, power, width, width + size)
+            width += size
+        size *= 2
+        if size <= Q:
+            power = step(power, power, size // 2, size)
+    for k in range(STEPS):
+        whole = step(whole, whole, Q << k, Q << k + 1)
+    start = np.flatnonzero(left >= LENGTH)
+    return start, whole[start]
+
+
 def _least(key: np.ndarray, width: int) -> np.ndarray:
     """The least key of each window of width keys."""
     size = 1
@@ -123,38 +150,60 @@ _CONTEXT = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_(
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names every suffix of the contexts that meet in this partition: (done, k1, k2, doc_id, span, need). Rows with done
-    are repeats; the other rows are suffixes of split buckets that may have their equals in other partitions."""
-    have: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    """Refines the contexts of this partition, sorted by bucket, bucket by bucket: rows (done, k1, k2, doc_id, span, need).
+    Rows with done are repeats; the others are suffixes of split buckets that may have their equals in other partitions.
+    A bucket part has about MEMBERS contexts, and small ones go together up to PIECE_BYTES, which bounds memory."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        b, salt = (rows.column(i).to_numpy() for i in (0, 1))
+        edge = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (salt[1:] != salt[:-1]), last])
+        held.clear()
+        if edge[-1] < len(b):  # the last bucket may go on in the next batch
+            held.extend(rows.slice(edge[-1]).to_batches())
+        size = np.r_[0, np.cumsum(pc.binary_length(rows.column(6)).to_numpy())]
+        first = 0
+        while first < len(edge) - 1:
+            stop = max(first + 1, int(np.searchsorted(size[edge], size[edge[first]] + PIECE_BYTES, "right")) - 1)
+            yield from _refined_rows(rows.slice(edge[first], edge[stop] - edge[first]), np.repeat(np.arange(stop - first), np.diff(edge[first : stop + 1])))
+            first = stop
+
+    waiting = 0
     for batch in batches:
-        for rows, raw, at in pieces(batch.set_column(6, "bytes", batch.column(6).view(pa.string())), "bytes"):
-            first, second = SpanHash(raw), SpanHash(raw, seed=3)
-            name = names(raw, STEPS, first)
-            ids, spans, hot, need = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 2, 5))
-            count = np.diff(at) - LENGTH + 1
-            row = np.repeat(np.arange(len(count)), count)
-            offset = np.arange(len(row)) - np.r_[0, np.cumsum(count)][row]
-            start = at[:-1][row] + offset
-            for x, y in zip(have, (name[start], second(start, start + LENGTH), ids[row], (spans[row] & ~np.int64(255)) + (offset << 24), need[row], hot[row]), strict=True):
-                x.append(y)
-    if not have[0]:
-        return
-    k1, k2, ids, spans, need, hot = (np.concatenate(x) for x in have)
-    order = np.lexsort((k2, k1))
-    new = np.ones(len(order), bool)
-    new[1:] = (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])
-    group = np.cumsum(new) - 1
-    several = (np.bincount(group) > 1)[group]
-    done = order[several & need[order]]
-    # of a split bucket one row of each name goes on; where it has its equal here, it only stands for others to find
-    later = order[new & hot[order]]
-    alone = ~several[new & hot[order]]
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting >= MEMBERS:
+            yield from cut(False)
+            waiting = 0
+    if held:
+        yield from cut(True)
+
+
+def _refined_rows(rows: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of whole buckets: rows is in their order, bucket numbers each row's."""
+    raw, at = flat(rows.column(6).combine_chunks().view(pa.string()))
+    ids, spans, hot, need = (rows.column(i).to_numpy() for i in (3, 4, 2, 5))
+    start, place = refined(raw, at)
+    row = np.searchsorted(at, start, "right") - 1
+    key = np.unique(bucket[row] * (place.max(initial=0) + 1) + place, return_inverse=True)[1]
+    several = (np.bincount(key) > 1)[key] if len(key) else np.zeros(0, bool)
+    done = np.flatnonzero(several & need[row])
+    # of a split bucket one row of each string goes on; where it has its equal here, it only stands for others to find
+    first = np.zeros(len(key), bool)
+    first[np.unique(key, return_index=True)[1]] = True
+    later = np.flatnonzero(first & hot[row])
     pick = np.r_[done, later]
     flag = np.r_[np.ones(len(done), bool), np.zeros(len(later), bool)]
-    want = np.r_[np.ones(len(done), bool), need[later] & alone]
+    want = np.r_[np.ones(len(done), bool), need[row[later]] & ~several[later]]
+    k1, k2 = np.zeros(len(pick), np.uint64), np.zeros(len(pick), np.uint64)
+    if len(later):
+        k1[len(done) :] = names(raw, STEPS)[start[later]]
+        k2[len(done) :] = SpanHash(raw, seed=3)(start[later], start[later] + LENGTH)
+    span = (spans[row] & ~np.int64(255)) + ((start - at[row]) << 24)
     for i in range(0, len(pick), 1 << 17):
         j = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(flag[j]), pa.array(k1[pick[j]].view(np.int64)), pa.array(k2[pick[j]].view(np.int64)), pa.array(ids[pick[j]]), pa.array(spans[pick[j]]), pa.array(want[j])], names=["done", "k1", "k2", "doc_id", "span", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(flag[j]), pa.array(k1[j].view(np.int64)), pa.array(k2[j].view(np.int64)), pa.array(ids[row[pick[j]]]), pa.array(span[pick[j]]), pa.array(want[j])], names=["done", "k1", "k2", "doc_id", "span", "need"])
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -173,7 +222,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.struct("b", F.pmod("c", F.col("parts")).cast("int").alias("salt"), (F.col("parts") > 1).alias("hot"), F.col("one.span").alias("span"), (F.col("n") == 1).alias("need")).alias("x"),
     )
     ends = docs.join(ends.groupBy("doc_id").agg(F.collect_list("x").alias("spans")), "doc_id").select("doc_id", "text", "spans")
-    suffixes = stored(spark, _contexts(ends).repartition("b", "salt").mapInArrow(_refine, "done boolean, k1 long, k2 long, doc_id long, span long, need boolean"))
+    suffixes = stored(spark, _contexts(ends).repartition("b", "salt").sortWithinPartitions("b", "salt").mapInArrow(_refine, "done boolean, k1 long, k2 long, doc_id long, span long, need boolean"))
     split = suffixes.where("NOT done")
     again = split.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     single = suffixes.where("done").select("doc_id", "span").unionByName(split.where("need").join(again, ["k1", "k2"], "left_semi").select("doc_id", "span"))
@@ -181,20 +230,22 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def drop_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) -> DataFrame:
+    """docs (doc_id, text) as doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes).
 
     A byte goes if a string of LENGTH bytes covers it that also starts elsewhere, in this text or another; all strings
     are judged on the input. Null counts as empty; shorter texts keep everything; equal rows are each other's repeats,
-    also where they share a doc_id; empty tables are fine, and other columns are not read.
+    also where they share a doc_id; a row without a doc_id goes by a hash of its text inside; empty tables are fine, and
+    other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text, with_kept = F.coalesce("text", F.lit("")), kept
+    docs = docs.select(F.col("doc_id").cast("long").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc_id"), text.alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, edge = flat(batch.column(1))
             spans = batch.column(2)
-            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+            out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else []))}
             for i in range(batch.num_rows):
                 text = raw[edge[i] : edge[i + 1]]
                 kept, removed, n = text, 0, 0
@@ -208,12 +259,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
                     kept, removed = text[~gone], int(gone.sum())
                     n = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
                 body = kept.tobytes()
-                for k, v in zip(out, (len(text), removed, n, hashlib.sha256(body).hexdigest(), body), strict=True):
+                for k, v in zip(out, (len(text), removed, n, hashlib.sha256(body).hexdigest(), body)):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **out})
 
-    return docs.join(repeated_spans(spark, docs), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    return docs.join(repeated_spans(spark, docs.select("doc_id", "text")), "doc_id", "left").select("given", "text", "spans").mapInArrow(cut, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+    return drop_repeats(spark, table(spark, sf_dir, "documents"), kept=False)

@@ -83,29 +83,64 @@ def test_chat_rewriting_template(spark):
 
 
 def brute_removed(texts):
+    """Of each row: bytes, removed bytes, removed runs, digest of the rest."""
     n = op02_suffix_dedup.LENGTH
-    seen = collections.Counter(b[i : i + n] for b in texts.values() for i in range(len(b) - n + 1))
-    out = {}
-    for k, b in texts.items():
+    seen = collections.Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
+    out = []
+    for b in texts:
         gone = bytearray(len(b))
         for i in range(len(b) - n + 1):
             if seen[b[i : i + n]] > 1:
                 gone[i : i + n] = b"\x01" * n
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[k] = (len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+        out.append((len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
     return out
 
 
 @pytest.mark.parametrize("members", [4096, 2])
 def test_suffix_dedup(spark, docs, none, members, monkeypatch):
     monkeypatch.setattr(op02_suffix_dedup, "MEMBERS", members)
-    rows = {i: (r[0], (r[1] or "").encode()) for i, r in enumerate(awkward()) if r[0] != 14}
-    want = brute_removed({i: b for i, (_, b) in rows.items()})
-    got = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in op02_suffix_dedup.drop_repeats(spark, docs.where("doc_id IS NULL OR doc_id <> 14")).collect()]
-    assert sorted(map(repr, got)) == sorted(repr((rows[i][0], want[i])) for i in rows)
+    monkeypatch.setattr(op02_suffix_dedup, "PIECE_BYTES", 1 << 20 if members > 2 else 1000)
+    rng = random.Random(10)
+    cut = "".join(rng.choice("abc \n") for _ in range(900))
+    extra = [(40, cut + "x" * 100), (None, "y" * 50 + cut), (None, "z" + cut[:500]), (None, "z" + cut[:500]), (41, cut[250:700]), (41, "other" + cut[100:600])]
+    texts = [(r[0], r[1]) for r in awkward()] + extra
+    table = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string")).repartition(4)
+    # a long text whose windows are too many to count one by one here: a piece that holds what it shares stands for it
+    long = next(t for i, t in texts if i == 14)
+    rows = [(i, (t if i != 14 else long[:60_000] or "").encode() if t else b"") for i, t in texts]
+    table = table.where("doc_id IS NULL OR doc_id <> 14").union(spark.createDataFrame([(14, long[:60_000])], "doc_id long, text string"))
+    want = sorted(repr((i, x)) for (i, _), x in zip(rows, brute_removed([b for _, b in rows]), strict=True))
+    got = op02_suffix_dedup.drop_repeats(spark, table).collect()
+    assert sorted(repr((r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))) for r in got) == want
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert op02_suffix_dedup.drop_repeats(spark, none).count() == 0
 
 
+def test_suffix_dedup_of_a_very_long_text(spark):
+    """Twice one random passage in a text of 240 KB: only the passages go."""
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh ijkl") for _ in range(n))
+    passage = some(700)
+    text = some(100_000) + "1" + passage + "2" + some(140_000) + "3" + passage + "4"
+    (row,) = op02_suffix_dedup.drop_repeats(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row["n_bytes"], row["n_removed"], row["n_spans"]) == (len(text), 1400, 2) and row["kept"].decode() == text.replace(passage, "")
+
+
+def test_bucket_refinement():
+    import numpy as np
+
+    rng = random.Random(11)
+    rows = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(3))) * 300 + bytes([rng.choice(b"ab")]) * rng.randrange(300) for _ in range(40)] + [b"", b"a" * 399]
+    at = np.r_[0, np.cumsum([len(r) for r in rows])]
+    start, place = op02_suffix_dedup.refined(np.frombuffer(b"".join(rows), np.uint8), at)
+    n = op02_suffix_dedup.LENGTH
+    windows = {int(at[k]) + i: r[i : i + n] for k, r in enumerate(rows) for i in range(len(r) - n + 1)}
+    assert sorted(windows) == start.tolist()
+    names = {}
+    assert all(names.setdefault(p, windows[s]) == windows[s] for s, p in zip(start.tolist(), place.tolist(), strict=True)) and len(names) == len({*windows.values()})
+
+
 def test_suffix_blocks(monkeypatch):
     import numpy as np
 
