@@ -2,8 +2,9 @@
 
 The patterns give the base spans. The field, trained on the small labelled table below, tags the words of a text and
 adds spans of kinds that it knows where no base span lies: addresses, numbers and names in forms that the patterns do
-not take. Words are grouped into chains around those that can start a span; all chains of a batch are decoded together
-by Viterbi in numpy.
+not take. Every line of a text is one chain, decoded whole, whatever its length. A word's features depend on the word and
+its neighbours alone, so each different word is weighed once; where no span can outweigh plain words the best path is
+known to be plain, and Viterbi runs, in numpy batches, over the stretches between.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SpanHash, pieces, runs, table
 
+#: Bytes of words.
+NOT_SPACE = np.ones(256, bool)
+NOT_SPACE[[32, *range(9, 14)]] = False
 KINDS = ("email", "ip", "card", "phone", "name")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,6 +95,9 @@ my name is [name Peter Miller ] and I agree
 name: [name Clara Weiss ] signed here
 Ms. [name Lena Roth ] wrote the text
 dear Mr. [name Brown ] thank you
+Mr. [name Alexander Hoffmann ] and others
+my name is [name Christopher Lee ] and so on
+Mrs. [name Katharina Rodriguez ] came late
 the price was 12.50 and then 13.00 again
 in 1998 and 2004 there were 12 of them
 version 2.0 of the licence was out in 2004
@@ -111,68 +118,101 @@ thanks to all of them for this
 @user said so and @other did not
 The Mr. and the name of it
 score 3-2 and 10-8 in 2 games
-From. Enera Thatand met in 1998
-It was so. Bebel Ergez had 12 of them
+From then on. They met in 1998
+It was so. Nobody There had 12 of them
 The number 12345678 Theme was in
 At. Then Other came of 25
 And. Nothing Else came at 10:30
-In the end. Hean Esan left 3 of it
-5077083268371396 Haon Re was there
-On Monday. Anna Went to 7 of them
-Onblest. Anesst then 40 more
-87e15d78b9d8ef29b6c1 Lytint of the
+In the end. Most Of Them left 3 of it
+5077083268371396 Table One was there
+On Monday. Some Went to 7 of them
+Chapter. Summary then 40 more
+87e15d78b9d8ef29b6c1 Print of the
 Das ist so. Eine Zahl wie 238
 Les Autres. Elle Avait 25 ans
 met at The Hague with 12 men
-then At Tist the 3 came
-Thble. Erlyster
-Es Anednd at the sea
+then At Noon the 3 came
+The End. Appendix
+Contents. Introduction
+Yes. Thanks
+Summary. Overview of it
+Preface. Thanks to all
+Überblick. Einleitung
+Paris. Évry
+Monday. Tuesday then
+There. Somewhere near
+Seven. Eight and nine
+House. Gardens and a wall
+Water. Electricity
+Green. Yellow
+Today. Tomorrow we go
+Where. Nowhere
+Los Otros fueron at the sea
+It rained. Then It Stopped and all went home
+Many Of The Rules Were Changed that year
+We said: Yes, and the answer was No
 room 101-102 is at the end
 a1 b2 c3 and x86 or h264
 """
 
-_SPLIT = re.compile(r"\S+")
 _LEFT, _RIGHT = "\"'<{|", "\"'>}|,;.!?:*#$%&"
 _CUES = frozenset("mr. mrs. ms. dr. name name: is at (at) [at] mail tel phone phone: call fax ring card host server ping".split())
-#: A word that may lie in a span or hint at one: digits, @, or a cue. All others are plain.
-_NOTABLE = re.compile(r"[0-9@]|(?i:^(?:mr|mrs|ms|dr)\.$|^name:?$|^[(\[]?at[)\]]?$)")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 
 
+class _Shapes(dict):
+    """Of each character X, x or d for letters and digits, others as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c
+        return out
+
+
+_SHAPES = _Shapes()
+
+
 def shape(word: str) -> str:
-    """X, x and d for letters and digits, runs of up to four kept, other characters as they are."""
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word[:40])
-    s = re.sub(r"\d", "d", s)
-    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", s)
+    """X, x and d for letters and digits, other characters as they are; runs of up to four kept."""
+    return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", word.translate(_SHAPES))
+
+
+def core(token: str) -> tuple[str, int, int]:
+    """A token without the marks around it, and where that begins and ends in it."""
+    a, b = 0, len(token)
+    while b - a > 1 and token[a] in _LEFT:
+        a += 1
+    end = b
+    while b - a > 1 and token[b - 1] in _RIGHT:
+        b -= 1
+    if token[a : b + 1].lower() in _CUES:
+        b = min(b + 1, end)
+    return token[a:b], a, b
+
+
+def _key(token: str) -> tuple[str, str]:
+    """What a token's features depend on: its shape, and itself where it is a cue."""
+    low = core(token)[0].lower() if len(token) < 12 else ""
+    return token.translate(_SHAPES), low if low in _CUES else ""
 
 
-def _about(word: str) -> list[str]:
+def _about(token: str) -> list[str]:
+    word, _, b = core(token)
     s = shape(word)
     digits = sum(c.isdigit() for c in word)
     low = word.lower()
     out = [f"s={s}", f"r={re.sub(r'(.)\1+', r'\1', s)}", f"d={min(digits, 8) if digits < 9 else '9-11' if digits < 12 else '12-19' if digits < 20 else '20+'}"]
     out += [f"c={c}" for c in "@:./-()" if c in word]
     out += [f"w={low}"] if low in _CUES else []
+    out += ["stop"] if {*token[b:]} & {*".!?"} else []
     out += ["title"] if s[:1] == "X" and s[1:].strip("x+") == "" and len(s) > 1 else []
     return out
 
 
-def word_features(words: list[str]) -> list[list[str]]:
-    own = [_about(w) for w in words]
+def word_features(tokens: list[str]) -> list[list[str]]:
+    own = [_about(w) for w in tokens]
     edge = ["edge"]
-    return [["1", *own[i], *(f"-{f}" for f in (own[i - 1] if i else edge)), *(f"+{f}" for f in (own[i + 1] if i + 1 < len(own) else edge))] for i in range(len(words))]
-
-
-def core(token: str, start: int) -> tuple[str, int, int]:
-    """A token without the marks around it, and its place."""
-    while len(token) > 1 and token[0] in _LEFT:
-        token, start = token[1:], start + 1
-    keep = token
-    while len(keep) > 1 and keep[-1] in _RIGHT:
-        keep = keep[:-1]
-    if token.lower()[: len(keep) + 1] in _CUES:
-        keep = token[: len(keep) + 1]
-    return keep, start, start + len(keep)
+    return [["1", *own[i], *(f"-{f}" for f in (own[i - 1] if i else edge)), *(f"+{f}" for f in (own[i + 1] if i + 1 < len(own) else edge))] for i in range(len(tokens))]
 
 
 def labelled() -> list[tuple[list[str], list[int]]]:
@@ -185,7 +225,7 @@ def labelled() -> list[tuple[list[str], list[int]]]:
             elif w == "]":
                 kind = None
             else:
-                words.append(core(w, 0)[0])
+                words.append(w)
                 tags.append(TAGS.index(f"{'B' if first else 'I'}-{kind}") if kind else 0)
                 first = False
         out.append((words, tags))
@@ -197,35 +237,78 @@ class Field:
 
     def __init__(self, index: dict[str, int], weight: np.ndarray, step: np.ndarray):
         self.index, self.weight, self.step = index, weight, step
-
-    def emit(self, chain: list[list[str]]) -> np.ndarray:
-        return np.array([self.weight[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in chain])
-
-    def decode(self, chains: list[list[list[str]]]) -> list[np.ndarray]:
-        """The best tags of each chain; chains of about one length go through the steps together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(chains)
-        order = sorted(range(len(chains)), key=lambda i: len(chains[i]))
-        for k in range(0, len(order), 512):
-            some = order[k : k + 512]
-            length = np.array([len(chains[i]) for i in some])
-            e = np.zeros((len(some), length.max(), len(TAGS)))
-            for j, i in enumerate(some):
-                e[j, : length[j]] = self.emit(chains[i])
-            e[:, 0, 2::2] -= 30  # an I can't come first
-            best, back = e[:, 0], np.zeros(e.shape, np.int64)
-            for t in range(1, e.shape[1]):
-                all_steps = best[:, :, None] + self.step
-                back[:, t] = all_steps.argmax(1)
-                best = np.where((t < length)[:, None], all_steps.max(1) + e[:, t], best)
-            last = best.argmax(1)
-            for j, i in enumerate(some):
-                tags = np.zeros(length[j], np.int64)
-                tags[-1] = last[j]
-                for t in range(length[j] - 1, 0, -1):
-                    tags[t - 1] = back[j, t, tags[t]]
-                out[i] = tags
+        allowed = np.where(step > -30, step, -np.inf) - step[0, 0]
+        #: The most that a step within a span gains over one between plain words, and that its way in and out does.
+        self.within = float(allowed[1:, 1:].max())
+        self.around = max(0.0, float(allowed[0, 1:].max())) + max(0.0, float(allowed[1:, 0].max()))
+
+    def of_token(self, token: str) -> np.ndarray:
+        """What a token adds to the tags of itself, of the next one and of the one before."""
+        about = _about(token)
+        return np.array([self.weight[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in (["1", *about], [f"-{f}" for f in about], [f"+{f}" for f in about])])
+
+    def emit(self, table: np.ndarray, which: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores by tag of the tokens which, rows of table (of_token()), in chains that begin where first says."""
+        last = np.r_[first[1:], True]
+        e = table[which, 0]
+        e[1:] += np.where(first[1:, None], 0.0, table[which[:-1], 1])
+        e[:-1] += np.where(last[:-1, None], 0.0, table[which[1:], 2])
+        for edge, name in ((first, "-edge"), (last, "+edge")):
+            if name in self.index:
+                e[edge] += self.weight[self.index[name]]
+        e[first, 2::2] -= 30  # an I can't come first
+        return e
+
+    def open_words(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where a tag other than O is possible on the best path: a span there could outweigh plain words.
+
+        A span gains at most what its words do, with a step between each two and the way in and out; the most that a span
+        through a word gains is the largest run of gains that ends there plus the largest that begins there.
+        """
+        gain = e[:, 1:].max(1) - e[:, 0] + self.within
+        # taken off between two chains, so that no run goes on over it
+        drop = 1.0 + np.add.reduceat(np.maximum(gain, 0), np.flatnonzero(first)).max()
+
+        def ending(g: np.ndarray, begins: np.ndarray) -> np.ndarray:
+            total = np.cumsum(g - drop * begins)
+            return total - np.minimum.accumulate(total - g)
+
+        right = ending(gain[::-1], np.r_[first[1:], True][::-1])[::-1]
+        return ending(gain, first) + right - gain + self.around - self.within > -1e-4
+
+    def decode(self, e: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The best tag of every word."""
+        out = np.zeros(len(e), np.int64)
+        if not len(e):
+            return out
+        active = self.open_words(e, first)
+        new = active & np.r_[True, ~active[:-1] | first[1:]]
+        start = np.flatnonzero(new)
+        end = np.flatnonzero(active & np.r_[~active[1:] | first[1:], True]) + 1
+        length = end - start
+        after = np.r_[first[1:], True][end - 1]  # a stretch that ends its chain is followed by nothing, else by O
+        order = np.argsort(length, kind="stable")
+        at = 0
+        while at < len(order):
+            some = order[at : at + max(1, min(512, (1 << 16) // max(1, length[order[min(len(order), at + 512) - 1]])))]
+            at += len(some)
+            self._viterbi(e, start[some], length[some], first[start[some]], after[some], out)
         return out
 
+    def _viterbi(self, e: np.ndarray, start: np.ndarray, length: np.ndarray, opens: np.ndarray, closes: np.ndarray, out: np.ndarray) -> None:
+        """Best tags of the stretches of e, which stand between words of tag O or at an end of their chain."""
+        best = e[start] + np.where(opens[:, None], 0.0, self.step[0])
+        back = np.zeros((length.max(), len(start), len(TAGS)), np.int8)
+        for t in range(1, length.max()):
+            all_steps = best[:, :, None] + self.step
+            back[t] = all_steps.argmax(1)
+            best = np.where((t < length)[:, None], all_steps.max(1) + e[np.minimum(start + t, start + length - 1)], best)
+        tag = (best + np.where(closes[:, None], 0.0, self.step[:, 0])).argmax(1)
+        for t in range(length.max() - 1, -1, -1):
+            here = t < length
+            out[start[here] + t] = tag[here]
+            tag = np.where(here, back[t, np.arange(len(start)), tag], tag)
+
 
 def train(rounds: int = 200, l2: float = 0.02) -> Field:
     """Adam on the log likelihood of the labelled table, by forward-backward; the same weights each time."""
@@ -274,49 +357,77 @@ def train(rounds: int = 200, l2: float = 0.02) -> Field:
     return Field(index, par[0], np.where(barred, -30.0, par[1]))
 
 
-def chains_of(text: str, reach: int = 3) -> list[tuple[list[str], list[tuple[int, int]]]]:
-    """Words and their places in chains: notable words with up to reach plain words around them, within a line."""
-    out = []
-    start = 0
-    for line in text.split("\n"):
-        if _DIGIT.search(line) or "@" in line or _CUE_LINE.search(line):
-            words = [core(m[0], start + m.start()) for m in _SPLIT.finditer(line)]
-            near = [i for i, w in enumerate(words) if _NOTABLE.search(w[0])]
-            i = 0
-            while i < len(near):
-                j = i
-                while j + 1 < len(near) and near[j + 1] - near[j] <= 2 * reach:
-                    j += 1
-                some = words[max(0, near[i] - reach) : near[j] + reach + 1]
-                for k in range(0, len(some), 256):  # a longer chain goes on as another
-                    out.append(([w[0] for w in some[k : k + 256]], [w[1:] for w in some[k : k + 256]]))
-                i = j + 1
-        start += len(line) + 1
-    return out
-
-
-_CUE_LINE = re.compile(r"\b(?:[Mm]rs?|[Mm]s|[Dd]r)\.\s|\b[Nn]ame\b|[(\[](?:at|AT)[)\]]|\s(?:at|AT)\s")
-
-
-def found_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
+#: Different words that are known between batches, and words that are decoded at once (or one line, if it has more).
+WORDS_KEPT, BLOCK = 500_000, 1 << 18
+
+
+class Reader:
+    """The field's spans of texts as flat bytes; each different word is looked at once."""
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.known: dict[int, int] = {}
+        self.keys: dict[tuple[str, str], int] = {}
+        self.table = np.zeros((0, 3, len(TAGS)))
+        self.trims = np.zeros((0, 2), np.int64)
+
+    def _look_up(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of the table of each word."""
+        key, at, inverse = np.unique(SpanHash(raw)(start, end), return_index=True, return_inverse=True)
+        if len(self.known) > WORDS_KEPT:
+            self.__init__(self.field)
+        new, trims = [], []
+        for k, i in zip(key.tolist(), at.tolist(), strict=True):
+            if k not in self.known:
+                token = raw[start[i] : end[i]].tobytes().decode("utf-8", "replace")
+                known = _key(token)
+                if known not in self.keys:
+                    _, a, b = core(token)
+                    self.keys[known] = len(self.keys)
+                    new.append(self.field.of_token(token))
+                    trims.append((a, len(token) - b))
+                self.known[k] = self.keys[known]
+        if new:
+            self.table, self.trims = np.concatenate([self.table, new]), np.concatenate([self.trims, trims])
+        return np.array([self.known[k] for k in key.tolist()], np.int64)[inverse]
+
+    def spans(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, start, kind and end (code points of the row) of the spans, in order."""
+        start, end = runs(NOT_SPACE[raw], at)
+        if not len(start):
+            return tuple(np.zeros((4, 0), np.int64))
+        row = np.searchsorted(at, start, "right") - 1
+        lines = np.cumsum(raw == 10)[start]
+        first = np.r_[True, (row[1:] != row[:-1]) | (lines[1:] != lines[:-1])]
+        which = self._look_up(raw, start, end)
+        heads, tags, i = np.r_[np.flatnonzero(first), len(first)], np.zeros(len(first), np.int8), 0
+        while i < len(first):
+            j = max(int(heads[np.searchsorted(heads, i + BLOCK, "right") - 1]), int(heads[np.searchsorted(heads, i, "right")]))
+            tags[i:j] = self.field.decode(self.field.emit(self.table, which[i:j], first[i:j]), first[i:j])
+            i = j
+        point = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        begin = np.flatnonzero(tags % 2 == 1)
+        # a span goes on over the I tags behind its B
+        stop = np.flatnonzero(np.r_[(tags % 2 == 1) | (tags == 0), True])
+        last = stop[np.searchsorted(stop, begin, "right")] - 1
+        base = point[at[:-1]][row[begin]]
+        return row[begin], point[start[begin]] + self.trims[which[begin], 0] - base, (tags[begin] - 1) // 2, point[end[last]] - self.trims[which[last], 1] - base
+
+
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of spans (start, kind, end) that touch no base span; base is sorted."""
+    starts = np.array([x[0] for x in base], np.int64)
+    reach = np.maximum.accumulate(np.array([0, *(x[2] for x in base)], np.int64))
+    return [x for x in spans if reach[np.searchsorted(starts, x[2], "left")] <= x[0]]
+
+
+def found_spans(raw: np.ndarray, at: np.ndarray, reader: Reader) -> list[tuple[list, list]]:
     """For each text its base spans, and all spans with the field's added where they touch no base span."""
-    base = [base_spans(t) for t in texts]
-    places, owner, chains = [], [], []
-    for i, t in enumerate(texts):
-        for words, where in chains_of(t):
-            chains.append(word_features(words))
-            places.append(where)
-            owner.append(i)
-    extra: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, where, tags in zip(owner, places, field.decode(chains), strict=True):
-        spans: list[list[int]] = []
-        for (a, b), tag in zip(where, tags, strict=True):
-            if tag and TAGS[tag][0] == "B":
-                spans.append([a, (tag - 1) // 2, b])
-            elif tag and spans:
-                spans[-1][2] = b
-        extra[i] += [(a, k, b) for a, k, b in spans if not any(a < y and x < b for x, _, y in base[i])]
-    return [(b, sorted({*b, *e})) for b, e in zip(base, extra, strict=True)]
+    extra: list[list[tuple[int, int, int]]] = [[] for _ in at[1:]]
+    for i, a, k, b in zip(*(x.tolist() for x in reader.spans(raw, at)), strict=True):
+        extra[i].append((a, k, b))
+    base = [base_spans(raw[i:j].tobytes().decode("utf-8", "replace")) for i, j in zip(at[:-1], at[1:], strict=True)]
+    return [(b, sorted({*b, *apart(e, b)})) for b, e in zip(base, extra, strict=True)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -335,13 +446,13 @@ def find_pii(spark: SparkSession, docs: DataFrame, field: Field | None = None) -
     weights = spark.sparkContext.broadcast(field or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(weights.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                got = found_spans([t or "" for t in part.column(1).to_pylist()], weights.value)
+            for part, raw, at in pieces(batch, "text"):
+                got = found_spans(raw, at, reader)
                 out = {"doc_id": part.column(0)}
                 out |= {f"n_{KINDS[j]}": pa.array([sum(s[1] == j for s in b) for b, _ in got], pa.int64()) for j in range(4)}
-                out |= {"base_sha256": pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got]), "spans": pa.array([written(a) for _, a in got], pa.string())}
+                out |= {"base_sha256": pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], pa.string()), "spans": pa.array([written(a) for _, a in got], pa.string())}
                 yield pa.RecordBatch.from_pydict(out)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
