@@ -22,29 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = getattr(spark, "_pkgloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='pkgloom-')}"
-        spark._pkgloom_dir = path
-    return path.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, one in the warehouse,
+    and only in local mode, where there are no other machines, a temporary one."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    path = getattr(spark, "_pkgloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='pkgloom-')}"
+    spark._pkgloom_dir = path
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written once as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/pkgloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def temp_name(df: DataFrame, name: str) -> str:
-    """A column name that df does not use yet."""
-    while name in df.columns:
-        name += "_"
-    return name
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def row_bytes(text):
-    return F.octet_length(F.coalesce(text, F.lit("")))
+def drop(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text):

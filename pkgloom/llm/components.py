@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a node, and the node, go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = stored(spark, small)
+        before, edges = edges, stored(spark, small)
+        drop(before)
         if (now := _state(edges)) == state:
             break
         state = now

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Every document becomes the set of its distinct 4-word shingles (64-bit hashes), in one global order: rare first, by the
-counts of a fixed-size sketch over all documents, then by hash. Equal sets are one class. Classes with the same prefix
+counts of a sketch over all documents, then by hash. Equal sets are one class. Classes with the same prefix
 and size are one group; groups are paired where they share a prefix token and their sizes and positions allow the
 threshold, and only then are their members expanded and verified on whole sets.
 
@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, mix, pieces, runs, stored, sum_vectors, table, vector_rows
+from .common import SpanHash, drop, mix, pieces, runs, stored, sum_vectors, table, vector_rows
 from .components import components
 
-#: Counters of the sketch that sets the global order, and the slices it is summed in: 2 MB whatever the input.
-SKETCH, SLICES = 1 << 18, 16
+#: Counters of the sketch that sets the global order, as powers of two: four for each document within these bounds, so that
+#: what is broadcast is 256 KB to 16 MB. SLICES: what the sketch is summed in.
+LEAST_BITS, MOST_BITS, SLICES = 18, 24, 16
 #: Pairs of one text that are verified in one place.
-PAIRS = 1000
+PAIRS = 128
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 
@@ -56,16 +57,19 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents' shingles fall on each counter; the sums by slice are all that comes to the driver."""
+    """The order of magnitude (quarters of a power of two) of how many documents' shingles fall on each counter; the sums
+    by slice are all that comes to the driver."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (4 * docs.count()).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for _, raw, at in pieces(batch, "text"):
-                total += np.bincount((shingle_sets(raw, at, width)[0] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                np.add.at(total, (shingle_sets(raw, at, width)[0] % np.uint64(size)).astype(np.int64), 1)
         yield vector_rows(total, SLICES)
 
-    return sum_vectors(docs.select("text").mapInArrow(count, "slice int, part int, counts binary"), SLICES, SKETCH)
+    total = sum_vectors(docs.select("text").mapInArrow(count, "slice int, part int, counts binary"), SLICES, size)
+    return np.minimum(255, np.round(4 * np.log2(1.0 + total))).astype(np.uint8)
 
 
 def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
@@ -81,7 +85,7 @@ def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
                 m = rows.num_rows
                 n = np.bincount(row, minlength=m)
                 out = {"doc_id": rows.column(0), "n": pa.array(n, pa.int64()), "k1": total(h, row, m, 11), "k2": total(h, row, m, 12)}
-                by = np.lexsort((h, order.value[(h % np.uint64(SKETCH)).astype(np.int64)], row))
+                by = np.lexsort((h, order.value[(h % np.uint64(len(order.value))).astype(np.int64)], row))
                 length = n - -(-percent * n // 100) + 1
                 length[n == 0] = 0
                 keep = np.arange(len(h)) - np.r_[0, np.cumsum(n)][row] < length[row]
@@ -157,6 +161,7 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     # tokens that only one group has pair nothing
     shared = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     tokens = stored(spark, tokens.join(shared.hint("merge"), "token"))
+    drop(group)
 
     # texts that can have a partner
     able = members.join(tokens.select("gid").distinct(), "gid", "left_semi").select("rep").union(members.where("members > 1").select("rep")).distinct()
@@ -171,7 +176,9 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     stars = banded.join(near, ["token", "band"]).where(F.col("gid") > F.col("lead")).where(_size_ok("n", "ln", percent) & _size_ok("ln", "n", percent))
     stars = stars.groupBy("gid", "lead").agg(F.count("*").alias("k")).groupBy("gid").agg(F.max(F.struct("k", (-F.col("lead")).alias("l")))["l"].alias("l")).select("gid", (-F.col("l")).alias("lead"))
     pairs = stars.select(F.col("gid").alias("a"), F.col("lead").alias("b")).union(members.where("rep <> gid").select(F.col("rep").alias("a"), F.col("gid").alias("b")))
-    links = stored(spark, _verified(texts, stored(spark, pairs), width, percent))
+    pairs = stored(spark, pairs)
+    links = stored(spark, _verified(texts, pairs, width, percent))
+    drop(pairs)
     found = components(spark, links)
 
     # round 2: members of different components that meet at a token, or in a group
@@ -183,13 +190,17 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     at_token = at_token.union(inside)
     mixed = at_token.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     at_token = stored(spark, at_token.join(mixed, "token"))
+    drop(tokens)
     x, y = (at_token.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp"))) for s in "xy")
     least = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
     reach = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     meet = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _size_ok("n_x", "n_y", percent) & _size_ok("n_y", "n_x", percent) & (reach >= least)).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
     mx, my = (placed.select(F.col("rep").alias(f"rep_{s}"), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
     more = meet.join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
-    final = components(spark, links.union(_verified(texts, stored(spark, more), width, percent)))
+    more = stored(spark, more)
+    drop(at_token, placed)
+    final = components(spark, links.union(_verified(texts, more, width, percent)))
+    drop(texts, links, more)
 
     of_class = members.select("rep").join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
     of_key = classes.select("k1", "k2", "n", "rep").join(of_class, "rep").select("k1", "k2", "n", "component_id")
