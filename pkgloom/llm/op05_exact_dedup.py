@@ -65,10 +65,13 @@ def lookup(words: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray
     return slot
 
 
+def digest_of(text):
+    """SHA-256 of the text with each run of white space as one space; null counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256))
+
+
 def digests(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(doc_id, digest) of each row: SHA-256 of the text with each run of white space as one space; null counts as empty."""
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"))
+    return docs.select(F.col(id).cast("long").alias("doc_id"), digest_of(F.col(text)).alias("digest"))
 
 
 def _grouped(rows: DataFrame, n: int) -> DataFrame:

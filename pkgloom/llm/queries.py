@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import pipeline
+
 #: Query name: module.
 _QUERIES = {
     "op4_quality": "op04_quality",
@@ -21,7 +23,7 @@ _SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination")
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()} | {"pipeline": import_module("corpus_pipeline").run}
+    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

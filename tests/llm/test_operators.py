@@ -427,20 +427,103 @@ def test_language_of_long_texts_and_sizes(spark):
         assert sizes[got[i]["lang_pred"]] == min(sizes.values()) and got[i]["lang_pred"] == ("en", "de")[i % 2]
 
 
-def test_pipeline(spark, tmp_path):
+def plain_exact(rows):
+    """Of (doc_id, text) rows those that the exact stage keeps."""
+    key = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[key(t)].append((i is None, i or 0, t is not None, t or ""))
+    return sorted(repr((None if x[0] else x[1], x[3] if x[2] else None)) for x in map(min, groups.values()))
+
+
+def plain_hits(rows, items):
+    word, low = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    cut = lambda t: word.findall((t or "").translate(low))
+    windows = {tuple(w[k : k + 10]) for w in map(cut, items) if w for k in range(max(1, len(w) - 9))}
+    sizes = {len(x) for x in windows}
+    return {t for _, t in rows if any(tuple(w[k : k + n]) in windows for w in [cut(t)] for n in sizes for k in range(len(w) - n + 1))}
+
+
+def test_pipeline(spark, none, tmp_path):
+    """Each stage on all that the one before kept, against brute force; rows with null ids and repeated ids included."""
     pipeline = importlib.import_module("corpus_pipeline")
-    labels = [(i, 1, 0) for i in range(40)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [*awkward(), (50, " ".join(f"bench{i}" for i in range(12)), "en", "s1", 0, 1, 1, 1, 1, 1, "x")]
-    docs = spark.createDataFrame(rows, DOCS)
-    for name, stage in pipeline.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.schema == before.schema, name
-    ids = {r["doc_id"] for r in docs.collect()}
-    assert 50 not in ids and 1 not in ids and 7 not in ids and 8 not in ids and {0, 3, 5, 6, 14, 15} <= ids
-    assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    bench = [" ".join(f"bench{i}" for i in range(20)), "short item here"]
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = [(50, bench[0][:80]), (51, bench[0].upper() + " and more"), (None, "x " + bench[0]), (52, "a short  item here"), (53, "a long item"), (6, "another text"), (6, "another text"), (None, LONG + "\t"), (None, "no id"), (None, LONG.replace("w7 ", "w "))]
+    rows = [*awkward(), *((i, t, "en", "s1", 0, 1, 1, 1, 1, 1, "x") for i, t in more)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    stage = dict(pipeline.STAGES)
+    of = lambda df: [(r["doc_id"], r["text"]) for r in df.collect()]
+    kept = op04_quality.keep(spark, docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert stage["quality"](spark, docs, str(tmp_path)).count() == kept.count() > 0
+    for start in (docs, kept):
+        before = of(start)
+        exact = stage["exact_dedup"](spark, start, str(tmp_path))
+        assert exact.schema == docs.schema and sorted(map(repr, of(exact))) == plain_exact(before)
+    before = of(exact)
+    near = stage["near_dedup"](spark, exact, str(tmp_path))
+    # without an id a row comes after all that have one; two texts of id 6 share their fate
+    ids = {t: i if i is not None else 10**6 + k for k, (i, t) in enumerate(before)}
+    root = brute_components([(ids[t], t) for _, t in before if t != "another text"], 5, 80)
+    left = of(near)
+    assert near.schema == docs.schema and {t for _, t in left} == {t for _, t in before if t == "another text" or root[ids[t]][1] == ids[t]}
+    clean = stage["decontamination"](spark, near, str(tmp_path))
+    hits = plain_hits(left, bench)
+    assert clean.schema == docs.schema and len(hits) >= 3 and sorted(map(repr, of(clean))) == sorted(repr(x) for x in left if x[1] not in hits)
+    mix = stage["mixing"](spark, clean, str(tmp_path))
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in mix.collect()) == sorted((i or -1, len(WORD.findall(t or ""))) for i, t in of(clean))
+    for name, f in pipeline.STAGES:
+        assert f(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_mixing_targets(spark):
+    """Targets and source sizes from the words of the texts alone; null source last."""
+    rng = random.Random(15)
+    rows = [(i, "w " * rng.randrange(30), rng.choice(["b", "a", "B", None, "é", "ab"])) for i in range(300)] + [(900, None, "a"), (901, "x y", "tiny"), (902, "", "void")]
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, free = {}, 1.5 * sum(size.values()), {s for s in order if size[s]}
+    while free:
+        per = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * per > 2 * size[s]}
+        for s in over or free:
+            target[s] = 2 * size[s] if over else weight[s] * per
+        left -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    got = op06_mixing.mix_sources(spark, op06_mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    taken = collections.Counter()
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target.get(r["source"], 0)) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(got) == len(rows) and all(abs(taken[s] - target.get(s, 0)) <= 1 for s in order)
+
+
+def test_pooling_by_hand():
+    """Means of vectors, squares and neighbours' products, one word at a time, and scores of a given network."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(op04_quality.ROWS, op04_quality.DIM)).astype(np.float32)
+    texts = [b"one two, two three", b"", b"alone", "ünd so weiter ... ok".encode()]
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = op04_quality.pool(np.frombuffer(b"".join(texts), np.uint8), at, vectors)
+    net = op04_quality.Network(rng.normal(size=96), np.full(96, 2.0), rng.normal(size=(96, 4)), rng.normal(size=4), rng.normal(size=4), 0.1, 1.7)
+    for t, row in zip(texts, got, strict=True):
+        raw = np.frombuffer(t, np.uint8)
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff \t-\r]+", t)
+        v = [vectors[int(op04_quality.SpanHash(np.frombuffer(w, np.uint8))(np.array([0]), np.array([len(w)]))[0] % np.uint64(op04_quality.ROWS))].astype(float) for w in words]
+        want = np.zeros(96)
+        if v:
+            want[:32], want[32:64] = np.mean(v, 0), np.mean([x * x for x in v], 0)
+            want[64:] = np.sum([a * b for a, b in zip(v, v[1:])], 0) / max(1, len(v) - 1)
+        assert len(raw) == len(t) and np.allclose(row, want, atol=1e-5)
+        hidden = [max(0.0, sum((want[i] - net.mean[i]) / 2 * net.w1[i, j] for i in range(96)) + net.b1[j]) for j in range(4)]
+        logit = sum(h * w for h, w in zip(hidden, net.w2)) + 0.1
+        assert net.score(want[None])[0] == pytest.approx(1 / (1 + np.exp(-logit / 1.7)))
 
 
 def licenses_of(spark, texts):
