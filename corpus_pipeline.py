@@ -1,58 +1,5 @@
-"""A corpus pipeline of five operators: quality, exact dedup, near dedup, decontamination, mixing.
+"""The corpus pipeline: STAGES, run(spark, sf_dir) and ORACLE_SQL of pkgloom.llm.pipeline."""
 
-A stage takes (spark, docs, sf_dir) and returns the documents it keeps with the columns of documents; the last one
-returns the mix instead.
-"""
+from pkgloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from pkgloom.llm import op03_ngram_join, op04_quality, op05_exact_dedup, op06_mixing, op09_decontamination
-from pkgloom.llm.common import stored, table
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ids; rows without a doc_id are nobody's repeat and stay."""
-    keep = ids.select(F.col("doc_id").alias("k_doc_id")).distinct()
-    known = docs.where(docs["doc_id"].isNotNull())
-    return known.join(keep, known["doc_id"] == keep["k_doc_id"], "left_semi").union(docs.where(docs["doc_id"].isNull()))
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or above."""
-    return op04_quality.keep(spark, docs, table(spark, sf_dir, "labels"))
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest doc_id."""
-    return _only(docs, op05_exact_dedup.exact_dedup(spark, docs).where("kept"))
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id."""
-    return _only(docs, op03_ngram_join.similar(spark, docs).where("doc_id = component_id"))
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    return _only(docs, op09_decontamination.decontaminate(spark, docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target, taken of every document."""
-    return op06_mixing.mix_sources(spark, op06_mixing.sized(docs))
-
-
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminated), ("mixing", mixed)]
-
-#: The classifier's scores can't be written as SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(spark, stage(spark, docs, sf_dir))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
