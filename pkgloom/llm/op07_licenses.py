@@ -166,8 +166,9 @@ def is_license_file(path: Column) -> Column:
 def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(path, license, cosine) of the files (path, text) with a statement that reaches THRESHOLD; ties go by name.
 
-    Two scans of the texts: one counts words over all files, one takes the statements. Before scoring only what cannot
-    reach THRESHOLD is left out: a statement without any needed word, or with too little weight on the templates' words.
+    Two scans of the texts: one counts words over all files, one takes the statements. Only what cannot reach THRESHOLD
+    is left out before the last step: a statement without any needed word, with too little weight on the templates'
+    words, or with too many other words.
     """
     files = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     # the empty word stands for the file: its count is their number
@@ -189,13 +190,23 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     # one shared word, such as the German 'mit', states nothing
     held = held.where((reach >= (THRESHOLD - 1e-5) ** 2) & (F.size(F.array_intersect("w", F.lit(sorted(bound)))) > 1))
     held = stored(spark, held.select("path", F.md5("s").alias("id"), "s"))
-    bag = held.groupBy("id").agg(F.first("s").alias("s")).select("id", F.explode(F.split("s", " ")).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    each = held.groupBy("id").agg(F.first("s").alias("s")).withColumn("w", F.split("s", " "))
+
+    # the templates' words give each dot product, and with them the norm is at least what it is if every other word had the
+    # least idf there is; only what can still reach THRESHOLD is looked up in the counts. All this stays where an id is
+    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
+    known_words = each.select("id", F.size(F.array_distinct("w")).alias("n"), F.explode("w").alias("word")).join(idfs, "word")
+    bag = known_words.groupBy("id", "n", "word").agg((F.count("*") * F.first("idf")).alias("x"))
+    bag = bag.groupBy("id", "n").agg((F.sum(F.col("x") * F.col("x")) + F.first("n") - F.count("*")).alias("least"), F.collect_list(F.struct("word", "x")).alias("xs"))
+    dot = bag.select("id", "least", F.inline("xs")).join(F.broadcast(template), "word").groupBy("id", "least", "template")
+    dot = dot.agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n_names"), F.count("*").alias("k"))
+    dot = dot.where((F.col("k") > 1) & (F.col("dot") / F.sqrt("least") >= THRESHOLD - 1e-5)).join(F.broadcast(names), ["template", "n_names"])
+    dot = stored(spark, dot.select("id", "template", "dot"))
+
+    few = each.join(dot.select("id").distinct(), "id", "left_semi").select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
+    x = F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)
     # written first, so that the join can split a word of many statements
-    bag = stored(spark, bag)
-    weighed = stored(spark, bag.join(df, "word").select("id", "word", (F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("x")))
-    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = weighed.join(F.broadcast(template), "word").groupBy("id", "template").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n_names"), F.count("*").alias("k"))
-    dot = dot.where("k > 1").join(F.broadcast(names), ["template", "n_names"])
+    norm = stored(spark, few).join(df, "word").groupBy("id").agg(F.sqrt(F.sum(x * x)).alias("norm"))
     best = dot.join(norm, "id").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
     rank = F.min(F.struct((-F.col("cosine")).alias("c"), F.substring_index("template", "/", 1).alias("license"))).alias("m")
     best = stored(spark, best.groupBy("id").agg(rank))
