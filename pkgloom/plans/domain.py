@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import similarity as S
-from ..operators import audit, resolve, rules, select
+from ..operators import audit, equivalence, resolve, rules, select
 from ..sources import formats
 
 
@@ -34,12 +34,12 @@ J01 = "SELECT p.p_partkey AS probe_id, p.p_brand AS os_name, min(e.p_partkey) AS
 
 def j05_file_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
-    base = part.where("p_size = 1").select(F.col("p_partkey").alias("probe_id"), F.split("p_name", " ").alias("filelist"))
+    base = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("probe_id"), F.split("p_name", " ").alias("filelist"))
     return resolve.shared_files(base, _entries(part)).select("probe_id", "os_name", "name", F.col("row_ord").alias("first_row"), "n_shared")
 
 
 J05 = """WITH w AS (SELECT p_partkey, p_brand, p_size, p_name, unnest(list_distinct(string_split(p_name, ' '))) AS f FROM part)
-SELECT b.p_partkey AS probe_id, e.p_brand AS os_name, e.p_name AS name, min(e.p_partkey) AS first_row, count(DISTINCT e.f) AS n_shared FROM w b JOIN w e USING (f) WHERE b.p_size = 1 GROUP BY 1, 2, 3"""
+SELECT b.p_partkey AS probe_id, e.p_brand AS os_name, e.p_name AS name, min(e.p_partkey) AS first_row, count(DISTINCT e.f) AS n_shared FROM w b JOIN w e USING (f) WHERE b.p_partkey % 20 = 0 GROUP BY 1, 2, 3"""
 
 
 def j06_containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +90,24 @@ A02 = "SELECT user_id AS baseline_id, event_type AS bin_name, min(event_id) AS c
 
 
 def c02_w01_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mapping on part: for each part the best package of every brand among those that share a word."""
+    """The mapping on part: for each part the best package of every brand, by shared words, descriptions and names."""
     part = read(spark, sf_dir, "part")
-    base = part.select(F.col("p_partkey").alias("probe_id"), F.split("p_name", " ").alias("filelist"), F.col("p_name").alias("t_bin_name"), F.col("p_type").alias("t_description"))
-    found = resolve.shared_files(base.select("probe_id", "filelist"), _entries(part)).drop("os_version", "os_arch")
-    rows = found.join(base, "probe_id").join(_entries(part).select("os_name", "row_ord", F.col("description").alias("c_description"), F.col("filelist").alias("c_filelist")), ["os_name", "row_ord"])
-    rows = rows.withColumns({"t_src_name": F.col("t_bin_name"), "t_filelist": F.col("filelist"), "c_src_name": F.col("name"), "c_bin_name": F.col("name"), "c_source": F.array(F.lit("filelist"))})
-    rows = rows.withColumns({"score": F.round(select.score(0.7), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist")), "cand_ord": F.col("row_ord"), "baseline_id": F.col("probe_id"), "repo_name": F.col("os_name"), "repo_version": F.lit("")})
-    return select.top_k(rows).select("baseline_id", "repo_name", F.col("name").alias("bin_name"), "score")
+    base = part.select(F.col("p_partkey").alias("baseline_id"), F.col("p_name").alias("src_name"), F.col("p_name").alias("bin_name"), F.col("p_type").alias("description"), F.split("p_name", " ").alias("filelist"))
+    return equivalence.detect(base, _entries(part)).select("baseline_id", "repo_name", "bin_name", "score")
+
+
+C02 = """WITH RECURSIVE t AS (SELECT DISTINCT p_name AS tn, p_type AS td FROM part), e AS (SELECT p_brand AS brand, p_name AS cn, min(p_partkey) AS k, arg_min(p_type, p_partkey) AS cd FROM part GROUP BY 1, 2),
+files AS (SELECT t.tn, t.td, e.brand, e.cn, 1 AS prio, e.k, e.cd FROM t JOIN e ON list_has_any(string_split(t.tn, ' '), string_split(e.cn, ' '))),
+about AS (SELECT t.tn, t.td, p.p_brand AS brand, p.p_name AS cn, 2 AS prio, min(p.p_partkey) AS k, t.td AS cd FROM t JOIN part p ON contains(lower(p.p_type), lower(t.td)) GROUP BY 1, 2, 3, 4),
+c AS (SELECT tn, td, brand, cn, arg_min(cd, prio) AS cd, min(prio) AS prio, arg_min(k, prio) AS k FROM (SELECT * FROM files UNION ALL SELECT * FROM about) GROUP BY 1, 2, 3, 4),
+q AS (SELECT DISTINCT tn AS a, cn AS b FROM c UNION SELECT DISTINCT td, cd FROM c),
+l AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda z: 0) AS r FROM q
+  UNION ALL SELECT a, b, i + 1, list_reduce(range(1, length(b) + 1), lambda done, j: list_append(done, CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INT), 1) THEN r[j] + 1 ELSE greatest(r[j + 1], done[-1]) END), [0]) FROM l WHERE i < length(a)),
+s AS (SELECT a, b, 2.0 * r[-1] / (length(a) + length(b)) AS ratio FROM l WHERE i = length(a)),
+x AS (SELECT c.*, len(list_intersect(string_split(tn, ' '), string_split(cn, ' '))) / len(list_distinct(string_split(tn, ' '))) AS cov, n.ratio AS nr, d.ratio AS dr FROM c JOIN s n ON n.a = tn AND n.b = cn JOIN s d ON d.a = td AND d.b = cd),
+y AS (SELECT *, round(0.7 / 3 * (nr + CASE WHEN tn = cn THEN 1 ELSE 0 END + cov) + 0.3 / 3 * (2 + dr), 6) AS score, max(cov) OVER g AS best, count(*) OVER g AS n FROM x WINDOW g AS (PARTITION BY tn, td, brand)),
+z AS (SELECT *, row_number() OVER (PARTITION BY tn, td, brand ORDER BY score DESC, prio, k) AS r FROM y WHERE (n = 1 OR best <= 0.5 OR cov > 0) AND score > 0)
+SELECT p.p_partkey AS baseline_id, z.brand AS repo_name, z.cn AS bin_name, z.score FROM part p JOIN z ON z.tn = p.p_name AND z.td = p.p_type WHERE z.r = 1"""
 
 
 def f06_clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +212,7 @@ F18 = "SELECT * FROM (VALUES ('python3-foo2', 'foo2-dev', 1.0::DOUBLE, 'foo'), (
 #: Query: (function, SQL or None).
 ALL = {
     "j01_first_match_lookup": (j01_first_match_lookup, J01), "j05_file_overlap": (j05_file_overlap, J05), "j06_containment_join": (j06_containment_join, J06), "f16_lcs_ratio": (f16_lcs_ratio, F16),
-    "f20_cosine": (f20_cosine, F20), "m06_jaccard": (m06_jaccard, M06), "a02_merge_dedup": (a02_merge_dedup, A02), "c02_w01_best_match": (c02_w01_best_match, None), "f06_clean_name": (f06_clean_name, F06),
+    "f20_cosine": (f20_cosine, F20), "m06_jaccard": (m06_jaccard, M06), "a02_merge_dedup": (a02_merge_dedup, A02), "c02_w01_best_match": (c02_w01_best_match, C02), "f06_clean_name": (f06_clean_name, F06),
     "p08_three_state": (p08_three_state, P08), "c03_defects": (c03_defects, C03), "s20_href_scan": (s20_href_scan, S20), "s23_json_props": (s23_json_props, S23), "s12_dep_tokens": (s12_dep_tokens, S12),
     "s03_blocks": (s03_blocks, S03), "s05_contents_lines": (s05_contents_lines, S05), "f18_version_sim": (f18_version_sim, F18),
 }

@@ -20,7 +20,7 @@ WORDS = {
 
 #: Query: (SQL, tables that it reads).
 QUERIES = {
-    "j05_token_overlap_join": "SELECT b.item_id, count(*) AS n_docs, sum(k) AS n_shared FROM (SELECT bt.item_id, dt.doc_id, count(*) AS k FROM (SELECT item_id, WORDSOF(text) AS w FROM benchmark) bt JOIN (SELECT doc_id, WORDSOF(text) AS w FROM documents) dt ON bt.w = dt.w AND length(bt.w) > 9 GROUP BY bt.item_id, dt.doc_id) b GROUP BY b.item_id",
+    "j05_token_overlap_join": "SELECT b.item_id, count(*) AS n_docs, sum(k) AS n_shared FROM (SELECT bt.item_id, dt.doc_id, count(*) AS k FROM (SELECT item_id, WORDSOF(text) AS w FROM benchmark) bt JOIN (SELECT doc_id, WORDSOF(text) AS w FROM documents) dt ON bt.w = dt.w GROUP BY bt.item_id, dt.doc_id) b GROUP BY b.item_id",
     "j09_three_way": "SELECT r_name, n_name, count(*) AS n, round(sum(s_acctbal), 2) AS bal FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name",
     "j08_sibling_join": "SELECT a.s_suppkey, count(b.s_suppkey) AS n_siblings, min(b.s_name) AS first_sibling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY a.s_suppkey",
     "j13_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
@@ -65,7 +65,7 @@ QUERIES = {
     "k11_grouped_messages": "SELECT n_name, count(DISTINCT msg) AS n, SETJOIN(msg) AS messages FROM (SELECT n_name, concat('package ', s_name) AS msg FROM supplier JOIN nation ON s_nationkey = n_nationkey) x GROUP BY n_name",
     "l01_topn": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
     "l02_rank_rates": "SELECT event_type, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) x",
-    "l04_slice": "SELECT c_custkey, r FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_name) AS r FROM customer) x WHERE r BETWEEN 11 AND 40",
+    "l04_slice": "SELECT c_custkey, 10 + row_number() OVER (ORDER BY c_name, c_custkey) AS r FROM (SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 30 OFFSET 10) x",
     "l05_sorted_lists": "SELECT s_nationkey, SETJOIN(s_name) AS names FROM supplier GROUP BY s_nationkey",
     "u01_union_dedup": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "u02_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
@@ -109,7 +109,7 @@ QUERIES = {
     "p31_membership": "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)",
     "p07_repo_accessors": "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'unknown') AS status, coalesce(n, 1) AS n_packages FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) l ON l_orderkey = o_orderkey",
     "w10_key_choice": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 9 END, o_orderdate, o_orderkey) AS r FROM orders) x WHERE r = 1",
-    "c09_ground_truth": "SELECT l_partkey AS key, l_orderkey AS change_id, l_suppkey AS package FROM (SELECT l_partkey, l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x WHERE r = 1",
+    "c09_ground_truth": "SELECT l_partkey AS key, l_orderkey AS change_id, l_suppkey AS package FROM (SELECT l_partkey, l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_partkey ORDER BY o_orderdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS r FROM lineitem JOIN orders ON o_orderkey = l_orderkey) x WHERE r = 1",
     "c10_change_database": "SELECT c_custkey, n_orders, first_order FROM customer JOIN (SELECT o_custkey, count(*) AS n_orders, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey HAVING count(*) > 1) o ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING'",
     "q01_flagship_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
 }
