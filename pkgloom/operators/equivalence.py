@@ -69,8 +69,10 @@ def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None
         F.struct("prio", "source_ord", "row_ord").alias("cand_ord"), "description", "filelist", "source", F.lit(1.0).alias("confidence"),
     )
     merged = select.merge(rows)
-    renamed = merged.select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", *(F.col(c).alias(f"c_{c}") for c in ("src_name", "description", "filelist", "source")), F.col("bin_name").alias("c_bin_name"))
-    own = targets.select(F.col("target_id").alias("baseline_id"), *(F.col(c).alias(f"t_{c}") for c in TARGET))
-    scored = renamed.join(own, "baseline_id").withColumns({"score": F.round(select.score(w), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist"))})
+    features = ["core", "plain_src", "roles", "versions"]
+    names = select.name_features(entries.select(F.col("source_name").alias("src_name"), F.col("binary_name").alias("bin_name")).union(targets.select("src_name", "bin_name")))
+    own = targets.join(names, ["src_name", "bin_name"], "left").select(F.col("target_id").alias("baseline_id"), *(F.col(c).alias(f"t_{c}") for c in ("description", "filelist", *features)))
+    theirs = merged.join(names, ["src_name", "bin_name"], "left").select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", *(F.col(c).alias(f"c_{c}") for c in ("description", "filelist", "source", *features)))
+    scored = theirs.join(own, "baseline_id").withColumns({"score": F.round(select.score(w), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist"))})
     best = select.top_k(scored, k).select(F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
     return members.join(best, "target_id").drop("target_id")

@@ -23,14 +23,21 @@ def merge(candidates: DataFrame) -> DataFrame:
     )
 
 
+def name_features(names: DataFrame) -> DataFrame:
+    """names (src_name, bin_name), each once, with what score() compares: core, plain_src, roles, versions."""
+    own = names.select("src_name", "bin_name").distinct()
+    return own.select("src_name", "bin_name", S.core_name(F.col("bin_name")).alias("core"), clean_name(F.col("src_name"), version=True).alias("plain_src"), roles(F.col("bin_name")).alias("roles"), S.versions(F.col("bin_name")).alias("versions"))
+
+
 def score(w: float, text: Column | None = None) -> Column:
-    """w/3 * (name + source + files) + (1 - w)/3 * (roles + versions + description), of columns t_* (target) and c_*."""
+    """w/3 * (name + source + files) + (1 - w)/3 * (roles + versions + description), of columns t_* (target) and c_*: the
+    name_features(), description, filelist, and c_source."""
     t, c = (lambda x: F.col(f"t_{x}")), (lambda x: F.col(f"c_{x}"))
-    name = S.lcs_ratio(S.core_name(t("bin_name")), S.core_name(c("bin_name")))
-    source = F.when(F.array_contains(c("source"), "upstream"), 1.0).when(clean_name(t("src_name"), version=True) == clean_name(c("src_name"), version=True), 1.0).otherwise(0.0)
+    name = F.coalesce(S.lcs_ratio(t("core"), c("core")), F.lit(0.0))
+    source = F.when(F.array_contains(c("source"), "upstream"), 1.0).when(t("plain_src") == c("plain_src"), 1.0).otherwise(0.0)
     files = F.coalesce(S.coverage(t("filelist"), c("filelist")), F.lit(0.0))
-    kind = S.role_similarity(roles(t("bin_name")), roles(c("bin_name")))
-    version = S.version_similarity(S.versions(t("bin_name")), S.versions(c("bin_name")))
+    kind = S.role_similarity(t("roles"), c("roles"))
+    version = S.version_similarity(t("versions"), c("versions"))
     same = F.trim(t("description")) == F.trim(c("description"))
     about = F.coalesce(F.when((F.trim(t("description")) == "") | (F.trim(c("description")) == ""), 0.0).when(same, 1.0).otherwise(text if text is not None else S.lcs_ratio(t("description"), c("description"))), F.lit(0.0))
     return F.lit(w / 3) * (name + source + files) + F.lit((1 - w) / 3) * (kind + version + about)
