@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import platform_name
+from ..functions.names import lookup_key, platform_name
+from .mapping import pip_counterparts
 
 _OUT = ["rosdep_key", "os_name", "os_version", "type", "reason", "package_name", "expected"]
 
 
-def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame) -> DataFrame:
+def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame | None = None, distributions: DataFrame | None = None) -> DataFrame:
     """(rosdep_key, os_name, os_version, type, reason, package_name, expected).
 
+    With wanted (rosdep_key), keys without any rule are A.1, and B.2a as well where a pip counterpart of theirs has rules;
+    keys of which the mapping knows nothing at all are B.1a and nothing else. distributions (rosdep_key) are exempt from
+    both, and B.2b where a platform's first version has a package of their name.
+
     states: as rules.lookup() gives them; found: (rosdep_key, os_name, os_version, bin_name), the packages that the
     mapping proposes; existing: (os_name, os_version, package), what repositories have; targets: (os_name, os_version,
     ver_ord). After the first version of a platform with a pip definition that the system could serve, later versions
     of that platform are not looked at.
     """
     place = ["rosdep_key", "os_name", "os_version"]
+    if wanted is not None:
+        exempt = distributions.select("rosdep_key") if distributions is not None else wanted.select("rosdep_key").limit(0)
+        rest = _of_keys(states, found, existing, targets, wanted.select("rosdep_key").distinct(), exempt.distinct())
+        known = found.select("rosdep_key").unionByName(exempt).distinct()
+        states = states.join(known, "rosdep_key", "left_semi")
+        return audit(states, found, existing, targets).unionByName(rest)
     names = found.groupBy(*place).agg(F.min("bin_name").alias("expected"), F.collect_set(platform_name(F.col("bin_name"), F.col("os_name"))).alias("expected_names"))
     rows = states.join(targets, ["os_name", "os_version"]).join(names, place, "left")
     packages = rows.where("state = 'LISTED'").select(*place, F.explode("packages").alias("package"))
@@ -41,7 +52,26 @@ def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: Dat
         out(rows.where((F.col("state") == "NULL") & has), "A.2", "missing")
         .unionByName(out(rows.where((F.col("state") == "EMPTY") & has), "B.1b", "empty_list"))
         .unionByName(missing)
-        .unionByName(out(rows.where(pip), "B.2a", "pip", F.col("first")))
+        .unionByName(packages.join(rows.where(pip).select(*place, "expected"), place).select(*place, F.lit("B.2a").alias("type"), F.lit("pip").alias("reason"), F.col("package").alias("package_name"), "expected"))
         .unionByName(out(rows.where(differs), "B.1b", "differs", F.col("first")))
         .select(*_OUT)
     )
+
+
+def _of_keys(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame, exempt: DataFrame) -> DataFrame:
+    """What is said of whole keys, not of places."""
+    none = F.lit(None).cast("string")
+    ruled = states.select("rosdep_key").distinct()
+
+    def whole(keys: DataFrame, kind: str, reason: str, name=none) -> DataFrame:
+        return keys.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), none.alias("expected"))
+
+    plain = wanted.join(exempt, "rosdep_key", "left_anti")
+    absent = plain.join(ruled, "rosdep_key", "left_anti")
+    pip = pip_counterparts(absent).join(ruled.withColumnRenamed("rosdep_key", "counterpart"), "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
+    unknown = plain.join(ruled, "rosdep_key", "left_semi").join(found.select("rosdep_key").distinct(), "rosdep_key", "left_anti")
+    first = targets.groupBy("os_name").agg(F.min_by("os_version", "ver_ord").alias("os_version"))
+    there = existing.join(first, ["os_name", "os_version"]).select("os_name", "os_version", "package", lookup_key(F.col("package")).alias("k"))
+    served = exempt.withColumn("k", lookup_key(F.col("rosdep_key"))).join(there, "k").groupBy("rosdep_key", "os_name", "os_version").agg(F.min("package").alias("package_name"))
+    served = served.select("rosdep_key", "os_name", "os_version", F.lit("B.2b").alias("type"), F.lit("in_platform").alias("reason"), "package_name", none.alias("expected"))
+    return whole(absent, "A.1", "absent").unionByName(whole(pip, "B.2a", "pip_counterpart", F.col("counterpart"))).unionByName(whole(unknown, "B.1a", "no_info")).unionByName(served)

@@ -12,22 +12,30 @@ from ..operators import mapping
 from .domain import read
 
 
+# fixed values: paths and the components that they stand for
+COMPONENTS = [
+    ("/usr/share/libvncserver/examples/client/ppmtest", "libvncserver/examples/client/*"), ("/usr/bin/clang-format", "clang-format"), ("/usr/bin/core_perl/perl", "core_perl/perl"), ("/usr/local/bin/cmake", "cmake"),
+    ("/usr/lib64/libcurl.so.4.8.0", "libcurl.so"), ("/usr/lib64/libz.so.1", "libz.so"), ("/usr/include/openssl/ssl.h", "openssl/ssl.h"), ("/usr/include/zlib.h", "zlib.h"), ("/etc/nginx/nginx.conf", None),
+    ("/etc/sshd_config", "sshd_config"), ("/usr/lib/systemd/system/docker.service", "systemd/system/docker.service"), ("/usr/lib64/libavcodec.a", "libavcodec.a"), ("/usr/share/doc/nginx/README", None),
+    ("/usr/lib64/qt6/qml/QtQuick/Dialogs/Dialog.qml", "qt6/qml/qtquick/dialogs/*.qml"), ("/usr/lib64/qt6/qml/QtQuick/Dialogs/libqtquickdialogsplugin.so", "libqtquickdialogsplugin.so"), ("/usr/lib/systemd/system/docker.d", None),
+    ("/etc/X11/app-defaults/XBarrel", "x11/app-defaults/xbarrel"), ("/usr/lib/python3/dist-packages/bson/_cbson.cpython-312-x86_64-linux-gnu.so", "_cbson.so"), ("/usr/lib/python3/dist-packages/bson/code.py", "bson/code.py"),
+    ("/usr/lib/.build-id/3a/a0a0a6f98f668a3c635153764b917f5b4ee7d6", None), ("/lib64/python3.14/site-packages/gi/_gi_cairo.cpython-314-x86_64-linux-gnu.so", "_gi_cairo.so"),
+    ("/usr/include/x86_64-linux-gnu/qt6/QtCore/6.4.2/QtCore/private/qcoffpeparser_p.h", "qt6/qtcore/qtcore/private/*.h"), ("/usr/share/man/man1/ls.1.gz", None), ("/usr/share/locale/zh_CN/LC_MESSAGES/wget.mo", None),
+    ("/usr/share/icons/hicolor/48x48/apps/firefox.png", None), ("/usr/lib/debug/usr/bin/ls.debug", None), ("/usr/lib/python3/dist-packages/pip/__init__.py", None), ("/usr/share/doc/curl/COPYING", None),
+    ("/etc/X11/Xsession.d/99x11-common_start", None), ("/usr/lib64/.build-id/4b/e2d752f573b051340b4ccb70868e8842f6c664", None), ("pymongo-4.16.0.dist-info/licenses/LICENSE", None), ("/usr/share/lintian/overrides/libqt5quick5", None),
+    ("/usr/include/x86_64-linux-gnu/atlas/atlas_csysinfo.h", "atlas/atlas_csysinfo.h"), ("/usr/include/atlas-aarch64-base/zmm.h", "atlas/zmm.h"), ("/usr/include/aarch64/atlas/atlas_csysinfo.h", "atlas/atlas_csysinfo.h"),
+    ("/usr/lib/x86_64-linux-gnu/qt6/qml/QtQml/libqmlplugin.so", "libqmlplugin.so"), ("/usr/lib/qt6/qml/QtQml/libqmlplugin.so", "libqmlplugin.so"), ("orjson/orjson.cpython-310-darwin.so", "orjson.so"),
+    ("/usr/lib/python3.6/site-packages/fabric/__pycache__/__init__.cpython-36.pyc", "fabric/__pycache__/__init__.cpython-36.pyc"), ("/usr/lib/python3.6/site-packages/fabric/__pycache__/__main__.cpython-36.pyc", "fabric/__pycache__/__main__.cpython-36.pyc"),
+    ("/usr/share/icons/Adwaita/16x16/actions/call-stop-symbolic.symbolic.png", "icons/adwaita/16x16/actions/*.png"), ("/usr/share/icons/adwaita/cursors/alias", "icons/adwaita/cursors/*"), ("/usr/lib64/libSDL_ttf-2.0.so.0", "libsdl_ttf.so"),
+    ("/usr/share/java/mockito-core-2.23.0.jar", "mockito-core.jar"), ("/usr/share/java/mockito/mockito-core-2.23.0.jar", "mockito-core.jar"), ("/usr/lib/python3/dist-packages/PyQt6/QtWebEngineCore.abi3.so", "QtWebEngineCore.so"), ("", None),
+]
+
+
 def f01_component_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = (
-        "/usr/share/libvncserver/examples/client/ppmtest", "/usr/lib64/libcurl.so.4.8.0", "/etc/nginx/nginx.conf", "/usr/lib64/qt6/qml/QtQuick/Dialogs/Dialog.qml", "/usr/lib/systemd/system/docker.d",
-        "/usr/lib/python3/dist-packages/bson/_cbson.cpython-312-x86_64-linux-gnu.so", "/usr/include/x86_64-linux-gnu/qt6/QtCore/6.4.2/QtCore/private/qcoffpeparser_p.h", "pymongo-4.16.0.dist-info/licenses/LICENSE",
-        "/usr/include/atlas-aarch64-base/zmm.h", "/usr/lib/python3.6/site-packages/fabric/__pycache__/__init__.cpython-36.pyc", "/usr/share/icons/adwaita/cursors/alias", "/usr/lib64/libSDL_ttf-2.0.so.0",
-        "/usr/share/java/mockito/mockito-core-2.23.0.jar", "/usr/lib/python3/dist-packages/PyQt6/QtWebEngineCore.abi3.so", "/etc/X11/app-defaults/XBarrel", "/usr/bin/core_perl/perl", "/usr/share/man/man1/ls.1.gz", "",
-    )
-    return files.component_id(spark.createDataFrame([(p,) for p in paths], "path string"))
-
-
-F01 = """SELECT * FROM (VALUES ('/usr/share/libvncserver/examples/client/ppmtest', 'libvncserver/examples/client/*'), ('/usr/lib64/libcurl.so.4.8.0', 'libcurl.so'), ('/etc/nginx/nginx.conf', NULL),
-('/usr/lib64/qt6/qml/QtQuick/Dialogs/Dialog.qml', 'qt6/qml/qtquick/dialogs/*.qml'), ('/usr/lib/systemd/system/docker.d', NULL), ('/usr/lib/python3/dist-packages/bson/_cbson.cpython-312-x86_64-linux-gnu.so', '_cbson.so'),
-('/usr/include/x86_64-linux-gnu/qt6/QtCore/6.4.2/QtCore/private/qcoffpeparser_p.h', 'qt6/qtcore/qtcore/private/*.h'), ('pymongo-4.16.0.dist-info/licenses/LICENSE', NULL), ('/usr/include/atlas-aarch64-base/zmm.h', 'atlas/zmm.h'),
-('/usr/lib/python3.6/site-packages/fabric/__pycache__/__init__.cpython-36.pyc', 'fabric/__pycache__/__init__.cpython-36.pyc'), ('/usr/share/icons/adwaita/cursors/alias', 'icons/adwaita/cursors/*'), ('/usr/lib64/libSDL_ttf-2.0.so.0', 'libsdl_ttf.so'),
-('/usr/share/java/mockito/mockito-core-2.23.0.jar', 'mockito-core.jar'), ('/usr/lib/python3/dist-packages/PyQt6/QtWebEngineCore.abi3.so', 'QtWebEngineCore.so'), ('/etc/X11/app-defaults/XBarrel', 'x11/app-defaults/xbarrel'),
-('/usr/bin/core_perl/perl', 'core_perl/perl'), ('/usr/share/man/man1/ls.1.gz', NULL), ('', NULL)) t(path, component)"""
+    return files.component_id(spark.createDataFrame([(p,) for p, _ in COMPONENTS], "path string"))
+
+
+F01 = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {f"'{c}'" if c else 'NULL'})" for p, c in COMPONENTS) + ") t(path, component)"
 
 
 def f02_noise(spark: SparkSession, sf_dir: str) -> DataFrame:

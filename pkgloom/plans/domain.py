@@ -163,6 +163,46 @@ C03 = """SELECT * FROM (VALUES ('boost', 'fedora', '42', 'B.1b', 'empty_list', N
 ) t(rosdep_key, os_name, os_version, type, reason, package_name, expected)"""
 
 
+def c11_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a whole index made of part: rules, mapping and repositories by size, type and number of each part."""
+    part = read(spark, sf_dir, "part").select(F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("rosdep_key"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string")).alias("n"), "p_partkey", F.pmod("p_size", F.lit(5)).alias("m"), "p_type")
+    null = F.lit(None).cast("string")
+    rule = lambda platform, version, manager, package, empty=False: F.struct(F.lit(platform).alias("platform"), F.lit(version).alias("os_version"), F.lit(manager).alias("package_manager"), package.alias("package"), F.lit(empty).alias("is_null"))
+    n, dev = F.col("n"), F.concat("n", F.lit("-dev"))
+    some = (
+        F.when(F.col("m") == 0, F.array(rule("ubuntu", "*", "apt", null, True))).when(F.col("m") == 1, F.array(rule("ubuntu", "*", "pip", n)))
+        .when(F.col("m") == 2, F.array(rule("ubuntu", "*", "apt", n))).when(F.col("m") == 3, F.array(rule("ubuntu", "*", "apt", n), rule("ubuntu", "*", "apt", dev))).otherwise(F.array(rule("fedora", "41", "dnf", n)))
+    )
+    held = part.where("p_partkey % 7 <> 0")
+    index = held.select("rosdep_key", F.inline(some))
+    targets = spark.createDataFrame([("ubuntu", "jammy", 0), ("ubuntu", "noble", 1), ("fedora", "41", 0)], "os_name string, os_version string, ver_ord int")
+    expected = F.when(F.col("p_type").isin("LARGE", "SMALL"), n).otherwise(F.concat(F.lit("python3-"), n))
+    found = part.where("p_type <> 'PROMO'").select("rosdep_key", F.explode(F.array(*(F.struct(F.lit(o).alias("os_name"), F.lit(v).alias("os_version")) for o, v in (("ubuntu", "jammy"), ("ubuntu", "noble"), ("fedora", "41"))))).alias("t"), expected.alias("bin_name")).select("rosdep_key", "t.*", "bin_name")
+    has = lambda condition, o, v, name: part.where(condition).select(F.lit(o).alias("os_name"), F.lit(v).alias("os_version"), name.alias("package"))
+    there = has("p_partkey % 2 = 0", "ubuntu", "jammy", n).union(has("p_partkey % 3 = 0", "ubuntu", "noble", n)).union(has("p_partkey % 2 = 1", "fedora", "41", n)).union(has("p_partkey % 4 = 0", "ubuntu", "jammy", dev)).union(has("p_partkey % 4 = 0", "ubuntu", "noble", dev))
+    there = there.union(has("p_partkey % 11 = 0", "ubuntu", "jammy", F.col("rosdep_key")))
+    states = rules.lookup(index, targets.select("os_name", "os_version"))
+    return audit.audit(states, found, there, targets, part.select("rosdep_key"), part.where("p_partkey % 5 = 0").select("rosdep_key"))
+
+
+C11 = """WITH p AS (SELECT 'k' || p_partkey AS key, p_partkey AS i, replace(p_name, ' ', '-') || '-' || p_partkey AS n, p_size % 5 AS m, p_type AS t, p_partkey % 7 <> 0 AS ruled, p_partkey % 5 = 0 AS dist FROM part),
+g(o, v, ord) AS (VALUES ('ubuntu', 'jammy', 0), ('ubuntu', 'noble', 1), ('fedora', '41', 0)),
+e AS (SELECT p.*, g.*, t <> 'PROMO' AS has, CASE WHEN t IN ('LARGE', 'SMALL') THEN n ELSE 'python3-' || n END AS x,
+  CASE WHEN (o = 'ubuntu') = (m < 4) THEN CASE WHEN m = 0 THEN 'EMPTY' ELSE 'LISTED' END ELSE 'NULL' END AS state,
+  CASE v WHEN 'jammy' THEN i % 2 = 0 WHEN 'noble' THEN i % 3 = 0 ELSE i % 2 = 1 END AS n_there, o = 'ubuntu' AND i % 4 = 0 AS dev_there FROM p, g WHERE ruled AND (t <> 'PROMO' OR dist)),
+f AS (SELECT *, n_there AND (m <> 3 OR dev_there) AS all_there, min(CASE WHEN state = 'LISTED' AND m = 1 AND n_there AND has THEN ord END) OVER (PARTITION BY key, o) AS stop FROM e),
+r AS (SELECT * FROM f WHERE stop IS NULL OR ord <= stop)
+SELECT key AS rosdep_key, o AS os_name, v AS os_version, 'A.2' AS type, 'missing' AS reason, NULL AS package_name, x AS expected FROM r WHERE state = 'NULL' AND has
+UNION ALL SELECT key, o, v, 'B.1b', 'empty_list', NULL, x FROM r WHERE state = 'EMPTY' AND has
+UNION ALL SELECT key, o, v, 'B.1a', 'not_found', n, CASE WHEN has THEN x END FROM r WHERE state = 'LISTED' AND NOT n_there
+UNION ALL SELECT key, o, v, 'B.1a', 'not_found', n || '-dev', CASE WHEN has THEN x END FROM r WHERE state = 'LISTED' AND m = 3 AND NOT dev_there
+UNION ALL SELECT key, o, v, 'B.2a', 'pip', n, x FROM r WHERE state = 'LISTED' AND m = 1 AND n_there AND has
+UNION ALL SELECT key, o, v, 'B.1b', 'differs', n, x FROM r WHERE state = 'LISTED' AND m <> 1 AND all_there AND has AND (m = 3 OR x <> n)
+UNION ALL SELECT key, NULL, NULL, 'A.1', 'absent', NULL, NULL FROM p WHERE NOT ruled AND NOT dist
+UNION ALL SELECT key, NULL, NULL, 'B.1a', 'no_info', NULL, NULL FROM p WHERE ruled AND NOT dist AND t = 'PROMO'
+UNION ALL SELECT key, 'ubuntu', 'jammy', 'B.2b', 'in_platform', key, NULL FROM p WHERE dist AND i % 11 = 0"""
+
+
 def s20_href_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "pages")
     return p.select("page_id", F.explode(formats.links(F.col("html"))).alias("href")).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("n_distinct"))
@@ -213,6 +253,6 @@ F18 = "SELECT * FROM (VALUES ('python3-foo2', 'foo2-dev', 1.0::DOUBLE, 'foo'), (
 ALL = {
     "j01_first_match_lookup": (j01_first_match_lookup, J01), "j05_file_overlap": (j05_file_overlap, J05), "j06_containment_join": (j06_containment_join, J06), "f16_lcs_ratio": (f16_lcs_ratio, F16),
     "f20_cosine": (f20_cosine, F20), "m06_jaccard": (m06_jaccard, M06), "a02_merge_dedup": (a02_merge_dedup, A02), "c02_w01_best_match": (c02_w01_best_match, C02), "f06_clean_name": (f06_clean_name, F06),
-    "p08_three_state": (p08_three_state, P08), "c03_defects": (c03_defects, C03), "s20_href_scan": (s20_href_scan, S20), "s23_json_props": (s23_json_props, S23), "s12_dep_tokens": (s12_dep_tokens, S12),
+    "p08_three_state": (p08_three_state, P08), "c03_defects": (c03_defects, C03), "c11_index_scan": (c11_index_scan, C11), "s20_href_scan": (s20_href_scan, S20), "s23_json_props": (s23_json_props, S23), "s12_dep_tokens": (s12_dep_tokens, S12),
     "s03_blocks": (s03_blocks, S03), "s05_contents_lines": (s05_contents_lines, S05), "f18_version_sim": (f18_version_sim, F18),
 }
