@@ -63,11 +63,6 @@ def special_name(name: Column) -> Column:
     return F.substring_index(F.replace(s, F.lit("*"), F.lit("")), ":", 1)
 
 
-def affix_name(name: Column) -> Column:
-    """As special_name, but wildcards and :versions stay."""
-    return F.substring_index(F.substring_index(F.regexp_replace(F.lower(name), r"^'(.*)'$", "$1"), "@", 1), "/", -1)
-
-
 def clean_name(name: Column, version: bool = False, symbols: bool = False, subversion: bool = False, special: bool = True) -> Column:
     """The base name: known suffixes and prefixes stripped until none is left; version and others remove those as well."""
     s = plain_name(special_name(name) if special else name)

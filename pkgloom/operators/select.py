@@ -55,7 +55,9 @@ def top_k(scored: DataFrame, k: int = 1) -> DataFrame:
     return fit.withColumn("rank", rank).where(F.col("rank") <= k).drop("_best", "_n")
 
 
-def first_package(table: DataFrame, repo: str, version: str) -> DataFrame:
-    """The first package of a place by name, else that of ros with the same version."""
-    rows = table.where((F.col("repo_version") == version) & F.col("repo_name").isin(repo, "ros"))
-    return rows.orderBy((F.col("repo_name") != repo).cast("int"), "bin_name", "src_name").limit(1)
+def first_packages(table: DataFrame, places: DataFrame) -> DataFrame:
+    """places (repo_name, repo_version) with the first package of each by name, else that of ros with the same version."""
+    rows = table.select(F.col("repo_name").alias("r"), "repo_version", "bin_name")
+    own = F.col("r") == F.col("repo_name")
+    met = places.select("repo_name", "repo_version").distinct().join(rows, "repo_version").where(own | (F.col("r") == "ros"))
+    return met.groupBy("repo_name", "repo_version").agg(F.min_by("bin_name", F.struct((~own).alias("other"), "bin_name")).alias("bin_name"))

@@ -110,6 +110,30 @@ z AS (SELECT *, row_number() OVER (PARTITION BY tn, td, brand ORDER BY score DES
 SELECT p.p_partkey AS baseline_id, z.brand AS repo_name, z.cn AS bin_name, z.score FROM part p JOIN z ON z.tn = p.p_name AND z.td = p.p_type WHERE z.r = 1"""
 
 
+def j08_upstream_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages of upstream projects, named by a word and a size: the siblings of every twentieth."""
+    part = read(spark, sf_dir, "part")
+    none = F.lit(None).cast("string")
+    projects = part.select(F.concat(F.substring_index("p_name", " ", 1), F.col("p_size").cast("string")).alias("project"), F.col("p_brand").alias("repo"), F.col("p_name").alias("binname"), none.alias("srcname"), none.alias("binnames"))
+    probes = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("probe_id"), F.col("p_brand").alias("repo"), F.col("p_name").alias("binname"))
+    return resolve.siblings(probes, projects).select("probe_id", "project", "repo", "binname")
+
+
+J08 = """WITH f AS (SELECT DISTINCT split_part(p_name, ' ', 1) || p_size AS project, p_brand AS repo, p_name AS binname FROM part)
+SELECT DISTINCT p.p_partkey AS probe_id, b.project, b.repo, b.binname FROM part p JOIN f a ON a.repo = p.p_brand AND a.binname = p.p_name JOIN f b ON b.project = a.project WHERE p.p_partkey % 20 = 0"""
+
+
+def w02_first_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part")
+    table = part.select(F.when(F.col("p_size") % 7 == 0, "ros").otherwise(F.col("p_brand")).alias("repo_name"), F.col("p_type").alias("repo_version"), F.col("p_name").alias("bin_name"))
+    return select.first_packages(table, part.select(F.col("p_brand").alias("repo_name"), F.col("p_type").alias("repo_version")))
+
+
+W02 = """WITH t AS (SELECT CASE WHEN p_size % 7 = 0 THEN 'ros' ELSE p_brand END AS r, p_type AS v, p_name AS n FROM part), p AS (SELECT DISTINCT p_brand AS r, p_type AS v FROM part),
+f AS (SELECT r, v, min(n) AS n FROM t GROUP BY 1, 2)
+SELECT p.r AS repo_name, p.v AS repo_version, coalesce(a.n, b.n) AS bin_name FROM p LEFT JOIN f a ON a.r = p.r AND a.v = p.v LEFT JOIN f b ON b.r = 'ros' AND b.v = p.v WHERE coalesce(a.n, b.n) IS NOT NULL"""
+
+
 def f06_clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [("python39-sphinx",), ("libfoo-dev",), ("dev-python/requests",), ("python3-numpy",), ("golang-x-text-dev",), ("libreoffice-core",), ("pkg@layer",), ("rubygem-rake-doc",)]
     t = spark.createDataFrame(pairs, "name string")
@@ -253,6 +277,6 @@ F18 = "SELECT * FROM (VALUES ('python3-foo2', 'foo2-dev', 1.0::DOUBLE, 'foo'), (
 ALL = {
     "j01_first_match_lookup": (j01_first_match_lookup, J01), "j05_file_overlap": (j05_file_overlap, J05), "j06_containment_join": (j06_containment_join, J06), "f16_lcs_ratio": (f16_lcs_ratio, F16),
     "f20_cosine": (f20_cosine, F20), "m06_jaccard": (m06_jaccard, M06), "a02_merge_dedup": (a02_merge_dedup, A02), "c02_w01_best_match": (c02_w01_best_match, C02), "f06_clean_name": (f06_clean_name, F06),
-    "p08_three_state": (p08_three_state, P08), "c03_defects": (c03_defects, C03), "c11_index_scan": (c11_index_scan, C11), "s20_href_scan": (s20_href_scan, S20), "s23_json_props": (s23_json_props, S23), "s12_dep_tokens": (s12_dep_tokens, S12),
+    "p08_three_state": (p08_three_state, P08), "c03_defects": (c03_defects, C03), "c11_index_scan": (c11_index_scan, C11), "j08_upstream_siblings": (j08_upstream_siblings, J08), "w02_first_package": (w02_first_package, W02), "s20_href_scan": (s20_href_scan, S20), "s23_json_props": (s23_json_props, S23), "s12_dep_tokens": (s12_dep_tokens, S12),
     "s03_blocks": (s03_blocks, S03), "s05_contents_lines": (s05_contents_lines, S05), "f18_version_sim": (f18_version_sim, F18),
 }
