@@ -177,3 +177,64 @@ def base_name(name: Column) -> Column:
         .when(s.rlike(extension), F.regexp_replace(s, extension, "$1.so"))
         .when(s.rlike(jar), F.regexp_replace(s, jar, "$1.jar")).otherwise(s)
     )
+
+
+# fixed values: marks of a package's evolution, in the order in which they are taken out
+EVOLUTION = ("t64", "0git", "1git", "2git", "rc", "alpha", "beta")
+
+
+def without_affixes(name: Column) -> Column:
+    """The base name with its versions and symbols; layers and categories are taken as part of it."""
+    return clean_name(name, special=False)
+
+
+def without_evolution(name: Column) -> Column:
+    """The base name without versions and marks of its evolution."""
+    s = F.lower(name)
+    for mark in (*EVOLUTION, "-*"):
+        s = F.replace(s, F.lit(mark), F.lit(""))
+    return F.replace(clean_name(s, version=True, special=False), F.lit("-*"), F.lit(""))
+
+
+def upstream_platform(platform: Column, number: Column, code_name: Column) -> Column:
+    """A platform as an upstream catalogue names it; number is the version that stands for the code name."""
+    v = F.translate(F.coalesce(number, code_name, F.lit("")), ".", "_")
+    stem = F.when(platform == "nixos", F.when(code_name == "unstable", "nix_unstable").otherwise("nix_stable")).otherwise(platform)
+    bare = platform.isin("pypi", "arch", "gentoo") | (stem == "nix_unstable") | (v == "")
+    return F.when(bare, stem).otherwise(F.concat_ws("_", stem, v))
+
+
+def key_parts(repo_key: Column) -> Column:
+    """os and version of a repository's key: its first two parts in lower case."""
+    parts = F.split(F.lower(repo_key), "_")
+    return F.struct(parts[0].alias("os"), F.get(parts, F.lit(1)).alias("version"))
+
+
+def pip_name(name: Column) -> Column:
+    """What a system's package is likely to be called among Python packages."""
+    return F.translate(F.regexp_replace(F.regexp_replace(name, "^python3?-", ""), "-dev$", ""), "-", "_")
+
+
+def short_list(names: Column) -> Column:
+    """Sorted names for a table's cell: all of up to three, else the first two and their number."""
+    s, n = F.array_sort(names), F.size(names)
+    some = F.concat(F.lit("`"), F.array_join(F.slice(s, 1, 2), ", "), F.lit(", ...` ("), n.cast("string"), F.lit(")"))
+    return F.when(names.isNull() | (n == 0), "None").when(n <= 3, F.concat(F.lit("`"), F.array_join(s, ", "), F.lit("`"))).otherwise(some)
+
+
+def match_status(result: Column, found: Column, total: Column) -> Column:
+    """The result of a comparison, found of total names, as reports write it."""
+    # fixed values: the wording of reports
+    word = F.when(result == "exact_match", "✅ Exact match").when(result == "partial_match", "⚠️ Partial match").otherwise("❌ No match")
+    return F.concat(word, F.lit(" ("), found.cast("string"), F.lit("/"), total.cast("string"), F.lit(")"))
+
+
+def tool_key(display: Column) -> Column:
+    """The key of a tool that a report displays; null for others."""
+    # fixed values: the tools' names and keys
+    known = {"PackageDistributionDetector": "detector_w07", "RepologyMapper": "mapper", "RosdepCIMapper": "rosdep_ci"}
+    preset = F.trim(F.regexp_extract(display, r"\(([^)]+)\)", 1))
+    out = F.when(display.contains("LLMDetector") & (preset != ""), F.concat(F.lit("llm_"), F.translate(preset, "-", "_")))
+    for word, key in reversed(known.items()):
+        out = F.when(display.contains(word), key).otherwise(out)
+    return out

@@ -57,3 +57,42 @@ def configured(rules: DataFrame, targets: DataFrame) -> DataFrame:
     """The targets for which a key lists packages, with all of these and the first manager by name."""
     found = lookup(rules, targets.select("os_name", "os_version")).where("state = 'LISTED'")
     return found.select("rosdep_key", "os_name", "os_version", "package_manager", "packages")
+
+
+def available_managers(rules: DataFrame) -> DataFrame:
+    """(rosdep_key, platform, managers): the known managers of version '*', else of the first version (by name) that lists
+    any; empty where none does."""
+    listed = managers(rules).withColumn("known", F.filter("managers", lambda m: is_manager(m)))
+    order = F.when(F.size("managers") > 0, F.struct(F.col("os_version") != "*", "os_version"))
+    return listed.groupBy("rosdep_key", "platform").agg(F.coalesce(F.min_by("known", order), F.array().cast("array<string>")).alias("managers"))
+
+
+def matched(rules: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of each wanted (rosdep_key, os_name, os_version) the platform and version under which its rule stands, or nulls."""
+    places = rules.select("rosdep_key", "platform", "os_version").distinct()
+    own = places.select("rosdep_key", F.col("platform").alias("os_name"), F.lit(True).alias("own")).distinct()
+    want = wanted.join(own, ["rosdep_key", "os_name"], "left").withColumn("platform", F.when(F.col("own"), F.col("os_name")).otherwise("*")).drop("own")
+    exact = places.withColumn("exact", F.col("os_version"))
+    star = places.where("os_version = '*'").select("rosdep_key", "platform", F.lit("*").alias("star"))
+    hit = want.join(exact, ["rosdep_key", "platform", "os_version"], "left").join(star, ["rosdep_key", "platform"], "left")
+    version = F.coalesce("exact", "star")
+    return hit.select("rosdep_key", "os_name", "os_version", F.when(version.isNotNull(), F.col("platform")).alias("entry_platform"), version.alias("entry_version"))
+
+
+def verify(rules: DataFrame, targets: DataFrame, entries: DataFrame, found: bool = False) -> DataFrame:
+    """(os_name, os_version, os_arch, rosdep_key, package) of the rules' packages that a target (os_name, os_version,
+    os_arch) lacks among entries of these and name; with found, of all, and whether each is there.
+
+    Version '*' stands for the target's versions that the key's platform doesn't list itself. Packages of another manager
+    than the platform's own, platform '*' and versions without a target are not looked up.
+    """
+    listed = rules.select("rosdep_key", F.col("platform").alias("os_name"), "os_version").distinct()
+    named = rules.where("NOT is_null").where(F.col("package_manager") == default_manager(F.col("platform"))).select("rosdep_key", F.col("platform").alias("os_name"), "os_version", "package")
+    exact = named.join(targets, ["os_name", "os_version"])
+    star = named.where("os_version = '*'").drop("os_version").join(targets, "os_name").join(listed, ["rosdep_key", "os_name", "os_version"], "left_anti")
+    wanted = exact.unionByName(star).select("os_name", "os_version", "os_arch", "rosdep_key", "package").distinct()
+    on = ["os_name", "os_version", "os_arch", "package"]
+    there = entries.select("os_name", "os_version", "os_arch", F.col("name").alias("package")).distinct()
+    if not found:
+        return wanted.join(there, on, "left_anti")
+    return wanted.join(there.withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))

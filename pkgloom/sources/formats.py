@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,50 @@ def evr(epoch: Column, version: Column, release: Column) -> Column:
     return F.concat(F.when(F.coalesce(epoch, F.lit("0")) != "0", F.concat(epoch, F.lit(":"))).otherwise(""), version, F.when(F.coalesce(release, F.lit("")) != "", F.concat(F.lit("-"), release)).otherwise(""))
 
 
+#: Elements of a primary.xml and a filelists.xml, as far as they are read.
+PRIMARY = """_type string, name string, version struct<_epoch: string, _ver: string, _rel: string>, summary string, format struct<
+`rpm:sourcerpm`: string, `rpm:provides`: struct<`rpm:entry`: array<struct<_name: string, _flags: string, _epoch: string, _ver: string, _rel: string>>>>"""
+FILELISTS = "_name string, file array<struct<_type: string, _VALUE: string>>"
+REPOMD = "data array<struct<_type: string, location: struct<_href: string>>>"
+
+
+def expand_tokens(url: Column, os_name: Column, code_name: Column, arch: Column) -> Column:
+    """The URL of a repository with its three placeholders filled in."""
+    for token, by in (("$basearch", arch), ("$distname", os_name), ("$releasever", code_name)):
+        url = F.replace(url, F.lit(token), by)
+    return url
+
+
+def repomd_href(xml: Column, kind: str) -> Column:
+    """Where a repomd.xml says that its first metadata file of a kind (primary, filelists) is; null where it names none."""
+    data = F.from_xml(xml, REPOMD)["data"]
+    return F.get(F.filter(data, lambda d: (d["_type"] == kind) & d["location"]["_href"].isNotNull()), F.lit(0))["location"]["_href"]
+
+
 def rpm_packages(spark: SparkSession, path: str) -> DataFrame:
-    """Packages of a primary.xml, one row for each and one for everything that it provides."""
-    p = spark.read.option("rowTag", "package").xml(path).where("_type = 'rpm'")
-    v = evr(F.col("version._epoch").cast("string"), F.col("version._ver").cast("string"), F.col("version._rel").cast("string"))
+    return rpm_rows(spark.read.option("rowTag", "package").schema(PRIMARY).xml(path))
+
+
+def rpm_rows(packages: DataFrame) -> DataFrame:
+    """Package elements (PRIMARY) as rows: one for each binary package and one for everything that it provides, whose
+    version is known only where it is stated to be equal. Other types of elements are left out."""
+    p = packages.where("_type = 'rpm'")
+    v = evr(F.col("version._epoch"), F.col("version._ver"), F.col("version._rel"))
     source = F.regexp_replace("format.`rpm:sourcerpm`", r"-[^-]*-[^-]*$", "")
     base = p.select("name", v.alias("version"), source.alias("source_name"), F.col("name").alias("binary_name"), F.col("summary").alias("description"), F.col("format.`rpm:provides`.`rpm:entry`").alias("provides"))
-    more = base.select("name", F.lit(None).cast("string").alias("version"), "source_name", F.explode("provides").alias("p"), "description")
-    return base.drop("provides").unionByName(more.select("name", "version", "source_name", F.col("p._name").alias("binary_name"), "description"))
+    more = base.select("name", F.explode("provides").alias("p"), "source_name", "description")
+    stated = F.when(F.col("p._flags") == "EQ", evr(F.col("p._epoch"), F.col("p._ver"), F.col("p._rel")))
+    return base.drop("provides").unionByName(more.select("name", stated.alias("version"), "source_name", F.col("p._name").alias("binary_name"), "description"))
+
+
+def rpm_files(spark: SparkSession, path: str) -> DataFrame:
+    return file_rows(spark.read.option("rowTag", "package").schema(FILELISTS).xml(path))
+
+
+def file_rows(packages: DataFrame) -> DataFrame:
+    """Package elements (FILELISTS) as (package, path), each once; folders are left out."""
+    f = packages.select(F.col("_name").alias("package"), F.explode("file").alias("f")).where("lower(coalesce(f._type, '')) <> 'dir'")
+    return f.select("package", F.trim("f._VALUE").alias("path")).where("package <> '' AND path <> '' AND NOT endswith(path, '/')").distinct()
 
 
 def attributes(spark: SparkSession, path: str) -> DataFrame:
@@ -93,6 +129,46 @@ def pacman_packages(sections: DataFrame) -> DataFrame:
     return base.drop("p").unionByName(more)
 
 
+def pacman_files(described: DataFrame, listed: DataFrame) -> DataFrame:
+    """(package, path) of the two files of each package folder (pkgdir, fields), each once; folders are left out."""
+    names = described.select("pkgdir", F.get(F.col("fields")["NAME"], F.lit(0)).alias("package")).where("package IS NOT NULL")
+    paths = listed.select("pkgdir", F.explode(F.col("fields")["FILES"]).alias("path")).where("path <> '' AND NOT endswith(path, '/')")
+    return names.join(paths, "pkgdir").select("package", "path").distinct()
+
+
+def recipe_packages(layers: DataFrame, layer_branches: DataFrame, recipes: DataFrame) -> DataFrame:
+    """Recipes of a layer index as packages `recipe@layer`, one row for each and one for everything that it provides.
+
+    layers (id, name), layer_branches (id, layer) of one branch, recipes (id, layerbranch, pn, pv, summary, provides).
+    """
+    of_branch = layer_branches.join(layers.withColumnRenamed("id", "layer"), "layer").select(F.col("id").alias("layerbranch"), F.col("name").alias("layer_name"))
+    r = recipes.where("id IS NOT NULL AND pn <> ''").join(of_branch, "layerbranch").withColumn("own", F.concat_ws("@", "pn", "layer_name"))
+    base = r.select(F.col("own").alias("name"), F.col("pv").alias("version"), F.col("own").alias("source_name"), F.col("own").alias("binary_name"), F.col("summary").alias("description"))
+    given = r.withColumn("p", F.explode(F.split("provides", r"\s+"))).where("p <> ''").withColumn("given", F.concat_ws("@", "p", "layer_name"))
+    return base.unionByName(given.select(F.col("given").alias("name"), F.col("pv").alias("version"), F.col("own").alias("source_name"), F.col("given").alias("binary_name"), F.col("summary").alias("description")))
+
+
+#: How CSV files are written: quotes within quoted fields are doubled, and fields may hold line breaks.
+CSV = {"quote": '"', "escape": '"'}
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.options(header=True, multiLine=True, **CSV).schema(schema).csv(path)
+
+
+def listed_entries(text: Column) -> Column:
+    """How many entries the lists at the top level of a JSON object have; 0 for texts that aren't one."""
+    fields = F.try_variant_get(F.try_parse_json(text), "$", "map<string, variant>")
+    lists = F.transform(F.map_values(fields), lambda v: F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0)))
+    return F.coalesce(F.aggregate(lists, F.lit(0), lambda n, k: n + F.greatest(k, F.lit(0))), F.lit(0))
+
+
+def table_cells(line: Column) -> Column:
+    """The cells of a line of a Markdown table, trimmed and without empty ones; null for rules and other lines."""
+    cells = F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    return F.when(F.trim(line).startswith("|") & ~F.trim(line).rlike(r"^[|\s:-]+$"), cells)
+
+
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """(diff_id, path, side, lines) of unified diffs (diff_id, value): sorted numbers of added lines in the new file and of
     removed lines in the old one; files that the diff deletes are left out. Hunks are numbered apart, so a long diff is
@@ -110,3 +186,12 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
 
     rows = hunks.select("diff_id", "path", F.explode(F.array(F.struct(F.lit("added").alias("side"), numbered("new", "+").alias("n")), F.struct(F.lit("removed").alias("side"), numbered("old", "-").alias("n")))).alias("x"))
     return rows.select("diff_id", "path", "x.side", F.explode("x.n").alias("n")).groupBy("diff_id", "path", "side").agg(F.array_sort(F.collect_set("n")).alias("lines"))
+
+
+def at_lines(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, line, path) of lines (doc_id, line): the last of the document's nodes (doc_id, line, ord, path) that stands
+    there or before. In a document nodes stand in the order of their lines, so a path carries its ancestors. Lines
+    before the first node are left out."""
+    every = nodes.select("doc_id", "line", "ord", "path", F.lit(0).alias("asked")).unionByName(lines.distinct().select("doc_id", "line", F.lit(None).cast("int").alias("ord"), F.lit(None).cast("string").alias("path"), F.lit(1).alias("asked")))
+    upto = Window.partitionBy("doc_id").orderBy("line", "asked", "ord")
+    return every.withColumn("path", F.last("path", ignorenulls=True).over(upto)).where("asked = 1 AND path IS NOT NULL").select("doc_id", "line", "path")
