@@ -183,6 +183,11 @@ def base_name(name: Column) -> Column:
 EVOLUTION = ("t64", "0git", "1git", "2git", "rc", "alpha", "beta")
 
 
+def bare_name(name: Column) -> Column:
+    """Lower case, without quotes, layer (@) and category (/)."""
+    return F.substring_index(F.substring_index(F.regexp_replace(F.lower(name), r"^'(.*)'$", "$1"), "@", 1), "/", -1)
+
+
 def without_affixes(name: Column) -> Column:
     """The base name with its versions and symbols; layers and categories are taken as part of it."""
     return clean_name(name, special=False)

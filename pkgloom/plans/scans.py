@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..operators import rules
+from ..operators import naming, rules
 from ..sources import formats, sinks
 from .domain import read
 
@@ -232,8 +232,55 @@ K06 = """SELECT 0 AS part, '' AS sort_key, '| Brand | Parts | Large | Share |' A
 UNION ALL SELECT 2, p_brand, concat('| ', p_brand, ' | ', count(*), ' | ', sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END), ' | ', 100 * sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) // count(*), '% |') FROM part GROUP BY p_brand"""
 
 
+def s02_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.element_at(F.array(*map(F.lit, (".gz", ".xz?a=.gz", ".zst#x", ".zck", ".br", ""))), (F.col("page_id") % 6 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", formats.codec(F.concat(F.lit("https://x.org/"), F.col("page_id").cast("string"), end), F.when(F.col("page_id") % 12 == 5, "gzip")).alias("codec"))
+
+
+S02 = "SELECT page_id, CASE WHEN page_id % 12 = 5 THEN 'gzip' ELSE ['gzip', 'lzma', 'zstd', 'zstd', 'brotli', 'plain'][page_id % 6 + 1] END AS codec FROM pages"
+
+
+def s04_debian_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a package index with the files that its contents index lists."""
+    source = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Source: src-"), "n", F.lit("\n"))).otherwise("")
+    part = _dashed(spark, sf_dir).withColumn("n", F.concat_ws("-", "n", "p_partkey"))
+    text = part.select(F.concat(F.lit("Package: "), "n", F.lit("\nVersion: 2:"), F.col("p_size").cast("string"), F.lit("-1\n"), source, F.lit("Description: "), "p_type", F.lit("\n more of it")).alias("value"))
+    lines = part.where("p_size % 3 > 0").select(F.concat(F.lit("usr/bin/x"), F.col("p_size").cast("string"), F.lit("   libs/"), "n", F.lit(",utils/"), "n").alias("value"))
+    files = formats.contents(lines).groupBy(F.col("package").alias("name")).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("files"))
+    return formats.debian_packages(formats.block_fields(text)).join(files, "name", "left")
+
+
+S04 = """SELECT n AS name, concat('2:', p_size, '-1') AS version, CASE WHEN p_size % 2 = 0 THEN concat('src-', n) ELSE n END AS source_name, n AS binary_name, concat(p_type, ' more of it') AS description,
+CASE WHEN p_size % 3 > 0 THEN concat('/usr/bin/x', p_size) END AS files FROM (SELECT *, concat(replace(p_name, ' ', '-'), '-', p_partkey) AS n FROM part) x"""
+
+
+def s23_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents of one attribute each, under packages or at the top."""
+    one = F.format_string('{"pkgs.%s-%d":{"pname":"%s","version":"%d","meta":{"description":"%s","free":true}}}', "n", "p_partkey", "n", "p_size", "p_type")
+    return formats.attribute_rows(_dashed(spark, sf_dir).select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"version":2,"packages":'), one, F.lit("}"))).otherwise(one).alias("value")))
+
+
+S23 = "SELECT concat('pkgs.', n, '-', p_partkey) AS name, CAST(p_size AS VARCHAR) AS version, n AS source_name, concat('pkgs.', n, '-', p_partkey) AS binary_name, p_type AS description FROM (SELECT *, replace(p_name, ' ', '-') AS n FROM part) x"
+
+
+def a13_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parts in a row as an entry's packages on three platforms, spelt bare, with affixes and with a version."""
+    base = F.when(F.col("p_size") % 3 > 0, "tin").otherwise(F.lower(F.element_at(F.split("p_type", " "), -1)))
+    k = F.col("p_partkey") % 3
+    spelt = F.when(k == 0, base).when(k == 1, F.concat(F.lit("lib"), base, F.when(F.col("p_size") % 2 == 0, "-dev").otherwise(""))).otherwise(F.concat(base, F.when(F.col("p_size") % 2 == 0, "-1.2").otherwise("@layer")))
+    packages = read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 3).alias("entry"), k.cast("string").alias("repo_key"), k.cast("string").alias("platform"), spelt.alias("bin_name"))
+    return naming.inconsistencies(packages).select("entry", F.array_join("causes", ",").alias("causes"))
+
+
+A13 = """WITH p AS (SELECT p_partkey // 3 AS entry, p_partkey % 3 AS k, p_size % 2 = 0 AS even, CASE WHEN p_size % 3 > 0 THEN 'tin' ELSE lower(string_split(p_type, ' ')[-1]) END AS b FROM part),
+l AS (SELECT entry, CASE k WHEN 0 THEN b WHEN 1 THEN 'lib' || b || CASE WHEN even THEN '-dev' ELSE '' END ELSE b || CASE WHEN even THEN '-1.2' ELSE '' END END AS l1, CASE WHEN k = 2 AND even THEN b || '-1.2' ELSE b END AS l2, b FROM p),
+g AS (SELECT entry, count(*) AS n, count(DISTINCT l1) AS l1, count(DISTINCT l2) AS l2, count(DISTINCT b) AS l3 FROM l GROUP BY entry HAVING count(*) > 1 AND count(DISTINCT l1) > 1)
+SELECT entry, CASE WHEN l2 >= l1 AND l3 >= l2 AND l3 = 1 THEN 'unknown' ELSE concat_ws(',', CASE WHEN l2 < l1 THEN 'affixation' END, CASE WHEN l3 < l2 THEN 'evolution' END, CASE WHEN l3 > 1 THEN 'policy' END) END AS causes FROM g"""
+
+
 #: Query: (function, SQL).
 ALL = {
+    "s02_codec": (s02_codec, S02), "s04_debian_packages": (s04_debian_packages, S04), "s23_attributes": (s23_attributes, S23), "a13_naming": (a13_naming, A13),
     "s06_expand_tokens": (s06_expand_tokens, S06), "s07_repomd": (s07_repomd, S07), "s08_rpm_primary": (s08_rpm_primary, S08), "s09_rpm_filelists": (s09_rpm_filelists, S09), "s15_pacman_files": (s15_pacman_files, S15),
     "s22_layer_index": (s22_layer_index, S22), "s32_result_counts": (s32_result_counts, S32), "s33_summary_table": (s33_summary_table, S33), "f09_without_evolution": (f09_without_evolution, F09), "f30_export_helpers": (f30_export_helpers, F30),
     "f31_report_cells": (f31_report_cells, F31), "p09_matched_rule": (p09_matched_rule, P09), "p11_available_managers": (p11_available_managers, P11), "p18_upstream_platform": (p18_upstream_platform, P18), "p29_snippets": (p29_snippets, P29),

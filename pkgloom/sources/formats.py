@@ -99,9 +99,12 @@ def file_rows(packages: DataFrame) -> DataFrame:
 
 
 def attributes(spark: SparkSession, path: str) -> DataFrame:
-    """A packages.json: attribute to record, under `packages` or at the top."""
+    return attribute_rows(spark.read.option("wholetext", True).text(path))
+
+
+def attribute_rows(doc: DataFrame) -> DataFrame:
+    """value (a packages.json: attribute to record, under `packages` or at the top) as packages."""
     record = "struct<pname:string,version:string,meta:struct<description:string>>"
-    doc = spark.read.option("wholetext", True).text(path)
     doc = doc.select(F.coalesce(F.from_json("value", f"struct<packages:map<string,{record}>>")["packages"], F.from_json("value", f"map<string,{record}>")).alias("m"))
     return doc.select(F.explode("m").alias("name", "r")).where("r IS NOT NULL").select("name", "r.version", F.col("r.pname").alias("source_name"), F.col("name").alias("binary_name"), F.col("r.meta.description").alias("description"))
 

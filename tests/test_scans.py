@@ -68,3 +68,15 @@ def test_sinks(spark, tmp_path):
     sinks.write_records(rows, f"{tmp_path}/records", "k")
     assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/records").select("k", "n").where("n IS NOT NULL").collect()) == [("b", 2)]
     assert sinks.table_lines(rows.limit(0), {"K": F.col("k")}, order="k").count() == 2
+
+
+def test_naming_inconsistencies(spark):
+    from pkgloom.operators import naming
+
+    rows = [
+        ("affix", "u", "ubuntu", "libfoo-dev"), ("affix", "f", "fedora", "foo-devel"), ("evo", "u", "ubuntu", "foo1.2"), ("evo", "f", "fedora", "foo3"), ("policy", "u", "ubuntu", "foo"), ("policy", "f", "fedora", "bar"),
+        ("same", "u", "ubuntu", "foo"), ("same", "f", "fedora", "'dev-libs/Foo'"), ("two", "u", "ubuntu", "a"), ("two", "u", "ubuntu", "b"), ("two", "f", "fedora", "c"), ("one", "u", "ubuntu", "a"), ("null", "u", "ubuntu", None), ("null", "f", "fedora", "a"),
+    ]
+    t = spark.createDataFrame(rows, "entry string, repo_key string, platform string, bin_name string")
+    assert {r["entry"]: r["causes"] for r in naming.inconsistencies(t).collect()} == {"affix": ["affixation"], "evo": ["evolution"], "policy": ["policy"]}
+    assert naming.inconsistencies(t.limit(0)).count() == 0
