@@ -27,3 +27,14 @@ def inconsistencies(packages: DataFrame) -> DataFrame:
     causes = F.array_compact(F.array(F.when(F.col("l2") < F.col("l1"), "affixation"), F.when(F.col("l3") < F.col("l2"), "evolution"), F.when(F.col("l4") > 1, "policy")))
     asked = per.where("nameless = 0 AND n = repos AND platforms > 1 AND l1 > 1")
     return asked.select("entry", F.when(F.size(causes) == 0, F.array(F.lit("unknown"))).otherwise(causes).alias("causes"))
+
+
+def pair_matrix(packages: DataFrame) -> DataFrame:
+    """Of each entry of packages (entry, platform, bin_name, filelist) every pair of platforms with the sizes of their file
+    sets, of what these share and hold together, and their similarity; of a platform's packages the first by name
+    counts. An entry has as many platforms as are configured, so the pairs of one are few."""
+    first = packages.groupBy("entry", "platform").agg(F.array_distinct(F.min_by("filelist", "bin_name")).alias("files"))
+    a, b = (first.select("entry", F.col("platform").alias(f"platform{i}"), F.coalesce("files", F.array().cast("array<string>")).alias(f"f{i}")) for i in (1, 2))
+    both, either = F.size(F.array_intersect("f1", "f2")), F.size(F.array_union("f1", "f2"))
+    pairs = a.join(b, "entry").where("platform1 < platform2")
+    return pairs.select("entry", "platform1", "platform2", F.size("f1").alias("file_count1"), F.size("f2").alias("file_count2"), both.alias("shared"), either.alias("together"), F.when(either > 0, both / either).otherwise(0.0).alias("similarity"))

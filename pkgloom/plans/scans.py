@@ -278,9 +278,20 @@ g AS (SELECT entry, count(*) AS n, count(DISTINCT l1) AS l1, count(DISTINCT l2)
 SELECT entry, CASE WHEN l2 >= l1 AND l3 >= l2 AND l3 = 1 THEN 'unknown' ELSE concat_ws(',', CASE WHEN l2 < l1 THEN 'affixation' END, CASE WHEN l3 < l2 THEN 'evolution' END, CASE WHEN l3 > 1 THEN 'policy' END) END AS causes FROM g"""
 
 
+def j16_pair_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' types as entries on platforms named by brand, their names' words as files."""
+    packages = read(spark, sf_dir, "part").select(F.col("p_type").alias("entry"), F.col("p_brand").alias("platform"), F.format_string("%020d", "p_partkey").alias("bin_name"), F.split("p_name", " ").alias("filelist"))
+    return naming.pair_matrix(packages).withColumn("similarity", F.round("similarity", 6))
+
+
+J16 = """WITH f AS (SELECT p_type AS e, p_brand AS p, list_distinct(string_split(arg_min(p_name, p_partkey), ' ')) AS w FROM part GROUP BY 1, 2),
+x AS (SELECT a.e AS entry, a.p AS platform1, b.p AS platform2, CAST(len(a.w) AS INT) AS file_count1, CAST(len(b.w) AS INT) AS file_count2, CAST(len(list_intersect(a.w, b.w)) AS INT) AS shared FROM f a JOIN f b ON a.e = b.e AND a.p < b.p)
+SELECT *, file_count1 + file_count2 - shared AS together, round(shared / (file_count1 + file_count2 - shared), 6) AS similarity FROM x"""
+
+
 #: Query: (function, SQL).
 ALL = {
-    "s02_codec": (s02_codec, S02), "s04_debian_packages": (s04_debian_packages, S04), "s23_attributes": (s23_attributes, S23), "a13_naming": (a13_naming, A13),
+    "s02_codec": (s02_codec, S02), "s04_debian_packages": (s04_debian_packages, S04), "s23_attributes": (s23_attributes, S23), "a13_naming": (a13_naming, A13), "j16_pair_jaccard": (j16_pair_jaccard, J16),
     "s06_expand_tokens": (s06_expand_tokens, S06), "s07_repomd": (s07_repomd, S07), "s08_rpm_primary": (s08_rpm_primary, S08), "s09_rpm_filelists": (s09_rpm_filelists, S09), "s15_pacman_files": (s15_pacman_files, S15),
     "s22_layer_index": (s22_layer_index, S22), "s32_result_counts": (s32_result_counts, S32), "s33_summary_table": (s33_summary_table, S33), "f09_without_evolution": (f09_without_evolution, F09), "f30_export_helpers": (f30_export_helpers, F30),
     "f31_report_cells": (f31_report_cells, F31), "p09_matched_rule": (p09_matched_rule, P09), "p11_available_managers": (p11_available_managers, P11), "p18_upstream_platform": (p18_upstream_platform, P18), "p29_snippets": (p29_snippets, P29),
