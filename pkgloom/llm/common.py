@@ -50,6 +50,26 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Keys that may be broadcast at most, and the longest of them.
+HOT_KEYS, HOT_LENGTH = 1_000, 4_096
+
+
+def join_skewed(rows: DataFrame, values: DataFrame, key: str, spread, total: int) -> DataFrame:
+    """rows left joined with values (key, a string and unique; uses, how many rows have it; others) although keys may be hot.
+
+    Keys of a thousandth of the total rows or more are at most HOT_KEYS; their values are broadcast, as far as they are no
+    longer than HOT_LENGTH. Rows that found them are dealt out by spread, which names the row; no other key is hot.
+    """
+    names = [c for c in values.columns if c != key]
+    hot = values.where((F.col("uses") >= max(2, -(-total // HOT_KEYS))) & (F.length(key) <= HOT_LENGTH))
+    hot = F.broadcast(hot.select(F.col(key).alias("hot_key"), F.struct(*names).alias("hot_value")))
+    rows = rows.join(hot, F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    cold = F.when(F.col("hot_value").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.concat(F.lit("#"), F.xxhash64(spread).cast("string")))
+    values = values.select(F.col(key).alias("cold_key"), F.struct(*names).alias("cold_value"))
+    rows = rows.withColumn("cold_key", cold).join(values.hint("merge"), "cold_key", "left")
+    return rows.select(*(c for c in rows.columns if c not in ("cold_key", "hot_value", "cold_value")), *(F.coalesce(F.col("hot_value")[c], F.col("cold_value")[c]).alias(c) for c in names))
+
+
 def ascii_lower(text):
     """A-Z to a-z and nothing else; lower() is right, and faster, where all characters are ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

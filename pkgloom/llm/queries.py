@@ -18,8 +18,9 @@ _QUERIES = {
     "op8_pii": "op08_pii",
     "op9_decontamination": "op09_decontamination",
     "op10_language_id": "op10_language_id",
+    "op13_repair": "op13_repair",
 }
-_SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination")
+_SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination", "op13_repair")
 
 
 def queries() -> dict:
