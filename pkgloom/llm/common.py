@@ -23,16 +23,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir; where that is unset, one in the warehouse,
-    and only in local mode, where there are no other machines, a temporary one."""
+    and only in local mode, where there are no other machines, a temporary one. A warehouse on the machines' own disks is
+    refused, as executors would not see each other's files."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        path = qualified(spark, spark.conf.get("spark.sql.warehouse.dir"))
+        if path.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return path.rstrip("/")
     path = getattr(spark, "_pkgloom_dir", None) or f"file://{tempfile.mkdtemp(prefix='pkgloom-')}"
     spark._pkgloom_dir = path
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that it has by default."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def shared_uri(spark: SparkSession) -> str:
+    """shared_dir() as other libraries than Spark's name it."""
+    return qualified(spark, shared_dir(spark)).replace("file:/", "file:///", 1).replace("file://///", "file:///", 1)
+
+
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df written once as Parquet into the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/pkgloom-{uuid.uuid4().hex}"
@@ -45,9 +61,12 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing that is still to run reads it."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._stored_at)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Keys that may be broadcast at most, and the longest of them.

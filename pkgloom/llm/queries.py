@@ -18,9 +18,10 @@ _QUERIES = {
     "op8_pii": "op08_pii",
     "op9_decontamination": "op09_decontamination",
     "op10_language_id": "op10_language_id",
+    "op12_warc": "op12_warc",
     "op13_repair": "op13_repair",
 }
-_SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination", "op13_repair")
+_SQL = ("op1_chat", "op5_exact_dedup", "op9_decontamination", "op12_warc", "op13_repair")
 
 
 def queries() -> dict:
