@@ -18,6 +18,7 @@ _QUERIES = {
     "op8_pii": "op08_pii",
     "op9_decontamination": "op09_decontamination",
     "op10_language_id": "op10_language_id",
+    "op11_alignment": "op11_alignment",
     "op12_warc": "op12_warc",
     "op13_repair": "op13_repair",
 }
