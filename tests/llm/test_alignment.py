@@ -107,30 +107,35 @@ def test_no_documents(spark):
     assert sorted(tuple(r)[:7] for r in found.collect()) == [(1, 0, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0, 0)] and counts.count() == 0
 
 
-def test_transducer():
+def test_transducer(monkeypatch):
     t = op.Transducer([b"ab", b"c", b"abc", b"d"], [b"a", b"bc", b"abcd", b"abc"])
-    assert t.groups([0, 1], [0, 1]) == ([0], [0], ["0,1|0,1"])
-    assert t.groups([0, 1, 3, 2], [2, 3]) == ([0, 3], [0, 1], ["0,1,3|2", "2|3"])
+    assert t.groups([0, 1], [0, 1]) == ([(2, 2)], ["0,1|0,1"])
+    for memo in (op.MEMO, 0):
+        monkeypatch.setattr(op, "MEMO", memo)
+        assert t.groups([0, 1, 3, 2], [2, 3]) == ([(3, 1), (1, 1)], ["0,1,3|2", "2|3"])
     for a, b in (([0], [0]), ([0, 3], [2]), ([2], [3, 0]), ([0, 1], [3, 3]), ([], [0]), ([1], [])):
         with pytest.raises(op.Mismatch):
             t.groups(a, b)
 
 
-def test_links(encoders, monkeypatch):
-    """Wide groups, and a memo that starts anew, give the same links."""
-    import numpy as np
-
-    tools = op.Tools(*op.read_vocabularies())
-    texts = [t for _, t in awkward()]
-    plain = op.aligned_texts(tools, texts)
-    monkeypatch.setattr(op, "MEMO", 50)
-    assert op.aligned_texts(tools, texts) == plain
-    for wide in (op.WIDE, 3, 0):
-        monkeypatch.setattr(op, "WIDE", wide)
-        for a, b, at_a, at_b, _ in plain:
-            got = op.links(*(np.array(x, np.int64) for x in (a, b, at_a, at_b, [0] * len(at_a))), 1)
-            cut = [(a[i:j], b[k:m]) for i, j, k, m in zip(at_a, [*at_a[1:], len(a)], at_b, [*at_b[1:], len(b)], strict=False)]
-            assert dict(zip(got[1].tolist(), got[2].tolist(), strict=True)) == collections.Counter(x << op.SHIFT | y for p, q in cut for x in p for y in q)
+def test_segments(encoders, monkeypatch):
+    """Texts cut at spaces, with and without what is kept of other texts, give the tokens of whole texts."""
+    tools, whole = op.Tools(*op.read_vocabularies()), op.Tools(*op.read_vocabularies())
+    assert tools.cuts
+    whole.cuts = False
+    rng = random.Random(12)
+    some = [" ", "  ", "a", "bc ", "\n", "\t", "\u00a0", "\x1c", "\x85", "é", "日本", "1", "12", "'s", "'", ".", "🙂", "▁", "<s>", "\u3000", " the", "\r\n"]
+    texts = [t for _, t in awkward()] + ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(6000)]
+    for t in texts:
+        got = [[x for k in way.segments(t) for x in way.found[k][part]] for way in (tools, whole) for part in (0, 1, 3)]
+        assert got[:3] == got[3:] and [(g[0], g[1]) for g in groups_of(encoders, t)] == [tuple([int(x) for x in side.split(",")] for side in g.split("|")) for g in got[2]]
+        if rng.random() < 0.01:
+            tools.forget()
+
+
+def test_links():
+    got = op.linked([1, 2, 1, 3], [7, 7, 8, 9], [(3, 3), (1, 1)])
+    assert got == {1 << op.SHIFT | 7: 4, 1 << op.SHIFT | 8: 2, 2 << op.SHIFT | 7: 2, 2 << op.SHIFT | 8: 1, 3 << op.SHIFT | 9: 1}
 
 
 def test_encoder_for_every_character(encoders):
