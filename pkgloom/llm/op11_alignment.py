@@ -4,10 +4,6 @@ Both token rows of a text spell the same bytes. The transducer reads them side b
 the bytes by which it does, a suffix of that side's last token. The side that lags gives the next token; when no byte dangles, a
 group closes. Moves are memoised by the dangling bytes and the next token. An A and a B token of one group are linked.
 
-Between a character that is no white space and a space no token of either side goes on: A cuts its words there, and B has
-no piece with a space after another character (which is looked up in its vocabulary; without that, texts are not cut). So
-nothing dangles there, and what the transducer gave for a segment between two such places is kept for when it comes again.
-
 How many documents hold a pair linked is counted over all documents. A task packs its documents into chunks: the distinct
 pairs of the chunk with the number of its documents that hold each, and each document's links as places in that list. Only
 the lists are shuffled to be summed; the sums go back to the chunks that need them, and are added up by document there.
@@ -17,11 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,12 +35,13 @@ VOCABULARIES, NAMES = "/opt/tokenizers", ("byte_bpe_50k.json", "piece_bpe_32k.mo
 CHUNK = 3_000_000
 #: A chunk's distinct pairs that are shuffled as one batch.
 BATCH = 100_000
-#: Moves that are kept before the memo starts anew, and the characters and links of segments.
-MEMO, SEGMENTS = 2_000_000, 5_000_000
+#: Moves, and words with their B ids, that are kept before the memos start anew.
+MEMO, WORDS = 2_000_000, 300_000
+#: Groups with more links than this count their distinct tokens first.
+WIDE = 4_096
 #: Bits of a B id in a pair.
 SHIFT = 20
 
-_CUT = re.compile(r"(?<=\S)(?= )")
 # fixed value: how the byte-level vocabulary cuts text into words
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -90,62 +85,37 @@ class Tools:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         piece = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(piece)]
-        self.cuts = all("▁" not in p.lstrip("▁") for p in piece)
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
-        self.forget()
-
-    def forget(self) -> None:
-        """Empties the memo of segments."""
-        self.ids: dict[str, int] = {}
-        #: of each segment, by its number: A ids, B ids, the groups' sizes in them and their names; None where A and B spell other bytes
-        self.found: list[tuple | None] = []
-        #: tokens, groups and links of each, and where its links end in pairs and times
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.ends = (array("q") for _ in range(5))
-        self.pairs, self.times = array("q"), array("q")
-        self.size = 0
-
-    def _encoded(self, segment: str) -> tuple[list[int], list[int]]:
-        """A and B ids of a segment, which begins with a space; B puts one there itself. Spaces at the end of a text follow a
-        letter here, so that B puts none before them; the letter's tokens go."""
-        if segment[0] == " ":
-            return self.a.encode_ordinary(segment), self.b.encode(segment[1:])
-        return self.a.encode_ordinary(segment)[len(self.a.encode_ordinary(segment[0])) :], self.b.encode(segment)[len(self.b.encode(segment[0])) :]
-
-    def _learn(self, segment: str) -> int:
-        a, b = self._encoded(segment)
-        links: dict[int, int] = {}
-        try:
-            if self.a.decode_bytes(a) != segment[segment[0] != " " :].encode():
-                raise Mismatch
-            sizes, names = self.transducer.groups(a, b)
-            links = linked(a, b, sizes)
-            self.found.append((a, b, sizes, names))
-        except Mismatch:
-            a, b, sizes = [], [], []
-            self.found.append(None)
-        for have, n in ((self.n_a, len(a)), (self.n_b, len(b)), (self.n_groups, len(sizes)), (self.n_links, sum(links.values()))):
-            have.append(n)
-        self.pairs.extend(links)
-        self.times.extend(links.values())
-        self.ends.append(len(self.pairs))
-        self.size += len(segment) + len(links)
-        self.ids[segment] = out = len(self.found) - 1
+        #: without a piece that has a space after another character, B's tokens of a word don't depend on the words beside it
+        self.by_words = all("▁" not in p.lstrip("▁") for p in piece)
+        self.words: dict[str, list[int]] = {}
+
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """B ids of each text. Words between single spaces are encoded once and kept, as B puts a space before each by itself;
+        texts with other spaces, or B's sign for one, are encoded whole."""
+        cut = [t.split(" ") for t in texts]
+        whole = [i for i, words in enumerate(cut) if not self.by_words or "" in words or "▁" in texts[i]]
+        out = dict(zip(whole, self.b.encode([texts[i] for i in whole], num_threads=1), strict=True)) if whole else {}
+        own = set().union(*(words for i, words in enumerate(cut) if i not in out))
+        new = [w for w in own if w not in self.words]
+        self.words.update(zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True))
+        known = self.words
+        found = [out[i] if i in out else list(chain.from_iterable([known[w] for w in words])) for i, words in enumerate(cut)]
+        if len(known) > WORDS:
+            self.words = {}
+        return found
+
+    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+        """A ids and B ids of each text with a space before it; none where the text is null or empty, or A spells other bytes."""
+        full = [i for i, t in enumerate(texts) if t]
+        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
+        for i, b in zip(full, self.encode_b([texts[i] for i in full]), strict=True):
+            text = f" {texts[i]}"
+            a = self.a.encode_ordinary(text)
+            if self.a.decode_bytes(a) == text.encode():
+                out[i] = (a, b)
         return out
 
-    def segments(self, text: str | None) -> list[int]:
-        """Numbers of the segments of a space and text; none where it has no tokens. They hold until forget()."""
-        if not text:
-            return []
-        cut = _CUT.split(f" {text}") if self.cuts else [f" {text}"]
-        if len(cut) > 1 and not cut[-1].strip(" "):
-            cut[-1] = f"x{cut[-1]}"
-        known = self.ids
-        try:
-            out = [known[x] for x in cut]
-        except KeyError:
-            out = [known[x] if x in known else self._learn(x) for x in cut]
-        return [] if any(self.found[k] is None for k in set(out)) else out
-
 
 @lru_cache(maxsize=1)
 def _tools(vocabulary: bytes, model: bytes) -> Tools:
@@ -196,71 +166,78 @@ class Transducer:
         self.moves[state << SHIFT | token] = out = self._moved(a_leads, self.dangling[abs(state)], (self.b_bytes if a_leads else self.a_bytes)[token])
         return out
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[str]]:
-        """How many A and B tokens each group has, and the groups' names `a1,a2|b1`; Mismatch if a and b spell different bytes."""
+    def groups(self, a: list[int], b: list[int]) -> tuple[list[str], list[tuple[int, int, int]]]:
+        """The groups' names `a1,a2|b1` in order, and which of them have more than one A or B token (number, A tokens, B
+        tokens); Mismatch if a and b spell different bytes."""
         if len(self.moves) + len(self.pairs) > MEMO:
             self._forget()
-        pairs, moves, sizes, names = self.pairs, self.moves, [], []
+        pairs, moves, names, wide = self.pairs, self.moves, [], []
         next_a, next_b = iter(a), iter(b)
         try:
             for x, y in zip(next_a, next_b, strict=True):
-                key = x << SHIFT | y
-                state = pairs[key] if key in pairs else self._pair(x, y)
+                try:
+                    state = pairs[x << SHIFT | y]
+                except KeyError:
+                    state = self._pair(x, y)
                 if state.__class__ is str:
                     names.append(state)
-                    sizes.append((1, 1))
                     continue
                 own_a, own_b = [x], [y]
                 while state:
-                    token = next(next_b if state > 0 else next_a)
-                    (own_b if state > 0 else own_a).append(token)
-                    key = state << SHIFT | token
-                    state = moves[key] if key in moves else self._move(state, token)
+                    if state > 0:
+                        token = next(next_b)
+                        own_b.append(token)
+                    else:
+                        token = next(next_a)
+                        own_a.append(token)
+                    try:
+                        state = moves[state << SHIFT | token]
+                    except KeyError:
+                        state = self._move(state, token)
+                wide.append((len(names), len(own_a), len(own_b)))
                 names.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                sizes.append((len(own_a), len(own_b)))
         except (StopIteration, ValueError):
             # one side ends before the other, or a Mismatch, which is a ValueError
             raise Mismatch from None
-        return sizes, names
+        return names, wide
 
 
 # ---- links of documents
 
 
-def linked(a: list[int], b: list[int], sizes: list[tuple[int, int]]) -> dict[int, int]:
-    """How often each pair of ids is linked by groups of those sizes; of a group its distinct ids are paired."""
-    out: dict[int, int] = {}
-    i = j = 0
-    for p, q in sizes:
-        if p == q == 1:
-            key = a[i] << SHIFT | b[j]
-            out[key] = out.get(key, 0) + 1
-        else:
-            left = Counter(b[j : j + q])
-            for x, m in Counter(a[i : i + p]).items():
-                for y, n in left.items():
-                    out[x << SHIFT | y] = out.get(x << SHIFT | y, 0) + m * n
-        i, j = i + p, j + q
-    return out
-
-
-def document_links(tools: Tools, segments: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of each document (document, pair, times linked), sorted, from its segments."""
-    doc = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
-    own, count = np.unique(doc << 32 | np.array([x for s in segments for x in s], np.int64), return_counts=True)
-    doc, segment = own >> 32, own & 0xFFFFFFFF
-    ends = np.array(tools.ends, np.int64)
-    start = np.append(0, ends)[segment]
-    n = ends[segment] - start
-    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-    pair, times = np.array(tools.pairs, np.int64)[at], np.array(tools.times, np.int64)[at] * np.repeat(count, n)
-    doc = np.repeat(doc, n)
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    head = np.flatnonzero(new)
-    return doc[head], pair[head], np.add.reduceat(times, head) if len(head) else times
+def group_sizes(n_groups: np.ndarray, wide: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """A and B tokens of each group of the documents, one after the other."""
+    p, q = np.ones(n_groups.sum(), np.int64), np.ones(n_groups.sum(), np.int64)
+    if some := [np.array(w) + (at, 0, 0) for w, at in zip(wide, np.cumsum(n_groups) - n_groups, strict=True) if w]:
+        at, p_wide, q_wide = np.concatenate(some).T
+        p[at], q[at] = p_wide, q_wide
+    return p, q
+
+
+def links(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of each document (document, pair, times linked), sorted; p and q are the groups' sizes, doc whose they
+    are. At most 2^23 documents."""
+    at_a, at_b, n = np.cumsum(p) - p, np.cumsum(q) - q, p * q
+    one, some = np.flatnonzero(n == 1), np.flatnonzero((n > 1) & (n <= WIDE))
+    # groups of one token each; all pairs of tokens of larger ones; of the largest, the pairs of distinct tokens
+    keys = [doc[one] << 40 | a[at_a[one]] << SHIFT | b[at_b[one]]]
+    group = np.repeat(some, n[some])
+    i, j = np.divmod(np.arange(len(group)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]), q[group])
+    keys.append(doc[group] << 40 | a[at_a[group] + i] << SHIFT | b[at_b[group] + j])
+    key = np.sort(np.concatenate(keys))
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    key, times = key[head], np.diff(np.append(head, len(key)))
+    if len(most := np.flatnonzero(n > WIDE)):
+        keys, many = [key], [times]
+        for g in most:
+            x, nx = np.unique(a[at_a[g] : at_a[g] + p[g]], return_counts=True)
+            y, ny = np.unique(b[at_b[g] : at_b[g] + q[g]], return_counts=True)
+            keys.append((doc[g] << 40 | x[:, None] << SHIFT | y[None, :]).ravel())
+            many.append(np.outer(nx, ny).ravel())
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        times = np.zeros(len(key), np.int64)
+        np.add.at(times, place, np.concatenate(many))
+    return key >> 40, key & ((1 << 40) - 1), times
 
 
 def _pack(values: np.ndarray, kind=np.uint32) -> bytes:
@@ -292,6 +269,17 @@ def _chunk(number: int, docs: list[dict], pair: list[np.ndarray], times: list[np
     return pa.RecordBatch.from_pylist([row], schema=_CHUNK)
 
 
+def aligned_texts(tools: Tools, texts: list[str | None]) -> list[tuple[list[int], list[int], list[str], list[tuple[int, int, int]]]]:
+    """A ids, B ids, and of the transducer the groups' names and which are wide; all empty for a text without tokens."""
+    out = []
+    for a, b in tools.encode(texts):
+        try:
+            out.append((a, b, *tools.transducer.groups(a, b)))
+        except Mismatch:
+            out.append(([], [], [], []))
+    return out
+
+
 def chunks(docs: DataFrame, vocabularies: Broadcast) -> DataFrame:
     """docs (doc_id, text) as rows of chunks; a piece of the texts is aligned at a time."""
 
@@ -300,20 +288,18 @@ def chunks(docs: DataFrame, vocabularies: Broadcast) -> DataFrame:
         rows, pair, times, size = [], [], [], 0
         for batch in batches:
             for some, _, _ in pieces(batch, "text", PIECE_BYTES):
-                if tools.size > SEGMENTS:
-                    tools.forget()
-                cut = [tools.segments(t) for t in some.column(1).to_pylist()]
-                which, own, many = document_links(tools, cut)
-                edge = np.searchsorted(which, np.arange(len(cut) + 1))
-                sums = [np.array(x, np.int64) for x in (tools.n_a, tools.n_b, tools.n_groups, tools.n_links)]
-                for k, (doc_id, segments) in enumerate(zip(some.column(0).to_pylist(), cut, strict=True)):
+                found = aligned_texts(tools, some.column(1).to_pylist())
+                n_groups = np.array([len(f[2]) for f in found], np.int64)
+                doc = np.repeat(np.arange(len(found)), n_groups)
+                ids = (np.concatenate([np.array(f[k], np.int64) for f in found]) for k in (0, 1))
+                which, own, many = links(*ids, *group_sizes(n_groups, [f[3] for f in found]), doc)
+                edge = np.searchsorted(which, np.arange(len(found) + 1))
+                for k, (doc_id, f) in enumerate(zip(some.column(0).to_pylist(), found, strict=True)):
                     mine = slice(edge[k], edge[k + 1])
                     pair.append(own[mine])
                     times.append(many[mine])
-                    name = hashlib.sha256(";".join([x for s in segments for x in tools.found[s][3]]).encode()).hexdigest() if segments else ""
-                    at = np.array(segments, np.int64)
-                    n_a, n_b, n_groups, n_links = (int(x[at].sum()) for x in sums)
-                    rows.append({"doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": name, "pairs": len(pair[-1])})
+                    name = hashlib.sha256(";".join(f[2]).encode()).hexdigest() if f[2] else ""
+                    rows.append({"doc_id": doc_id, "n_a": len(f[0]), "n_b": len(f[1]), "n_groups": len(f[2]), "n_links": int(many[mine].sum()), "groups_sha256": name, "pairs": len(pair[-1])})
                 size += len(own)
                 if size >= CHUNK:
                     yield _chunk(number, rows, pair, times)
@@ -401,17 +387,14 @@ def aligned(spark: SparkSession, docs: DataFrame, folder: str = VOCABULARIES, na
         tools = _tools(*vocabularies.value)
         for batch in batches:
             for some, _, _ in pieces(batch, "text", PIECE_BYTES):
-                if tools.size > SEGMENTS:
-                    tools.forget()
                 out = []
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    found, at = [], 0
-                    for a, b, sizes, _ in (tools.found[k] for k in tools.segments(text)):
-                        i = j = 0
-                        for p, q in sizes:
-                            end = at + sum(len(tools.a_bytes[x]) for x in a[i : i + p])
-                            found.append({"start": at, "end": end, "a": a[i : i + p], "b": b[j : j + q]})
-                            at, i, j = end, i + p, j + q
+                for doc_id, (a, b, names, wide) in zip(some.column(0).to_pylist(), aligned_texts(tools, some.column(1).to_pylist()), strict=True):
+                    found, start, i, j, sizes = [], 0, 0, 0, {g: (p, q) for g, p, q in wide}
+                    for g in range(len(names)):
+                        p, q = sizes.get(g, (1, 1))
+                        end = start + sum(len(tools.a_bytes[x]) for x in a[i : i + p])
+                        found.append({"start": start, "end": end, "a": a[i : i + p], "b": b[j : j + q]})
+                        start, i, j = end, i + p, j + q
                     out.append({"doc_id": doc_id, "groups": found})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 

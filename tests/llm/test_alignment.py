@@ -109,33 +109,52 @@ def test_no_documents(spark):
 
 def test_transducer(monkeypatch):
     t = op.Transducer([b"ab", b"c", b"abc", b"d"], [b"a", b"bc", b"abcd", b"abc"])
-    assert t.groups([0, 1], [0, 1]) == ([(2, 2)], ["0,1|0,1"])
+    assert t.groups([0, 1], [0, 1]) == (["0,1|0,1"], [(0, 2, 2)])
     for memo in (op.MEMO, 0):
         monkeypatch.setattr(op, "MEMO", memo)
-        assert t.groups([0, 1, 3, 2], [2, 3]) == ([(3, 1), (1, 1)], ["0,1,3|2", "2|3"])
+        assert t.groups([0, 1, 3, 2], [2, 3]) == (["0,1,3|2", "2|3"], [(0, 3, 1)])
     for a, b in (([0], [0]), ([0, 3], [2]), ([2], [3, 0]), ([0, 1], [3, 3]), ([], [0]), ([1], [])):
         with pytest.raises(op.Mismatch):
             t.groups(a, b)
 
 
-def test_segments(encoders, monkeypatch):
-    """Texts cut at spaces, with and without what is kept of other texts, give the tokens of whole texts."""
-    tools, whole = op.Tools(*op.read_vocabularies()), op.Tools(*op.read_vocabularies())
-    assert tools.cuts
-    whole.cuts = False
+def test_links(encoders, monkeypatch):
+    """Wide groups, and a memo that starts anew, give the same links."""
+    import numpy as np
+
+    tools = op.Tools(*op.read_vocabularies())
+    texts = [t for _, t in awkward()]
+    plain = op.aligned_texts(tools, texts)
+    monkeypatch.setattr(op, "MEMO", 50)
+    assert op.aligned_texts(tools, texts) == plain
+    want = {}
+    for d, (_, _, names, _) in enumerate(plain):
+        for g in names:
+            x, y = ([int(i) for i in side.split(",")] for side in g.split("|"))
+            for p in x:
+                for q in y:
+                    want[d, p << op.SHIFT | q] = want.get((d, p << op.SHIFT | q), 0) + 1
+    n = np.array([len(f[2]) for f in plain])
+    for wide in (op.WIDE, 3, 1):
+        monkeypatch.setattr(op, "WIDE", wide)
+        ids = (np.concatenate([np.array(f[k], np.int64) for f in plain]) for k in (0, 1))
+        doc, pair, times = op.links(*ids, *op.group_sizes(n, [f[3] for f in plain]), np.repeat(np.arange(len(plain)), n))
+        assert {(d, p): t for d, p, t in zip(doc.tolist(), pair.tolist(), times.tolist(), strict=True)} == want
+
+
+def test_words(encoders, monkeypatch):
+    """B by words that are kept, and anew, gives the ids of whole texts."""
+    tools = op.Tools(*op.read_vocabularies())
+    assert tools.by_words
     rng = random.Random(12)
-    some = [" ", "  ", "a", "bc ", "\n", "\t", "\u00a0", "\x1c", "\x85", "é", "日本", "1", "12", "'s", "'", ".", "🙂", "▁", "<s>", "\u3000", " the", "\r\n"]
-    texts = [t for _, t in awkward()] + ["".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(6000)]
-    for t in texts:
-        got = [[x for k in way.segments(t) for x in way.found[k][part]] for way in (tools, whole) for part in (0, 1, 3)]
-        assert got[:3] == got[3:] and [(g[0], g[1]) for g in groups_of(encoders, t)] == [tuple([int(x) for x in side.split(",")] for side in g.split("|")) for g in got[2]]
-        if rng.random() < 0.01:
-            tools.forget()
-
-
-def test_links():
-    got = op.linked([1, 2, 1, 3], [7, 7, 8, 9], [(3, 3), (1, 1)])
-    assert got == {1 << op.SHIFT | 7: 4, 1 << op.SHIFT | 8: 2, 2 << op.SHIFT | 7: 2, 2 << op.SHIFT | 8: 1, 3 << op.SHIFT | 9: 1}
+    some = [" ", "  ", "a", "bc ", "\n", "\t", "\u00a0", "\x1c", "\x85", "é", "日本", "1", "12", "'s", "'", ".", "🙂", "▁", "<s>", "\u3000", " the", "\r\n", "ion", " heit"]
+    texts = [t for _, t in awkward() if t] + ["x" + "".join(rng.choice(some) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    want = encoders[1].encode(texts, num_threads=1)
+    for keep in (op.WORDS, 100):
+        monkeypatch.setattr(op, "WORDS", keep)
+        assert [x for k in range(0, len(texts), 700) for x in tools.encode_b(texts[k : k + 700])] == want
+    tools.by_words = False
+    assert tools.encode_b(texts[:500]) == want[:500]
 
 
 def test_encoder_for_every_character(encoders):
