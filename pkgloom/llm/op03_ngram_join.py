@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, drop, mix, pieces, runs, stored, sum_vectors, table, vector_rows
+from .common import SpanHash, drop, join_skewed, mix, pieces, runs, stored, sum_vectors, table, vector_rows
 from .components import components
 
 #: Counters of the sketch that sets the global order, as powers of two: four for each document within these bounds, so that
@@ -73,7 +73,7 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
-    """Of each row: doc_id, n (size of its set), k1 and k2 (hashes of the set), its prefix, p1 and p2 (hashes of that)."""
+    """Of each row (doc_id, text, tk): doc_id, tk, n (size of its set), k1 and k2 (hashes of the set), its prefix, p1 and p2 (hashes of that)."""
 
     def total(values: np.ndarray, row: np.ndarray, n: int, seed: int) -> pa.Array:
         return pa.array(_sums(mix(values + np.uint64(seed)), row, n).view(np.int64))
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
                 h, row = shingle_sets(raw, at, width)
                 m = rows.num_rows
                 n = np.bincount(row, minlength=m)
-                out = {"doc_id": rows.column(0), "n": pa.array(n, pa.int64()), "k1": total(h, row, m, 11), "k2": total(h, row, m, 12)}
+                out = {"doc_id": rows.column(0), "tk": rows.column(2), "n": pa.array(n, pa.int64()), "k1": total(h, row, m, 11), "k2": total(h, row, m, 12)}
                 by = np.lexsort((h, order.value[(h % np.uint64(len(order.value))).astype(np.int64)], row))
                 length = n - -(-percent * n // 100) + 1
                 length[n == 0] = 0
@@ -95,7 +95,7 @@ def _sets(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
                 out |= {"p1": total(h, row, m, 13), "p2": total(h, row, m, 14), "prefix": prefix}
                 yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, p1 long, p2 long, prefix array<long>")
+    return docs.select("doc_id", "text", "tk").mapInArrow(run, "doc_id long, tk long, n long, k1 long, k2 long, p1 long, p2 long, prefix array<long>")
 
 
 def _sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -140,20 +140,52 @@ def _size_ok(small, large, percent: int):
     return 100 * F.col(small) >= percent * F.col(large)
 
 
+#: Rows of one token that meet the token's rows in one place.
+MEET = 1_024
+
+
+def _one(row: str = ""):
+    """What tells a row from others, by order: rows with an id first, then the id, then a hash of the text."""
+    return F.struct(F.col(f"{row}doc_id").isNull().alias("none"), F.coalesce(f"{row}doc_id", F.lit(0)).alias("id"), F.col(f"{row}tk").alias("tk"))
+
+
+def _texts(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """(doc_id, text) of the classes able (rep, one): the text of the row that one names. Rows that repeat are put together
+    before the shuffle, and the join stays where they are."""
+    rows = docs.select(_one().alias("one"), "text").select("one.*", "text").groupBy("none", "id", "tk").agg(F.first("text").alias("text"))
+    return able.select("rep", "one.*").hint("merge").join(rows, ["none", "id", "tk"]).select(F.col("rep").alias("doc_id"), "text")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (gid_x, comp_x, gid_y, comp_y) of rows (token, gid, n, pos, comp) of one token, in different components, that
+    sizes and positions allow. A token of many rows has several places, each with a part of one side and all of the other."""
+    parts = rows.groupBy("token").agg(F.ceil(F.count("*") / MEET).cast("int").alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = rows.join(parts.select("token", "parts").hint("merge"), "token")
+    part = {"x": F.pmod(F.xxhash64("gid", "comp"), F.col("parts")).cast("int"), "y": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    x, y = (rows.select("token", part[s].alias("part"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp"))) for s in "xy")
+    least = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
+    reach = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    meet = x.join(y.hint("merge"), ["token", "part"]).where((F.col("comp_x") < F.col("comp_y")) & _size_ok("n_x", "n_y", percent) & _size_ok("n_y", "n_x", percent) & (reach >= least))
+    return meet.select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
+
+
 def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Near-duplicate classes of docs (doc_id, text): one row (doc_id, n_shingles, component_id) for each row of docs.
+    """Near-duplicate classes of docs (doc_id, text): one row (doc_id, tk, n_shingles, component_id, stays) for each row of docs.
 
-    Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. A text of fewer words than
-    width is one shingle; null, empty and wordless texts have none and link with nothing. component_id is the smallest
-    doc_id reachable. Rows that repeat a doc_id with another text are compared by each of their texts' prefixes but
-    verified by one of them; ids are meant to be unique. Empty tables give empty results, and other columns are not read.
+    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets. A text of fewer words than width is
+    one shingle; null, empty and wordless texts have none and link with nothing. component_id is the smallest doc_id
+    reachable. stays marks the first row of each component, by doc_id and then by a hash of the text, tk (xxhash64).
+
+    Every row is compared by its own text: rows that share an id with other texts are apart, and rows without an id link
+    like others (component_id is null only where nothing that is reachable has an id); rows that repeat id and text share
+    their fate. Empty tables give empty results, and other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tk"))
     order = spark.sparkContext.broadcast(_sketch(docs, width))
     rows = stored(spark, _sets(docs, width, percent, order))
     # equal sets have equal prefixes, so any row's prefix stands for its class, and any class's for its group
-    classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("p1", "p2", "prefix")))
-    classes = stored(spark, classes)
+    classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(_one()).alias("one"), *(F.first(c).alias(c) for c in ("p1", "p2", "prefix")))
+    classes = stored(spark, classes.withColumn("rep", F.monotonically_increasing_id()))
     group = classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
     group = stored(spark, group)
     members = stored(spark, classes.select("rep", "n", "p1", "p2").join(group.drop("prefix"), ["p1", "p2", "n"]).select("rep", "n", "gid", "members"))
@@ -165,7 +197,7 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
 
     # texts that can have a partner
     able = members.join(tokens.select("gid").distinct(), "gid", "left_semi").select("rep").union(members.where("members > 1").select("rep")).distinct()
-    texts = stored(spark, docs.join(able.hint("merge"), F.col("doc_id") == F.col("rep"), "left_semi"))
+    texts = stored(spark, _texts(docs, classes.select("rep", "one").join(able, "rep", "left_semi")))
 
     # round 1: leaders are the first groups of a token, for every band of sizes; a group goes to the one that it meets at
     # most tokens, and members of a group go to its first
@@ -187,25 +219,27 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     held = placed.groupBy("gid", "comp").agg(F.count("*").alias("k"))
     at_token = tokens.join(held.select("gid", "comp"), "gid").select("token", "gid", "n", "pos", "comp")
     inside = placed.where("members > 1").select(F.xxhash64("gid", F.lit("group")).alias("token"), "gid", "n", F.lit(0).alias("pos"), "comp").distinct()
-    at_token = at_token.union(inside)
-    mixed = at_token.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    at_token = stored(spark, at_token.join(mixed, "token"))
+    at_token = stored(spark, at_token.union(inside))
     drop(tokens)
-    x, y = (at_token.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "comp"))) for s in "xy")
-    least = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
-    reach = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    meet = x.join(y, "token").where((F.col("comp_x") < F.col("comp_y")) & _size_ok("n_x", "n_y", percent) & _size_ok("n_y", "n_x", percent) & (reach >= least)).select("gid_x", "comp_x", "gid_y", "comp_y").distinct()
     mx, my = (placed.select(F.col("rep").alias(f"rep_{s}"), F.col("gid").alias(f"gid_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy")
-    more = meet.join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
+    more = _met(at_token, percent).join(mx, ["gid_x", "comp_x"]).join(my, ["gid_y", "comp_y"]).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b")).distinct()
     more = stored(spark, more)
-    drop(at_token, placed)
+    drop(at_token, placed, members)
     final = components(spark, links.union(_verified(texts, more, width, percent)))
     drop(texts, links, more)
 
-    of_class = members.select("rep").join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component_id"))
-    of_key = classes.select("k1", "k2", "n", "rep").join(of_class, "rep").select("k1", "k2", "n", "component_id")
-    return rows.select("doc_id", "n", "k1", "k2").join(of_key, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # the first row of each component; most components are one class
+    of_class = classes.select("rep", "k1", "k2", "n", "one").join(final, F.col("rep") == F.col("node"), "left").drop("node")
+    of_class = stored(spark, of_class.withColumn("component", F.col("component").cast("string")))
+    first = of_class.where("component IS NOT NULL").groupBy("component").agg(F.min("one").alias("best"), F.count("*").alias("uses"))
+    first = stored(spark, first)
+    of_class_first = join_skewed(of_class, first, "component", F.col("rep"), of_class.count()).select("k1", "k2", "n", F.coalesce("best", "one").alias("best"))
+    out = rows.drop("p1", "p2", "prefix").join(of_class_first, ["k1", "k2", "n"], "left")
+    out = out.select("doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("best").isNull(), F.col("doc_id")).when(~F.col("best.none"), F.col("best.id")).alias("component_id"), (F.col("best").isNull() | (_one() == F.col("best"))).alias("stays"))
+    out = stored(spark, out)
+    drop(rows, classes, of_class, first)
+    return out
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(spark, table(spark, sf_dir, "documents"), width=4, percent=85)
+    return similar(spark, table(spark, sf_dir, "documents"), width=4, percent=85).select("doc_id", "n_shingles", "component_id")

@@ -53,13 +53,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id.
 
-    Documents without a word stay. Rows without a doc_id are compared like others and come after those with one; texts
-    under one doc_id stay or go together.
+    Documents without a word stay. Rows are compared by their own texts whatever their ids; those without a doc_id come
+    after those with one. Rows that repeat id and text share their fate.
     """
-    # ids that come after all given ones
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
-    gone = op03_ngram_join.similar(spark, docs.select(rid.alias("doc_id"), "text")).where("doc_id <> component_id")
-    return _join(docs, stored(spark, gone.select(F.col("doc_id").alias("rid"))), "left_anti", rid=rid)
+    gone = op03_ngram_join.similar(spark, docs.select("doc_id", "text")).where("NOT stays")
+    return _join(docs, gone.select("doc_id", "tk"), "left_anti", doc_id=docs["doc_id"], tk=F.xxhash64("text"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
