@@ -16,7 +16,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop, stored, table
 
 _GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 _COPY = "You should have received a copy of the GNU {1} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
@@ -95,7 +95,9 @@ TAGS = {
     "ISC": ["ISC"], "MPL": ["MPL-2.0"], "EPL": ["EPL-2.0"], "Unlicense": ["Unlicense"], "BSL-1.0": ["BSL-1.0"], "Zlib": ["Zlib"], "Artistic-2.0": ["Artistic-2.0"], "CC0": ["CC0-1.0"], "CC-BY": ["CC-BY-4.0"],
     "CC-BY-NC": ["CC-BY-NC-4.0"], "CC-BY-SA": ["CC-BY-SA-4.0"],
 }
-#: Words that make a licence's name. A statement is only compared with templates whose name words it has: a line "License" is no "MIT License".
+#: Words that make a licence's name. Every statement is compared with all templates; a file's licence is its best one of
+#: those whose name words it has, with another word (a line "License" is no "MIT License", nor is the German "mit"), its
+#: nearest is the best one of all.
 NAMES = {
     "mit", "apache", "gnu", "gpl", "lgpl", "agpl", "lesser", "library", "affero", "bsd", "isc", "mozilla", "mpl", "eclipse", "epl", "boost", "bsl", "zlib", "unlicense", "artistic",
     "cc", "cc0", "by", "nc", "sa", "attribution", "noncommercial", "sharealike", "reserved", "proprietary", "unencumbered",
@@ -164,13 +166,15 @@ def is_license_file(path: Column) -> Column:
 
 
 def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, license, cosine) of the files (path, text) with a statement that reaches THRESHOLD; ties go by name.
+    """(file, license, cosine, nearest, nearest_cosine) of the files (file: their key, path, text) with a statement that
+    reaches THRESHOLD; nearest is the licence of the nearest template, license that of the nearest one that the statement
+    names, null where it names none; ties go by name.
 
     Two scans of the texts: one counts words over all files, one takes the statements. Only what cannot reach THRESHOLD
     is left out before the last step: a statement without any needed word, with too little weight on the templates'
     words, or with too many other words.
     """
-    files = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    files = files.select("file", "path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     # the empty word stands for the file: its count is their number
     words = files.select(F.explode(F.array_distinct(F.array_append(F.split("text", "[^a-z0-9]+"), F.lit("")))).alias("word"))
     df = stored(spark, words.groupBy("word").agg(F.count("*").alias("df")))
@@ -184,12 +188,11 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
 
     square = F.create_map(*(F.lit(x) for kv in bound.items() for x in kv))
     held = files.where(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), some))
-    held = held.select("path", F.explode(_statements(F.col("text"), is_license_file(F.col("path")))).alias("s"))
+    held = held.select("file", F.explode(_statements(F.col("text"), is_license_file(F.col("path")))).alias("s"))
     held = held.withColumn("w", F.split("s", " ")).where(F.arrays_overlap("w", some))
     reach = F.aggregate(F.array_intersect("w", F.lit(sorted(bound))), F.lit(0.0), lambda a, w: a + square[w])
-    # one shared word, such as the German 'mit', states nothing
-    held = held.where((reach >= (THRESHOLD - 1e-5) ** 2) & (F.size(F.array_intersect("w", F.lit(sorted(bound)))) > 1))
-    held = stored(spark, held.select("path", F.md5("s").alias("id"), "s"))
+    held = held.where(reach >= (THRESHOLD - 1e-5) ** 2)
+    held = stored(spark, held.select("file", F.md5("s").alias("id"), "s"))
     each = held.groupBy("id").agg(F.first("s").alias("s")).withColumn("w", F.split("s", " "))
 
     # the templates' words give each dot product, and with them the norm is at least what it is if every other word had the
@@ -199,50 +202,56 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     bag = known_words.groupBy("id", "n", "word").agg((F.count("*") * F.first("idf")).alias("x"))
     bag = bag.groupBy("id", "n").agg((F.sum(F.col("x") * F.col("x")) + F.first("n") - F.count("*")).alias("least"), F.collect_list(F.struct("word", "x")).alias("xs"))
     dot = bag.select("id", "least", F.inline("xs")).join(F.broadcast(template), "word").groupBy("id", "least", "template")
-    dot = dot.agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n_names"), F.count("*").alias("k"))
-    dot = dot.where((F.col("k") > 1) & (F.col("dot") / F.sqrt("least") >= THRESHOLD - 1e-5)).join(F.broadcast(names), ["template", "n_names"])
-    dot = stored(spark, dot.select("id", "template", "dot"))
+    dot = dot.agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum(F.col("word").isin(*NAMES).cast("long")).alias("n"), F.count("*").alias("k"))
+    dot = dot.where(F.col("dot") / F.sqrt("least") >= THRESHOLD - 1e-5).join(F.broadcast(names), "template")
+    dot = stored(spark, dot.select("id", "template", "dot", ((F.col("n") == F.col("n_names")) & (F.col("k") > 1)).alias("named")))
 
     few = each.join(dot.select("id").distinct(), "id", "left_semi").select("id", F.explode("w").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
     x = F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)
     # written first, so that the join can split a word of many statements
-    norm = stored(spark, few).join(df, "word").groupBy("id").agg(F.sqrt(F.sum(x * x)).alias("norm"))
+    few = stored(spark, few)
+    norm = few.join(df, "word").groupBy("id").agg(F.sqrt(F.sum(x * x)).alias("norm"))
     best = dot.join(norm, "id").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= THRESHOLD)
-    rank = F.min(F.struct((-F.col("cosine")).alias("c"), F.substring_index("template", "/", 1).alias("license"))).alias("m")
-    best = stored(spark, best.groupBy("id").agg(rank))
-    return held.join(best, "id").groupBy("path").agg(F.min("m").alias("m")).select("path", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"))
+    rank = F.struct((-F.col("cosine")).alias("c"), F.substring_index("template", "/", 1).alias("license"))
+    best = stored(spark, best.groupBy("id").agg(F.min(F.when(F.col("named"), rank)).alias("m"), F.min(rank).alias("near")))
+    out = held.select("file", "id").join(best, "id").groupBy("file").agg(F.min("m").alias("m"), F.min("near").alias("near"))
+    out = stored(spark, out.select("file", F.col("m.license").alias("license"), (-F.col("m.c")).alias("cosine"), F.col("near.license").alias("nearest"), (-F.col("near.c")).alias("nearest_cosine")))
+    drop(df, held, dot, few, best)
+    return out
 
 
 def folder(path):
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """files (path, text, ...) as path, license, cosine, inherited_from.
+def scan(spark: SparkSession, files: DataFrame, *keys: str) -> DataFrame:
+    """A row for each of files (path, text, keys, ...): keys, path, license, cosine, nearest, nearest_cosine, inherited_from.
 
     Only files named as LICENSE_FILE says speak for their folder. Null texts state nothing; a null path lies in no folder
-    and has no licence; rows that repeat a path share their statements; a folder's ties go by name; empty tables are fine,
-    and other columns are not read.
+    and has no licence; rows that share a path are judged each by its text; a folder's ties go by name; empty tables are
+    fine, and other columns are not read.
     """
-    found = stored(spark, stated(spark, files.where("path IS NOT NULL").select("path", "text")))
-    votes = found.where(is_license_file(F.col("path"))).groupBy(folder(F.col("path")).alias("dir"), "license").agg(F.count("*").alias("k"))
+    files = files.select(*keys, "path", "text", F.struct(F.coalesce("path", F.lit("")).alias("path"), F.xxhash64("text").alias("tk")).alias("file"))
+    found = stated(spark, files.select("file", "path", "text").where("path IS NOT NULL AND text IS NOT NULL"))
+    votes = found.where(is_license_file(F.col("file.path")) & F.col("license").isNotNull()).groupBy(folder(F.col("file.path")).alias("dir"), "license").agg(F.count("*").alias("k"))
     dirs = votes.groupBy("dir").agg(F.min(F.struct((-F.col("k")).alias("k"), "license"))["license"].alias("d_license"))
-    places = files.select("path").join(found, "path", "left").withColumn("dir", folder(F.col("path")))
+    places = files.drop("text").join(found, "file", "left").drop("file").withColumn("dir", folder(F.col("path")))
     # the answer for each folder with files, once: its ancestors are as many as its path has parts
-    wanted = places.select("dir").where("dir IS NOT NULL").distinct()
+    wanted = files.select(folder(F.col("path")).alias("dir")).where("dir IS NOT NULL").distinct()
     up = wanted.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda n: F.array_join(F.slice(F.split("dir", "/"), 1, n), "/"))).alias("up"))
     near = up.join(dirs.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct(F.length("up").alias("n"), "up", "d_license")).alias("m")).select("dir", F.col("m.up").alias("up"), "m.d_license")
     own = F.col("license").isNotNull()
-    return places.join(near, "dir", "left").select("path", F.coalesce("license", "d_license").alias("license"), "cosine", F.when(~own, F.col("up")).alias("inherited_from"))
+    return places.join(near, "dir", "left").select(*keys, "path", F.coalesce("license", "d_license").alias("license"), "cosine", "nearest", "nearest_cosine", F.when(~own, F.col("up")).alias("inherited_from"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as the files of a tree: source/lang/shard of 50 ids/id; in place of a name, ids that 50, 1,000 and 10,000
-    divide make a document the licence file of its shard, of source/lang and of source."""
+    divide make a document the licence file of its shard, of source/lang and of source. Documents without an id lie in
+    source/lang/unnumbered, by a digest of the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.coalesce("lang", F.lit("")).alias("l"), "text")
     id = F.col("doc_id")
     name = F.concat(F.lit("LICENSE-"), id.cast("string"))
     shard = F.concat_ws("/", "s", "l", F.floor(id / 50).cast("string"))
-    path = F.when(id % 10_000 == 0, F.concat_ws("/", "s", name)).when(id % 1_000 == 0, F.concat_ws("/", "s", "l", name)).when(id % 50 == 0, F.concat_ws("/", shard, name)).otherwise(F.concat_ws("/", shard, id.cast("string")))
-    out = scan(spark, docs.select(path.alias("path"), "text"))
-    return out.select(F.regexp_extract("path", "[0-9]+$", 0).cast("long").alias("doc_id"), "path", "license", "cosine", "inherited_from")
+    path = F.when(id.isNull(), F.concat_ws("/", "s", "l", F.lit("unnumbered"), F.md5(F.coalesce("text", F.lit("")))))
+    path = path.when(id % 10_000 == 0, F.concat_ws("/", "s", name)).when(id % 1_000 == 0, F.concat_ws("/", "s", "l", name)).when(id % 50 == 0, F.concat_ws("/", shard, name)).otherwise(F.concat_ws("/", shard, id.cast("string")))
+    return scan(spark, docs.select("doc_id", path.alias("path"), "text"), "doc_id")

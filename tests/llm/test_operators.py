@@ -532,7 +532,7 @@ def test_pooling_by_hand():
 
 def licenses_of(spark, texts):
     files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
-    got = {r["path"]: r["license"] for r in op07_licenses.stated(spark, files).collect()}
+    got = {r["file"]: r["license"] for r in op07_licenses.stated(spark, files.withColumn("file", files["path"])).collect()}
     return [got.get(str(i)) for i in range(len(texts))]
 
 
@@ -551,7 +551,7 @@ def test_license_titles_headers_and_texts(spark):
 
 
 def plain_licenses(files):
-    """Best licence and cosine of each path, by every statement against every template."""
+    """Best licence and cosine of each path, and the nearest one whether it is named or not, by every statement against every template."""
     import math
 
     words = lambda t: re.findall("[a-z0-9]+", t.lower())
@@ -564,7 +564,7 @@ def plain_licenses(files):
         return {w: x / norm for w, x in v.items()}
 
     templates = [(name.rpartition("/")[0], vector(bag), {*bag} & op07_licenses.NAMES) for name, bag in op07_licenses._templates().items()]
-    out = {}
+    out, near = {}, {}
     for path, text in files.items():
         low = (text or "").lower()
         blocks = re.split(r"\n(?:[^a-z\n]*\n)+", low)
@@ -577,7 +577,9 @@ def plain_licenses(files):
                 cosine = round(sum(x * t[w] for w, x in v.items() if w in t), 6)
                 if len(v.keys() & t.keys()) > 1 and names <= v.keys() and cosine >= op07_licenses.THRESHOLD and (-cosine, name) < out.get(path, (0, "")):
                     out[path] = (-cosine, name)
-    return {path: (name, -c) for path, (c, name) in out.items()}
+                if cosine >= op07_licenses.THRESHOLD and (-cosine, name) < near.get(path, (0, "")):
+                    near[path] = (-cosine, name)
+    return ({path: (name, -c) for path, (c, name) in found.items()} for found in (out, near))
 
 
 def test_licenses_like_plain_cosines(spark):
@@ -591,8 +593,11 @@ def test_licenses_like_plain_cosines(spark):
             w[k : k + rng.randrange(2)] = [rng.choice(["house", "the", "license", "of", "mit", "zzz"])]
         sep = rng.choice([" ", " ", "\n", "\n# "])
         files[rng.choice(["d/LICENSE.", "d/COPYING-", "d/f"]) + str(i)] = "some code here.\n\n" * rng.randrange(2) + sep.join(w) + "\n\nthe end of the file" * rng.randrange(2)
-    want = plain_licenses(files)
-    got = {r["path"]: r for r in op07_licenses.stated(spark, spark.createDataFrame(list(files.items()), "path string, text string")).collect()}
+    want, near = plain_licenses(files)
+    table = spark.createDataFrame(list(files.items()), "path string, text string")
+    got = {r["file"]: r for r in op07_licenses.stated(spark, table.withColumn("file", table["path"])).collect()}
+    assert {p: (r["nearest"], r["nearest_cosine"]) for p, r in got.items()} == {p: (name, pytest.approx(c, abs=2e-6)) for p, (name, c) in near.items()} and len(near) > len(want)
+    got = {p: r for p, r in got.items() if r["license"]}
     assert {p: r["license"] for p, r in got.items()} == {p: name for p, (name, _) in want.items()} and len(want) > 100
     assert all(r["cosine"] == pytest.approx(want[p][1], abs=2e-6) for p, r in got.items())
     assert want["tag.c"][0] == "BSD-3-Clause" and want["asf.py"][0] == "Apache-2.0" and want["mit/LICENSE"][0] == "MIT"
