@@ -15,7 +15,6 @@ on to be refined to single suffixes.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, SpanHash, flat, mix, pieces, stored, table
+from .common import PIECE_BYTES, SpanHash, drop, flat, mix, pieces, stored, table
 
 Q, STEPS = 25, 4
 LENGTH = Q << STEPS
@@ -107,50 +106,43 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows apart that repeat a doc_id with other texts."""
-    return zlib.crc32(text) & 0xFFFF
-
-
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, span, b, c); span holds the first window start, the tag and how many more windows follow."""
+    """(doc_id, tk, span, b, c) of rows (doc_id, text, tk); span holds the first window start and how many more windows follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, at in pieces(batch, "text"):
-                tags = np.array([_tag(raw[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)], np.int64)
                 d, lo, hi, b, c = anchors(raw, at)
-                ids = rows.column(0).take(pa.array(d))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(lo << 24 | tags[d] << 8 | (hi - lo)), pa.array(b), pa.array(c)], names=["doc_id", "span", "b", "c"])
+                row = pa.array(d)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(row), rows.column(2).take(row), pa.array(lo << 8 | (hi - lo)), pa.array(b), pa.array(c)], names=["doc_id", "tk", "span", "b", "c"])
 
-    return docs.mapInArrow(run, "doc_id long, span long, b long, c long")
+    return docs.mapInArrow(run, "doc_id long, tk long, span long, b long, c long")
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """The bytes of each of the given spans of docs (doc_id, text, spans: array of (b, salt, hot, span, need))."""
+    """The bytes of each of the given spans of docs (doc_id, text, tk, spans: array of (b, salt, hot, span, need))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, edge = flat(batch.column(1))
-            out = {k: [] for k in ("b", "salt", "hot", "doc_id", "span", "need", "bytes")}
-            for i, spans in enumerate(batch.column(2).to_pylist()):
+            out = {k: [] for k in ("b", "salt", "hot", "doc_id", "tk", "span", "need", "bytes")}
+            for i, spans in enumerate(batch.column(3).to_pylist()):
                 text = raw[edge[i] : edge[i + 1]].tobytes()
-                tag, id = _tag(text), batch.column(0)[i].as_py()
+                key = {"doc_id": batch.column(0)[i].as_py(), "tk": batch.column(2)[i].as_py()}
                 for x in spans:
-                    if x["span"] >> 8 & 0xFFFF == tag:
-                        lo = x["span"] >> 24
-                        for k, v in (x | {"doc_id": id, "bytes": text[lo : lo + (x["span"] & 255) + LENGTH]}).items():
-                            out[k].append(v)
+                    lo = x["span"] >> 8
+                    for k, v in (x | key | {"bytes": text[lo : lo + (x["span"] & 255) + LENGTH]}).items():
+                        out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=_CONTEXT)
 
-    return docs.mapInArrow(run, "b long, salt int, hot boolean, doc_id long, span long, need boolean, bytes binary")
+    return docs.mapInArrow(run, "b long, salt int, hot boolean, doc_id long, tk long, span long, need boolean, bytes binary")
 
 
-_CONTEXT = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("span", pa.int64()), ("need", pa.bool_()), ("bytes", pa.binary())])
+_CONTEXT = pa.schema([("b", pa.int64()), ("salt", pa.int32()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("span", pa.int64()), ("need", pa.bool_()), ("bytes", pa.binary())])
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Refines the contexts of this partition, sorted by bucket, bucket by bucket: rows (done, k1, k2, doc_id, span, need).
+    """Refines the contexts of this partition, sorted by bucket, bucket by bucket: rows (done, k1, k2, doc_id, tk, span, need).
     Rows with done are repeats; the others are suffixes of split buckets that may have their equals in other partitions.
     A bucket part has about MEMBERS contexts, and small ones go together up to PIECE_BYTES, which bounds memory."""
     held: list[pa.RecordBatch] = []
@@ -162,7 +154,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         if edge[-1] < len(b):  # the last bucket may go on in the next batch
             held.extend(rows.slice(edge[-1]).to_batches())
-        size = np.r_[0, np.cumsum(pc.binary_length(rows.column(6)).to_numpy())]
+        size = np.r_[0, np.cumsum(pc.binary_length(rows.column(7)).to_numpy())]
         first = 0
         while first < len(edge) - 1:
             stop = max(first + 1, int(np.searchsorted(size[edge], size[edge[first]] + PIECE_BYTES, "right")) - 1)
@@ -182,8 +174,8 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _refined_rows(rows: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of whole buckets: rows is in their order, bucket numbers each row's."""
-    raw, at = flat(rows.column(6).combine_chunks().view(pa.string()))
-    ids, spans, hot, need = (rows.column(i).to_numpy() for i in (3, 4, 2, 5))
+    raw, at = flat(rows.column(7).combine_chunks().view(pa.string()))
+    ids, tks, spans, hot, need = (rows.column(i).to_numpy() for i in (3, 4, 5, 2, 6))
     start, place = refined(raw, at)
     row = np.searchsorted(at, start, "right") - 1
     key = np.unique(bucket[row] * (place.max(initial=0) + 1) + place, return_inverse=True)[1]
@@ -200,34 +192,38 @@ def _refined_rows(rows: pa.Table, bucket: np.ndarray) -> Iterator[pa.RecordBatch
     if len(later):
         k1[len(done) :] = names(raw, STEPS)[start[later]]
         k2[len(done) :] = SpanHash(raw, seed=3)(start[later], start[later] + LENGTH)
-    span = (spans[row] & ~np.int64(255)) + ((start - at[row]) << 24)
+    span = (spans[row] & ~np.int64(255)) + ((start - at[row]) << 8)
     for i in range(0, len(pick), 1 << 17):
         j = slice(i, i + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(flag[j]), pa.array(k1[j].view(np.int64)), pa.array(k2[j].view(np.int64)), pa.array(ids[row[pick[j]]]), pa.array(span[pick[j]]), pa.array(want[j])], names=["done", "k1", "k2", "doc_id", "span", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(flag[j]), pa.array(k1[j].view(np.int64)), pa.array(k2[j].view(np.int64)), pa.array(ids[row[pick[j]]]), pa.array(tks[row[pick[j]]]), pa.array(span[pick[j]]), pa.array(want[j])], names=["done", "k1", "k2", "doc_id", "tk", "span", "need"])
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the window starts of docs (doc_id, text) whose LENGTH bytes start anywhere else too."""
+    """(doc_id, tk, spans): the window starts of docs (doc_id, text, tk) whose LENGTH bytes start anywhere else too (stored).
+    A row is named by doc_id and tk, a hash of its text, so texts under one doc_id are apart."""
     rows = stored(spark, _anchor_rows(docs))
     buckets = rows.groupBy("b").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1")
     # written first, so that the join can split a bucket that holds many rows
     buckets = stored(spark, buckets.select("b", (F.col("c1") == F.col("c2")).alias("pure")))
     met = stored(spark, rows.join(buckets.hint("merge"), "b"))
-    mixed = met.where("NOT pure")
-    contexts = stored(spark, mixed.groupBy("b", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "span")).alias("one")))
-    whole = mixed.join(contexts.where("n > 1").select("b", "c"), ["b", "c"], "left_semi").select("doc_id", "span")
+    drop(rows, buckets)
+    mixed, place = met.where("NOT pure"), ("doc_id", "tk", "span")
+    contexts = stored(spark, mixed.groupBy("b", "c").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("one")))
+    whole = mixed.join(contexts.where("n > 1").select("b", "c"), ["b", "c"], "left_semi").select(*place)
     many = contexts.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     ends = contexts.join(many, "b").select(
-        F.col("one.doc_id").alias("doc_id"),
+        "one.doc_id", "one.tk",
         F.struct("b", F.pmod("c", F.col("parts")).cast("int").alias("salt"), (F.col("parts") > 1).alias("hot"), F.col("one.span").alias("span"), (F.col("n") == 1).alias("need")).alias("x"),
-    )
-    ends = docs.join(ends.groupBy("doc_id").agg(F.collect_list("x").alias("spans")), "doc_id").select("doc_id", "text", "spans")
-    suffixes = stored(spark, _contexts(ends).repartition("b", "salt").sortWithinPartitions("b", "salt").mapInArrow(_refine, "done boolean, k1 long, k2 long, doc_id long, span long, need boolean"))
+    )
+    ends = docs.join(ends.groupBy("doc_id", "tk").agg(F.collect_list("x").alias("spans")), ["doc_id", "tk"]).select("doc_id", "text", "tk", "spans")
+    suffixes = stored(spark, _contexts(ends).repartition("b", "salt").sortWithinPartitions("b", "salt").mapInArrow(_refine, "done boolean, k1 long, k2 long, doc_id long, tk long, span long, need boolean"))
     split = suffixes.where("NOT done")
     again = split.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
-    single = suffixes.where("done").select("doc_id", "span").unionByName(split.where("need").join(again, ["k1", "k2"], "left_semi").select("doc_id", "span"))
-    found = met.where("pure").select("doc_id", "span").unionByName(whole).unionByName(single)
-    return found.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    single = suffixes.where("done").select(*place).unionByName(split.where("need").join(again, ["k1", "k2"], "left_semi").select(*place))
+    found = met.where("pure").select(*place).unionByName(whole).unionByName(single)
+    out = stored(spark, found.groupBy("doc_id", "tk").agg(F.collect_list("span").alias("spans")))
+    drop(met, contexts, suffixes)
+    return out
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) -> DataFrame:
@@ -235,11 +231,12 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) -> Dat
 
     A byte goes if a string of LENGTH bytes covers it that also starts elsewhere, in this text or another; all strings
     are judged on the input. Null counts as empty; shorter texts keep everything; equal rows are each other's repeats,
-    also where they share a doc_id; a row without a doc_id goes by a hash of its text inside; empty tables are fine, and
+    also where they share a doc_id; rows without a doc_id, or with another's, are told apart by texts; empty tables are fine, and
     other columns are not read.
     """
     text, with_kept = F.coalesce("text", F.lit("")), kept
-    docs = docs.select(F.col("doc_id").cast("long").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc_id"), text.alias("text"))
+    tk = F.xxhash64(text)
+    docs = docs.select(F.col("doc_id").cast("long").alias("given"), F.coalesce(F.col("doc_id").cast("long"), tk).alias("doc_id"), text.alias("text"), tk.alias("tk"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +248,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) -> Dat
                 kept, removed, n = text, 0, 0
                 if spans[i].is_valid:
                     s = np.array(spans[i].as_py(), np.int64)
-                    s = s[s >> 8 & 0xFFFF == _tag(text.tobytes())]
                     depth = np.zeros(len(text) + 1, np.int64)
-                    np.add.at(depth, s >> 24, 1)
-                    np.add.at(depth, (s >> 24) + (s & 255) + LENGTH, -1)
+                    np.add.at(depth, s >> 8, 1)
+                    np.add.at(depth, (s >> 8) + (s & 255) + LENGTH, -1)
                     gone = np.cumsum(depth)[:-1] > 0
                     kept, removed = text[~gone], int(gone.sum())
                     n = int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
@@ -264,7 +260,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, kept: bool = True) -> Dat
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **out})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return docs.join(repeated_spans(spark, docs.select("doc_id", "text")), "doc_id", "left").select("given", "text", "spans").mapInArrow(cut, schema)
+    return docs.join(repeated_spans(spark, docs.select("doc_id", "text", "tk")), ["doc_id", "tk"], "left").select("given", "text", "spans").mapInArrow(cut, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
