@@ -34,7 +34,8 @@ _AT, _SIGN = (_index % np.uint64(DIM)).astype(np.int64), np.where(_index >> np.u
 
 
 def held_out(id="doc_id"):
-    return F.crc32(F.col(id).cast("string")) % 5 == 0
+    """Rows without an id are held out too."""
+    return F.coalesce(F.crc32(F.col(id).cast("string")) % 5 == 0, F.lit(True))
 
 
 def _tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +147,9 @@ def features(docs: DataFrame, vectors) -> DataFrame:
 
 
 def train(spark: SparkSession, pooled: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
-    """A network from the rows of pooled that labels marks; about TRAIN_ROWS of them come to the driver."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).dropDuplicates(["doc_id"])
+    """A network from the rows of pooled that labels marks; about TRAIN_ROWS of them come to the driver. A document that is
+    labelled twice has the lower label."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30))
     known = known.where(draw < F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / max(1, n)))))

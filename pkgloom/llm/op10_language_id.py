@@ -60,7 +60,9 @@ def train(rows: DataFrame) -> dict[str, bytes]:
 
 def letters(text: str) -> str:
     """The letters of text in lower case, runs of anything else as one space."""
-    return _OTHER.sub(" ", text.lower()).strip()
+    out = _OTHER.sub(" ", text.lower()).strip()
+    # word characters that are no letters: number signs such as ½, ² and Ⅷ
+    return out if out.replace(" ", "").isalpha() else " ".join("".join(c if c.isalpha() else " " for c in out).split())
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
