@@ -185,6 +185,8 @@ def similar(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     rows = stored(spark, _sets(docs, width, percent, order))
     # equal sets have equal prefixes, so any row's prefix stands for its class, and any class's for its group
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min(_one()).alias("one"), *(F.first(c).alias(c) for c in ("p1", "p2", "prefix")))
+    # numbers in the order of the rows: the first row of many near copies is mostly what they were made from, and leads them
+    classes = classes.repartitionByRange("one.none", "one.id", "one.tk").sortWithinPartitions("one.none", "one.id", "one.tk")
     classes = stored(spark, classes.withColumn("rep", F.monotonically_increasing_id()))
     group = classes.groupBy("p1", "p2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"))
     group = stored(spark, group)
