@@ -36,7 +36,7 @@ CHUNK = 3_000_000
 #: A chunk's distinct pairs that are shuffled as one batch.
 BATCH = 100_000
 #: Moves, and words with their B ids, that are kept before the memos start anew.
-MEMO, WORDS = 2_000_000, 300_000
+MEMO, WORDS = 2_000_000, 600_000
 #: Groups with more links than this count their distinct tokens first.
 WIDE = 4_096
 #: Bits of a B id in a pair.
@@ -88,7 +88,8 @@ class Tools:
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
         #: without a piece that has a space after another character, B's tokens of a word don't depend on the words beside it
         self.by_words = all("▁" not in p.lstrip("▁") for p in piece)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """B ids of each text. Words between single spaces are encoded once and kept, as B puts a space before each by itself;
@@ -98,21 +99,23 @@ class Tools:
         out = dict(zip(whole, self.b.encode([texts[i] for i in whole], num_threads=1), strict=True)) if whole else {}
         own = set().union(*(words for i, words in enumerate(cut) if i not in out))
         new = [w for w in own if w not in self.words]
-        self.words.update(zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True))
+        self.words.update(zip(new, map(tuple, self.b.encode(new, num_threads=1) if new else []), strict=True))
         known = self.words
         found = [out[i] if i in out else list(chain.from_iterable([known[w] for w in words])) for i, words in enumerate(cut)]
         if len(known) > WORDS:
             self.words = {}
         return found
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, list[int]]]:
         """A ids and B ids of each text with a space before it; none where the text is null or empty, or A spells other bytes."""
         full = [i for i, t in enumerate(texts) if t]
-        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
+        none = np.zeros(0, np.int64)
+        out: list[tuple[np.ndarray, list[int]]] = [(none, [])] * len(texts)
         for i, b in zip(full, self.encode_b([texts[i] for i in full]), strict=True):
             text = f" {texts[i]}"
-            a = self.a.encode_ordinary(text)
-            if self.a.decode_bytes(a) == text.encode():
+            a = self.a.encode_to_numpy(text, disallowed_special=())
+            # tokens are pieces of the text in order, so they spell it if they are as long
+            if self.a_sizes[a].sum() == len(text.encode()):
                 out[i] = (a, b)
         return out
 
@@ -269,14 +272,14 @@ def _chunk(number: int, docs: list[dict], pair: list[np.ndarray], times: list[np
     return pa.RecordBatch.from_pylist([row], schema=_CHUNK)
 
 
-def aligned_texts(tools: Tools, texts: list[str | None]) -> list[tuple[list[int], list[int], list[str], list[tuple[int, int, int]]]]:
+def aligned_texts(tools: Tools, texts: list[str | None]) -> list[tuple[np.ndarray, list[int], list[str], list[tuple[int, int, int]]]]:
     """A ids, B ids, and of the transducer the groups' names and which are wide; all empty for a text without tokens."""
     out = []
     for a, b in tools.encode(texts):
         try:
-            out.append((a, b, *tools.transducer.groups(a, b)))
+            out.append((a, b, *tools.transducer.groups(a.tolist(), b)))
         except Mismatch:
-            out.append(([], [], [], []))
+            out.append((a[:0], [], [], []))
     return out
 
 
@@ -291,7 +294,7 @@ def chunks(docs: DataFrame, vocabularies: Broadcast) -> DataFrame:
                 found = aligned_texts(tools, some.column(1).to_pylist())
                 n_groups = np.array([len(f[2]) for f in found], np.int64)
                 doc = np.repeat(np.arange(len(found)), n_groups)
-                ids = (np.concatenate([np.array(f[k], np.int64) for f in found]) for k in (0, 1))
+                ids = (np.concatenate([np.asarray(f[k], np.int64) for f in found]) for k in (0, 1))
                 which, own, many = links(*ids, *group_sizes(n_groups, [f[3] for f in found]), doc)
                 edge = np.searchsorted(which, np.arange(len(found) + 1))
                 for k, (doc_id, f) in enumerate(zip(some.column(0).to_pylist(), found, strict=True)):
@@ -393,7 +396,7 @@ def aligned(spark: SparkSession, docs: DataFrame, folder: str = VOCABULARIES, na
                     for g in range(len(names)):
                         p, q = sizes.get(g, (1, 1))
                         end = start + sum(len(tools.a_bytes[x]) for x in a[i : i + p])
-                        found.append({"start": start, "end": end, "a": a[i : i + p], "b": b[j : j + q]})
+                        found.append({"start": start, "end": end, "a": a[i : i + p].tolist(), "b": b[j : j + q]})
                         start, i, j = end, i + p, j + q
                     out.append({"doc_id": doc_id, "groups": found})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
