@@ -14,25 +14,102 @@ CODENAMES = {"24.04": "noble", "22.04": "jammy", "20.04": "focal", "18.04": "bio
 _OBJECT = "map<string,string>"
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    """docs (rosdep_key, doc: a JSON object by platform) as rules.
+def rule_payloads(docs: DataFrame, *ids: str) -> DataFrame:
+    """docs (ids, rosdep_key, doc: a JSON object by platform) as (ids, rosdep_key, platform, os_version, package_manager,
+    packages: a list, null where the document says null).
 
     A platform's value is a list (any version, its default manager), an object of managers (any version), an object of
     versions (each a list, an object of managers or null) or null (unavailable). Under '*' only pip counts. Other values,
-    such as bare strings, make no rule.
+    such as bare strings, make no rule. A version whose object has no known manager has neither manager nor packages.
     """
-    rows = docs.select("rosdep_key", F.explode(F.from_json("doc", _OBJECT)).alias("platform", "v")).withColumn("m", F.from_json("v", _OBJECT))
+    place = [*ids, "rosdep_key", "platform", "os_version"]
+    rows = docs.select(*ids, "rosdep_key", F.explode(F.from_json("doc", _OBJECT)).alias("platform", "v")).withColumn("m", F.from_json("v", _OBJECT))
     whole = F.col("v").isNull() | F.col("v").startswith("[") | (F.col("platform") == "*") | F.exists(F.map_keys("m"), is_manager)
     rows = rows.withColumn("m", F.when(whole, F.create_map(F.lit("*"), F.col("v"))).otherwise(F.col("m")))
-    rows = rows.select("rosdep_key", "platform", F.explode("m").alias("os_version", "w"))
+    rows = rows.select(*ids, "rosdep_key", "platform", F.explode("m").alias("os_version", "w"))
     allowed = lambda k, _: is_manager(k) & ((F.col("platform") != "*") | (k == "pip"))
     by_manager = F.when(F.col("w").startswith("["), F.create_map(default_manager(F.col("platform")), F.col("w"))).otherwise(F.map_filter(F.from_json("w", _OBJECT), allowed))
-    none = rows.where("w IS NULL").select("rosdep_key", "platform", "os_version", default_manager(F.col("platform")).alias("package_manager"), F.lit(None).cast("string").alias("package"), F.lit(True).alias("is_null"))
-    some = rows.where("w IS NOT NULL").select("rosdep_key", "platform", "os_version", F.explode(by_manager).alias("package_manager", "x"))
+    none = rows.where("w IS NULL").select(*place, default_manager(F.col("platform")).alias("package_manager"), F.lit(None).cast("array<string>").alias("packages"))
+    some = rows.where("w IS NOT NULL AND (platform <> '*' OR os_version <> '*' OR size(map_filter(from_json(w, 'map<string,string>'), (k, v) -> k = 'pip')) > 0)")
+    some = some.select(*place, F.explode_outer(by_manager).alias("package_manager", "x"))
     inner = F.from_json("x", _OBJECT)
     payload = F.when(F.col("x").startswith("["), F.col("x")).otherwise(F.coalesce(inner["packages"], F.get(F.map_values(inner), F.lit(0))))
-    some = some.withColumn("package", F.explode(F.from_json(payload, "array<string>"))).select("rosdep_key", "platform", "os_version", "package_manager", "package", F.lit(False).alias("is_null"))
-    return none.unionByName(some)
+    return none.unionByName(some.select(*place, "package_manager", F.from_json(payload, "array<string>").alias("packages")))
+
+
+def normalised(docs: DataFrame) -> DataFrame:
+    """docs (rosdep_key, doc) as rules, one row for each package of rule_payloads(), and one for each null."""
+    rows = rule_payloads(docs).where("package_manager IS NOT NULL").select("*", F.col("packages").isNull().alias("is_null"))
+    place = ["rosdep_key", "platform", "os_version", "package_manager"]
+    none = rows.where("is_null").select(*place, F.lit(None).cast("string").alias("package"), "is_null")
+    return none.unionByName(rows.where("NOT is_null").select(*place, F.explode("packages").alias("package"), "is_null"))
+
+
+def loaded(entries: DataFrame) -> DataFrame:
+    """(rosdep_key, doc) of entries (load_ord, name, doc) of rule files: a key has the document of the last file."""
+    rows = entries.where("name IS NOT NULL").groupBy(F.col("name").alias("rosdep_key")).agg(F.max_by(F.struct("doc"), F.struct("load_ord", "doc"))["doc"].alias("doc"))
+    return rows
+
+
+def distribution_rules(entries: DataFrame) -> DataFrame:
+    """Rules (rosdep_key, platform, os_version, package_manager, package, is_null, source_key) of distribution files, whose
+    entries (load_ord, section, name, doc) are split by release_platforms and repositories.
+
+    Each package of a repository (of its release; without any the repository itself) is a key, with - for _, that every
+    platform and version of the file's platforms has under its own name, and osx by the repository's. Of a key that several
+    repositories have the last one counts.
+    """
+    # fixed values: managers of the platforms; all others have apt
+    managers = {"ubuntu": "apt", "debian": "apt", "fedora": "dnf", "rhel": "yum", "opensuse": "zypper", "gentoo": "portage", "arch": "pacman", "osx": "brew", "freebsd": "pkg_add", "cygwin": "apt-cyg"}
+    packages = F.coalesce(F.from_json("doc", "release struct<packages:array<string>>")["release"]["packages"], F.array("name"))
+    keys = entries.where("section = 'repositories'").select("load_ord", F.col("name").alias("source_key"), F.explode(packages).alias("p"))
+    keys = keys.groupBy("load_ord", F.translate("p", "_", "-").alias("rosdep_key")).agg(F.max("source_key").alias("source_key"))
+    platforms = entries.where("section = 'release_platforms'").groupBy("load_ord").agg(F.collect_list(F.struct(F.col("name").alias("platform"), F.from_json("doc", "array<string>").alias("versions"))).alias("ps"))
+    # a file's platforms are a short list, and travel with its keys
+    rows = keys.join(platforms, "load_ord", "left")
+    own = F.flatten(F.transform("ps", lambda p: F.transform(p["versions"], lambda v: F.struct(p["platform"].alias("platform"), v.alias("os_version"), F.col("rosdep_key").alias("package")))))
+    osx = F.array(F.struct(F.lit("osx").alias("platform"), F.lit("*").alias("os_version"), F.col("source_key").alias("package")))
+    rows = rows.select("rosdep_key", "source_key", F.inline(F.concat(osx, F.coalesce(own, F.array().cast("array<struct<platform:string,os_version:string,package:string>>")))))
+    manager = F.coalesce(F.create_map(*(F.lit(x) for kv in managers.items() for x in kv))[F.col("platform")], F.lit("apt"))
+    return rows.select("rosdep_key", "platform", "os_version", manager.alias("package_manager"), "package", F.lit(False).alias("is_null"), "source_key")
+
+
+def repositories(entries: DataFrame) -> DataFrame:
+    """(load_ord, name, status, source_url, version, packages) of the repositories of distribution files; a status is
+    unknown where none is stated, and a repository without a list of packages is one itself."""
+    kind = "status string, source struct<url:string,version:string>, release struct<url:string,version:string,packages:array<string>>"
+    rows = entries.where("section = 'repositories'").select("load_ord", "name", F.from_json("doc", kind).alias("r"))
+    return rows.select("load_ord", "name", F.coalesce("r.status", F.lit("unknown")).alias("status"), F.col("r.source.url").alias("source_url"), F.col("r.release.version").alias("version"), F.coalesce("r.release.packages", F.array("name")).alias("packages"))
+
+
+def assembled(entries: DataFrame, distribution: DataFrame) -> DataFrame:
+    """Rules of rule files and then of distribution files, with from_distribution: a key of the latter replaces the former's."""
+    last = distribution_rules(distribution)
+    plain = normalised(loaded(entries).join(last.select("rosdep_key").distinct(), "rosdep_key", "left_anti"))
+    return plain.withColumn("from_distribution", F.lit(False)).unionByName(last.drop("source_key").withColumn("from_distribution", F.lit(True)))
+
+
+def documents(texts: DataFrame) -> DataFrame:
+    """(change_id, rosdep_key, doc) of texts (change_id, text) in YAML; what is no mapping has none."""
+    from ..sources import yaml_index
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, keys, docs = [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = yaml_index.entries(text or "")
+                except ValueError:
+                    continue
+                for _, name, _, doc in found:
+                    ids.append(i)
+                    keys.append(name)
+                    docs.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(docs, pa.string())], names=["change_id", "rosdep_key", "doc"])
+
+    return texts.select(F.col("change_id").cast("long"), "text").mapInArrow(run, "change_id long, rosdep_key string, doc string")
 
 
 def replaced(name: Column, os_name: Column, os_version: Column, replacements: dict[tuple[str, str], dict[str, str]]) -> Column:

@@ -16,18 +16,24 @@ def default_manager(platform: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in MANAGERS.items() for x in kv))[platform], F.lit("apt"))
 
 
+#: Targets that may be broadcast.
+MOST_TARGETS = 10_000
+
+
 def lookup(rules: DataFrame, targets: DataFrame) -> DataFrame:
     """Every key and target (os_name, os_version) with state and packages.
 
     state is NULL (nothing said), EMPTY (said to be unavailable) or LISTED. A platform's own rules come before those of
-    '*', and within the platform that applies its version before '*'.
+    '*', and within the platform that applies its version before '*'. Every key is answered for every target, which are a
+    configuration's short list and are broadcast while they are (MOST_TARGETS).
     """
     listed = rules.groupBy("rosdep_key", "platform", "os_version").agg(
         F.array_sort(F.collect_set(F.when(~F.col("is_null"), F.col("package")))).alias("packages"), F.min("package_manager").alias("package_manager")
     )
     keys = rules.select("rosdep_key").distinct()
     has = rules.select("rosdep_key", F.col("platform").alias("os_name"), F.lit(1).alias("own")).distinct()
-    want = keys.join(targets, how="cross").join(has, ["rosdep_key", "os_name"], "left")
+    few = targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS
+    want = keys.crossJoin(F.broadcast(targets) if few else targets).join(has, ["rosdep_key", "os_name"], "left")
     want = want.withColumn("platform", F.when(F.col("own").isNotNull(), F.col("os_name")).otherwise("*"))
     tries = want.withColumn("v", F.explode(F.array(F.struct(F.lit(0).alias("prio"), F.col("os_version").alias("version")), F.struct(F.lit(1).alias("prio"), F.lit("*").alias("version")))))
     hit = tries.join(listed.withColumnRenamed("os_version", "r_version"), (tries.rosdep_key == listed.rosdep_key) & (tries.platform == listed.platform) & (F.col("v.version") == F.col("r_version")), "left").select(

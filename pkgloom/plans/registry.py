@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import catalog, domain, packages, relational, scans
+from . import catalog, changes, domain, packages, relational, scans
+
+_ALL = domain.ALL | packages.ALL | catalog.ALL | scans.ALL | changes.ALL
 
 
 def queries() -> dict:
-    return relational.queries() | {name: f for name, (f, _) in (domain.ALL | packages.ALL | catalog.ALL | scans.ALL).items()}
+    return relational.queries() | {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return relational.oracle_sql() | {name: sql for name, (_, sql) in (domain.ALL | packages.ALL | catalog.ALL | scans.ALL).items() if sql}
+    return relational.oracle_sql() | {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -11,12 +11,19 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return block_fields(spark.read.option("lineSep", "\n\n").text(path))
 
 
+def last_of_each(pairs: Column) -> Column:
+    """Pairs (k, v) as a map; of equal keys the last one counts, as a map with an equal key twice would end the scan."""
+    later = F.transform(F.sequence(F.lit(0), F.size("pairs")), lambda i: F.transform(F.slice("pairs", i + 2, F.size("pairs")), lambda x: x["k"]))
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.array_contains(F.get(later, i), x["k"])))
+
+
 def block_fields(text: DataFrame) -> DataFrame:
-    """value (a block) as fields: map of name to value; lines that begin with white space go on with the field above."""
+    """value (a block) as fields: map of name to value; lines that begin with white space go on with the field above, and of
+    a field that comes twice the last one counts."""
     lines = F.split(F.regexp_replace("value", r"\n[ \t]+", "\u0001"), "\n")
     lines = F.filter(lines, lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.translate(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "\u0001", "\n").alias("v")))
-    return text.withColumn("fields", F.map_from_entries(pairs)).where(F.size("fields") > 0)
+    return text.withColumn("pairs", pairs).withColumn("fields", last_of_each(F.col("pairs"))).drop("pairs").where(F.size("fields") > 0)
 
 
 def debian_packages(blocks: DataFrame) -> DataFrame:
@@ -118,10 +125,10 @@ def apk_packages(blocks: DataFrame) -> DataFrame:
 
 
 def sections(text: DataFrame) -> DataFrame:
-    """value (%KEY% lines, each followed by its values) as fields: map of key to its list of values."""
+    """value (%KEY% lines, each followed by its values) as fields: map of key to its list of values, of a key that comes twice the last."""
     lines = F.filter(F.split(F.regexp_replace("value", r"(?m)^%([A-Z0-9]+)%$", "\u0001$1"), "\u0001"), lambda x: x.rlike("^[A-Z0-9]+\n"))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("k"), F.filter(F.slice(F.split(x, "\n"), 2, 1 << 30), lambda v: v != "").alias("v")))
-    return text.withColumn("fields", F.map_from_entries(pairs))
+    return text.withColumn("pairs", pairs).withColumn("fields", last_of_each(F.col("pairs"))).drop("pairs")
 
 
 def pacman_packages(sections: DataFrame) -> DataFrame:
