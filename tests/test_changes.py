@@ -131,3 +131,31 @@ def test_blocks_with_a_field_twice(spark):
     text = spark.createDataFrame([("Package: a\nVersion: 1\nVersion: 2\nPackage: b",), ("%NAME%\nx\n\n%NAME%\ny\nz\n",)], "value string")
     assert [r["fields"] for r in formats.block_fields(text.limit(1)).collect()] == [{"Version": "2", "Package": "b"}]
     assert formats.sections(text).collect()[1]["fields"] == {"NAME": ["y", "z"]}
+
+
+def test_set_join_and_containment(spark, monkeypatch):
+    """Shared files and contained texts against all pairs, with nulls, ties, hot files and short needles."""
+    from pkgloom.operators import resolve
+
+    monkeypatch.setattr(resolve, "MEET", 3)
+    rng = random.Random(4)
+    lists = [None, [], ["a"], ["a", None, "a"], [None], ["a", "b"], ["b", "c", "d"], ["d", "e"], ["z"]]
+    probes = [(i, rng.choice(lists)) for i in range(40)] + [(3, ["a", "e"]), (None, ["a"])]
+    entries = [(rng.choice(["x", "y"]), "1", "", rng.randrange(2), i, rng.choice("pqrs"), rng.choice(lists)) for i in range(60)]
+    got = resolve.shared_files(spark.createDataFrame(probes, "probe_id long, filelist array<string>"), spark.createDataFrame(entries, "os_name string, os_version string, os_arch string, source_ord int, row_ord int, name string, filelist array<string>"))
+    want = set()
+    for i, own in probes:
+        met = {}
+        for o, v, a, so, ro, n, files in entries:
+            if both := ({*(own or [])} & {*(files or [])}) - {None}:
+                first, shared = met.get((o, v, a, n), ((so, ro), set()))
+                met[o, v, a, n] = (min(first, (so, ro)), shared | both)
+        want |= {(i, *k, *first, len(shared)) for k, (first, shared) in met.items()}
+    assert sorted(map(repr, {tuple(r) for r in got.collect()})) == sorted(map(repr, want))
+    needles = [None, "", " ", "none", "A", "ab", "abc", "Abcd", "x abc y", "bc de", "é", " long needle here ", "dle her", "unknown", "b", "~"]
+    texts = [None, "", "abc", "ABCDE", "xx abc yy", "x abc y", "abc de", "a long needle here too", "é", "ab cd", "unknown a", "~ b"] * 2
+    left, right = (spark.createDataFrame(list(enumerate(x)), f"{n} int, {n}t string") for x, n in ((needles, "i"), (texts, "j")))
+    found = sorted((r["i"], r["j"]) for r in resolve.contained(left, right, "it", "jt").collect())
+    tidy = lambda s: s.strip(" ").lower()
+    assert found == sorted((i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n and t is not None and tidy(n) not in ("", "none", "unknown") and tidy(n) in tidy(t))
+    assert resolve.contained(left.limit(0), right, "it", "jt").count() == 0 and resolve.contained(left, right.limit(0), "it", "jt").count() == 0
