@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..sources.shared import drop, stored
 from . import mapping, resolve, select
 
 TARGET = ["src_name", "bin_name", "description", "filelist"]
@@ -56,9 +57,9 @@ def candidates(targets: DataFrame, entries: DataFrame, projects: DataFrame | Non
     return found.select(F.col("probe_id").alias("target_id"), "prio", F.array("tag").alias("source"), "source_ord", "row_ord", *place).join(rows, [*place, "source_ord", "row_ord"])
 
 
-def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None, w: float = 0.7, k: int = 1) -> DataFrame:
-    """(baseline_id, repo_name, repo_version, bin_name, score, rank): the best k packages of every repository for each of
-    the baselines (baseline_id, src_name, bin_name, description, filelist[, repo])."""
+def measured(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every candidate of the baselines' targets with what its score is made of (first, second, coverage; baseline_id is
+    the target), and (baseline_id, target_id). The weight doesn't matter here."""
     if projects is None:
         targets, members = distinct_targets(baselines)
     else:
@@ -73,6 +74,27 @@ def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None
     names = select.name_features(entries.select(F.col("source_name").alias("src_name"), F.col("binary_name").alias("bin_name")).union(targets.select("src_name", "bin_name")))
     own = targets.join(names, ["src_name", "bin_name"], "left").select(F.col("target_id").alias("baseline_id"), *(F.col(c).alias(f"t_{c}") for c in ("description", "filelist", *features)))
     theirs = merged.join(names, ["src_name", "bin_name"], "left").select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", *(F.col(c).alias(f"c_{c}") for c in ("description", "filelist", "source", *features)))
-    scored = theirs.join(own, "baseline_id").withColumns({"score": F.round(select.score(w), 6), "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist"))})
+    first, second = select.parts()
+    out = theirs.join(own, "baseline_id").withColumns({"first": first, "second": second, "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist"))})
+    return out.select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", "first", "second", "coverage"), members
+
+
+def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None, w: float = 0.7, k: int = 1) -> DataFrame:
+    """(baseline_id, repo_name, repo_version, bin_name, score, rank): the best k packages of every repository for each of
+    the baselines (baseline_id, src_name, bin_name, description, filelist[, repo])."""
+    rows, members = measured(baselines, entries, projects)
+    scored = rows.withColumn("score", F.round(select.weighed(w, F.col("first"), F.col("second")), 6))
     best = select.top_k(scored, k).select(F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
     return members.join(best, "target_id").drop("target_id")
+
+
+def sweep(baselines: DataFrame, entries: DataFrame, weights: list[float], projects: DataFrame | None = None, k: int = 1) -> DataFrame:
+    """detect() for each of the weights, as column w: candidates are found and measured once, and stored; a weight costs a
+    sum and a rank. The stored table goes once the result, which is stored too, is there."""
+    rows, members = measured(baselines, entries, projects)
+    kept = stored(rows)
+    scored = kept.withColumn("w", F.explode(F.array(*map(F.lit, weights)))).withColumn("score", F.round(select.weighed(F.col("w"), F.col("first"), F.col("second")), 6))
+    best = select.top_k(scored, k, ("w",)).select("w", F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
+    out = stored(members.join(best, "target_id").drop("target_id"))
+    drop(kept)
+    return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_name, plain_variants, roles, variant_seeds, variant_templates
+from ..sources.shared import stored
 from .rules import default_manager, is_manager
 
 # fixed values: releases by number
@@ -74,6 +75,41 @@ def distribution_rules(entries: DataFrame) -> DataFrame:
     return rows.select("rosdep_key", "platform", "os_version", manager.alias("package_manager"), "package", F.lit(False).alias("is_null"), "source_key")
 
 
+#: What reports call the version of a package that names none.
+_GENERAL = "general"
+
+
+def entry_documents(tables: DataFrame) -> DataFrame:
+    """One entry for each group of tables (group_id, repo_key, ord, package): group_id, rosdep_key, doc, issues.
+
+    The key is the package of ubuntu, ubuntu_jammy, _focal, _bionic, _noble, in this order, else the first. A platform is
+    the repository's key up to _, its version what follows. A platform whose versions all have the same packages, or that
+    names no version, is a list, others an object of versions. With a pypi repository, supported platforms that the group
+    has no package for get pip. issues name platforms that are not known. Rows without a package count for nothing.
+    """
+    # fixed values: platforms of entries by the names of repositories
+    platforms = {p: p for p in ("ubuntu", "debian", "fedora", "rhel", "arch", "gentoo", "opensuse", "nixos", "alpine", "freebsd", "osx", "macports", "openembedded")} | {"centos": "rhel", "homebrew": "osx"}
+    first = ("ubuntu", "ubuntu_jammy", "ubuntu_focal", "ubuntu_bionic", "ubuntu_noble")
+    rows = tables.where("coalesce(package, '') <> ''")
+    rank = F.coalesce(F.create_map(*(F.lit(x) for i, k in enumerate(first) for x in (k, i)))[F.col("repo_key")], F.lit(len(first)))
+    named = rows.groupBy("group_id").agg(F.min_by("package", F.struct(rank, "ord", "package")).alias("rosdep_key"), F.max(F.when(F.lower("repo_key") == "pypi", F.col("package"))).alias("pip"))
+    parts = F.split(F.lower("repo_key"), "_")
+    system = rows.where("lower(repo_key) <> 'pypi'").select("group_id", F.create_map(*(F.lit(x) for kv in platforms.items() for x in kv))[parts[0]].alias("platform"), parts[0].alias("own"), F.coalesce(F.get(parts, F.lit(1)), F.lit(_GENERAL)).alias("version"), "ord", "package")
+    # of a version the last package counts, of none all, in their order
+    in_order = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]))
+    lists = system.where("platform IS NOT NULL").groupBy("group_id", "platform", "version").agg(F.when(F.col("version") == _GENERAL, in_order).otherwise(F.array(F.max_by("package", F.struct("ord", "package")))).alias("p"))
+    each = lists.groupBy("group_id", "platform").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("version", "p")))).alias("vs"), F.count_distinct("p").alias("n"), F.min("p").alias("p"))
+    doc = F.when(F.col("n") == 1, F.to_json("p")).otherwise(F.to_json("vs"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("platform", doc.alias("d")))), lambda x: F.concat(F.to_json(F.array(x["platform"])).substr(F.lit(2), F.length(x["platform"]) + 2), F.lit(":"), x["d"])), ",")
+    whole = each.groupBy("group_id").agg(body.alias("body"), F.count("*").alias("n_platforms"))
+    unknown = system.where("platform IS NULL").groupBy("group_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("Unknown distribution: "), "own"))).alias("issues"))
+    out = named.join(whole, "group_id", "left").join(unknown, "group_id", "left")
+    pip = F.when(F.col("pip").isNotNull(), F.concat(F.lit('"*":{"pip":{"packages":'), F.to_json(F.array("pip")), F.lit("}}")))
+    text = F.concat(F.lit("{"), F.concat_ws(",", pip, "body"), F.lit("}"))
+    issues = F.coalesce("issues", F.array().cast("array<string>"))
+    return out.select("group_id", "rosdep_key", text.alias("doc"), F.when(text == "{}", F.array(F.lit("Entry is empty"))).otherwise(issues).alias("issues"))
+
+
 def repositories(entries: DataFrame) -> DataFrame:
     """(load_ord, name, status, source_url, version, packages) of the repositories of distribution files; a status is
     unknown where none is stated, and a repository without a list of packages is one itself."""
@@ -144,6 +180,18 @@ def either_key(probes: DataFrame, entries: DataFrame, separator: str) -> DataFra
     return keys(probes, "probe_id").join(keys(entries, "row_ord"), "k").groupBy("probe_id").agg(F.min("row_ord").alias("found"))
 
 
+def _seeds(names: DataFrame) -> DataFrame:
+    """(name, s): the names that a name's spellings start from: itself and what is left of it without versions, and of that
+    again, until nothing new is left."""
+    out = level = names.select("name").where("name IS NOT NULL").distinct().withColumn("s", F.col("name"))
+    while True:
+        more = level.select("name", F.explode(variant_seeds(F.col("s"))).alias("s")).distinct()
+        more = stored(more.join(out, ["name", "s"], "left_anti"))
+        if more.isEmpty():
+            return out
+        out, level = out.unionByName(more), more
+
+
 def name_variants(names: DataFrame, id_col: str) -> DataFrame:
     """(id_col, variant): the spellings that packagings of other kinds and distributions may give each name of names.
 
@@ -151,10 +199,11 @@ def name_variants(names: DataFrame, id_col: str) -> DataFrame:
     """
     table = [(role, t) for role, texts in sorted(variant_templates().items()) for t in texts]
     spelt = F.broadcast(names.sparkSession.createDataFrame(table, "role string, t string"))
-    seeds = names.select(id_col, F.explode(variant_seeds(F.col("name"))).alias("s")).withColumn("base", clean_name(F.col("s")))
-    by_role = seeds.where("base <> ''").select(id_col, "base", F.explode(roles(F.col("s"))).alias("role")).join(spelt, "role")
-    plain = seeds.select(id_col, F.explode(plain_variants(F.col("s"), F.col("base"))).alias("variant"))
-    return plain.union(by_role.select(id_col, F.replace("t", F.lit("%"), F.col("base")))).distinct()
+    seeds = _seeds(names).withColumn("base", clean_name(F.col("s")))
+    by_role = seeds.where("base <> ''").select("name", "base", F.explode(roles(F.col("s"))).alias("role")).join(spelt, "role")
+    plain = seeds.select("name", F.explode(plain_variants(F.col("s"), F.col("base"))).alias("variant"))
+    variants = plain.union(by_role.select("name", F.replace("t", F.lit("%"), F.col("base")))).distinct()
+    return names.select(id_col, "name").join(variants, "name").select(id_col, "variant").distinct()
 
 
 def pip_counterparts(keys: DataFrame) -> DataFrame:
@@ -167,24 +216,30 @@ def pip_counterparts(keys: DataFrame) -> DataFrame:
     return rows.select("rosdep_key", F.posexplode(F.array(*(F.concat(x, F.lit("-pip")) for x in tries))).alias("ord", "counterpart"))
 
 
-def suggestions(keys: DataFrame, entries: DataFrame, depth: int = 4) -> DataFrame:
+def suggestions(keys: DataFrame, entries: DataFrame) -> DataFrame:
     """(key, suggestion): of the names that a key's spelling leads to, the first that entries (name) has.
 
-    A path of digits, one a step, orders the names: a name comes before those it leads to, and these in their order.
+    A path of digits, one a step, orders the names: a name comes before those it leads to, and these in their order. Steps
+    go on until they lead to nothing new; a name that comes again counts only by a path before the one it is known by,
+    which the paths of a circle never are.
     """
-    k, out = F.col("k"), keys.select("key", F.col("key").alias("k"), F.lit("").alias("path"))
+    k = F.col("k")
     step = lambda i, when, to: F.when(when, F.struct(to.alias("k"), F.concat("path", F.lit(str(i))).alias("path")))
     cut = lambda n: F.expr(f"substring(k, 1, length(k) - {n})")
     py, number = F.regexp_extract("k", "^python([0-9])-(.+)$", 2), F.regexp_extract("k", "^python([0-9])-", 1)
     dist = lambda s: F.concat(F.lit("python"), number, F.lit("dist("), s, F.lit(")"))
-    level = out
-    for _ in range(depth):
-        more = F.array(
-            step(1, k.endswith("-dev"), F.concat(cut(4), F.lit("-devel"))), step(2, k.startswith("lib"), F.substring("k", 4, 1 << 20)),
-            step(3, k.endswith("-devel"), F.concat(F.lit("cmake("), cut(6), F.lit(")"))), step(4, k.endswith("-devel"), F.concat(F.lit("pkgconfig("), cut(6), F.lit(")"))),
-            step(5, py != "", dist(py)), step(6, py.contains("-"), dist(F.translate(py, "-", "_"))),
-        )
-        level = level.select("key", F.explode(F.array_compact(more)).alias("x")).select("key", "x.k", "x.path")
+    more = F.array(
+        step(1, k.endswith("-dev"), F.concat(cut(4), F.lit("-devel"))), step(2, k.startswith("lib"), F.substring("k", 4, 1 << 20)),
+        step(3, k.endswith("-devel"), F.concat(F.lit("cmake("), cut(6), F.lit(")"))), step(4, k.endswith("-devel"), F.concat(F.lit("pkgconfig("), cut(6), F.lit(")"))),
+        step(5, py != "", dist(py)), step(6, py.contains("-"), dist(F.translate(py, "-", "_"))),
+    )
+    out = level = keys.select("key", F.col("key").alias("k"), F.lit("").alias("path")).where("key IS NOT NULL").distinct()
+    while True:
+        found = level.select("key", F.explode(F.array_compact(more)).alias("x")).select("key", "x.k", "x.path").groupBy("key", "k").agg(F.min("path").alias("path"))
+        known = out.groupBy("key", "k").agg(F.min("path").alias("best"))
+        level = stored(found.join(known, ["key", "k"], "left").where("best IS NULL OR path < best").drop("best"))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.join(entries.select(F.col("name").alias("k")).distinct(), "k", "left_semi").groupBy("key").agg(F.min_by("k", "path").alias("suggestion"))
 

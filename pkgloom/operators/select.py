@@ -29,9 +29,9 @@ def name_features(names: DataFrame) -> DataFrame:
     return own.select("src_name", "bin_name", S.core_name(F.col("bin_name")).alias("core"), clean_name(F.col("src_name"), version=True).alias("plain_src"), roles(F.col("bin_name")).alias("roles"), S.versions(F.col("bin_name")).alias("versions"))
 
 
-def score(w: float, text: Column | None = None) -> Column:
-    """w/3 * (name + source + files) + (1 - w)/3 * (roles + versions + description), of columns t_* (target) and c_*: the
-    name_features(), description, filelist, and c_source."""
+def parts(text: Column | None = None) -> tuple[Column, Column]:
+    """What a score weighs against each other, of columns t_* (target) and c_* (name_features(), description, filelist, and
+    c_source): name + source + files, and roles + versions + description, each up to 3."""
     t, c = (lambda x: F.col(f"t_{x}")), (lambda x: F.col(f"c_{x}"))
     name = F.coalesce(S.lcs_ratio(t("core"), c("core")), F.lit(0.0))
     source = F.when(F.array_contains(c("source"), "upstream"), 1.0).when(t("plain_src") == c("plain_src"), 1.0).otherwise(0.0)
@@ -40,15 +40,26 @@ def score(w: float, text: Column | None = None) -> Column:
     version = S.version_similarity(t("versions"), c("versions"))
     same = F.trim(t("description")) == F.trim(c("description"))
     about = F.coalesce(F.when((F.trim(t("description")) == "") | (F.trim(c("description")) == ""), 0.0).when(same, 1.0).otherwise(text if text is not None else S.lcs_ratio(t("description"), c("description"))), F.lit(0.0))
-    return F.lit(w / 3) * (name + source + files) + F.lit((1 - w) / 3) * (kind + version + about)
+    return name + source + files, kind + version + about
+
+
+def weighed(w: float | Column, first: Column, second: Column) -> Column:
+    w = w if isinstance(w, Column) else F.lit(w)
+    return w / 3 * first + (1 - w) / 3 * second
+
+
+def score(w: float, text: Column | None = None) -> Column:
+    """w/3 * (name + source + files) + (1 - w)/3 * (roles + versions + description), of the columns of parts()."""
+    first, second = parts(text)
+    return F.lit(w / 3) * first + F.lit((1 - w) / 3) * second
 
 
-def top_k(scored: DataFrame, k: int = 1) -> DataFrame:
-    """The best k of each baseline and repository with a score above 0 (columns score, coverage, cand_ord).
+def top_k(scored: DataFrame, k: int = 1, per: tuple[str, ...] = ()) -> DataFrame:
+    """The best k of each baseline and repository (and of the columns per) with a score above 0 (columns score, coverage, cand_ord).
 
     Where several compete and one covers more than half of the target's files, those that cover none are out.
     """
-    group = W.partitionBy(*GROUP)
+    group = W.partitionBy(*GROUP, *per)
     seen = scored.withColumn("_best", F.max("coverage").over(group)).withColumn("_n", F.count("*").over(group))
     fit = seen.where((F.col("_n") == 1) | (F.col("_best") <= 0.5) | (F.col("coverage") > 0)).where("score > 0")
     rank = F.row_number().over(group.orderBy(F.desc("score"), "cand_ord"))
