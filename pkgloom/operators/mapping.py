@@ -79,35 +79,43 @@ def distribution_rules(entries: DataFrame) -> DataFrame:
 _GENERAL = "general"
 
 
-def entry_documents(tables: DataFrame) -> DataFrame:
+def entry_documents(tables: DataFrame, supported: list[str]) -> DataFrame:
     """One entry for each group of tables (group_id, repo_key, ord, package): group_id, rosdep_key, doc, issues.
 
     The key is the package of ubuntu, ubuntu_jammy, _focal, _bionic, _noble, in this order, else the first. A platform is
-    the repository's key up to _, its version what follows. A platform whose versions all have the same packages, or that
-    names no version, is a list, others an object of versions. With a pypi repository, supported platforms that the group
-    has no package for get pip. issues name platforms that are not known. Rows without a package count for nothing.
+    the repository's key up to _, its version what follows. A platform is a list of packages where it names no version, one
+    version, or several with the same packages (also as those without a version), else an object of its versions. Where
+    the group has a pypi package, supported platforms that it has no other for get it by pip. Platforms that entries don't
+    know are left out and named in issues, as is an empty entry. Rows without a package count for nothing; groups without any have no entry.
     """
     # fixed values: platforms of entries by the names of repositories
-    platforms = {p: p for p in ("ubuntu", "debian", "fedora", "rhel", "arch", "gentoo", "opensuse", "nixos", "alpine", "freebsd", "osx", "macports", "openembedded")} | {"centos": "rhel", "homebrew": "osx"}
+    platforms = {p: p for p in ("ubuntu", "debian", "fedora", "rhel", "opensuse", "arch", "gentoo", "nixos", "alpine", "freebsd", "osx", "macports", "openembedded")} | {"centos": "rhel"}
     first = ("ubuntu", "ubuntu_jammy", "ubuntu_focal", "ubuntu_bionic", "ubuntu_noble")
     rows = tables.where("coalesce(package, '') <> ''")
     rank = F.coalesce(F.create_map(*(F.lit(x) for i, k in enumerate(first) for x in (k, i)))[F.col("repo_key")], F.lit(len(first)))
-    named = rows.groupBy("group_id").agg(F.min_by("package", F.struct(rank, "ord", "package")).alias("rosdep_key"), F.max(F.when(F.lower("repo_key") == "pypi", F.col("package"))).alias("pip"))
+    named = rows.groupBy("group_id").agg(F.min_by("package", F.struct(rank, "ord", "package")).alias("rosdep_key"), F.min_by("package", F.when(F.lower("repo_key") == "pypi", F.struct("ord", "package"))).alias("pip"))
     parts = F.split(F.lower("repo_key"), "_")
     system = rows.where("lower(repo_key) <> 'pypi'").select("group_id", F.create_map(*(F.lit(x) for kv in platforms.items() for x in kv))[parts[0]].alias("platform"), parts[0].alias("own"), F.coalesce(F.get(parts, F.lit(1)), F.lit(_GENERAL)).alias("version"), "ord", "package")
     # of a version the last package counts, of none all, in their order
     in_order = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]))
     lists = system.where("platform IS NOT NULL").groupBy("group_id", "platform", "version").agg(F.when(F.col("version") == _GENERAL, in_order).otherwise(F.array(F.max_by("package", F.struct("ord", "package")))).alias("p"))
-    each = lists.groupBy("group_id", "platform").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("version", "p")))).alias("vs"), F.count_distinct("p").alias("n"), F.min("p").alias("p"))
-    doc = F.when(F.col("n") == 1, F.to_json("p")).otherwise(F.to_json("vs"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("platform", doc.alias("d")))), lambda x: F.concat(F.to_json(F.array(x["platform"])).substr(F.lit(2), F.length(x["platform"]) + 2), F.lit(":"), x["d"])), ",")
-    whole = each.groupBy("group_id").agg(body.alias("body"), F.count("*").alias("n_platforms"))
+    each = lists.groupBy("group_id", "platform").agg(F.array_sort(F.collect_list(F.struct("version", "p"))).alias("vs"), F.count_distinct("p").alias("n"), F.min("p").alias("p"))
+    versions = F.map_from_entries(F.filter("vs", lambda v: v["version"] != _GENERAL))
+    each = each.select("group_id", "platform", F.when(F.col("n") == 1, F.to_json("p")).otherwise(F.to_json(versions)).alias("d"))
+    whole = each.groupBy("group_id").agg(F.collect_list(F.struct("platform", "d")).alias("ds"))
     unknown = system.where("platform IS NULL").groupBy("group_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("Unknown distribution: "), "own"))).alias("issues"))
-    out = named.join(whole, "group_id", "left").join(unknown, "group_id", "left")
-    pip = F.when(F.col("pip").isNotNull(), F.concat(F.lit('"*":{"pip":{"packages":'), F.to_json(F.array("pip")), F.lit("}}")))
-    text = F.concat(F.lit("{"), F.concat_ws(",", pip, "body"), F.lit("}"))
+    out = named
+    for side in (whole, unknown):
+        out = out.join(side.withColumnRenamed("group_id", "_g"), F.col("group_id").eqNullSafe(F.col("_g")), "left").drop("_g")
+    none = F.array().cast("array<struct<platform:string,d:string>>")
+    have = F.transform(F.coalesce("ds", none), lambda x: x["platform"])
+    rest = F.filter(F.array(*map(F.lit, supported)).cast("array<string>"), lambda p: ~F.array_contains(have, p))
+    pip = F.concat(F.lit('{"pip":{"packages":'), F.to_json(F.array("pip")), F.lit("}}"))
+    ds = F.concat(F.coalesce("ds", none), F.when(F.col("pip").isNotNull(), F.transform(rest, lambda p: F.struct(p.alias("platform"), pip.alias("d")))).otherwise(none))
+    body = F.array_join(F.transform(F.array_sort(ds), lambda x: F.concat(F.lit('"'), x["platform"], F.lit('":'), x["d"])), ",")
+    text = F.concat(F.lit("{"), body, F.lit("}"))
     issues = F.coalesce("issues", F.array().cast("array<string>"))
-    return out.select("group_id", "rosdep_key", text.alias("doc"), F.when(text == "{}", F.array(F.lit("Entry is empty"))).otherwise(issues).alias("issues"))
+    return out.select("group_id", "rosdep_key", text.alias("doc"), F.when(text == "{}", F.array_append(issues, "Entry is empty")).otherwise(issues).alias("issues"))
 
 
 def repositories(entries: DataFrame) -> DataFrame:

@@ -128,12 +128,12 @@ def c04_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 1, F.array(row("arch", 0, n), row("pypi", 1, n), row("debian_12", 2, none)))
         .when(m == 2, F.array(row("debian", 0, n), row("debian", 1, dev), row("haiku_r1", 2, n))).otherwise(F.array(row("nixos_unstable", 0, none)))
     )
-    out = mapping.entry_documents(part.select("group_id", F.inline(rows)))
+    out = mapping.entry_documents(part.select("group_id", F.inline(rows)), ["arch", "ubuntu", "fedora"])
     return out.select("group_id", "rosdep_key", "doc", F.array_join("issues", ",").alias("issues"))
 
 
 C04 = """SELECT p_partkey AS group_id, CASE WHEN p_size % 4 = 0 THEN n || '-dev' ELSE n END AS rosdep_key, CASE p_size % 4
-  WHEN 0 THEN '{"fedora":["' || n || '"],"ubuntu":{"jammy":["' || n || '-dev"],"noble":["' || n || '"]}}' WHEN 1 THEN '{"*":{"pip":{"packages":["' || n || '"]}},"arch":["' || n || '"]}'
+  WHEN 0 THEN '{"fedora":["' || n || '"],"ubuntu":{"jammy":["' || n || '-dev"],"noble":["' || n || '"]}}' WHEN 1 THEN '{"arch":["' || n || '"],"fedora":{"pip":{"packages":["' || n || '"]}},"ubuntu":{"pip":{"packages":["' || n || '"]}}}'
   ELSE '{"debian":["' || n || '","' || n || '-dev"]}' END AS doc, CASE WHEN p_size % 4 = 2 THEN 'Unknown distribution: haiku' ELSE '' END AS issues FROM (SELECT *, replace(p_name, ' ', '-') AS n FROM part WHERE p_size % 4 < 3)"""
 
 
