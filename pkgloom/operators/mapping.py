@@ -46,6 +46,17 @@ def normalised(docs: DataFrame) -> DataFrame:
     return none.unionByName(rows.where("NOT is_null").select(*place, F.explode("packages").alias("package"), "is_null"))
 
 
+def is_valid(doc: Column) -> Column:
+    """Whether a stored rule (JSON) is an object of platforms, of versions and of managers that each have packages; other
+    fields of a manager are let be, and what is no object isn't valid."""
+    objects = lambda s: F.from_json(F.when(F.ltrim(s).startswith("{"), s), _OBJECT)
+
+    def inside(s: Column, test) -> Column:
+        return F.coalesce(F.forall(F.map_values(objects(s)), lambda x: F.coalesce(x.startswith("{"), F.lit(False)) & test(x)), F.lit(False))
+
+    return inside(doc, lambda p: inside(p, lambda v: inside(v, lambda m: F.array_contains(F.map_keys(F.from_json(m, _OBJECT)), "packages"))))
+
+
 def loaded(entries: DataFrame) -> DataFrame:
     """(rosdep_key, doc) of entries (load_ord, name, doc) of rule files: a key has the document of the last file."""
     rows = entries.where("name IS NOT NULL").groupBy(F.col("name").alias("rosdep_key")).agg(F.max_by(F.struct("doc"), F.struct("load_ord", "doc"))["doc"].alias("doc"))

@@ -9,7 +9,7 @@ from ..functions import files
 from ..functions import names as N
 from ..functions import similarity as S
 from ..operators import mapping
-from .domain import read
+from .domain import of_parts, parts_sql, read
 
 
 # fixed values: paths and the components that they stand for
@@ -32,10 +32,10 @@ COMPONENTS = [
 
 
 def f01_component_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.component_id(spark.createDataFrame([(p,) for p, _ in COMPONENTS], "path string"))
+    return files.component_id(of_parts(spark, sf_dir, [(p,) for p, _ in COMPONENTS], "path"))
 
 
-F01 = "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {f"'{c}'" if c else 'NULL'})" for p, c in COMPONENTS) + ") t(path, component)"
+F01 = f"SELECT * FROM {parts_sql(COMPONENTS, 'path component')}"
 
 
 def f02_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +59,15 @@ def f04_component_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 F04 = "SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name WHERE x.p_size <= 25 AND y.p_size > 25"
 
 
+_ROLES = [("{n}-dev", "{n}-devel", "1"), ("{n}", "{n}-dev", "0.5"), ("{n}-doc", "{n}-examples", "0"), ("{n}-doc", "{n}", "0"), ("python3-{n}", "{n}", "0.5")]
+
+
 def f13_role_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("foo-dev", "foo-devel"), ("foo", "foo-dev"), ("foo-doc", "foo-examples"), ("foo-doc", "foo"), ("python3-foo", "foo")], "a string, b string")
-    return t.select("a", "b", S.role_similarity(N.roles(F.col("a")), N.roles(F.col("b"))).alias("score"))
+    t = of_parts(spark, sf_dir, [r[:2] for r in _ROLES], "a b")
+    return t.select("p_partkey", "a", "b", S.role_similarity(N.roles(F.col("a")), N.roles(F.col("b"))).alias("score"))
 
 
-F13 = "SELECT * FROM (VALUES ('foo-dev', 'foo-devel', 1.0::DOUBLE), ('foo', 'foo-dev', 0.5), ('foo-doc', 'foo-examples', 0.0), ('foo-doc', 'foo', 0.0), ('python3-foo', 'foo', 0.5)) t(a, b, score)"
+F13 = f"SELECT p_partkey, a, b, CAST(score AS DOUBLE) AS score FROM {parts_sql(_ROLES, 'a b score')}"
 
 
 def f15_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +82,15 @@ SELECT p_partkey, b || s AS variant FROM p, kinds UNION SELECT p_partkey, replac
 UNION SELECT p_partkey, h || c || t FROM p, more UNION SELECT p_partkey, h || c || t FROM p, py, full_or_not"""
 
 
+_PLATFORM_NAMES = [("python312-{n}", "opensuse", "python3-{n}"), ("python3Packages.{n}", "nixos", "{n}"), ("dev-python/{n}", "gentoo", "{n}"), ("{n}@layer", "openembedded", "{n}")]
+
+
 def f23_platform_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("python312-foo", "opensuse"), ("python3Packages.foo", "nixos"), ("dev-python/foo", "gentoo"), ("foo@layer", "openembedded")], "name string, platform string")
-    return t.select("name", N.platform_name(F.col("name"), F.col("platform")).alias("plain"))
+    t = of_parts(spark, sf_dir, [r[:2] for r in _PLATFORM_NAMES], "name platform")
+    return t.select("p_partkey", "name", N.platform_name(F.col("name"), F.col("platform")).alias("plain"))
 
 
-F23 = "SELECT * FROM (VALUES ('python312-foo', 'python3-foo'), ('python3Packages.foo', 'foo'), ('dev-python/foo', 'foo'), ('foo@layer', 'foo')) t(name, plain)"
+F23 = f"SELECT p_partkey, name, plain FROM {parts_sql(_PLATFORM_NAMES, 'name platform plain')}"
 
 
 def f27_fenced_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,14 +130,17 @@ def j11_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
 J11 = r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/]+/de/[0-9]') THEN regexp_replace(url, '^https?://([^/]+)/de/([0-9]+).*$', 'https://board.example/german/\1/\2') WHEN url LIKE 'https://%/%' THEN regexp_replace(url, '^https://([^/]+)/.*$', 'https://board.example/\1') ELSE url END AS link FROM pages"
 
 
+_PIP = [("python3-{n}{k}", "{n}{k}-pip,python-{n}{k}-pip", "{n}{k}-pip"), ("python-{n}{k}", "python3-{n}{k}-pip", "python3-{n}{k}-pip"), ("py{n}{k}", "python3-py{n}{k}-pip", "python3-py{n}{k}-pip"), ("{n}{k}", "{n}{k}-pip", None), ("python3-{n}{k}-pip", "", None)]
+
+
 def j20_pip_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first counterpart that the rules have."""
-    keys = spark.createDataFrame([("python3-numpy",), ("python-yaml",), ("pyserial",), ("boost",), ("python3-x-pip",)], "rosdep_key string")
-    have = spark.createDataFrame([("numpy-pip",), ("python-numpy-pip",), ("python3-yaml-pip",), ("python3-pyserial-pip",)], "counterpart string")
-    return mapping.pip_counterparts(keys).join(have, "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
+    t = of_parts(spark, sf_dir, [r[:2] for r in _PIP], "rosdep_key have")
+    have = t.select(F.explode(F.split("have", ",")).alias("counterpart")).where("counterpart <> ''").distinct()
+    return mapping.pip_counterparts(t.select("rosdep_key")).join(have, "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
 
 
-J20 = "SELECT * FROM (VALUES ('python3-numpy', 'numpy-pip'), ('python-yaml', 'python3-yaml-pip'), ('pyserial', 'python3-pyserial-pip')) t(rosdep_key, counterpart)"
+J20 = f"SELECT rosdep_key, counterpart FROM {parts_sql(_PIP, 'rosdep_key have counterpart')} WHERE counterpart IS NOT NULL"
 
 
 def j23_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,16 +153,18 @@ J23 = """WITH p AS (SELECT replace(p_name, ' ', '_') AS n, bool_or(p_size % 3 =
 SELECT 'lib' || n || '-dev' AS key, CASE WHEN as_is THEN 'lib' || n || '-dev' WHEN devel THEN n || '-devel' ELSE 'cmake(' || n || ')' END AS suggestion FROM p"""
 
 
+_DOCS = [
+    ("list{k}", '{"ubuntu": ["{n}", "libb"], "fedora": null}'), ("versions{k}", '{"ubuntu": {"noble": ["{n}"], "jammy": null, "focal": {"pip": {"packages": ["p"]}, "other": ["z"]}}}'),
+    ("managers{k}", '{"slackware": {"slackpkg": {"packages": ["apr"], "depends": []}, "note": "x"}}'), ("any{k}", '{"*": {"pip": ["q"], "apt": ["r"]}}'), ("odd{k}", '{"ubuntu": "bare", "debian": {"bookworm": {"apt": {"names": ["{n}"]}}}}'), ("none{k}", "{}"),
+]
+
+
 def p01_normalised_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = [
-        ("list", '{"ubuntu": ["liba", "libb"], "fedora": null}'), ("versions", '{"ubuntu": {"noble": ["a"], "jammy": null, "focal": {"pip": {"packages": ["p"]}, "other": ["z"]}}}'),
-        ("managers", '{"slackware": {"slackpkg": {"packages": ["apr"], "depends": []}, "note": "x"}}'), ("any", '{"*": {"pip": ["q"], "apt": ["r"]}}'), ("odd", '{"ubuntu": "bare", "debian": {"bookworm": {"apt": {"names": ["n"]}}}}'), ("none", "{}"),
-    ]
-    return mapping.normalised(spark.createDataFrame(docs, "rosdep_key string, doc string"))
+    return mapping.normalised(of_parts(spark, sf_dir, _DOCS, "rosdep_key doc").select("rosdep_key", "doc"))
 
 
-P01 = """SELECT * FROM (VALUES ('list', 'ubuntu', '*', 'apt', 'liba', false), ('list', 'ubuntu', '*', 'apt', 'libb', false), ('list', 'fedora', '*', 'dnf', NULL, true), ('versions', 'ubuntu', 'noble', 'apt', 'a', false), ('versions', 'ubuntu', 'jammy', 'apt', NULL, true),
-('versions', 'ubuntu', 'focal', 'pip', 'p', false), ('managers', 'slackware', '*', 'slackpkg', 'apr', false), ('any', '*', '*', 'pip', 'q', false), ('odd', 'debian', 'bookworm', 'apt', 'n', false)) t(rosdep_key, platform, os_version, package_manager, package, is_null)"""
+P01 = """SELECT k || p_partkey AS rosdep_key, platform, os_version, package_manager, CASE package WHEN '{n}' THEN replace(p_name, ' ', '') ELSE package END AS package, is_null FROM part JOIN (VALUES (0, 'list', 'ubuntu', '*', 'apt', '{n}', false), (0, 'list', 'ubuntu', '*', 'apt', 'libb', false), (0, 'list', 'fedora', '*', 'dnf', NULL, true), (1, 'versions', 'ubuntu', 'noble', 'apt', '{n}', false), (1, 'versions', 'ubuntu', 'jammy', 'apt', NULL, true),
+(1, 'versions', 'ubuntu', 'focal', 'pip', 'p', false), (2, 'managers', 'slackware', '*', 'slackpkg', 'apr', false), (3, 'any', '*', '*', 'pip', 'q', false), (4, 'odd', 'debian', 'bookworm', 'apt', '{n}', false)) t(i, k, platform, os_version, package_manager, package, is_null) ON i = p_partkey % 6"""
 
 
 def p16_name_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,39 +176,53 @@ def p16_name_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 P16 = "SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' AND p_size % 10 = 7 THEN replace(replace(p_name, 'widget', 'gadget'), 'gadget', 'thing') WHEN p_brand = 'Brand#2' AND p_size % 10 = 8 THEN replace(p_name, 'rod', 'bar') ELSE p_name END AS name FROM part"
 
 
+_REPOS = [("ubuntu_24_{k}", "ubuntu", "24.{k}"), ("nix_stable_24_{k}", "nixos", "24.{k}"), ("nix_unstable", "nixos", "unstable"), ("arch", "arch", ""), ("fedora_{k}", "fedora", "{k}")]
+
+
 def p17_repo_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("ubuntu_24_04",), ("nix_stable_24_05",), ("nix_unstable",), ("arch",), ("fedora_41",)], "repo string")
-    return t.select("repo", mapping.repo_parts(F.col("repo")).alias("x")).select("repo", "x.name", "x.version")
+    t = of_parts(spark, sf_dir, [r[:1] for r in _REPOS], "repo")
+    return t.select("p_partkey", "repo", mapping.repo_parts(F.col("repo")).alias("x")).select("p_partkey", "repo", "x.name", "x.version")
+
 
+P17 = f"SELECT * FROM {parts_sql(_REPOS, 'repo name version')}"
 
-P17 = "SELECT * FROM (VALUES ('ubuntu_24_04', 'ubuntu', '24.04'), ('nix_stable_24_05', 'nixos', '24.05'), ('nix_unstable', 'nixos', 'unstable'), ('arch', 'arch', ''), ('fedora_41', 'fedora', '41')) t(repo, name, version)"
+
+_RELEASES = [
+    ("ubuntu", "24_04", "noble", "true"), ("ubuntu", "24_04", "jammy", "false"), ("debian", "12", "bookworm", "true"), ("fedora", "{k}", "{k}", "true"), ("fedora", "{k}", "{k}0", "false"), ("arch", "{k}", "b", "true"),
+    ("opensuse", "leap_15_{k}", "15.{k}", "true"), ("alpine", "unknown", "edge", "true"),
+]
 
 
 def p19_same_release(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("ubuntu", "24_04", "noble"), ("ubuntu", "24_04", "jammy"), ("debian", "12", "bookworm"), ("fedora", "41", "42"), ("arch", "a", "b"), ("opensuse", "leap_15_2", "15.2"), ("alpine", "unknown", "edge")], "os_name string, a string, b string")
-    return t.select("os_name", "a", "b", mapping.same_release(F.col("os_name"), F.col("a"), F.col("b")).alias("same"))
+    t = of_parts(spark, sf_dir, [r[:3] for r in _RELEASES], "os_name a b")
+    return t.select("p_partkey", "os_name", "a", "b", mapping.same_release(F.col("os_name"), F.col("a"), F.col("b")).alias("same"))
 
 
-P19 = "SELECT * FROM (VALUES ('ubuntu', '24_04', 'noble', true), ('ubuntu', '24_04', 'jammy', false), ('debian', '12', 'bookworm', true), ('fedora', '41', '42', false), ('arch', 'a', 'b', true), ('opensuse', 'leap_15_2', '15.2', true), ('alpine', 'unknown', 'edge', true)) t(os_name, a, b, same)"
+P19 = f"SELECT p_partkey, os_name, a, b, CAST(same AS BOOLEAN) AS same FROM {parts_sql(_RELEASES, 'os_name a b same')}"
+
+
+_STORED = [
+    ('{"ubuntu": {"*": {"apt": {"packages": ["{n}"]}}}}', "true"), ('{"ubuntu": ["{n}"]}', "false"), ('{"ubuntu": {"*": {"apt": ["{n}"]}}}', "false"), ('{"ubuntu": {"*": {"apt": {"names": []}}}}', "false"), ('{"ubuntu": {"*": "{n}"}}', "false"),
+    ('{"ubuntu": {"{k}": {"apt": {"packages": [], "depends": []}}, "*": {}}}', "true"), ("{n}", "false"),
+]
 
 
 def p13_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored rule document is valid where every platform, version and manager is an object with packages."""
-    docs = [("ok", '{"ubuntu": {"*": {"apt": {"packages": ["a"]}}}}'), ("flat", '{"ubuntu": ["a"]}'), ("bare", '{"ubuntu": {"*": {"apt": ["a"]}}}'), ("lost", '{"ubuntu": {"*": {"apt": {"names": []}}}}'), ("text", '{"ubuntu": {"*": "a"}}')]
-    inside = lambda s, f: F.coalesce(F.forall(F.map_values(F.from_json(s, "map<string,string>")), lambda x: F.coalesce(x.startswith("{"), F.lit(False)) & f(x)), F.lit(False))
-    packages = lambda s: F.array_contains(F.map_keys(F.from_json(s, "map<string,string>")), "packages")
-    return spark.createDataFrame(docs, "name string, doc string").select("name", inside(F.col("doc"), lambda p: inside(p, lambda v: inside(v, packages))).alias("valid"))
+    return of_parts(spark, sf_dir, [r[:1] for r in _STORED], "doc").select("p_partkey", mapping.is_valid(F.col("doc")).alias("valid"))
+
+
+P13 = f"SELECT p_partkey, CAST(valid AS BOOLEAN) AS valid FROM {parts_sql([r[1:] for r in _STORED], 'valid')}"
 
 
-P13 = "SELECT * FROM (VALUES ('ok', true), ('flat', false), ('bare', false), ('lost', false), ('text', false)) t(name, valid)"
+_TABLES = [("k{k}", "ubuntu,noble,{n}b;ubuntu,noble,{n}a;ubuntu,jammy,{n}a;pypi,,p", '{"*":{"*":{"pip":{"packages":["p"]}}},"ubuntu":{"jammy":{"apt":{"packages":["{n}a"]}},"noble":{"apt":{"packages":["{n}a","{n}b"]}}}}'), ("f{k}", "fedora,41,{n}", '{"fedora":{"41":{"dnf":{"packages":["{n}"]}}}}')]
 
 
 def c04_rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("k", "ubuntu", "noble", "b"), ("k", "ubuntu", "noble", "a"), ("k", "ubuntu", "jammy", "a"), ("k", "pypi", None, "p"), ("f", "fedora", "41", "x")]
-    return mapping.rule_documents(spark.createDataFrame(rows, "rosdep_key string, repo_name string, repo_version string, name string"))
+    t = of_parts(spark, sf_dir, [r[:2] for r in _TABLES], "rosdep_key packages").select("rosdep_key", F.explode(F.split("packages", ";")).alias("x")).withColumn("x", F.split("x", ","))
+    return mapping.rule_documents(t.select("rosdep_key", F.col("x")[0].alias("repo_name"), F.nullif(F.col("x")[1], F.lit("")).alias("repo_version"), F.col("x")[2].alias("name")))
 
 
-C04 = """SELECT * FROM (VALUES ('k', '{"*":{"*":{"pip":{"packages":["p"]}}},"ubuntu":{"jammy":{"apt":{"packages":["a"]}},"noble":{"apt":{"packages":["a","b"]}}}}'), ('f', '{"fedora":{"41":{"dnf":{"packages":["x"]}}}}')) t(rosdep_key, doc)"""
+C04 = f"SELECT rosdep_key, doc FROM {parts_sql([(r[0], r[2]) for r in _TABLES], 'rosdep_key doc')}"
 
 
 def c05_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

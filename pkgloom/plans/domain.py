@@ -15,6 +15,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def of_parts(spark: SparkSession, sf_dir: str, rows: list[tuple], columns: str) -> DataFrame:
+    """p_partkey and columns of part, where each part takes its turn among rows; {n} in a text stands for the part's name
+    without spaces, {k} for its number."""
+    names = columns.split()
+    shapes = F.broadcast(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{c} string" for c in names)))
+    part = read(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("")).alias("_n"), (F.col("p_partkey") % len(rows)).cast("int").alias("i"))
+    filled = lambda c: F.replace(F.replace(c, F.lit("{n}"), F.col("_n")), F.lit("{k}"), F.col("p_partkey").cast("string")).alias(c)
+    return part.join(shapes, "i").select("p_partkey", *map(filled, names))
+
+
+def parts_sql(rows: list[tuple], columns: str) -> str:
+    """The same as a subquery."""
+    cell = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {', '.join(map(cell, r))})" for i, r in enumerate(rows))
+    filled = ", ".join(f"replace(replace({c}, '{{n}}', replace(p_name, ' ', '')), '{{k}}', CAST(p_partkey AS VARCHAR)) AS {c}" for c in columns.split())
+    return f"(SELECT p_partkey, {filled} FROM part JOIN (VALUES {values}) v(i, {', '.join(columns.split())}) ON i = p_partkey % {len(rows)})"
+
+
 def _entries(part: DataFrame) -> DataFrame:
     """part as a package index: the brand is the repository, the type the description."""
     return part.select(
@@ -134,23 +152,32 @@ f AS (SELECT r, v, min(n) AS n FROM t GROUP BY 1, 2)
 SELECT p.r AS repo_name, p.v AS repo_version, coalesce(a.n, b.n) AS bin_name FROM p LEFT JOIN f a ON a.r = p.r AND a.v = p.v LEFT JOIN f b ON b.r = 'ros' AND b.v = p.v WHERE coalesce(a.n, b.n) IS NOT NULL"""
 
 
+_NAMES = [
+    ("python39-{n}", "{n}", "python39-{n}", "py3x"), ("lib{n}-dev", "{n}", "lib{n}-dev", "dev,runtime-lib"), ("dev-python/{n}", "{n}", "{n}", "application"), ("python3-{n}", "{n}", "python3-{n}", "py3"),
+    ("golang-x-{n}-dev", "x-{n}", "golang-x-{n}-dev", "dev,go"), ("libreoffice-core", "libreoffice", "libreoffice-core", "core,lib-prefix"), ("{n}@layer", "{n}", "{n}", "application"), ("rubygem-{n}-doc", "{n}", "rubygem-{n}-doc", "doc,ruby"),
+]
+
+
 def f06_clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [("python39-sphinx",), ("libfoo-dev",), ("dev-python/requests",), ("python3-numpy",), ("golang-x-text-dev",), ("libreoffice-core",), ("pkg@layer",), ("rubygem-rake-doc",)]
-    t = spark.createDataFrame(pairs, "name string")
-    return t.select("name", N.clean_name(F.col("name")).alias("clean"), N.special_name(F.col("name")).alias("special"), F.array_join(N.roles(F.col("name")), ",").alias("roles"))
+    t = of_parts(spark, sf_dir, [r[:1] for r in _NAMES], "name")
+    return t.select("p_partkey", "name", N.clean_name(F.col("name")).alias("clean"), N.special_name(F.col("name")).alias("special"), F.array_join(N.roles(F.col("name")), ",").alias("roles"))
+
 
+F06 = f"SELECT * FROM {parts_sql(_NAMES, 'name clean special roles')}"
 
-F06 = """SELECT * FROM (VALUES ('python39-sphinx', 'sphinx', 'python39-sphinx', 'py3x'), ('libfoo-dev', 'foo', 'libfoo-dev', 'dev,runtime-lib'), ('dev-python/requests', 'requests', 'requests', 'application'),
-('python3-numpy', 'numpy', 'python3-numpy', 'py3'), ('golang-x-text-dev', 'x-text', 'golang-x-text-dev', 'dev,go'), ('libreoffice-core', 'libreoffice', 'libreoffice-core', 'core,lib-prefix'),
-('pkg@layer', 'pkg', 'pkg', 'application'), ('rubygem-rake-doc', 'rake', 'rubygem-rake-doc', 'doc,ruby')) t(name, clean, special, roles)"""
 
+#: The rules of four keys; each part has those of one of them.
+_RULES = [
+    ("boost", "ubuntu", "*", "apt", "libboost-dev", False), ("boost", "fedora", "41", "dnf", "boost-devel", False), ("boost", "fedora", "42", "dnf", None, True), ("numpy", "*", "*", "pip", "numpy", False),
+    ("numpy", "ubuntu", "noble", "apt", "python3-numpy", False), ("yaml", "ubuntu", "*", "pip", "pyyaml", False), ("gone", "ubuntu", "*", "apt", "libgone", False),
+]
+_KEYS = ["boost", "numpy", "yaml", "gone"]
 
-def _rules(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("boost", "ubuntu", "*", "apt", "libboost-dev", False), ("boost", "fedora", "41", "dnf", "boost-devel", False), ("boost", "fedora", "42", "dnf", None, True),
-        ("numpy", "*", "*", "pip", "numpy", False), ("numpy", "ubuntu", "noble", "apt", "python3-numpy", False), ("yaml", "ubuntu", "*", "pip", "pyyaml", False), ("gone", "ubuntu", "*", "apt", "libgone", False),
-    ]
-    return spark.createDataFrame(rows, "rosdep_key string, platform string, os_version string, package_manager string, package string, is_null boolean")
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = F.broadcast(spark.createDataFrame([(_KEYS.index(r[0]), *r) for r in _RULES], "i int, k string, platform string, os_version string, package_manager string, package string, is_null boolean"))
+    part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4).cast("int").alias("i"))
+    return part.join(rows, "i").select(F.concat_ws("-", "k", "p_partkey").alias("rosdep_key"), "platform", "os_version", "package_manager", "package", "is_null")
 
 
 def _targets(spark: SparkSession) -> DataFrame:
@@ -158,12 +185,11 @@ def _targets(spark: SparkSession) -> DataFrame:
 
 
 def p08_three_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.lookup(_rules(spark), _targets(spark).select("os_name", "os_version"))
+    out = rules.lookup(_rules(spark, sf_dir), _targets(spark).select("os_name", "os_version"))
     return out.select("rosdep_key", "os_name", "os_version", "state", F.coalesce(F.array_join("packages", ","), F.lit("")).alias("packages"))
 
 
-_RULES_SQL = """r(k, p, v, m, pkg, n) AS (VALUES ('boost', 'ubuntu', '*', 'apt', 'libboost-dev', false), ('boost', 'fedora', '41', 'dnf', 'boost-devel', false), ('boost', 'fedora', '42', 'dnf', NULL, true),
-('numpy', '*', '*', 'pip', 'numpy', false), ('numpy', 'ubuntu', 'noble', 'apt', 'python3-numpy', false), ('yaml', 'ubuntu', '*', 'pip', 'pyyaml', false), ('gone', 'ubuntu', '*', 'apt', 'libgone', false)),
+_RULES_SQL = f"""r(k, p, v, m, pkg, n) AS (SELECT concat(k, '-', p_partkey), p, v, m, pkg, n FROM part JOIN (VALUES {", ".join(f"({_KEYS.index(k)}, '{k}', '{p}', '{v}', '{m}', {f"'{g}'" if g else 'NULL'}, {n})" for k, p, v, m, g, n in _RULES)}) q(i, k, p, v, m, pkg, n) ON i = p_partkey % 4),
 t(o, v, ord) AS (VALUES ('ubuntu', 'jammy', 0), ('ubuntu', 'noble', 1), ('fedora', '41', 0), ('fedora', '42', 1)),
 w AS (SELECT k.k, t.o, t.v, t.ord, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.k = k.k AND r.p = t.o) THEN t.o ELSE '*' END AS p FROM (SELECT DISTINCT k FROM r) k, t),
 u AS (SELECT w.k, w.o, w.v, w.ord, w.p, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.k = w.k AND r.p = w.p AND r.v = w.v) THEN w.v ELSE '*' END AS rv FROM w),
@@ -176,15 +202,17 @@ def c03_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.createDataFrame([
         ("boost", "ubuntu", "noble", "libboost-dev"), ("boost", "fedora", "42", "boost-devel"), ("numpy", "fedora", "41", "python3-numpy"), ("numpy", "fedora", "42", "python3-numpy"),
         ("yaml", "ubuntu", "jammy", "python3-yaml"), ("yaml", "ubuntu", "noble", "python3-yaml"), ("yaml", "fedora", "41", "python3-pyyaml"), ("numpy", "ubuntu", "noble", "python3-numpy-abi9"), ("gone", "ubuntu", "noble", "gone2"),
-    ], "rosdep_key string, os_name string, os_version string, bin_name string")
+    ], "k string, os_name string, os_version string, bin_name string")
     there = spark.createDataFrame([("ubuntu", "noble", "libboost-dev"), ("ubuntu", "jammy", "libboost-dev"), ("fedora", "41", "boost-devel"), ("fedora", "41", "numpy"), ("fedora", "42", "numpy"), ("ubuntu", "jammy", "pyyaml"), ("ubuntu", "noble", "pyyaml"), ("ubuntu", "noble", "python3-numpy"), ("ubuntu", "jammy", "numpy")], "os_name string, os_version string, package string")
-    return audit.audit(rules.lookup(_rules(spark), targets.select("os_name", "os_version")), found, there, targets)
+    index = _rules(spark, sf_dir)
+    keys = index.select("rosdep_key", F.substring_index("rosdep_key", "-", 1).alias("k")).distinct()
+    return audit.audit(rules.lookup(index, targets.select("os_name", "os_version")), keys.join(F.broadcast(found), "k").drop("k"), there, targets)
 
 
-C03 = """SELECT * FROM (VALUES ('boost', 'fedora', '42', 'B.1b', 'empty_list', NULL, 'boost-devel'), ('numpy', 'fedora', '41', 'B.2a', 'pip', 'numpy', 'python3-numpy'),
-('yaml', 'ubuntu', 'jammy', 'B.2a', 'pip', 'pyyaml', 'python3-yaml'), ('yaml', 'fedora', '41', 'A.2', 'missing', NULL, 'python3-pyyaml'), ('gone', 'ubuntu', 'jammy', 'B.1a', 'not_found', 'libgone', NULL),
-('gone', 'ubuntu', 'noble', 'B.1a', 'not_found', 'libgone', 'gone2'), ('numpy', 'ubuntu', 'noble', 'B.1b', 'differs', 'python3-numpy', 'python3-numpy-abi9')
-) t(rosdep_key, os_name, os_version, type, reason, package_name, expected)"""
+C03 = """SELECT concat(k, '-', p_partkey) AS rosdep_key, os_name, os_version, type, reason, package_name, expected FROM part JOIN (VALUES (0, 'boost', 'fedora', '42', 'B.1b', 'empty_list', NULL, 'boost-devel'), (1, 'numpy', 'fedora', '41', 'B.2a', 'pip', 'numpy', 'python3-numpy'),
+(2, 'yaml', 'ubuntu', 'jammy', 'B.2a', 'pip', 'pyyaml', 'python3-yaml'), (2, 'yaml', 'fedora', '41', 'A.2', 'missing', NULL, 'python3-pyyaml'), (3, 'gone', 'ubuntu', 'jammy', 'B.1a', 'not_found', 'libgone', NULL),
+(3, 'gone', 'ubuntu', 'noble', 'B.1a', 'not_found', 'libgone', 'gone2'), (1, 'numpy', 'ubuntu', 'noble', 'B.1b', 'differs', 'python3-numpy', 'python3-numpy-abi9')
+) t(i, k, os_name, os_version, type, reason, package_name, expected) ON i = p_partkey % 4"""
 
 
 def c11_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,36 +270,50 @@ def s23_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 S23 = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
 
 
+_TOKENS = [("so:lib{n}.so.6=6", "so", "lib{n}.so.6", "6"), ("{n}", None, "{n}", None), ("cmd:{n}", "cmd", "{n}", None), ("{n}=1.{k}", None, "{n}", "1.{k}")]
+
+
 def s12_dep_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("so:libc.so.6=6",), ("bash",), ("cmd:sh",), ("zlib=1.3",)], "token string")
-    return t.select("token", formats.dependency(F.col("token")).alias("d")).select("token", F.col("d.type").alias("type"), F.col("d.name").alias("name"), F.col("d.version").alias("version"))
+    t = of_parts(spark, sf_dir, [r[:1] for r in _TOKENS], "token")
+    return t.select("p_partkey", "token", formats.dependency(F.col("token")).alias("d")).select("p_partkey", "token", F.col("d.type").alias("type"), F.col("d.name").alias("name"), F.col("d.version").alias("version"))
+
 
+S12 = f"SELECT * FROM {parts_sql(_TOKENS, 'token type name version')}"
 
-S12 = "SELECT * FROM (VALUES ('so:libc.so.6=6', 'so', 'libc.so.6', '6'), ('bash', NULL, 'bash', NULL), ('cmd:sh', 'cmd', 'sh', NULL), ('zlib=1.3', NULL, 'zlib', '1.3')) t(token, type, name, version)"
+
+_BLOCKS = [
+    ("Package: {n}{k}g\nSource: {n}\nVersion: 1.3\nDescription: compression\n library", "{n}{k}g", "1.3", "{n}", "{n}{k}g", "compression library"), ("Package: {n}{k}\nVersion: 5.{k}", "{n}{k}", "5.{k}", "{n}{k}", "{n}{k}", None),
+    ("Package: x\nVersion: 1\nPackage: {n}{k}\nno field\nDescription: a:b", "{n}{k}", "1", "{n}{k}", "{n}{k}", "a:b"),
+]
 
 
 def s03_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("Package: zlib1g\nSource: zlib\nVersion: 1.3\nDescription: compression\n library",), ("Package: bash\nVersion: 5.2",)], "value string")
-    return formats.debian_packages(formats.block_fields(t))
+    return formats.debian_packages(formats.block_fields(of_parts(spark, sf_dir, [r[:1] for r in _BLOCKS], "value").select("value")))
+
 
+S03 = f"SELECT name, version, source_name, binary_name, description FROM {parts_sql([r[1:] for r in _BLOCKS], 'name version source_name binary_name description')}"
 
-S03 = "SELECT * FROM (VALUES ('zlib1g', '1.3', 'zlib', 'zlib1g', 'compression library'), ('bash', '5.2', 'bash', 'bash', NULL)) t(name, version, source_name, binary_name, description)"
+
+_CONTENTS = [("usr/lib/lib{n}{k}.so.1   libs/{n}1g:amd64,libs/{n}2", "/usr/lib/lib{n}{k}.so.1", "{n}1g,{n}2"), ("usr/share/a {k} c  doc/{n}", "/usr/share/a {k} c", "{n}"), ("no package", None, "")]
 
 
 def s05_contents_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("usr/lib/libz.so.1   libs/zlib1g:amd64,libs/zlib2",), ("usr/share/a b c  doc/abc",)], "value string")
-    return formats.contents(t)
+    return formats.contents(of_parts(spark, sf_dir, [r[:1] for r in _CONTENTS], "value").select("value").where("value <> 'no package'"))
+
 
+S05 = f"SELECT unnest(string_split(packages, ',')) AS package, path FROM {parts_sql([r[1:] for r in _CONTENTS], 'path packages')} WHERE path IS NOT NULL"
 
-S05 = "SELECT * FROM (VALUES ('zlib1g', '/usr/lib/libz.so.1'), ('zlib2', '/usr/lib/libz.so.1'), ('abc', '/usr/share/a b c')) t(package, path)"
+
+_VERSIONS = [("python3-{n}2", "{n}2-dev", "1", "{n}"), ("{n}2", "{n}3", "0", "{n}"), ("{n}", "bar", "1", "{n}"), ("{n}2", "{n}", "0", "{n}")]
 
 
 def f18_version_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("python3-foo2", "foo2-dev"), ("foo2", "foo3"), ("foo", "bar"), ("foo2", "foo")], "a string, b string")
-    return t.select("a", "b", S.version_similarity(S.versions(F.col("a")), S.versions(F.col("b"))).alias("same"), S.core_name(F.col("a")).alias("core"))
+    t = of_parts(spark, sf_dir, [r[:2] for r in _VERSIONS], "a b")
+    return t.select("p_partkey", "a", "b", S.version_similarity(S.versions(F.col("a")), S.versions(F.col("b"))).alias("same"), S.core_name(F.col("a")).alias("core"))
+
 
+F18 = f"SELECT p_partkey, a, b, CAST(same AS DOUBLE) AS same, core FROM {parts_sql(_VERSIONS, 'a b same core')}"
 
-F18 = "SELECT * FROM (VALUES ('python3-foo2', 'foo2-dev', 1.0::DOUBLE, 'foo'), ('foo2', 'foo3', 0.0, 'foo'), ('foo', 'bar', 1.0, 'foo'), ('foo2', 'foo', 0.0, 'foo')) t(a, b, same, core)"
 
 #: Query: (function, SQL or None).
 ALL = {

@@ -9,40 +9,56 @@ from ..functions import names as N
 from ..functions import similarity as S
 from ..operators import rules
 from ..sources import formats
-from .domain import _RULES_SQL, _rules, _targets, read
+from .domain import _RULES_SQL, _rules, _targets, of_parts, parts_sql, read
+
+
+_APK = [
+    ("P:{n}{k}\nV:1.3\no:{n}-src\nT:compression\np:so:lib{n}.so.1=1 pc:{n}=1.3 {n}-compat{k}=1.3", "{n}{k},{n}-compat{k}", "1.3", "{n}-src", "{n}{k}", "compression"), ("P:{n}{k}\nV:5.{k}", "{n}{k}", "5.{k}", "{n}{k}", "{n}{k}", None),
+    ("P:{n}{k}\nV:1\nT:a:b\np:cmd:x", "{n}{k}", "1", "{n}{k}", "{n}{k}", "a:b"),
+]
 
 
 def s11_apkindex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("P:zlib\nV:1.3\no:zlib-src\nT:compression\np:so:libz.so.1=1 pc:zlib=1.3 z-compat=1.3",), ("P:bash\nV:5.2",)], "value string")
-    return formats.apk_packages(formats.block_fields(t))
+    return formats.apk_packages(formats.block_fields(of_parts(spark, sf_dir, [r[:1] for r in _APK], "value").select("value")))
+
+
+S11 = f"SELECT unnest(string_split(names, ',')) AS name, version, source_name, binary_name, description FROM {parts_sql([r[1:] for r in _APK], 'names version source_name binary_name description')}"
 
 
-S11 = "SELECT * FROM (VALUES ('zlib', '1.3', 'zlib-src', 'zlib', 'compression'), ('z-compat', '1.3', 'zlib-src', 'zlib', 'compression'), ('bash', '5.2', 'bash', 'bash', NULL)) t(name, version, source_name, binary_name, description)"
+_PACMAN = [
+    ("%NAME%\n{n}{k}\n\n%VERSION%\n1.3-1\n\n%BASE%\n{n}-src\n\n%DESC%\ncompression\n\n%PROVIDES%\nlib{n}.so=1-64\n{n}-compat\n", "{n}{k},lib{n}.so=1-64,{n}-compat", "1.3-1", "{n}-src", "{n}{k}", "compression"),
+    ("%NAME%\n{n}{k}\n\n%VERSION%\n5.{k}-1\n\n%DESC%\na shell\n", "{n}{k}", "5.{k}-1", "{n}{k}", "{n}{k}", "a shell"),
+]
 
 
 def s14_pacman_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("%NAME%\nzlib\n\n%VERSION%\n1.3-1\n\n%BASE%\nzlib-src\n\n%DESC%\ncompression\n\n%PROVIDES%\nlibz.so=1-64\nz-compat\n",), ("%NAME%\nbash\n\n%VERSION%\n5.2-1\n\n%DESC%\na shell\n",)], "value string")
-    return formats.pacman_packages(formats.sections(t))
+    return formats.pacman_packages(formats.sections(of_parts(spark, sf_dir, [r[:1] for r in _PACMAN], "value").select("value")))
 
 
-S14 = "SELECT * FROM (VALUES ('zlib', '1.3-1', 'zlib-src', 'zlib', 'compression'), ('libz.so=1-64', '1.3-1', 'zlib-src', 'zlib', 'compression'), ('z-compat', '1.3-1', 'zlib-src', 'zlib', 'compression'), ('bash', '5.2-1', 'bash', 'bash', 'a shell')) t(name, version, source_name, binary_name, description)"
+S14 = f"SELECT unnest(string_split(names, ',')) AS name, version, source_name, binary_name, description FROM {parts_sql([r[1:] for r in _PACMAN], 'names version source_name binary_name description')}"
+
+
+_DIFF = "diff --git a/x.yaml b/x.yaml\n--- a/x{n}.yaml\n+++ b/x{n}.yaml\n@@ -1,3 +1,4 @@\n one\n-two\n+2\n+2b\n three\n@@ -10 +11,2 @@ ctx\n ten\n+eleven\n--- a/gone.yaml\n+++ /dev/null\n@@ -1 +0,0 @@\n-all\n"
 
 
 def s34_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    diff = "diff --git a/x.yaml b/x.yaml\n--- a/x.yaml\n+++ b/x.yaml\n@@ -1,3 +1,4 @@\n one\n-two\n+2\n+2b\n three\n@@ -10 +11,2 @@ ctx\n ten\n+eleven\n--- a/gone.yaml\n+++ /dev/null\n@@ -1 +0,0 @@\n-all\n"
-    t = spark.createDataFrame([(1, diff)], "diff_id long, value string")
-    return formats.changed_lines(t).select("diff_id", "path", "side", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+    t = of_parts(spark, sf_dir, [(_DIFF,), ("--- a/y\n+++ b/y\n@@ -0,0 +1 @@\n+{n}",), ("no diff",)], "value")
+    return formats.changed_lines(t.withColumnRenamed("p_partkey", "diff_id")).select("diff_id", "path", "side", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
+
+
+S34 = f"""SELECT p_partkey AS diff_id, path, 'added' AS side, added AS lines FROM {parts_sql([("x{n}.yaml", "2,3,12"), ("y", "1"), (None, None)], "path added")} WHERE path IS NOT NULL
+UNION ALL SELECT p_partkey, path, 'removed', '2' FROM {parts_sql([("x{n}.yaml",), (None,), (None,)], "path")} WHERE path IS NOT NULL"""
 
 
-S34 = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'x.yaml', 'added', '2,3,12'), (1, 'x.yaml', 'removed', '2')) t(diff_id, path, side, lines)"
+_FILES = [("lib{n}.so.4.8.0", "lib{n}.so"), ("lib{n}X-1.2.so", "lib{n}x.so"), ("_{n}.cpython-312-x86_64-linux-gnu.so", "_{n}.so"), ("{n}-31.1-jre.jar", "{n}.jar"), ("README{k}", "README{k}"), ("{n}.abi3.so", "{n}.so")]
 
 
 def f05_base_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([("libcurl.so.4.8.0",), ("libFoo-1.2.so",), ("_x.cpython-312-x86_64-linux-gnu.so",), ("guava-31.1-jre.jar",), ("README",), ("m.abi3.so",)], "name string")
-    return t.select("name", N.base_name(F.col("name")).alias("base"))
+    t = of_parts(spark, sf_dir, [r[:1] for r in _FILES], "name")
+    return t.select("p_partkey", "name", N.base_name(F.col("name")).alias("base"))
 
 
-F05 = "SELECT * FROM (VALUES ('libcurl.so.4.8.0', 'libcurl.so'), ('libFoo-1.2.so', 'libfoo.so'), ('_x.cpython-312-x86_64-linux-gnu.so', '_x.so'), ('guava-31.1-jre.jar', 'guava.jar'), ('README', 'README'), ('m.abi3.so', 'm.so')) t(name, base)"
+F05 = f"SELECT * FROM {parts_sql(_FILES, 'name base')}"
 
 
 def f10_change_log_name(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +147,7 @@ P26 = "SELECT CASE WHEN p_size % 5 = 0 THEN 'arch' WHEN p_size % 3 = 0 THEN lowe
 
 
 def p10_managers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.managers(_rules(spark)).select("rosdep_key", "platform", "os_version", F.array_join("managers", ",").alias("managers"), "manager", F.coalesce(rules.is_manager(F.col("manager")), F.lit(False)).alias("known"), rules.default_manager(F.col("platform")).alias("by_default"))
+    return rules.managers(_rules(spark, sf_dir)).select("rosdep_key", "platform", "os_version", F.array_join("managers", ",").alias("managers"), "manager", F.coalesce(rules.is_manager(F.col("manager")), F.lit(False)).alias("known"), rules.default_manager(F.col("platform")).alias("by_default"))
 
 
 P10 = f"""WITH {_RULES_SQL} SELECT k AS rosdep_key, p AS platform, v AS os_version, coalesce(string_agg(DISTINCT m, ',') FILTER (WHERE NOT n), '') AS managers, min(m) FILTER (WHERE NOT n) AS manager,
@@ -139,7 +155,7 @@ min(m) FILTER (WHERE NOT n) IS NOT NULL AS known, CASE p WHEN 'fedora' THEN 'dnf
 
 
 def p14_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.configured(_rules(spark), _targets(spark)).select("rosdep_key", "os_name", "os_version", "package_manager", F.array_join("packages", ",").alias("packages"))
+    return rules.configured(_rules(spark, sf_dir), _targets(spark)).select("rosdep_key", "os_name", "os_version", "package_manager", F.array_join("packages", ",").alias("packages"))
 
 
 P14 = f"WITH {_RULES_SQL} SELECT k AS rosdep_key, o AS os_name, v AS os_version, m AS package_manager, packages FROM s WHERE np > 0"
