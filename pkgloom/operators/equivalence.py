@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..functions.names import repo_key
 from ..sources.shared import drop, stored
 from . import mapping, resolve, select
 
@@ -57,9 +58,12 @@ def candidates(targets: DataFrame, entries: DataFrame, projects: DataFrame | Non
     return found.select(F.col("probe_id").alias("target_id"), "prio", F.array("tag").alias("source"), "source_ord", "row_ord", *place).join(rows, [*place, "source_ord", "row_ord"])
 
 
-def measured(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every candidate of the baselines' targets with what its score is made of (first, second, coverage; baseline_id is
-    the target), and (baseline_id, target_id). The weight doesn't matter here."""
+_PLACED = ["baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord"]
+
+
+def featured(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Every candidate of the baselines' targets (baseline_id is the target) with what its score is made of, as
+    select.parts() takes it, and coverage; and (baseline_id, target_id)."""
     if projects is None:
         targets, members = distinct_targets(baselines)
     else:
@@ -74,27 +78,54 @@ def measured(baselines: DataFrame, entries: DataFrame, projects: DataFrame | Non
     names = select.name_features(entries.select(F.col("source_name").alias("src_name"), F.col("binary_name").alias("bin_name")).union(targets.select("src_name", "bin_name")))
     own = targets.join(names, ["src_name", "bin_name"], "left").select(F.col("target_id").alias("baseline_id"), *(F.col(c).alias(f"t_{c}") for c in ("description", "filelist", *features)))
     theirs = merged.join(names, ["src_name", "bin_name"], "left").select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", *(F.col(c).alias(f"c_{c}") for c in ("description", "filelist", "source", *features)))
-    first, second = select.parts()
-    out = theirs.join(own, "baseline_id").withColumns({"first": first, "second": second, "coverage": S.coverage(F.col("t_filelist"), F.col("c_filelist"))})
-    return out.select("baseline_id", "repo_name", "repo_version", "bin_name", "cand_ord", "first", "second", "coverage"), members
+    return theirs.join(own, "baseline_id").withColumn("coverage", S.coverage(F.col("t_filelist"), F.col("c_filelist"))), members
 
 
 def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None = None, w: float = 0.7, k: int = 1) -> DataFrame:
     """(baseline_id, repo_name, repo_version, bin_name, score, rank): the best k packages of every repository for each of
     the baselines (baseline_id, src_name, bin_name, description, filelist[, repo])."""
-    rows, members = measured(baselines, entries, projects)
-    scored = rows.withColumn("score", F.round(select.weighed(w, F.col("first"), F.col("second")), 6))
-    best = select.top_k(scored, k).select(F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
+    rows, members = featured(baselines, entries, projects)
+    # written first, as three passes read it; only what can be among the best is compared letter by letter
+    kept = stored(select.gated(rows))
+    close = select.contenders(kept, w, k)
+    scored = close.select(*_PLACED, F.round(select.weighed(w, *select.parts()), 6).alias("score"))
+    best = select.ranked(scored, k).select(F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
     return members.join(best, "target_id").drop("target_id")
 
 
 def sweep(baselines: DataFrame, entries: DataFrame, weights: list[float], projects: DataFrame | None = None, k: int = 1) -> DataFrame:
     """detect() for each of the weights, as column w: candidates are found and measured once, and stored; a weight costs a
     sum and a rank. The stored table goes once the result, which is stored too, is there."""
-    rows, members = measured(baselines, entries, projects)
-    kept = stored(rows)
+    rows, members = featured(baselines, entries, projects)
+    first, second = select.parts()
+    kept = stored(rows.select(*_PLACED, "coverage", first.alias("first"), second.alias("second")))
     scored = kept.withColumn("w", F.explode(F.array(*map(F.lit, weights)))).withColumn("score", F.round(select.weighed(F.col("w"), F.col("first"), F.col("second")), 6))
     best = select.top_k(scored, k, ("w",)).select("w", F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
     out = stored(members.join(best, "target_id").drop("target_id"))
     drop(kept)
     return out
+
+
+#: Where a baseline is looked for first; places that aren't named come last, by name.
+PRIORITY = ("ubuntu", "debian", "fedora", "gentoo")
+
+
+def baselines(keywords: DataFrame, entries: DataFrame) -> DataFrame:
+    """(baseline_id, keyword_id, TARGET, repo) of keywords (keyword_id, keyword): the packages that have the keyword's name
+    in the first place that has any, by PRIORITY, then by name and version. Keywords that no place has are left out."""
+    probes = keywords.select(F.col("keyword_id").alias("probe_id"), F.col("keyword").alias("probe_name"))
+    found = resolve.first_match_everywhere(probes, entries.select(*_ENTRY))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("os_name")), F.lit(0))
+    order = F.struct(F.when(rank > 0, rank).otherwise(len(PRIORITY) + 1), "os_name", "os_version", "source_ord", "row_ord")
+    fields = {"src_name": "source_name", "bin_name": "binary_name", "description": "description", "filelist": "filelist", "repo": "os_name"}
+    first = found.groupBy("probe_id").agg(F.min_by(F.struct(*(F.col(c).alias(n) for n, c in fields.items())), order).alias("e"))
+    return first.select(F.col("probe_id").alias("baseline_id"), F.col("probe_id").alias("keyword_id"), "e.*")
+
+
+def tables(keywords: DataFrame, entries: DataFrame, projects: DataFrame | None = None, w: float = 0.7) -> DataFrame:
+    """From keywords (keyword_id, keyword) to their tables of packages: keyword_id, repo_key, packages (sorted), best score.
+    The baseline's own repository is in the table with what it has."""
+    base = baselines(keywords, entries)
+    found = detect(base.drop("keyword_id") if projects is not None else base.drop("keyword_id", "repo"), entries, projects, w)
+    rows = found.select(F.col("baseline_id").alias("keyword_id"), repo_key(F.col("repo_name"), F.col("repo_version")).alias("repo_key"), "bin_name", "score")
+    return rows.groupBy("keyword_id", "repo_key").agg(F.array_sort(F.collect_set("bin_name")).alias("packages"), F.max("score").alias("score"))

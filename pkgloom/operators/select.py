@@ -54,16 +54,53 @@ def score(w: float, text: Column | None = None) -> Column:
     return F.lit(w / 3) * first + F.lit((1 - w) / 3) * second
 
 
+def bounds(w: float) -> tuple[Column, Column]:
+    """The least and the most that score(w) can be, from all but the common subsequences: a ratio is 1 for equal texts, 0
+    where one is missing or empty, and else at most what the lengths allow. The columns of parts()."""
+    t, c = (lambda x: F.col(f"t_{x}")), (lambda x: F.col(f"c_{x}"))
+
+    def ratio(a: Column, b: Column, same: Column) -> tuple[Column, Column]:
+        none = a.isNull() | b.isNull() | (F.trim(a) == "") | (F.trim(b) == "")
+        most = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+        return F.when(none, 0.0).when(same, 1.0).otherwise(0.0), F.when(none, 0.0).when(same, 1.0).otherwise(most)
+
+    name = ratio(t("core"), c("core"), t("core") == c("core"))
+    about = ratio(t("description"), c("description"), F.trim(t("description")) == F.trim(c("description")))
+    source = F.when(F.array_contains(c("source"), "upstream"), 1.0).when(t("plain_src") == c("plain_src"), 1.0).otherwise(0.0)
+    files = F.coalesce(S.coverage(t("filelist"), c("filelist")), F.lit(0.0))
+    rest = S.role_similarity(t("roles"), c("roles")) + S.version_similarity(t("versions"), c("versions"))
+    return tuple(weighed(w, name[i] + source + files, rest + about[i]) for i in (0, 1))
+
+
+def gated(rows: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """Where several compete for a baseline and repository (and the columns per) and one covers more than half of the
+    target's files, without those that cover none (column coverage)."""
+    group = W.partitionBy(*GROUP, *per)
+    seen = rows.withColumn("_best", F.max("coverage").over(group)).withColumn("_n", F.count("*").over(group))
+    return seen.where((F.col("_n") == 1) | (F.col("_best") <= 0.5) | (F.col("coverage") > 0)).drop("_best", "_n")
+
+
+def contenders(rows: DataFrame, w: float, k: int = 1) -> DataFrame:
+    """The rows that can be among the best k of their group: whose most reaches the k-th highest least. Scores are rounded
+    to 6 digits, so what is nearer than that stays."""
+    low, high = bounds(w)
+    order = W.partitionBy(*GROUP).orderBy(F.desc("_low")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"_low": low, "_high": high})
+    return rows.withColumn("_kth", F.nth_value("_low", k).over(order)).where("_kth IS NULL OR _high >= _kth - 2e-6").drop("_low", "_high", "_kth")
+
+
+def ranked(rows: DataFrame, k: int = 1, per: tuple[str, ...] = ()) -> DataFrame:
+    """The best k of each group with a score above 0 (columns score, cand_ord), with their rank."""
+    rank = F.row_number().over(W.partitionBy(*GROUP, *per).orderBy(F.desc("score"), "cand_ord"))
+    return rows.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(scored: DataFrame, k: int = 1, per: tuple[str, ...] = ()) -> DataFrame:
     """The best k of each baseline and repository (and of the columns per) with a score above 0 (columns score, coverage, cand_ord).
 
     Where several compete and one covers more than half of the target's files, those that cover none are out.
     """
-    group = W.partitionBy(*GROUP, *per)
-    seen = scored.withColumn("_best", F.max("coverage").over(group)).withColumn("_n", F.count("*").over(group))
-    fit = seen.where((F.col("_n") == 1) | (F.col("_best") <= 0.5) | (F.col("coverage") > 0)).where("score > 0")
-    rank = F.row_number().over(group.orderBy(F.desc("score"), "cand_ord"))
-    return fit.withColumn("rank", rank).where(F.col("rank") <= k).drop("_best", "_n")
+    return ranked(gated(scored, per), k, per)
 
 
 def first_packages(table: DataFrame, places: DataFrame) -> DataFrame:

@@ -37,6 +37,37 @@ def k04_resumed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 K04 = """SELECT 'k' || p_partkey AS rosdep_key, t AS type, CASE WHEN t <> '' THEN p_type END AS package_name, CASE WHEN t = '' THEN 'no_issues' ELSE 'ok' END AS status
 FROM (SELECT *, unnest(CASE WHEN p_size % 2 = 1 THEN [''] WHEN p_size % 4 = 0 THEN ['B.2', 'A.2'] ELSE ['B.1a'] END) AS t FROM part WHERE p_size <> 7)"""
 
+_SYSTEMS = ("ubuntu", "debian", "fedora", "gentoo", "arch", "alpine")
+
+
+def c01_keyword_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From names to tables of packages: parts as an index of six systems, their names as keywords, upstream projects by
+    type and size."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", F.element_at(F.array(*map(F.lit, _SYSTEMS)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("os"))
+    entries = _entries(part.withColumn("p_brand", F.col("os")))
+    keywords = part.select(F.col("p_name").alias("keyword")).distinct().withColumn("keyword_id", F.crc32("keyword"))
+    projects = part.select(F.concat_ws("-", "p_type", "p_size").alias("project"), F.col("os").alias("repo"), F.col("p_name").alias("binname"), F.col("p_name").alias("srcname"), F.lit(None).cast("string").alias("binnames"))
+    out = equivalence.tables(keywords, entries, projects)
+    return out.join(keywords, "keyword_id").select("keyword", "repo_key", F.array_join("packages", ",").alias("packages"), "score")
+
+
+def _tables_sql() -> str:
+    """C02 from the first system's package of each name, and with the projects' other packages as candidates."""
+    head, _, rest = C02.partition("files AS (")
+    middle, _, _ = rest.partition("z AS (SELECT")
+    parts = f"(SELECT p_partkey, p_name, p_type, p_size, [{', '.join(repr(x) for x in _SYSTEMS)}][p_partkey % 6 + 1] AS p_brand FROM part)"
+    about = middle.partition("c AS (")[0].replace("JOIN part p", "JOIN q0 p")
+    tail = middle.partition("c AS (")[2]
+    tail = tail.replace("arg_min(k, prio) AS k FROM (SELECT * FROM files UNION ALL SELECT * FROM about) GROUP BY 1, 2, 3, 4)", "arg_min(k, prio) AS k, max(prio) = 4 AS up FROM (SELECT * FROM files UNION ALL SELECT * FROM about UNION ALL SELECT * FROM kin) GROUP BY 1, 2, 3, 4)")
+    tail = tail.replace("CASE WHEN tn = cn THEN 1 ELSE 0 END", "CASE WHEN tn = cn OR up THEN 1 ELSE 0 END")
+    return f"""WITH RECURSIVE q0 AS {parts}, b AS (SELECT p_name AS tn, arg_min({{'td': p_type, 'os': p_brand}}, p_partkey % 6 * 100000000 + p_partkey) AS x FROM q0 GROUP BY 1),
+b1 AS (SELECT tn, (CASE (SELECT min(p_partkey % 6) FROM q0 WHERE p_name = b.tn AND p_brand NOT IN ('arch', 'alpine')) IS NULL WHEN true THEN (SELECT arg_min({{'td': p_type, 'os': p_brand}}, CASE p_brand WHEN 'alpine' THEN 0 ELSE 1 END * 100000000 + p_partkey) FROM q0 WHERE p_name = b.tn) ELSE x END) AS x FROM b),
+t AS (SELECT tn, x.td AS td, x.os AS os FROM b1), e AS (SELECT p_brand AS brand, p_name AS cn, min(p_partkey) AS k, arg_min(p_type, p_partkey) AS cd FROM q0 GROUP BY 1, 2),
+files AS ({about}kin AS (SELECT DISTINCT t.tn, t.td, o.p_brand AS brand, o.p_name AS cn, 4 AS prio, e.k, e.cd FROM t JOIN q0 m ON m.p_name = t.tn AND m.p_brand = t.os JOIN q0 o ON o.p_type = m.p_type AND o.p_size = m.p_size JOIN e ON e.brand = o.p_brand AND e.cn = o.p_name),
+c AS ({tail}z AS (SELECT *, row_number() OVER (PARTITION BY tn, td, brand ORDER BY score DESC, prio, k) AS r FROM y WHERE (n = 1 OR best <= 0.5 OR cov > 0) AND score > 0)
+SELECT tn AS keyword, brand AS repo_key, cn AS packages, score FROM z WHERE r = 1"""
+
+
 _WEIGHTS = [round(0.1 * i, 1) for i in range(11)]
 
 
@@ -149,6 +180,6 @@ J23 = "SELECT repeat('lib', CAST(p_size % 7 AS INT)) || 'x' || p_partkey || '-de
 
 #: Query: (function, SQL).
 ALL = {
-    "s13_archive_lists": (s13_archive_lists, S13), "k04_resumed_table": (k04_resumed_table, K04), "c08_weight_sweep": (c08_weight_sweep, _sweep_sql()), "a15_repository_scores": (a15_repository_scores, A15), "j21_extra_rates": (j21_extra_rates, J21),
+    "c01_keyword_tables": (c01_keyword_tables, _tables_sql()), "s13_archive_lists": (s13_archive_lists, S13), "k04_resumed_table": (k04_resumed_table, K04), "c08_weight_sweep": (c08_weight_sweep, _sweep_sql()), "a15_repository_scores": (a15_repository_scores, A15), "j21_extra_rates": (j21_extra_rates, J21),
     "c13_claims": (c13_claims, C13), "c04_entries": (c04_entries, C04), "j23_long_chains": (j23_long_chains, J23),
 }
