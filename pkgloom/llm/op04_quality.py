@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, class_runs, mix, pieces, stored, sum_vectors, table, vector_rows
+from .common import SpanHash, class_runs, drop, mix, pieces, stored, sum_vectors, table, vector_rows
 
 #: Rows for words, dimensions, nonzero entries of an index vector, neighbours on either side.
 ROWS, DIM, NONZERO, NEAR = 1 << 13, 32, 2, 2
@@ -146,14 +146,18 @@ def features(docs: DataFrame, vectors) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, pooled binary")
 
 
-def train(spark: SparkSession, pooled: DataFrame, labels: DataFrame, label: str = "quality") -> Network:
-    """A network from the rows of pooled that labels marks; about TRAIN_ROWS of them come to the driver. A document that is
-    labelled twice has the lower label."""
+def drawn(labels: DataFrame, label: str = "quality") -> DataFrame:
+    """(doc_id, y): about TRAIN_ROWS labelled documents that aren't held out, drawn by a hash of the id, and so few that they
+    may be broadcast. A document that is labelled twice has the lower label."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("y"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30))
-    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / max(1, n)))))
-    rows = sorted((r[0], bytes(r[1]), r[2]) for r in pooled.join(known, "doc_id").select("doc_id", "pooled", "y").collect())
+    return known.where(draw < F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / max(1, n)))))
+
+
+def train(pooled: DataFrame, known: DataFrame) -> Network:
+    """A network from the rows of pooled that known (drawn()) has; these come to the driver."""
+    rows = sorted((r[0], bytes(r[1]), r[2]) for r in pooled.join(F.broadcast(known), "doc_id").select("doc_id", "pooled", "y").collect())
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, POOLED)
     return fit(x, np.array([r[2] for r in rows], float))
 
@@ -166,7 +170,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
     pooled = stored(spark, features(docs, vectors))
-    net = spark.sparkContext.broadcast(train(spark, pooled, labels))
+    net = spark.sparkContext.broadcast(train(pooled, drawn(labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +183,11 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = ACCEPT) -> DataFrame:
     """The rows of docs that score least or more, with all their columns; no row leaves its partition."""
     vectors = spark.sparkContext.broadcast(word_vectors(docs))
-    known = labels.select(F.col("doc_id").alias("l_doc_id")).distinct()
-    pooled = features(docs.join(known, docs["doc_id"] == known["l_doc_id"], "left_semi"), vectors)
-    net = spark.sparkContext.broadcast(train(spark, pooled, labels))
+    known = stored(spark, drawn(labels))
+    some = known.select(F.col("doc_id").alias("l_doc_id"))
+    pooled = features(docs.join(F.broadcast(some), docs["doc_id"] == some["l_doc_id"], "left_semi"), vectors)
+    net = spark.sparkContext.broadcast(train(pooled, known))
+    drop(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
