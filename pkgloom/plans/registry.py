@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, changes, domain, packages, relational, scans, studies
+from . import catalog, changes, domain, packages, relational, reporting, scans, studies
 
-_ALL = domain.ALL | packages.ALL | catalog.ALL | scans.ALL | changes.ALL | studies.ALL
+_ALL = domain.ALL | packages.ALL | catalog.ALL | scans.ALL | changes.ALL | studies.ALL | reporting.ALL
 
 
 def queries() -> dict:

@@ -54,6 +54,14 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'))
 
 
+def portage_packages(pages: DataFrame) -> DataFrame:
+    """Listings of categories (category, html) as packages, each once: the relative links to folders whose name may be a
+    package's. A listing has no versions."""
+    rows = pages.select("category", F.explode(links(F.col("html"))).alias("h")).where(~F.col("h").isin("../", "./") & ~F.col("h").startswith("/") & F.col("h").endswith("/"))
+    rows = rows.select("category", F.expr("substring(h, 1, length(h) - 1)").alias("name")).where(F.col("name").rlike("^[a-z0-9][a-z0-9+._-]*$")).distinct()
+    return rows.select("name", F.lit("unknown").alias("version"), F.concat_ws("/", "category", "name").alias("source_name"), F.col("name").alias("binary_name"), F.lit(None).cast("string").alias("description"))
+
+
 def evr(epoch: Column, version: Column, release: Column) -> Column:
     """[epoch:]version[-release], without an epoch of 0."""
     return F.concat(F.when(F.coalesce(epoch, F.lit("0")) != "0", F.concat(epoch, F.lit(":"))).otherwise(""), version, F.when(F.coalesce(release, F.lit("")) != "", F.concat(F.lit("-"), release)).otherwise(""))
