@@ -186,12 +186,17 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     template = spark.createDataFrame(rows, "template string, word string, weight double")
     names = spark.createDataFrame([(t, sum(w in NAMES for m, w, _ in rows if m == t)) for t in dict.fromkeys(r[0] for r in rows)], "template string, n_names long")
 
-    square = F.create_map(*(F.lit(x) for kv in bound.items() for x in kv))
+    weights = F.create_map(*(y for w, m in sorted(bound.items()) for y in (F.lit(w), F.struct(F.lit(m).alias("m"), F.lit(idf[w]).alias("idf")))))
     held = files.where(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), some))
     held = held.select("file", F.explode(_statements(F.col("text"), is_license_file(F.col("path")))).alias("s"))
     held = held.withColumn("w", F.split("s", " ")).where(F.arrays_overlap("w", some))
-    reach = F.aggregate(F.array_intersect("w", F.lit(sorted(bound))), F.lit(0.0), lambda a, w: a + square[w])
-    held = held.where(reach >= (THRESHOLD - 1e-5) ** 2)
+    # by Cauchy and Schwarz a cosine is at most the norm of the template's weights on the words that they share, times the
+    # statement's share of norm on these: every other word weighs one at least, and takes one of the statement's places
+    held = held.withColumn("k", F.array_intersect("w", F.lit(sorted(bound)))).withColumn("other", F.size(F.array_distinct("w")) - F.size("k"))
+    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("idf"))
+    held = held.withColumn("b", F.aggregate("k", zero, lambda a, w: F.struct((a["m"] + weights[w]["m"]).alias("m"), F.greatest(a["idf"], weights[w]["idf"]).alias("idf"))))
+    norm = F.pow(F.col("b.idf") * (F.size("w") - F.col("other")), 2)
+    held = held.where(F.col("b.m") * norm / (norm + F.col("other")) >= (THRESHOLD - 1e-5) ** 2)
     held = stored(spark, held.select("file", F.md5("s").alias("id"), "s"))
     each = held.groupBy("id").agg(F.first("s").alias("s")).withColumn("w", F.split("s", " "))
 
