@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,23 @@ def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _tables(spark)[path] = None
+    return out
+
+
+def _tables(spark: SparkSession) -> dict[str, None]:
+    """The paths of this session's stored tables that are still there, in the order in which they were written."""
+    if not hasattr(spark, "_pkgloom_tables"):
+        spark._pkgloom_tables = {}
+    return spark._pkgloom_tables
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, stored; the tables that it stored on the way are deleted."""
+    before = set(_tables(spark))
+    out = stored(spark, make())
+    for path in [p for p in _tables(spark) if p not in before and p != out._stored_at]:
+        remove(spark, path)
     return out
 
 
@@ -65,6 +82,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def remove(spark: SparkSession, folder: str) -> None:
+    _tables(spark).pop(folder, None)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

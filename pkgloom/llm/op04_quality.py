@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, class_runs, drop, mix, pieces, stored, sum_vectors, table, vector_rows
+from .common import SpanHash, class_runs, drop, mix, pieces, settled, stored, sum_vectors, table, vector_rows
 
 #: Rows for words, dimensions, nonzero entries of an index vector, neighbours on either side.
 ROWS, DIM, NONZERO, NEAR = 1 << 13, 32, 2, 2
@@ -198,5 +198,5 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float =
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = settled(spark, lambda: score(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix, stored, table
+from .common import SPACE, mix, settled, stored, table
 
 #: Digests in a bucket, about; a bucket is one row of the index and one task's work.
 BUCKET_DIGESTS = 50_000
@@ -139,7 +139,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, history_below: int | None
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = settled(spark, lambda: exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history"))
 
 

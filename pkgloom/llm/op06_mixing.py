@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import settled, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of a source's seeded order; sums of buckets find the one bucket in which the fractional repetition ends.
@@ -67,4 +67,4 @@ def mix_sources(spark: SparkSession, rows: DataFrame, weights=(5.0, 2.0, 1.0), s
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(spark, sized(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return settled(spark, lambda: mix_sources(spark, sized(table(spark, sf_dir, "documents")))).select("doc_id", "size", "source_size", "target", "taken")

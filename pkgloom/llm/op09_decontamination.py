@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, settled, stored, table
 
 #: Words of a shared span that is always found, and of a k-gram.
 T, K = 10, 5
@@ -135,7 +135,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Dat
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = settled(spark, lambda: decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import op03_ngram_join, op04_quality, op05_exact_dedup, op06_mixing, op09_decontamination
-from .common import drop, stored, table
+from .common import drop, settled, stored, table
 
 #: What a stage puts before the names of its own columns, so that they meet none of documents.
 _OWN = "pkgloom_"
@@ -81,7 +81,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = stored(spark, stage(spark, docs, sf_dir))
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
         drop(*before)
         before = [docs]
     return docs
