@@ -215,6 +215,18 @@ def key_parts(repo_key: Column) -> Column:
     return F.struct(parts[0].alias("os"), F.get(parts, F.lit(1)).alias("version"))
 
 
+def split_key(repo_key: Column) -> Column:
+    """platform and version of a repository's key that has one _; others are all platform."""
+    parts = F.split(repo_key, "_")
+    two = F.size(parts) == 2
+    return F.struct(F.when(two, parts[0]).otherwise(repo_key).alias("platform"), F.when(two, F.get(parts, F.lit(1))).otherwise("").alias("version"))
+
+
+def is_debug(name: Column) -> Column:
+    """Whether a package holds what another leaves behind for debuggers."""
+    return name.endswith("-debuginfo") | name.endswith("-debugsource")
+
+
 def pip_name(name: Column) -> Column:
     """What a system's package is likely to be called among Python packages."""
     return F.translate(F.regexp_replace(F.regexp_replace(name, "^python3?-", ""), "-dev$", ""), "-", "_")

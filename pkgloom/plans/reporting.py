@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..operators import reports
-from ..sources import formats, shared, sinks
-from .domain import C11, c11_index_scan, read
+from ..sources import config, formats, shared, sinks
+from .domain import C11, c11_index_scan, of_parts, parts_sql, read
 
 _TYPES = {"A.1": "Entry not found in database", "A.2": "Missing platform/version in entry", "B.1a": "Package not found in repository", "B.1b": "Package name differs from expected", "B.2a": "Using pip when OS repo has it", "B.2b": "Distribution entry exists in OS repo"}
 _MESSAGE = """CASE type WHEN 'A.1' THEN 'Entry ''' || k || ''' not found in database' WHEN 'A.2' THEN 'Entry ''' || k || ''' missing version ''' || v || ''' for platform ''' || o || '''; suggested package: ''' || e || ''''
@@ -165,9 +166,46 @@ def s20_portage_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 S20 = """SELECT DISTINCT n AS name, 'unknown' AS version, c || '/' || n AS source_name FROM (SELECT lower(replace(p_brand, '#', '-')) AS c, replace(p_name, ' ', '-') || CASE WHEN p_partkey % 6 = 5 THEN '+' || p_partkey ELSE '' END AS n FROM part WHERE p_partkey % 6 IN (0, 5))"""
 
+def s24_ros_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a robotics distribution: packages under its name and others."""
+    rows = [("Package: ros-jazzy-{n}-{k}\nVersion: {k}\nDescription: d",), ("Package: {n}{k}\nVersion: 1",), ("Package: ros-jazzy-{n}{k}\nSource: ros-{n}\nVersion: 2",)]
+    text = of_parts(spark, sf_dir, rows, "value").select("value")
+    return formats.ros_packages(formats.block_fields(text)).select("name", "key", "version", "source_name")
+
+
+S24 = f"""SELECT * FROM {parts_sql([("ros-jazzy-{n}-{k}", "{n}-{k}", "{k}", "ros-jazzy-{n}-{k}"), (None, None, None, None), ("ros-jazzy-{n}{k}", "{n}{k}", "2", "ros-{n}")], "name key version source_name")} WHERE name IS NOT NULL"""
+S24 = S24.replace("SELECT * FROM", 'SELECT name, "key", version, source_name FROM', 1)
+
+
+def p23_relevant_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = of_parts(spark, sf_dir, [("{n}",), ("{n}-debuginfo",), ("{n}-debugsource",), ("{n}-debug",)], "name")
+    return t.where(~N.is_debug(F.col("name")))
+
+
+P23 = f"SELECT * FROM {parts_sql([('{n}',), (None,), (None,), ('{n}-debug',)], 'name')} WHERE name IS NOT NULL"
+
+_SPLIT = [("ubuntu_{k}", "ubuntu", "{k}"), ("nix_stable_{k}", "nix_stable_{k}", ""), ("arch", "arch", ""), ("_{k}", "", "{k}")]
+
+
+def p27_split_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = of_parts(spark, sf_dir, [r[:1] for r in _SPLIT], "repo_key")
+    return t.select("p_partkey", "repo_key", N.split_key(F.col("repo_key")).alias("x")).select("p_partkey", "repo_key", "x.*")
+
+
+P27 = f"SELECT p_partkey, repo_key, platform, version FROM {parts_sql(_SPLIT, 'repo_key platform version')}"
+
+
+def p28_system_platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as the systems of its configuration, with two that are none."""
+    n = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("file"), F.when(F.col("c_custkey") % 5 == 0, "pypi").when(F.col("c_custkey") % 5 == 1, "ros").otherwise(F.lower("c_mktsegment")).alias("os_name"))
+    return config.systems(n).select("file", F.array_join("os_names", ",").alias("os_names"))
+
+
+P28 = "SELECT CAST(c_nationkey AS VARCHAR) AS file, string_agg(DISTINCT lower(c_mktsegment), ',' ORDER BY lower(c_mktsegment)) AS os_names FROM customer WHERE c_custkey % 5 > 1 GROUP BY 1"
+
 #: Query: (function, SQL).
 ALL = {
     "f29_messages": (f29_messages, F29), "k05_defect_reports": (k05_defect_reports, K05), "k11_broken_summary": (k11_broken_packages, K11), "k08_latex_table": (k08_latex_table, K08), "a11_name_growth": (a11_name_growth, A11), "a12_chained_changes": (a12_chained_changes, A12),
     "a14_overlap_shares": (a14_overlap, A14), "a18_source_counts": (a18_sources, A18), "c09_truth_of_changes": (c09_truth_of_changes, C09), "p24_cross_platform_keys": (p24_cross_platform_keys, P24), "c10_study_changes": (c10_study_changes, C10),
-    "s31_csv_round_trip": (s31_csv_rows, S31), "s20_portage_listings": (s20_portage_listings, S20),
+    "s24_ros_index": (s24_ros_index, S24), "p23_relevant_names": (p23_relevant_names, P23), "p27_split_repo_keys": (p27_split_keys, P27), "p28_systems": (p28_system_platforms, P28), "s31_csv_round_trip": (s31_csv_rows, S31), "s20_portage_listings": (s20_portage_listings, S20),
 }

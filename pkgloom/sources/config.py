@@ -20,3 +20,8 @@ def hashes(entries: DataFrame) -> DataFrame:
     """(file, config_hash): the MD5 of the supported versions as JSON, systems and versions sorted."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col("os_name").alias("k"), F.array_sort("versions").alias("v"))))
     return _supported(entries).groupBy("file").agg(F.md5(F.to_json(F.map_from_entries(pairs))).alias("config_hash"))
+
+
+def systems(targets: DataFrame) -> DataFrame:
+    """(file, os_names): the systems of targets(), sorted, but for those that aren't of an operating system."""
+    return targets.where(~F.col("os_name").isin("pypi", "ros")).groupBy("file").agg(F.array_sort(F.collect_set("os_name")).alias("os_names"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import ros_name
+
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a control file (separated by blank lines), one map of fields each."""
@@ -31,6 +33,13 @@ def debian_packages(blocks: DataFrame) -> DataFrame:
     return blocks.select(f["Package"].alias("name"), f["Version"].alias("version"), F.coalesce(f["Source"], f["Package"]).alias("source_name"), f["Package"].alias("binary_name"), F.translate(f["Description"], "\n", " ").alias("description"))
 
 
+def ros_packages(blocks: DataFrame) -> DataFrame:
+    """debian_packages() of the index of a robotics distribution, whose packages are named after it: only those, with key, the
+    name without the distribution, under which rules know them."""
+    p = debian_packages(blocks).where("startswith(name, 'ros-')")
+    return p.withColumn("key", ros_name(F.col("name")))
+
+
 def contents(lines: DataFrame) -> DataFrame:
     """Lines `path packages` of a contents index as (package, path), each once."""
     path, names = F.regexp_extract("value", r"^(.*\S)\s+(\S+)$", 1), F.regexp_extract("value", r"^(.*\S)\s+(\S+)$", 2)

@@ -77,3 +77,16 @@ def test_portage_listing(spark):
     html = '<a href="ok/">x</a><a href="ok/">again</a><a href="../">up</a><a href="/abs/">x</a><a href="file">x</a><a href="Up/">x</a><a href="a.b+c_d-1/">x</a><a href="-x/">x</a>'
     got = formats.portage_packages(spark.createDataFrame([("dev", html), ("none", None), ("empty", "")], "category string, html string")).collect()
     assert sorted((r["name"], r["source_name"]) for r in got) == [("a.b+c_d-1", "dev/a.b+c_d-1"), ("ok", "dev/ok")]
+
+
+def test_names_and_systems(spark):
+    from pkgloom.functions import names as N
+    from pkgloom.sources import config
+
+    rows = spark.createDataFrame([("a_b",), ("a",), ("a_b_c",), ("_",), (None,), ("x-debuginfo",)], "s string")
+    got = [(r[0]["platform"], r[0]["version"], r[1]) for r in rows.select(N.split_key(F.col("s")), N.is_debug(F.col("s"))).collect()]
+    assert got == [("a", "b", False), ("a", "", False), ("a_b_c", "", False), ("", "", False), (None, "", None), ("x-debuginfo", "", True)]
+    targets = spark.createDataFrame([("f", "b"), ("f", "a"), ("f", "a"), ("f", "ros"), ("g", "pypi")], "file string, os_name string")
+    assert [tuple(r) for r in config.systems(targets).collect()] == [("f", ["a", "b"])]
+    blocks = spark.createDataFrame([("Package: ros-x-y-z\nVersion: 1",), ("Package: y",), ("Version: 3",)], "value string")
+    assert [(r["name"], r["key"]) for r in formats.ros_packages(formats.block_fields(blocks)).collect()] == [("ros-x-y-z", "y-z")]
