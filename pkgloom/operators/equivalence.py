@@ -90,7 +90,9 @@ def detect(baselines: DataFrame, entries: DataFrame, projects: DataFrame | None
     close = select.contenders(kept, w, k)
     scored = close.select(*_PLACED, F.round(select.weighed(w, *select.parts()), 6).alias("score"))
     best = select.ranked(scored, k).select(F.col("baseline_id").alias("target_id"), "repo_name", "repo_version", "bin_name", "score", "rank")
-    return members.join(best, "target_id").drop("target_id")
+    out = stored(members.join(best, "target_id").drop("target_id"))
+    drop(kept)
+    return out
 
 
 def sweep(baselines: DataFrame, entries: DataFrame, weights: list[float], projects: DataFrame | None = None, k: int = 1) -> DataFrame:

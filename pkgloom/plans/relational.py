@@ -22,7 +22,7 @@ WORDS = {
 QUERIES = {
     "j05_token_overlap_join": "SELECT b.item_id, count(*) AS n_docs, sum(k) AS n_shared FROM (SELECT bt.item_id, dt.doc_id, count(*) AS k FROM (SELECT item_id, WORDSOF(text) AS w FROM benchmark) bt JOIN (SELECT doc_id, WORDSOF(text) AS w FROM documents) dt ON bt.w = dt.w GROUP BY bt.item_id, dt.doc_id) b GROUP BY b.item_id",
     "j09_three_way": "SELECT r_name, n_name, count(*) AS n, round(sum(s_acctbal), 2) AS bal FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY r_name, n_name",
-    "j08_sibling_join": "SELECT a.s_suppkey, count(b.s_suppkey) AS n_siblings, min(b.s_name) AS first_sibling FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY a.s_suppkey",
+    "j08_sibling_join": "SELECT s_suppkey, n - 1 AS n_siblings, least(coalesce(a, b), coalesce(b, a)) AS first_sibling FROM (SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n, min(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, min(s_name) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM supplier) x WHERE n > 1",
     "j13_semi": "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "j13_anti": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "j14_left_default": "SELECT c_custkey, coalesce(n, 0) AS n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
