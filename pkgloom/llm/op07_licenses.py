@@ -190,13 +190,15 @@ def stated(spark: SparkSession, files: DataFrame) -> DataFrame:
     held = files.where(F.arrays_overlap(F.split("text", "[^a-z0-9]+"), some))
     held = held.select("file", F.explode(_statements(F.col("text"), is_license_file(F.col("path")))).alias("s"))
     held = held.withColumn("w", F.split("s", " ")).where(F.arrays_overlap("w", some))
-    # by Cauchy and Schwarz a cosine is at most the norm of the template's weights on the words that they share, times the
-    # statement's share of norm on these: every other word weighs one at least, and takes one of the statement's places
-    held = held.withColumn("k", F.array_intersect("w", F.lit(sorted(bound)))).withColumn("other", F.size(F.array_distinct("w")) - F.size("k"))
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("idf"))
-    held = held.withColumn("b", F.aggregate("k", zero, lambda a, w: F.struct((a["m"] + weights[w]["m"]).alias("m"), F.greatest(a["idf"], weights[w]["idf"]).alias("idf"))))
-    norm = F.pow(F.col("b.idf") * (F.size("w") - F.col("other")), 2)
-    held = held.where(F.col("b.m") * norm / (norm + F.col("other")) >= (THRESHOLD - 1e-5) ** 2)
+    # of the words that templates have, the largest weights bound the cosine: by their norm, and then, with how often the
+    # statement has them, by their dot product over the least norm that the statement can have (others weigh one at least)
+    held = held.withColumn("k", F.array_intersect("w", F.lit(sorted(bound))))
+    held = held.where(F.aggregate("k", F.lit(0.0), lambda a, w: a + weights[w]["m"]) >= (THRESHOLD - 1e-5) ** 2)
+    tf = lambda w: F.size(F.filter("w", lambda y: y == w))
+    xs = F.transform("k", lambda w: F.struct((tf(w) * weights[w]["idf"]).alias("x"), F.sqrt(weights[w]["m"]).alias("most")))
+    zero = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("norm"))
+    held = held.withColumn("b", F.aggregate(xs, zero, lambda a, y: F.struct((a["dot"] + y["x"] * y["most"]).alias("dot"), (a["norm"] + y["x"] * y["x"]).alias("norm"))))
+    held = held.where(F.col("b.dot") >= (THRESHOLD - 1e-5) * F.sqrt(F.col("b.norm") + F.size(F.array_distinct("w")) - F.size("k")))
     held = stored(spark, held.select("file", F.md5("s").alias("id"), "s"))
     each = held.groupBy("id").agg(F.first("s").alias("s")).withColumn("w", F.split("s", " "))
 
