@@ -31,7 +31,7 @@ HALF = LENGTH // 2
 #: Suffixes that are named at a time, which bounds memory within a very long text.
 BLOCK = 1 << 20
 #: Contexts of a bucket that are refined in one task; a larger bucket is split, and its suffixes meet by their names.
-MEMBERS = 4096
+MEMBERS = 2048
 _LOW = np.uint64((1 << 22) - 1)
 
 
@@ -50,16 +50,21 @@ def names(raw: np.ndarray, steps: int, first: SpanHash | None = None) -> np.ndar
 def refined(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the suffixes with LENGTH bytes in their row of raw, and the identifier of each one's bucket: equal where
     and only where those bytes are."""
-    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(raw))
+    # identifiers and lengths are fewer than the bytes; four bytes each hold them
+    small = np.int32 if len(raw) < 1 << 31 else np.int64
+    left = (np.repeat(at[1:], np.diff(at)) - np.arange(len(raw))).astype(small)
 
     def step(have: np.ndarray, more: np.ndarray, width: int, reach: int) -> np.ndarray:
-        start = np.flatnonzero(left >= reach)
-        out = np.zeros(len(raw), np.int64)
-        out[start] = np.unique(have[start] * (more.max(initial=0) + 1) + more[start + width], return_inverse=True)[1]
+        start = np.flatnonzero(left >= reach).astype(small)
+        key = have[start].astype(np.int64)
+        key *= int(more.max(initial=0)) + 1
+        key += more[start + small(width)]
+        out = np.zeros(len(raw), small)
+        out[start] = np.unique(key, return_inverse=True)[1]
         return out
 
     # the initial buckets, of Q bytes: single bytes doubled, and what is missing added from the bits of Q
-    power, whole, width, size = raw.astype(np.int64), None, 0, 1
+    power, whole, width, size = raw.astype(small), None, 0, 1
     while size <= Q:
         if Q & size:
             whole = power if whole is None else step(whole, power, width, width + size)
@@ -70,7 +75,7 @@ def refined(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k in range(STEPS):
         whole = step(whole, whole, Q << k, Q << k + 1)
     start = np.flatnonzero(left >= LENGTH)
-    return start, whole[start]
+    return start, whole[start].astype(np.int64)
 
 
 def _least(key: np.ndarray, width: int) -> np.ndarray:
