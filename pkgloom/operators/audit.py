@@ -22,37 +22,40 @@ def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: Dat
     mapping proposes; existing: (os_name, os_version, package), what repositories have; targets: (os_name, os_version,
     ver_ord). After the first version of a platform with a pip definition that the system could serve, later versions
     of that platform are not looked at.
+
+    Of keys, places and packages there are as many as the index has, and files of them are far smaller than their rows:
+    these joins are merged, so that no estimate sends one side through the driver.
     """
     place = ["rosdep_key", "os_name", "os_version"]
     if wanted is not None:
         exempt = distributions.select("rosdep_key") if distributions is not None else wanted.select("rosdep_key").limit(0)
         rest = _of_keys(states, found, existing, targets, wanted.select("rosdep_key").distinct(), exempt.distinct())
         known = found.select("rosdep_key").unionByName(exempt).distinct()
-        states = states.join(known, "rosdep_key", "left_semi")
+        states = states.join(known.hint("merge"), "rosdep_key", "left_semi")
         return audit(states, found, existing, targets).unionByName(rest)
     names = found.groupBy(*place).agg(F.min("bin_name").alias("expected"), F.collect_set(platform_name(F.col("bin_name"), F.col("os_name"))).alias("expected_names"))
-    rows = states.join(targets, ["os_name", "os_version"]).join(names, place, "left")
+    rows = states.join(targets, ["os_name", "os_version"]).join(names.hint("merge"), place, "left")
     packages = rows.where("state = 'LISTED'").select(*place, F.explode("packages").alias("package"))
     present = existing.select("os_name", "os_version", "package").distinct().withColumn("there", F.lit(True))
-    packages = packages.join(present, ["os_name", "os_version", "package"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    packages = packages.join(present.hint("merge"), ["os_name", "os_version", "package"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
     listed = packages.groupBy(*place).agg(F.bool_and("there").alias("all_there"), F.collect_set(platform_name(F.col("package"), F.col("os_name"))).alias("listed_names"), F.min("package").alias("first"))
-    rows = rows.join(listed, place, "left")
+    rows = rows.join(listed.hint("merge"), place, "left")
     pip = (F.col("state") == "LISTED") & F.col("all_there") & (F.col("package_manager") == "pip") & F.col("expected").isNotNull()
     stop = rows.where(pip).groupBy("rosdep_key", "os_name").agg(F.min("ver_ord").alias("stop"))
-    rows = rows.join(stop, ["rosdep_key", "os_name"], "left").where(F.col("stop").isNull() | (F.col("ver_ord") <= F.col("stop")))
+    rows = rows.join(stop.hint("merge"), ["rosdep_key", "os_name"], "left").where(F.col("stop").isNull() | (F.col("ver_ord") <= F.col("stop")))
     has = F.col("expected").isNotNull()
 
     def out(df: DataFrame, kind: str, reason: str, name=F.lit(None).cast("string")) -> DataFrame:
         return df.select(*place, F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), "expected")
 
     kept = rows.select(*place, "expected")
-    missing = packages.where("NOT there").join(kept, place).select(*place, F.lit("B.1a").alias("type"), F.lit("not_found").alias("reason"), F.col("package").alias("package_name"), "expected")
+    missing = packages.where("NOT there").join(kept.hint("merge"), place).select(*place, F.lit("B.1a").alias("type"), F.lit("not_found").alias("reason"), F.col("package").alias("package_name"), "expected")
     differs = (F.col("state") == "LISTED") & F.col("all_there") & (F.coalesce("package_manager", F.lit("")) != "pip") & has & (F.sort_array("listed_names") != F.sort_array("expected_names"))
     return (
         out(rows.where((F.col("state") == "NULL") & has), "A.2", "missing")
         .unionByName(out(rows.where((F.col("state") == "EMPTY") & has), "B.1b", "empty_list"))
         .unionByName(missing)
-        .unionByName(packages.join(rows.where(pip).select(*place, "expected"), place).select(*place, F.lit("B.2a").alias("type"), F.lit("pip").alias("reason"), F.col("package").alias("package_name"), "expected"))
+        .unionByName(packages.join(rows.where(pip).select(*place, "expected").hint("merge"), place).select(*place, F.lit("B.2a").alias("type"), F.lit("pip").alias("reason"), F.col("package").alias("package_name"), "expected"))
         .unionByName(out(rows.where(differs), "B.1b", "differs", F.col("first")))
         .select(*_OUT)
     )
@@ -66,12 +69,12 @@ def _of_keys(states: DataFrame, found: DataFrame, existing: DataFrame, targets:
     def whole(keys: DataFrame, kind: str, reason: str, name=none) -> DataFrame:
         return keys.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), none.alias("expected"))
 
-    plain = wanted.join(exempt, "rosdep_key", "left_anti")
-    absent = plain.join(ruled, "rosdep_key", "left_anti")
-    pip = pip_counterparts(absent).join(ruled.withColumnRenamed("rosdep_key", "counterpart"), "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
-    unknown = plain.join(ruled, "rosdep_key", "left_semi").join(found.select("rosdep_key").distinct(), "rosdep_key", "left_anti")
+    plain = wanted.join(exempt.hint("merge"), "rosdep_key", "left_anti")
+    absent = plain.join(ruled.hint("merge"), "rosdep_key", "left_anti")
+    pip = pip_counterparts(absent).join(ruled.withColumnRenamed("rosdep_key", "counterpart").hint("merge"), "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
+    unknown = plain.join(ruled.hint("merge"), "rosdep_key", "left_semi").join(found.select("rosdep_key").distinct().hint("merge"), "rosdep_key", "left_anti")
     first = targets.groupBy("os_name").agg(F.min_by("os_version", "ver_ord").alias("os_version"))
     there = existing.join(first, ["os_name", "os_version"]).select("os_name", "os_version", "package", lookup_key(F.col("package")).alias("k"))
-    served = exempt.withColumn("k", lookup_key(F.col("rosdep_key"))).join(there, "k").groupBy("rosdep_key", "os_name", "os_version").agg(F.min("package").alias("package_name"))
+    served = exempt.withColumn("k", lookup_key(F.col("rosdep_key"))).join(there.hint("merge"), "k").groupBy("rosdep_key", "os_name", "os_version").agg(F.min("package").alias("package_name"))
     served = served.select("rosdep_key", "os_name", "os_version", F.lit("B.2b").alias("type"), F.lit("in_platform").alias("reason"), "package_name", none.alias("expected"))
     return whole(absent, "A.1", "absent").unionByName(whole(pip, "B.2a", "pip_counterpart", F.col("counterpart"))).unionByName(whole(unknown, "B.1a", "no_info")).unionByName(served)

@@ -25,7 +25,7 @@ def lookup(rules: DataFrame, targets: DataFrame) -> DataFrame:
 
     state is NULL (nothing said), EMPTY (said to be unavailable) or LISTED. A platform's own rules come before those of
     '*', and within the platform that applies its version before '*'. Every key is answered for every target, which are a
-    configuration's short list and are broadcast while they are (MOST_TARGETS).
+    configuration's short list and are broadcast while they are (MOST_TARGETS). Keys and rules are many, and merged.
     """
     listed = rules.groupBy("rosdep_key", "platform", "os_version").agg(
         F.array_sort(F.collect_set(F.when(~F.col("is_null"), F.col("package")))).alias("packages"), F.min("package_manager").alias("package_manager")
@@ -33,10 +33,10 @@ def lookup(rules: DataFrame, targets: DataFrame) -> DataFrame:
     keys = rules.select("rosdep_key").distinct()
     has = rules.select("rosdep_key", F.col("platform").alias("os_name"), F.lit(1).alias("own")).distinct()
     few = targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS
-    want = keys.crossJoin(F.broadcast(targets) if few else targets).join(has, ["rosdep_key", "os_name"], "left")
+    want = keys.crossJoin(F.broadcast(targets) if few else targets).join(has.hint("merge"), ["rosdep_key", "os_name"], "left")
     want = want.withColumn("platform", F.when(F.col("own").isNotNull(), F.col("os_name")).otherwise("*"))
     tries = want.withColumn("v", F.explode(F.array(F.struct(F.lit(0).alias("prio"), F.col("os_version").alias("version")), F.struct(F.lit(1).alias("prio"), F.lit("*").alias("version")))))
-    hit = tries.join(listed.withColumnRenamed("os_version", "r_version"), (tries.rosdep_key == listed.rosdep_key) & (tries.platform == listed.platform) & (F.col("v.version") == F.col("r_version")), "left").select(
+    hit = tries.join(listed.withColumnRenamed("os_version", "r_version").hint("merge"), (tries.rosdep_key == listed.rosdep_key) & (tries.platform == listed.platform) & (F.col("v.version") == F.col("r_version")), "left").select(
         tries.rosdep_key, "os_name", tries.os_version, F.when(F.col("packages").isNotNull(), F.struct(F.col("v.prio").alias("prio"), "packages", "package_manager")).alias("d")
     )
     best = hit.groupBy("rosdep_key", "os_name", "os_version").agg(F.min_by("d", F.col("d.prio")).alias("d"))
@@ -77,10 +77,10 @@ def matched(rules: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of each wanted (rosdep_key, os_name, os_version) the platform and version under which its rule stands, or nulls."""
     places = rules.select("rosdep_key", "platform", "os_version").distinct()
     own = places.select("rosdep_key", F.col("platform").alias("os_name"), F.lit(True).alias("own")).distinct()
-    want = wanted.join(own, ["rosdep_key", "os_name"], "left").withColumn("platform", F.when(F.col("own"), F.col("os_name")).otherwise("*")).drop("own")
+    want = wanted.join(own.hint("merge"), ["rosdep_key", "os_name"], "left").withColumn("platform", F.when(F.col("own"), F.col("os_name")).otherwise("*")).drop("own")
     exact = places.withColumn("exact", F.col("os_version"))
     star = places.where("os_version = '*'").select("rosdep_key", "platform", F.lit("*").alias("star"))
-    hit = want.join(exact, ["rosdep_key", "platform", "os_version"], "left").join(star, ["rosdep_key", "platform"], "left")
+    hit = want.join(exact.hint("merge"), ["rosdep_key", "platform", "os_version"], "left").join(star.hint("merge"), ["rosdep_key", "platform"], "left")
     version = F.coalesce("exact", "star")
     return hit.select("rosdep_key", "os_name", "os_version", F.when(version.isNotNull(), F.col("platform")).alias("entry_platform"), version.alias("entry_version"))
 
@@ -95,10 +95,10 @@ def verify(rules: DataFrame, targets: DataFrame, entries: DataFrame, found: bool
     listed = rules.select("rosdep_key", F.col("platform").alias("os_name"), "os_version").distinct()
     named = rules.where("NOT is_null").where(F.col("package_manager") == default_manager(F.col("platform"))).select("rosdep_key", F.col("platform").alias("os_name"), "os_version", "package")
     exact = named.join(targets, ["os_name", "os_version"])
-    star = named.where("os_version = '*'").drop("os_version").join(targets, "os_name").join(listed, ["rosdep_key", "os_name", "os_version"], "left_anti")
+    star = named.where("os_version = '*'").drop("os_version").join(targets, "os_name").join(listed.hint("merge"), ["rosdep_key", "os_name", "os_version"], "left_anti")
     wanted = exact.unionByName(star).select("os_name", "os_version", "os_arch", "rosdep_key", "package").distinct()
     on = ["os_name", "os_version", "os_arch", "package"]
     there = entries.select("os_name", "os_version", "os_arch", F.col("name").alias("package")).distinct()
     if not found:
-        return wanted.join(there, on, "left_anti")
-    return wanted.join(there.withColumn("found", F.lit(True)), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        return wanted.join(there.hint("merge"), on, "left_anti")
+    return wanted.join(there.withColumn("found", F.lit(True)).hint("merge"), on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
