@@ -51,7 +51,7 @@ def defect_reports(keys: DataFrame, defects: DataFrame) -> DataFrame:
     part = F.concat(F.lit("- **Type "), "type", F.lit("**: "), titles, F.lit("\n"), F.array_join(F.transform("ms", lambda m: F.concat(F.lit("  - "), m)), "\n"), F.lit("\n"))
     body = each.groupBy("rosdep_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", part.alias("p")))), lambda x: x["p"]), "\n").alias("body"))
     head = F.concat(F.lit("\n### Entry: `"), "rosdep_key", F.lit("`\n\n"))
-    return keys.select("rosdep_key").distinct().join(body, "rosdep_key", "left").select("rosdep_key", F.concat(head, F.coalesce("body", F.lit("- No issues detected\n"))).alias("value"))
+    return keys.select("rosdep_key").distinct().join(body.hint("merge"), "rosdep_key", "left").select("rosdep_key", F.concat(head, F.coalesce("body", F.lit("- No issues detected\n"))).alias("value"))
 
 
 def broken_summary(broken: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def planned(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["c11_index_scan", "f29_messages"])
+@pytest.mark.parametrize("name", ["c11_index_scan", "f29_messages", "k05_defect_reports"])
 def test_keys_of_an_audit_are_not_broadcast(spark, name):
     joins = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", planned(registry.queries()[name](spark, SF)))
     assert not [j for j in joins if re.search(r"rosdep_key|package|counterpart|\bk#", j)]
