@@ -43,7 +43,7 @@ def alike(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["j01_first_match_lookup", "j04_layer_key"])
+@pytest.mark.parametrize("name", ["j01_first_match_lookup", "j03_either_key", "j04_layer_key"])
 def test_a_key_meets_its_first_entry_only(spark, alike, name):
     df = registry.queries()[name](spark, alike)
     assert joined(spark, df) <= 2 * 400
