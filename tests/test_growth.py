@@ -48,3 +48,15 @@ def test_a_key_meets_its_first_entry_only(spark, alike, name):
     df = registry.queries()[name](spark, alike)
     assert joined(spark, df) <= 2 * 400
     assert {r["found"] for r in df.collect()} <= ({0} if name != "j03_either_key" else {0, 25})
+
+
+def test_deep_nesting_is_an_error_not_the_end_of_the_process():
+    import subprocess
+    import sys
+
+    code = "from pkgloom.sources import yaml_index as y\nfor t in ('k: [a, {' * 60000, '[' * 60000 + ']' * 60000, '- ' * 60000 + 'x'):\n try: y.entries(t)\n except ValueError as e: print(e)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and done.stdout.split("\n")[:3] == ["nested too deep"] * 3
+    from pkgloom.sources import yaml_index
+
+    assert len(yaml_index.entries("\n".join(f"k{i}: [a, {{b: c}}]" for i in range(6000)))) == 6000
