@@ -121,6 +121,13 @@ def _spell(sql: str, which: int) -> str:
     return sql.replace("CAPTURE1", ("'$1'", r"'\1'")[which])
 
 
+#: Spark's own text where its plan for the common one sends a table that grows through the driver: of NOT IN the keys are
+#: broadcast. Null is in no list, but where that is empty.
+SPARK = {
+    "j18_resume": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey = o_orderkey) AND (o_orderkey IS NOT NULL OR (SELECT count(l_orderkey) FROM lineitem WHERE l_returnflag = 'R') = 0)",
+}
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The SQL over the Parquet tables in sf_dir; only those that it names are opened."""
     names = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
@@ -132,7 +139,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql)) for name, sql in QUERIES.items()}
+    return {name: (lambda spark, sf_dir, sql=sql: run(spark, sf_dir, sql)) for name, sql in (QUERIES | SPARK).items()}
 
 
 def oracle_sql() -> dict[str, str]:

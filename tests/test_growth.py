@@ -60,3 +60,21 @@ def test_deep_nesting_is_an_error_not_the_end_of_the_process():
     from pkgloom.sources import yaml_index
 
     assert len(yaml_index.entries("\n".join(f"k{i}: [a, {{b: c}}]" for i in range(6000)))) == 6000
+
+
+@pytest.mark.parametrize("lines", [[(1, "R"), (2, "A"), (None, "R")], [(1, "A"), (None, "R")]])
+def test_resume_is_not_in_without_a_broadcast_of_keys(spark, tmp_path, lines):
+    import duckdb
+
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = registry.queries()["j18_resume"](spark, str(tmp_path))
+        assert "Broadcast" not in planned(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(repr, (r[0] for r in df.collect()))) == sorted(repr(r[0]) for r in con.execute(registry.oracle_sql()["j18_resume"]).fetchall())
