@@ -78,3 +78,12 @@ def test_resume_is_not_in_without_a_broadcast_of_keys(spark, tmp_path, lines):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(repr, (r[0] for r in df.collect()))) == sorted(repr(r[0]) for r in con.execute(registry.oracle_sql()["j18_resume"]).fetchall())
+
+
+@pytest.mark.parametrize("name, pairs", [("m06_jaccard", 39_800)])
+def test_rows_that_are_alike_meet_as_blocks(spark, tmp_path, name, pairs):
+    rows = [(i, ("red bolt", "blue nut")[i // 2 % 2], "Brand#1", "SMALL", i % 2 * 30 + 1) for i in range(400)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert joined(spark, df) <= 1_000
+    assert df.count() == df.distinct().count() == pairs
