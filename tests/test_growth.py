@@ -80,7 +80,7 @@ def test_resume_is_not_in_without_a_broadcast_of_keys(spark, tmp_path, lines):
     assert sorted(map(repr, (r[0] for r in df.collect()))) == sorted(repr(r[0]) for r in con.execute(registry.oracle_sql()["j18_resume"]).fetchall())
 
 
-@pytest.mark.parametrize("name, pairs", [("f04_component_join", 20_000), ("m06_jaccard", 39_800), ("c12_disjoint_pairs", 20_000)])
+@pytest.mark.parametrize("name, pairs", [("f04_component_join", 20_000), ("j02_stripped_key", 20_000), ("m06_jaccard", 39_800), ("c12_disjoint_pairs", 20_000)])
 def test_rows_that_are_alike_meet_as_blocks(spark, tmp_path, name, pairs):
     rows = [(i, ("red bolt", "blue nut")[i // 2 % 2], "Brand#1", "SMALL", i % 2 * 30 + 1) for i in range(400)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
