@@ -13,10 +13,17 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     return block_fields(spark.read.option("lineSep", "\n\n").text(path))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is worked out once a row, however often use names it and wherever filters are moved."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def last_of_each(pairs: Column) -> Column:
     """Pairs (k, v) as a map; of equal keys the last one counts, as a map with an equal key twice would end the scan."""
-    later = F.transform(F.sequence(F.lit(0), F.size("pairs")), lambda i: F.transform(F.slice("pairs", i + 2, F.size("pairs")), lambda x: x["k"]))
-    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.array_contains(F.get(later, i), x["k"])))
+    ranked = lambda ps: F.array_sort(F.transform(ps, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    # sorted by key and place, a pair is its key's last where the next one has another key
+    last = lambda r: F.filter(r, lambda x, i: ~F.coalesce(F.get(r, i + 1)["k"] == x["k"], F.lit(False)))
+    return once(pairs, lambda ps: once(ranked(ps), lambda r: F.map_from_entries(F.transform(last(r), lambda x: F.struct(x["k"], x["v"])))))
 
 
 def block_fields(text: DataFrame) -> DataFrame:
@@ -25,7 +32,8 @@ def block_fields(text: DataFrame) -> DataFrame:
     lines = F.split(F.regexp_replace("value", r"\n[ \t]+", "\u0001"), "\n")
     lines = F.filter(lines, lambda x: x.contains(":"))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ":", 1).alias("k"), F.translate(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "\u0001", "\n").alias("v")))
-    return text.withColumn("pairs", pairs).withColumn("fields", last_of_each(F.col("pairs"))).drop("pairs").where(F.size("fields") > 0)
+    # a block has fields where a line has a colon, which is asked of the text, so that the fields are made once
+    return text.where(F.contains("value", F.lit(":"))).withColumn("fields", last_of_each(pairs))
 
 
 def debian_packages(blocks: DataFrame) -> DataFrame:
@@ -100,16 +108,22 @@ def rpm_packages(spark: SparkSession, path: str) -> DataFrame:
     return rpm_rows(spark.read.option("rowTag", "package").schema(PRIMARY).xml(path))
 
 
+def _with_provides(own: Column, provided: Column) -> Column:
+    """The row of a package before those of what it provides, which may be null."""
+    return F.concat(F.array(own), F.coalesce(provided, F.slice(F.array(own), 1, 0)))
+
+
 def rpm_rows(packages: DataFrame) -> DataFrame:
     """Package elements (PRIMARY) as rows: one for each binary package and one for everything that it provides, whose
     version is known only where it is stated to be equal. Other types of elements are left out."""
-    p = packages.where("_type = 'rpm'")
     v = evr(F.col("version._epoch"), F.col("version._ver"), F.col("version._rel"))
     source = F.regexp_replace("format.`rpm:sourcerpm`", r"-[^-]*-[^-]*$", "")
-    base = p.select("name", v.alias("version"), source.alias("source_name"), F.col("name").alias("binary_name"), F.col("summary").alias("description"), F.col("format.`rpm:provides`.`rpm:entry`").alias("provides"))
-    more = base.select("name", F.explode("provides").alias("p"), "source_name", "description")
-    stated = F.when(F.col("p._flags") == "EQ", evr(F.col("p._epoch"), F.col("p._ver"), F.col("p._rel")))
-    return base.drop("provides").unionByName(more.select("name", stated.alias("version"), "source_name", F.col("p._name").alias("binary_name"), "description"))
+    stated = lambda p: F.when(p["_flags"] == "EQ", evr(p["_epoch"], p["_ver"], p["_rel"]))
+    given = F.transform("format.`rpm:provides`.`rpm:entry`", lambda p: F.struct(stated(p).alias("version"), p["_name"].alias("binary_name")))
+    # the package and what it provides are rows of one pass, so that an element is parsed once
+    every = _with_provides(F.struct(v.alias("version"), F.col("name").alias("binary_name")), given)
+    rows = packages.select("name", source.alias("source_name"), F.col("summary").alias("description"), F.explode(F.when(F.col("_type") == "rpm", every)).alias("x"))
+    return rows.select("name", "x.version", "source_name", "x.binary_name", "description")
 
 
 def rpm_files(spark: SparkSession, path: str) -> DataFrame:
@@ -136,29 +150,29 @@ def attribute_rows(doc: DataFrame) -> DataFrame:
 def apk_packages(blocks: DataFrame) -> DataFrame:
     """fields of index blocks as packages: one row for each, and one for every plain name that it provides."""
     f = F.col("fields")
-    base = blocks.select(f["P"].alias("name"), f["V"].alias("version"), F.coalesce(f["o"], f["P"]).alias("source_name"), f["P"].alias("binary_name"), f["T"].alias("description"), f["p"].alias("p"))
-    more = base.withColumn("d", F.explode(F.split("p", " "))).where("d <> '' AND NOT contains(d, ':')").select(dependency(F.col("d"))["name"].alias("name"), "version", "source_name", "binary_name", "description")
-    return base.drop("p").unionByName(more)
+    plain = F.filter(F.split(f["p"], " "), lambda d: (d != "") & ~d.contains(":"))
+    every = _with_provides(f["P"], F.transform(plain, lambda d: dependency(d)["name"]))
+    return blocks.select(F.explode(every).alias("name"), f["V"].alias("version"), F.coalesce(f["o"], f["P"]).alias("source_name"), f["P"].alias("binary_name"), f["T"].alias("description"))
 
 
 def sections(text: DataFrame) -> DataFrame:
     """value (%KEY% lines, each followed by its values) as fields: map of key to its list of values, of a key that comes twice the last."""
     lines = F.filter(F.split(F.regexp_replace("value", r"(?m)^%([A-Z0-9]+)%$", "\u0001$1"), "\u0001"), lambda x: x.rlike("^[A-Z0-9]+\n"))
     pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, "\n", 1).alias("k"), F.filter(F.slice(F.split(x, "\n"), 2, 1 << 30), lambda v: v != "").alias("v")))
-    return text.withColumn("pairs", pairs).withColumn("fields", last_of_each(F.col("pairs"))).drop("pairs")
+    return text.withColumn("fields", last_of_each(pairs))
 
 
 def pacman_packages(sections: DataFrame) -> DataFrame:
     """One row for each package and one for each of its provides, taken as they are written."""
     f = F.col("fields")
-    base = sections.select(f["NAME"][0].alias("name"), f["VERSION"][0].alias("version"), F.coalesce(f["BASE"][0], f["NAME"][0]).alias("source_name"), f["NAME"][0].alias("binary_name"), F.array_join(f["DESC"], " ").alias("description"), f["PROVIDES"].alias("p"))
-    more = base.select(F.explode("p").alias("name"), "version", "source_name", "binary_name", "description")
-    return base.drop("p").unionByName(more)
+    name = f["NAME"][0]
+    return sections.select(F.explode(_with_provides(name, f["PROVIDES"])).alias("name"), f["VERSION"][0].alias("version"), F.coalesce(f["BASE"][0], name).alias("source_name"), name.alias("binary_name"), F.array_join(f["DESC"], " ").alias("description"))
 
 
 def pacman_files(described: DataFrame, listed: DataFrame) -> DataFrame:
     """(package, path) of the two files of each package folder (pkgdir, fields), each once; folders are left out."""
-    names = described.select("pkgdir", F.get(F.col("fields")["NAME"], F.lit(0)).alias("package")).where("package IS NOT NULL")
+    named = F.filter(F.slice(F.col("fields")["NAME"], 1, 1), lambda n: n.isNotNull())
+    names = described.select("pkgdir", F.explode(named).alias("package"))
     paths = listed.select("pkgdir", F.explode(F.col("fields")["FILES"]).alias("path")).where("path <> '' AND NOT endswith(path, '/')")
     return names.join(paths, "pkgdir").select("package", "path").distinct()
 

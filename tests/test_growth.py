@@ -87,3 +87,20 @@ def test_rows_that_are_alike_meet_as_blocks(spark, tmp_path, name, pairs):
     df = registry.queries()[name](spark, str(tmp_path))
     assert joined(spark, df) <= 1_000
     assert df.count() == df.distinct().count() == pairs
+
+
+def shares(name):
+    """How often the query makes an element's fields, and whether parts are dealt out before it does."""
+    makers = {"s08_rpm_primary": r"from_xml\("}
+
+    def of(spark):
+        plan = planned(registry.queries()[name](spark, SF))
+        return len(re.findall(makers.get(name, r"map_from_entries\("), plan)), "REPARTITION" in plan
+
+    return of
+
+
+@pytest.mark.parametrize("name, times", [("s03_blocks", 1)])
+def test_fields_of_an_element_are_made_once_by_tasks_that_grow_with_the_table(spark, name, times):
+    made, dealt = shares(name)(spark)
+    assert made <= times and dealt
