@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..operators import naming, rules
 from ..sources import formats, sinks
-from .domain import read
+from .domain import dealt, read
 
 
 def _dashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").withColumn("n", F.replace("p_name", F.lit(" "), F.lit("-")))
+    return dealt(read(spark, sf_dir, "part")).withColumn("n", F.replace("p_name", F.lit(" "), F.lit("-")))
 
 
 def s06_expand_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

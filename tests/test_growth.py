@@ -100,7 +100,7 @@ def shares(name):
     return of
 
 
-@pytest.mark.parametrize("name, times", [("s03_blocks", 1)])
+@pytest.mark.parametrize("name, times", [("s03_blocks", 1), ("s04_debian_packages", 1)])
 def test_fields_of_an_element_are_made_once_by_tasks_that_grow_with_the_table(spark, name, times):
     made, dealt = shares(name)(spark)
     assert made <= times and dealt
