@@ -100,7 +100,7 @@ def shares(name):
     return of
 
 
-@pytest.mark.parametrize("name, times", [("s03_blocks", 1), ("s04_debian_packages", 1), ("s14_pacman_desc", 1), ("s11_apkindex", 1), ("s08_rpm_primary", 1), ("s15_pacman_files", 2)])
+@pytest.mark.parametrize("name, times", [("s03_blocks", 1), ("s04_debian_packages", 1), ("s14_pacman_desc", 1), ("s11_apkindex", 1), ("s08_rpm_primary", 1), ("s15_pacman_files", 2), ("s24_ros_index", 2)])
 def test_fields_of_an_element_are_made_once_by_tasks_that_grow_with_the_table(spark, name, times):
     made, dealt = shares(name)(spark)
     assert made <= times and dealt
