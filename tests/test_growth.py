@@ -104,3 +104,24 @@ def shares(name):
 def test_fields_of_an_element_are_made_once_by_tasks_that_grow_with_the_table(spark, name, times):
     made, dealt = shares(name)(spark)
     assert made <= times and dealt
+
+
+def test_spellings_of_an_id_with_one_name_are_not_held(spark):
+    from pkgloom.operators import mapping
+
+    rows = [(i, ("red-bolt-data", "blue-nut")[i % 2]) for i in range(50)] + [(50, "red-bolt-data"), (50, "red-bolt-fonts")]
+    df = mapping.name_variants(spark.createDataFrame(rows, "id long, name string"), "id")
+
+    def held(plan):
+        children = plan.children()
+        own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "HashAggregate" and "variant#" in plan.simpleString(99) else 0
+        return own + sum(held(children.apply(i)) for i in range(children.size()))
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        n = df.where("id < 50").count() + df.where("id = 50").count()
+        assert n == df.distinct().count()
+        found = df.collect()
+        assert held(df._jdf.queryExecution().executedPlan()) <= 4 * sum(r["id"] == 50 for r in found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
