@@ -19,10 +19,12 @@ def inconsistencies(packages: DataFrame) -> DataFrame:
     plain = N.without_affixes(name)
     bare = F.when(plain != "", N.without_evolution(plain))
     whole = F.nullif(N.clean_name(N.without_evolution(N.bare_name(bare)), version=True, special=False), F.lit(""))
-    levels = packages.select("entry", "repo_key", "platform", "bin_name", name.alias("l1"), plain.alias("l2"), bare.alias("l3"), whole.alias("l4"))
+    # dealt out by entry first: no task holds more of the names than its entries have, and none is counted in copies of the rows
+    levels = packages.repartition("entry").select("entry", "repo_key", "platform", "bin_name", name.alias("l1"), plain.alias("l2"), bare.alias("l3"), whole.alias("l4"))
+    different = lambda c: F.size(F.collect_set(c))
     per = levels.groupBy("entry").agg(
-        F.count("bin_name").alias("n"), F.countDistinct("repo_key").alias("repos"), F.countDistinct("platform").alias("platforms"), F.count_if(F.col("bin_name").isNull()).alias("nameless"),
-        *(F.countDistinct(c).alias(c) for c in ("l1", "l2", "l3", "l4")),
+        F.count("bin_name").alias("n"), different("repo_key").alias("repos"), different("platform").alias("platforms"), F.count_if(F.col("bin_name").isNull()).alias("nameless"),
+        *(different(c).alias(c) for c in ("l1", "l2", "l3", "l4")),
     )
     causes = F.array_compact(F.array(F.when(F.col("l2") < F.col("l1"), "affixation"), F.when(F.col("l3") < F.col("l2"), "evolution"), F.when(F.col("l4") > 1, "policy")))
     asked = per.where("nameless = 0 AND n = repos AND platforms > 1 AND l1 > 1")

@@ -125,3 +125,9 @@ def test_spellings_of_an_id_with_one_name_are_not_held(spark):
         assert held(df._jdf.queryExecution().executedPlan()) <= 4 * sum(r["id"] == 50 for r in found)
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name, keys", [("a13_naming", "entry")])
+def test_names_are_dealt_out_before_they_are_collected(spark, name, keys):
+    plan = planned(registry.queries()[name](spark, SF))
+    assert "Expand" not in plan and re.search(rf"Exchange hashpartitioning\({keys}#.*REPARTITION", plan)
