@@ -127,7 +127,7 @@ def test_spellings_of_an_id_with_one_name_are_not_held(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-@pytest.mark.parametrize("name, keys", [("a13_naming", "entry")])
+@pytest.mark.parametrize("name, keys", [("a13_naming", "entry"), ("j21_extra_rates", "entry")])
 def test_names_are_dealt_out_before_they_are_collected(spark, name, keys):
     plan = planned(registry.queries()[name](spark, SF))
     assert "Expand" not in plan and re.search(rf"Exchange hashpartitioning\({keys}#.*REPARTITION", plan)
