@@ -131,3 +131,10 @@ def test_spellings_of_an_id_with_one_name_are_not_held(spark):
 def test_names_are_dealt_out_before_they_are_collected(spark, name, keys):
     plan = planned(registry.queries()[name](spark, SF))
     assert "Expand" not in plan and re.search(rf"Exchange hashpartitioning\({keys}#.*REPARTITION", plan)
+
+
+def test_small_files_share_tasks_and_large_ones_do_not():
+    from pkgloom.sources import yaml_index as y
+
+    assert list(y.batches([10] * 130)) == [list(range(64)), list(range(64, 128)), [128, 129]]
+    assert list(y.batches([y.MOST_BYTES, 1, 1, 2 * y.MOST_BYTES, 1])) == [[0], [1, 2], [3], [4]] and list(y.batches([])) == []
