@@ -138,3 +138,16 @@ def test_small_files_share_tasks_and_large_ones_do_not():
 
     assert list(y.batches([10] * 130)) == [list(range(64)), list(range(64, 128)), [128, 129]]
     assert list(y.batches([y.MOST_BYTES, 1, 1, 2 * y.MOST_BYTES, 1])) == [[0], [1, 2], [3], [4]] and list(y.batches([])) == []
+
+
+def test_a_sibling_of_several_projects_is_looked_for_once(spark, monkeypatch):
+    from pkgloom.operators import equivalence, resolve
+
+    entries = spark.createDataFrame([("debian", "", "", 0, i, f"red{i}", f"red{i}", f"red{i}", "d", ["f"]) for i in range(4)], "os_name string, os_version string, os_arch string, source_ord int, row_ord int, name string, source_name string, binary_name string, description string, filelist array<string>")
+    projects = spark.createDataFrame([(f"p{k}", "debian", f"red{i}", f"red{i}", None) for k in range(10) for i in range(4)], "project string, repo string, binname string, srcname string, binnames string")
+    targets = spark.createDataFrame([(1, "red0", "red0", "x", ["g"], "debian")], "target_id long, src_name string, bin_name string, description string, filelist array<string>, repo string")
+    seen, real = [], resolve.first_match_everywhere
+    monkeypatch.setattr(resolve, "first_match_everywhere", lambda probes, rows: seen.append(probes) or real(probes, rows))
+    found = equivalence.candidates(targets, entries, projects)
+    assert [p.count() for p in seen if "only" in p.columns] == [4]
+    assert sorted(r["name"] for r in found.where("prio = 4").collect()) == ["red0", "red1", "red2", "red3"]
