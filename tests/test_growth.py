@@ -151,3 +151,12 @@ def test_a_sibling_of_several_projects_is_looked_for_once(spark, monkeypatch):
     found = equivalence.candidates(targets, entries, projects)
     assert [p.count() for p in seen if "only" in p.columns] == [4]
     assert sorted(r["name"] for r in found.where("prio = 4").collect()) == ["red0", "red1", "red2", "red3"]
+
+
+def test_archives_are_written_by_tasks_that_grow_with_the_table(spark, monkeypatch):
+    from pkgloom.plans import studies
+
+    seen, real = [], studies.archives.write
+    monkeypatch.setattr(studies.archives, "write", lambda contents, folder: seen.append(planned(contents)) or real(contents, folder))
+    registry.queries()["s13_archive_lists"](spark, SF)
+    assert "REPARTITION" in seen[0]
