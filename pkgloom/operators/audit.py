@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import lookup_key, platform_name
 from .mapping import pip_counterparts
 
 _OUT = ["rosdep_key", "os_name", "os_version", "type", "reason", "package_name", "expected"]
+_DEFECTS = "array<struct<type:string,reason:string,package_name:string,expected:string>>"
 
 
 def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame | None = None, distributions: DataFrame | None = None) -> DataFrame:
@@ -23,58 +25,77 @@ def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: Dat
     ver_ord). After the first version of a platform with a pip definition that the system could serve, later versions
     of that platform are not looked at.
 
-    Of keys, places and packages there are as many as the index has, and files of them are far smaller than their rows:
-    these joins are merged, so that no estimate sends one side through the driver.
+    All that is said of a place meets in one aggregation, and what the places of a key tell each other is a window over
+    the key, so that neither states nor found are made more than once. Of keys, places and packages there are as many as
+    the index has, and files of them are far smaller than their rows: joins are merged, so that no estimate sends one side
+    through the driver.
     """
     place = ["rosdep_key", "os_name", "os_version"]
+    none = F.lit(None).cast("string")
+    rows = states.join(targets.withColumn("aimed", F.lit(True)), ["os_name", "os_version"], "left")
+    rows = rows.select(*place, "state", "package_manager", "ver_ord", "aimed", F.explode_outer(F.when(F.col("state") == "LISTED", F.col("packages"))).alias("package"))
+    # rows without a package are dealt out by their keys
+    rows = rows.withColumn("look", F.coalesce("package", F.concat(F.lit("\u0001"), "rosdep_key")))
+    present = existing.select("os_name", "os_version", F.col("package").alias("look")).distinct().withColumn("there", F.lit(True))
+    rows = rows.join(present.hint("merge"), ["os_name", "os_version", "look"], "left")
+    one = F.struct("package", F.coalesce("there", F.lit(False)).alias("there"))
+    listed = F.col("package").isNotNull()
+    rows = rows.select(*place, "state", "package_manager", "ver_ord", "aimed", F.when(listed, one).alias("one"), F.when(listed, platform_name(F.col("package"), F.col("os_name"))).alias("listed_name"))
+    rows = rows.unionByName(found.select(*place, "bin_name", platform_name(F.col("bin_name"), F.col("os_name")).alias("expected_name"), F.lit(True).alias("known")), allowMissingColumns=True)
     if wanted is not None:
         exempt = distributions.select("rosdep_key") if distributions is not None else wanted.select("rosdep_key").limit(0)
-        rest = _of_keys(states, found, existing, targets, wanted.select("rosdep_key").distinct(), exempt.distinct())
-        known = found.select("rosdep_key").unionByName(exempt).distinct()
-        states = states.join(known.hint("merge"), "rosdep_key", "left_semi")
-        return audit(states, found, existing, targets).unionByName(rest)
-    names = found.groupBy(*place).agg(F.min("bin_name").alias("expected"), F.collect_set(platform_name(F.col("bin_name"), F.col("os_name"))).alias("expected_names"))
-    rows = states.join(targets, ["os_name", "os_version"]).join(names.hint("merge"), place, "left")
-    packages = rows.where("state = 'LISTED'").select(*place, F.explode("packages").alias("package"))
-    present = existing.select("os_name", "os_version", "package").distinct().withColumn("there", F.lit(True))
-    packages = packages.join(present.hint("merge"), ["os_name", "os_version", "package"], "left").withColumn("there", F.coalesce("there", F.lit(False)))
-    listed = packages.groupBy(*place).agg(F.bool_and("there").alias("all_there"), F.collect_set(platform_name(F.col("package"), F.col("os_name"))).alias("listed_names"), F.min("package").alias("first"))
-    rows = rows.join(listed.hint("merge"), place, "left")
-    pip = (F.col("state") == "LISTED") & F.col("all_there") & (F.col("package_manager") == "pip") & F.col("expected").isNotNull()
-    stop = rows.where(pip).groupBy("rosdep_key", "os_name").agg(F.min("ver_ord").alias("stop"))
-    rows = rows.join(stop.hint("merge"), ["rosdep_key", "os_name"], "left").where(F.col("stop").isNull() | (F.col("ver_ord") <= F.col("stop")))
-    has = F.col("expected").isNotNull()
+        whole = lambda keys, flag: keys.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit(True).alias(flag))
+        rows = rows.unionByName(whole(wanted, "wanted"), allowMissingColumns=True).unionByName(whole(exempt, "exempt"), allowMissingColumns=True)
+    flags = ["known", "wanted", "exempt"] if wanted is not None else ["known"]
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    rows = rows.repartition("rosdep_key").groupBy(*place).agg(
+        *map(first, ["state", "package_manager", "ver_ord", "aimed", *flags]), F.collect_list("one").alias("packages"), F.collect_set("listed_name").alias("listed_names"),
+        F.when(F.col("rosdep_key").isNotNull(), F.min("bin_name")).alias("expected"), F.collect_set("expected_name").alias("expected_names"),
+    )
+    has, is_listed = F.col("expected").isNotNull(), F.col("state") == "LISTED"
+    all_there = F.forall("packages", lambda x: x["there"])
+    pip = is_listed & all_there & (F.col("package_manager") == "pip") & has & F.col("aimed")
+    stop = F.min(F.when(pip, F.col("ver_ord"))).over(W.partitionBy("rosdep_key", "os_name"))
+    of_key = W.partitionBy("rosdep_key")
+    ruled = F.max(F.col("state").isNotNull()).over(of_key).alias("ruled")
+    rows = rows.select("*", stop.alias("stop"), ruled, *(F.coalesce(F.max(f).over(of_key), F.lit(False)).alias(f"any_{f}") for f in flags))
 
-    def out(df: DataFrame, kind: str, reason: str, name=F.lit(None).cast("string")) -> DataFrame:
-        return df.select(*place, F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), "expected")
+    def out(kind: str, reason: str, name=none, expected=F.col("expected")):
+        return F.struct(F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), expected.alias("expected"))
 
-    kept = rows.select(*place, "expected")
-    missing = packages.where("NOT there").join(kept.hint("merge"), place).select(*place, F.lit("B.1a").alias("type"), F.lit("not_found").alias("reason"), F.col("package").alias("package_name"), "expected")
-    differs = (F.col("state") == "LISTED") & F.col("all_there") & (F.coalesce("package_manager", F.lit("")) != "pip") & has & (F.sort_array("listed_names") != F.sort_array("expected_names"))
-    return (
-        out(rows.where((F.col("state") == "NULL") & has), "A.2", "missing")
-        .unionByName(out(rows.where((F.col("state") == "EMPTY") & has), "B.1b", "empty_list"))
-        .unionByName(missing)
-        .unionByName(packages.join(rows.where(pip).select(*place, "expected").hint("merge"), place).select(*place, F.lit("B.2a").alias("type"), F.lit("pip").alias("reason"), F.col("package").alias("package_name"), "expected"))
-        .unionByName(out(rows.where(differs), "B.1b", "differs", F.col("first")))
-        .select(*_OUT)
-    )
+    def when(test, defect):
+        return F.when(test, F.array(defect)).otherwise(F.array().cast(_DEFECTS))
 
+    def taken(defects, rows: DataFrame) -> DataFrame:
+        # outer, as Spark otherwise makes the defects once more for a filter on their number
+        return rows.select(*place, F.inline_outer(defects)).where("type IS NOT NULL").select(*_OUT)
 
-def _of_keys(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame, exempt: DataFrame) -> DataFrame:
-    """What is said of whole keys, not of places."""
-    none = F.lit(None).cast("string")
-    ruled = states.select("rosdep_key").distinct()
+    differs = is_listed & all_there & (F.coalesce("package_manager", F.lit("")) != "pip") & has & (F.sort_array("listed_names") != F.sort_array("expected_names"))
+    of_place = F.concat(
+        when((F.col("state") == "NULL") & has, out("A.2", "missing")), when((F.col("state") == "EMPTY") & has, out("B.1b", "empty_list")),
+        F.transform(F.filter("packages", lambda x: ~x["there"]), lambda x: out("B.1a", "not_found", x["package"])),
+        F.when(pip, F.transform("packages", lambda x: out("B.2a", "pip", x["package"]))).otherwise(F.array().cast(_DEFECTS)),
+        when(differs, out("B.1b", "differs", F.array_min("packages")["package"])),
+    )
+    told = F.col("aimed") & (F.col("stop").isNull() | (F.col("ver_ord") <= F.col("stop")))
+    if wanted is None:
+        return taken(of_place, rows.where(told))
+    absent, unknown = ~F.col("ruled"), F.col("ruled") & ~F.col("any_known")
+    of_key = F.concat(when(absent, out("A.1", "absent", expected=none)), when(unknown, out("B.1a", "no_info", expected=none)))
+    defects = F.when(told & (F.col("any_known") | F.col("any_exempt")), of_place).when(F.col("wanted") & ~F.col("any_exempt"), of_key)
+    return taken(defects, rows).unionByName(_of_keys(states, existing, targets, wanted, exempt))
 
-    def whole(keys: DataFrame, kind: str, reason: str, name=none) -> DataFrame:
-        return keys.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), none.alias("expected"))
 
-    plain = wanted.join(exempt.hint("merge"), "rosdep_key", "left_anti")
-    absent = plain.join(ruled.hint("merge"), "rosdep_key", "left_anti")
-    pip = pip_counterparts(absent).join(ruled.withColumnRenamed("rosdep_key", "counterpart").hint("merge"), "counterpart").groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("counterpart"))
-    unknown = plain.join(ruled.hint("merge"), "rosdep_key", "left_semi").join(found.select("rosdep_key").distinct().hint("merge"), "rosdep_key", "left_anti")
+def _of_keys(states: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame, exempt: DataFrame) -> DataFrame:
+    """What is said of whole keys by other keys or packages: those that their names lead to."""
+    none = F.lit(None).cast("string")
+    # only Python keys have counterparts, and these end with -pip
+    keys = wanted.select("rosdep_key", F.lit("w").alias("flag")).unionByName(exempt.select("rosdep_key", F.lit("e").alias("flag"))).unionByName(states.select("rosdep_key", F.lit("r").alias("flag")))
+    keys = keys.where("startswith(rosdep_key, 'py') OR endswith(rosdep_key, '-pip')").groupBy("rosdep_key").agg(*(F.bool_or(F.col("flag") == f).alias(f) for f in "wer"))
+    pip = pip_counterparts(keys.where("w AND NOT e AND NOT r")).join(keys.where("r").select(F.col("rosdep_key").alias("counterpart")).hint("merge"), "counterpart")
+    pip = pip.groupBy("rosdep_key").agg(F.min_by("counterpart", "ord").alias("package_name"))
+    pip = pip.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit("B.2a").alias("type"), F.lit("pip_counterpart").alias("reason"), "package_name", none.alias("expected"))
     first = targets.groupBy("os_name").agg(F.min_by("os_version", "ver_ord").alias("os_version"))
     there = existing.join(first, ["os_name", "os_version"]).select("os_name", "os_version", "package", lookup_key(F.col("package")).alias("k"))
-    served = exempt.withColumn("k", lookup_key(F.col("rosdep_key"))).join(there.hint("merge"), "k").groupBy("rosdep_key", "os_name", "os_version").agg(F.min("package").alias("package_name"))
-    served = served.select("rosdep_key", "os_name", "os_version", F.lit("B.2b").alias("type"), F.lit("in_platform").alias("reason"), "package_name", none.alias("expected"))
-    return whole(absent, "A.1", "absent").unionByName(whole(pip, "B.2a", "pip_counterpart", F.col("counterpart"))).unionByName(whole(unknown, "B.1a", "no_info")).unionByName(served)
+    served = exempt.distinct().withColumn("k", lookup_key(F.col("rosdep_key"))).join(there.hint("merge"), "k").groupBy("rosdep_key", "os_name", "os_version").agg(F.min("package").alias("package_name"))
+    return pip.unionByName(served.select("rosdep_key", "os_name", "os_version", F.lit("B.2b").alias("type"), F.lit("in_platform").alias("reason"), "package_name", none.alias("expected")))

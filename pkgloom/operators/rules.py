@@ -25,21 +25,20 @@ def lookup(rules: DataFrame, targets: DataFrame) -> DataFrame:
 
     state is NULL (nothing said), EMPTY (said to be unavailable) or LISTED. A platform's own rules come before those of
     '*', and within the platform that applies its version before '*'. Every key is answered for every target, which are a
-    configuration's short list and are broadcast while they are (MOST_TARGETS). Keys and rules are many, and merged.
+    configuration's short list and are broadcast while they are (MOST_TARGETS). A key's rules, its places in the index,
+    meet once and are looked up for all targets.
     """
     listed = rules.groupBy("rosdep_key", "platform", "os_version").agg(
         F.array_sort(F.collect_set(F.when(~F.col("is_null"), F.col("package")))).alias("packages"), F.min("package_manager").alias("package_manager")
     )
-    keys = rules.select("rosdep_key").distinct()
-    has = rules.select("rosdep_key", F.col("platform").alias("os_name"), F.lit(1).alias("own")).distinct()
+    keys = listed.groupBy("rosdep_key").agg(F.collect_list(F.struct("platform", "os_version", "packages", "package_manager")).alias("said"))
+    targets = targets.select("os_name", "os_version").distinct()
     few = targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS
-    want = keys.crossJoin(F.broadcast(targets) if few else targets).join(has.hint("merge"), ["rosdep_key", "os_name"], "left")
-    want = want.withColumn("platform", F.when(F.col("own").isNotNull(), F.col("os_name")).otherwise("*"))
-    tries = want.withColumn("v", F.explode(F.array(F.struct(F.lit(0).alias("prio"), F.col("os_version").alias("version")), F.struct(F.lit(1).alias("prio"), F.lit("*").alias("version")))))
-    hit = tries.join(listed.withColumnRenamed("os_version", "r_version").hint("merge"), (tries.rosdep_key == listed.rosdep_key) & (tries.platform == listed.platform) & (F.col("v.version") == F.col("r_version")), "left").select(
-        tries.rosdep_key, "os_name", tries.os_version, F.when(F.col("packages").isNotNull(), F.struct(F.col("v.prio").alias("prio"), "packages", "package_manager")).alias("d")
-    )
-    best = hit.groupBy("rosdep_key", "os_name", "os_version").agg(F.min_by("d", F.col("d.prio")).alias("d"))
+    want = keys.crossJoin(F.broadcast(targets) if few else targets)
+    own = F.coalesce(F.exists("said", lambda r: r["platform"] == F.col("os_name")), F.lit(False))
+    want = want.withColumn("platform", F.when(own, F.col("os_name")).otherwise("*"))
+    of = lambda version: F.get(F.filter("said", lambda r: (r["platform"] == F.col("platform")) & (r["os_version"] == version)), F.lit(0))
+    best = want.withColumn("d", F.when(F.col("rosdep_key").isNotNull(), F.coalesce(of(F.col("os_version")), of(F.lit("*")))))
     state = F.when(F.col("d").isNull(), "NULL").when(F.size("d.packages") == 0, "EMPTY").otherwise("LISTED")
     return best.select("rosdep_key", "os_name", "os_version", state.alias("state"), "d.packages", "d.package_manager")
 

@@ -160,3 +160,8 @@ def test_archives_are_written_by_tasks_that_grow_with_the_table(spark, monkeypat
     monkeypatch.setattr(studies.archives, "write", lambda contents, folder: seen.append(planned(contents)) or real(contents, folder))
     registry.queries()["s13_archive_lists"](spark, SF)
     assert "REPARTITION" in seen[0]
+
+
+@pytest.mark.parametrize("name, most", [("c11_index_scan", 10), ("f29_messages", 10), ("k05_defect_reports", 11)])
+def test_an_audit_is_one_pass_over_its_index(spark, name, most):
+    assert len(re.findall(r"Join ", planned(registry.queries()[name](spark, SF)))) <= most
