@@ -26,18 +26,15 @@ def entry_maps(docs: DataFrame, *ids: str) -> DataFrame:
     their packages, and are empty where it is said to be unavailable; manager is the only one. Keys without any platform
     have an empty entry."""
     place = [*ids, "rosdep_key"]
-    rows = rule_payloads(docs, *ids).groupBy(*place, "platform", "os_version").agg(F.array_sort(F.collect_list(F.struct("package_manager", "packages"))).alias("all"))
+    # one exchange for all groups, in which keys stand for themselves too
+    rows = rule_payloads(docs, *ids).unionByName(docs.select(*place), allowMissingColumns=True).repartition(*place)
+    rows = rows.groupBy(*place, "platform", "os_version").agg(F.array_sort(F.collect_list(F.struct("package_manager", "packages"))).alias("all"))
     known = F.filter("all", lambda x: x["packages"].isNotNull())
     details = F.when(F.size(known) > 0, F.to_json(known)).otherwise("")
     rows = rows.withColumn("x", F.struct(details.alias("details"), F.when(F.size(known) == 1, F.get(known, F.lit(0))["package_manager"]).alias("manager")))
-    rows = rows.groupBy(*place, "platform").agg(F.map_from_entries(F.collect_list(F.struct("os_version", "x"))).alias("m"))
-    rows = rows.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("platform", "m"))).alias("entry"))
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in place]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    none = F.from_json(F.lit("{}"), "map<string,map<string,struct<details:string,manager:string>>>")
-    return docs.select(*place).distinct().alias("k").join(rows.alias("r"), on, "left").select(*(F.col(f"k.{c}") for c in place), F.coalesce("entry", none).alias("entry"))
+    rows = rows.groupBy(*place, "platform").agg(F.collect_list(F.struct("os_version", "x")).alias("m"))
+    of = F.when(F.col("platform").isNotNull(), F.struct("platform", F.map_from_entries("m").alias("m")))
+    return rows.groupBy(*place).agg(F.map_from_entries(F.collect_list(of)).alias("entry"))
 
 
 def _match(entry: Column, platform: Column, version: Column) -> Column:
@@ -69,7 +66,8 @@ def kinds(before: DataFrame, after: DataFrame, affected: DataFrame | None = None
         some = affected.select("change_id").distinct().withColumn("some", F.lit(True))
         both = both.join(scope, place, "left").join(some, "change_id", "left").where("some IS NULL OR meant").drop("some", "meant")
     state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("edited")
-    both = both.withColumn("state", state)
+    # kept, as the other form of a key is looked for in it twice
+    both = kept = stored(both.withColumn("state", state))
     # the other form of a key in the same change
     pip = both.where("state <> 'added' AND endswith(rosdep_key, '-pip')").select("change_id", F.expr("substring(rosdep_key, 1, length(rosdep_key) - 4)").alias("rosdep_key"), F.lit(True).alias("was_pip"))
     added = both.where("state = 'added'").select("change_id", F.col("rosdep_key").alias("plain"), F.lit(True).alias("plain_added"))
@@ -88,7 +86,9 @@ def kinds(before: DataFrame, after: DataFrame, affected: DataFrame | None = None
         F.when(F.col("state") == "added", F.when(F.col("was_pip"), "B.2a").otherwise("A.1")),
         F.when((F.col("state") == "removed") & F.col("rosdep_key").endswith("-pip") & F.col("plain_added").isNull() & F.col("moves"), "B.2a"),
     ]
-    return both.select(*place, "state", F.array_compact(F.array(*found)).alias("kinds"))
+    out = stored(both.select(*place, "state", F.array_compact(F.array(*found)).alias("kinds")))
+    drop(kept)
+    return out
 
 
 def of_change(kinds: DataFrame) -> DataFrame:
@@ -124,22 +124,22 @@ def audited(changes: DataFrame, touched: DataFrame, versions: DataFrame, configs
     # configurations are few: their times are compared, not joined by a window over all changes
     starts = F.broadcast(starts.groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "config"))).alias("starts")))
     asked = asked.join(starts).withColumn("config", F.element_at(F.filter("starts", lambda s: s["at"] <= F.col("at")), -1)["config"]).drop("starts")
-    # a key of a change is a key of its own
-    key = F.concat_ws("\u0001", F.col("change_id").cast("string"), "rosdep_key").alias("own")
+    # a key's document under a configuration is a key of its own, which the changes that meet it share
+    key = F.to_json(F.array("rosdep_key", F.col("config").cast("string"), "doc")).alias("own")
     asked = stored(asked.select("change_id", "rosdep_key", "config", "doc", key))
+    meant = asked.select("change_id", "own")
+    kept, asked = asked, stored(asked.select("rosdep_key", "config", "doc", "own").distinct())
     rule = normalised(asked.where("doc <> ''").select(F.col("own").alias("rosdep_key"), "doc"))
     targets = configs.groupBy("os_name", "os_version").agg(F.min("ver_ord").alias("ver_ord"))
     served = configs.select("config", "os_name", "os_version").distinct()
     states = rules.lookup(rule, targets.select("os_name", "os_version")).withColumnRenamed("rosdep_key", "own")
     states = states.join(asked.select("own", "config"), "own").join(F.broadcast(served), ["config", "os_name", "os_version"], "left_semi").drop("config").withColumnRenamed("own", "rosdep_key")
-    states = stored(states)
     proposed = found.join(asked.select("rosdep_key", "own", "config"), "rosdep_key").join(F.broadcast(served), ["config", "os_name", "os_version"], "left_semi").drop("rosdep_key", "config").withColumnRenamed("own", "rosdep_key")
-    proposed = stored(proposed)
     defects = audit.audit(states, proposed, existing, targets, asked.select(F.col("own").alias("rosdep_key")))
-    per = defects.select(F.col("rosdep_key").alias("own"), main_type(F.col("type")).alias("t")).join(asked.select("own", "change_id"), "own").groupBy("change_id").agg(F.array_sort(F.collect_set("t")).alias("found"))
+    per = defects.select(F.col("rosdep_key").alias("own"), main_type(F.col("type")).alias("t")).groupBy("own").agg(F.collect_set("t").alias("ts")).join(meant.hint("merge"), "own").select("change_id", F.explode("ts").alias("t")).groupBy("change_id").agg(F.array_sort(F.collect_set("t")).alias("found"))
     out = changes.select("change_id", F.array_sort(F.array_distinct(F.transform("expected", main_type))).alias("expected")).join(per, "change_id", "left")
     out = out.withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     status = F.when(F.size("expected") == 0, "no_valid_expected_types").otherwise(match_status(F.col("found"), F.col("expected")))
     out = stored(out.select("change_id", "found", "expected", status.alias("status")))
-    drop(asked, states, proposed)
+    drop(kept, asked)
     return out

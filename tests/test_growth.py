@@ -165,3 +165,17 @@ def test_archives_are_written_by_tasks_that_grow_with_the_table(spark, monkeypat
 @pytest.mark.parametrize("name, most", [("c11_index_scan", 10), ("f29_messages", 10), ("k05_defect_reports", 11)])
 def test_an_audit_is_one_pass_over_its_index(spark, name, most):
     assert len(re.findall(r"Join ", planned(registry.queries()[name](spark, SF)))) <= most
+
+
+def test_changes_that_meet_one_document_share_its_audit(spark, monkeypatch):
+    from pkgloom.operators import changes
+
+    seen, real = [], changes.audit.audit
+    monkeypatch.setattr(changes.audit, "audit", lambda *a: seen.append(a[4].count()) or real(*a))
+    n = registry.queries()["c07_change_audit"](spark, SF).count()
+    assert seen and seen[0] < n
+
+
+def test_kinds_of_changes_are_made_from_one_reading_of_the_files(spark):
+    plan = planned(registry.queries()["c06_change_kinds"](spark, SF))
+    assert not re.search("Join|Python|Arrow|Pandas", plan)
