@@ -26,8 +26,8 @@ def entry_maps(docs: DataFrame, *ids: str) -> DataFrame:
     their packages, and are empty where it is said to be unavailable; manager is the only one. Keys without any platform
     have an empty entry."""
     place = [*ids, "rosdep_key"]
-    # one exchange for all groups, in which keys stand for themselves too
-    rows = rule_payloads(docs, *ids).unionByName(docs.select(*place), allowMissingColumns=True).repartition(*place)
+    # one exchange for all groups
+    rows = rule_payloads(docs, *ids, keys=True).repartition(*place)
     rows = rows.groupBy(*place, "platform", "os_version").agg(F.array_sort(F.collect_list(F.struct("package_manager", "packages"))).alias("all"))
     known = F.filter("all", lambda x: x["packages"].isNotNull())
     details = F.when(F.size(known) > 0, F.to_json(known)).otherwise("")

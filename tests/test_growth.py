@@ -179,3 +179,15 @@ def test_changes_that_meet_one_document_share_its_audit(spark, monkeypatch):
 def test_kinds_of_changes_are_made_from_one_reading_of_the_files(spark):
     plan = planned(registry.queries()["c06_change_kinds"](spark, SF))
     assert not re.search("Join|Python|Arrow|Pandas", plan)
+
+
+def test_orders_are_dealt_out_before_their_files_are_read(spark):
+    assert re.search(r"Exchange hashpartitioning\(o_orderkey#.*REPARTITION", planned(registry.queries()["s35_changed_nodes"](spark, SF)))
+
+
+def test_a_document_is_unfolded_once_for_rules_and_keys(spark):
+    from pkgloom.operators import changes
+
+    docs = spark.createDataFrame([(1, "a", '{"ubuntu": ["x"]}'), (1, "b", "{}"), (2, "c", "no")], "change_id long, rosdep_key string, doc string")
+    df = changes.entry_maps(docs, "change_id")
+    assert planned(df).count("Scan ") == 1 and sorted((r["rosdep_key"], len(r["entry"])) for r in df.collect()) == [("a", 1), ("b", 0), ("c", 0)]
