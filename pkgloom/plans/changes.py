@@ -158,8 +158,8 @@ def _diff(old: str, new: str, moved: bool) -> str:
 
 def _change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order as a change: its files before and after, and the diff. Orders are dealt out by key, as their file is small
-    enough for few tasks to read, and the reading of what is made of them is not."""
-    o = read(spark, sf_dir, "orders").repartition("o_orderkey").select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").cast("string").alias("k"), (F.col("o_orderkey") % len(_CHANGES)).alias("m"))
+    enough for few tasks to read, and the reading of what is made of them is not; a fixed number is not put together again."""
+    o = read(spark, sf_dir, "orders").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey").select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").cast("string").alias("k"), (F.col("o_orderkey") % len(_CHANGES)).alias("m"))
     text = lambda f: _case(F.col("m"), [_filled(f(c), k=F.col("k")) for c in _CHANGES])
     return o.select("change_id", text(lambda c: c[0]).alias("before"), text(lambda c: c[1]).alias("after"), text(lambda c: _diff(*c)).alias("value"))
 
