@@ -89,6 +89,18 @@ def test_rows_that_are_alike_meet_as_blocks(spark, tmp_path, name, pairs):
     assert df.count() == df.distinct().count() == pairs
 
 
+def test_pairs_of_two_blocks_are_few_and_null_ids_are_kept(spark):
+    from pkgloom.operators import resolve
+
+    rows = [(i, "k") for i in range(500)] + [(None, "k")]
+    left, right = (spark.createDataFrame(rows, f"{c} long, k string") for c in "ab")
+    df = resolve.met_in_blocks(left, right, ["k"], "a", "b")
+    assert df.count() == df.distinct().count() == 501 * 501 and df.where("a IS NULL AND b IS NULL").count() == 1
+    # what Spark holds at a time of what two blocks give
+    sizes = [r["n"] for r in resolve._blocks(left, ["k"], "a", most=resolve.SMALL).selectExpr("size(_ids) AS n").collect()]
+    assert sum(sizes) == 501 and max(sizes) <= 2 * resolve.SMALL and resolve.SMALL * resolve.BLOCK <= 100_000
+
+
 def shares(name):
     """How often the query makes an element's fields, and whether parts are dealt out before it does."""
     makers = {"s08_rpm_primary": r"from_xml\("}
