@@ -86,9 +86,13 @@ def name_growth(packages: DataFrame) -> DataFrame:
     """(change_id, key, raw_grows, plain_grows) of the packages of a key before and after a change (change_id, key, side:
     before or after, name): whether it has more different names after, as they are and without their packagings' marks.
     A key that is new grows where it has several; keys that are gone are left out."""
+    # dealt out by change once; a name, then a spelling without marks, is a row with what it counts for, and nothing is
+    # counted as a set or in copies of the rows
+    sides = ("before", "after")
+    names = packages.repartition("change_id").groupBy("change_id", "key", "name").agg(*(F.max((F.col("side") == s).cast("int")).alias(s) for s in sides))
     plain = F.nullif(change_log_name(F.col("name")), F.lit(""))
-    count = lambda c, side: F.count_distinct(F.when(F.col("side") == side, c))
-    per = packages.groupBy("change_id", "key").agg(*(count(c, s).alias(f"{n}_{s}") for n, c in (("raw", F.col("name")), ("plain", plain)) for s in ("before", "after")))
+    spelt = names.groupBy("change_id", "key", plain.alias("plain")).agg(*(F.sum(F.when(F.col("name").isNotNull(), F.col(s)).otherwise(0)).alias(f"raw_{s}") for s in sides), *(F.max(s).alias(s) for s in sides))
+    per = spelt.groupBy("change_id", "key").agg(*(F.sum(f"raw_{s}").alias(f"raw_{s}") for s in sides), *(F.sum(F.when(F.col("plain").isNotNull(), F.col(s)).otherwise(0)).alias(f"plain_{s}") for s in sides))
     grows = lambda n: (F.col(f"{n}_after") > 1) & (F.col(f"{n}_after") > F.col(f"{n}_before"))
     return per.where("raw_after > 0").select("change_id", "key", grows("raw").alias("raw_grows"), grows("plain").alias("plain_grows"))
 

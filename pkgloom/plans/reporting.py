@@ -61,8 +61,8 @@ def _changed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as the packages of keys: even lines were there before, all are after, in the spellings of packagings."""
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("change_id"), (F.col("l_suppkey") % 3).cast("string").alias("key"), "l_linenumber", F.concat(F.lit("p"), (F.col("l_partkey") % 7).cast("string")).alias("n"), F.pmod("l_linenumber", F.lit(3)).alias("m"))
     name = F.when(F.col("m") == 0, F.concat(F.lit("lib"), "n", F.lit("-dev"))).when(F.col("m") == 1, F.concat("n", F.lit("-devel"))).otherwise(F.col("n"))
-    lines = lines.select("change_id", "key", name.alias("name"), "l_linenumber")
-    return lines.where("l_linenumber % 2 = 0").select("change_id", "key", F.lit("before").alias("side"), "name").union(lines.select("change_id", "key", F.lit("after").alias("side"), "name"))
+    sides = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("after")))
+    return lines.select("change_id", "key", F.explode(sides).alias("side"), name.alias("name"))
 
 
 def a11_name_growth(spark: SparkSession, sf_dir: str) -> DataFrame:

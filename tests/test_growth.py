@@ -203,3 +203,9 @@ def test_a_document_is_unfolded_once_for_rules_and_keys(spark):
     docs = spark.createDataFrame([(1, "a", '{"ubuntu": ["x"]}'), (1, "b", "{}"), (2, "c", "no")], "change_id long, rosdep_key string, doc string")
     df = changes.entry_maps(docs, "change_id")
     assert planned(df).count("Scan ") == 1 and sorted((r["rosdep_key"], len(r["entry"])) for r in df.collect()) == [("a", 1), ("b", 0), ("c", 0)]
+
+
+def test_names_of_a_change_are_counted_without_sets_or_copies_of_rows(spark):
+    plan = planned(registry.queries()["a11_name_growth"](spark, SF))
+    assert "Expand" not in plan and "collect_" not in plan and len(re.findall(r"Exchange hashpartitioning\(change_id#.*REPARTITION", plan)) == 1
+    assert len(re.findall(r"parquet .*l_orderkey#", plan)) == 1
