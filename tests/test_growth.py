@@ -209,3 +209,24 @@ def test_names_of_a_change_are_counted_without_sets_or_copies_of_rows(spark):
     plan = planned(registry.queries()["a11_name_growth"](spark, SF))
     assert "Expand" not in plan and "collect_" not in plan and len(re.findall(r"Exchange hashpartitioning\(change_id#.*REPARTITION", plan)) == 1
     assert len(re.findall(r"parquet .*l_orderkey#", plan)) == 1
+
+
+def test_vectors_meet_as_blocks_and_give_what_cosine_gives(spark):
+    from pyspark.sql import functions as F
+
+    from pkgloom.functions import similarity as S
+    from pkgloom.operators import resolve
+
+    plan = planned(registry.queries()["f20_cosine"](spark, SF))
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+    shapes = [[1.0, 2.0], [-1.0, 0.5], [0.0, 0.0], [], [3.0], None, [1.0, None], [2.0, 4.0]]
+    rows = [(i if i else None, i % 3 if i % 7 else None, shapes[i % len(shapes)]) for i in range(60)]
+    left, right = (spark.createDataFrame(rows, f"{c} long, k int, v array<float>") for c in "ab")
+    keep = resolve.BLOCK
+    resolve.BLOCK = 4
+    try:
+        found = resolve.cosines(left, right, ["k"], "a", "b", "v", 4).collect()
+    finally:
+        resolve.BLOCK = keep
+    pairs = left.join(right.withColumnRenamed("v", "w"), "k").select("a", "b", F.round(S.cosine(F.col("v"), F.col("w")), 4).alias("cosine")).collect()
+    assert len(found) == len(pairs) > 500 and sorted(map(repr, found)) == sorted(map(repr, pairs))
