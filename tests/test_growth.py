@@ -101,6 +101,37 @@ def test_pairs_of_two_blocks_are_few_and_null_ids_are_kept(spark):
     assert sum(sizes) == 501 and max(sizes) <= 2 * resolve.SMALL and resolve.SMALL * resolve.BLOCK <= 100_000
 
 
+@pytest.mark.parametrize("name", ["f04_component_join", "j02_stripped_key", "m06_jaccard", "c12_disjoint_pairs"])
+def test_pairs_are_handed_on_by_one_id_of_a_block(spark, name):
+    """What Spark compiles together holds what a row of its input gives: the join and the two steps that make pairs are apart."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    last, first, join = (next(x for x in plan.splitlines() if re.search(what, x)) for what in (r"Generate explode\(_bs", r"Generate explode\(.*_as", r"SortMergeJoin \[.*_at"))
+    stage = lambda line: re.findall(r"\*\((\d+)\)", line)
+    assert stage(last) and stage(first) != stage(last) != stage(join) != stage(first)
+
+
+def test_pairs_of_one_key_are_made_by_several_tasks(spark, alike):
+    df = registry.queries()["j02_stripped_key"](spark, alike)
+    assert df.groupBy().count().first()[0] == 200 * 200
+    from pyspark.sql import functions as F
+
+    assert df.select(F.spark_partition_id()).distinct().count() > 1
+
+
+@pytest.mark.parametrize("name", ["j02_stripped_key"])
+def test_keys_of_pairs_are_made_once_for_a_block(spark, name):
+    lines = planned(registry.queries()[name](spark, SF)).splitlines()
+    depth = lambda line: re.search(r"[A-Z]", line).start()
+    for i, line in enumerate(lines):
+        if re.search(r"Aggregate.*collect_list", line):
+            below = lines[i + 1 : next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))]
+            assert below and not [x for x in below if "regexp" in x]
+
+
 def shares(name):
     """How often the query makes an element's fields, and whether parts are dealt out before it does."""
     makers = {"s08_rpm_primary": r"from_xml\("}
