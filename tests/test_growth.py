@@ -122,7 +122,7 @@ def test_pairs_of_one_key_are_made_by_several_tasks(spark, alike):
     assert df.select(F.spark_partition_id()).distinct().count() > 1
 
 
-@pytest.mark.parametrize("name", ["j02_stripped_key"])
+@pytest.mark.parametrize("name", ["f04_component_join", "j02_stripped_key"])
 def test_keys_of_pairs_are_made_once_for_a_block(spark, name):
     lines = planned(registry.queries()[name](spark, SF)).splitlines()
     depth = lambda line: re.search(r"[A-Z]", line).start()
