@@ -67,27 +67,49 @@ def kinds(before: DataFrame, after: DataFrame, affected: DataFrame | None = None
         both = both.join(scope, place, "left").join(some, "change_id", "left").where("some IS NULL OR meant").drop("some", "meant")
     state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("edited")
     # kept, as the other form of a key is looked for in it twice
-    both = kept = stored(both.withColumn("state", state))
-    # the other form of a key in the same change
-    pip = both.where("state <> 'added' AND endswith(rosdep_key, '-pip')").select("change_id", F.expr("substring(rosdep_key, 1, length(rosdep_key) - 4)").alias("rosdep_key"), F.lit(True).alias("was_pip"))
-    added = both.where("state = 'added'").select("change_id", F.col("rosdep_key").alias("plain"), F.lit(True).alias("plain_added"))
-    both = both.join(pip, place, "left").withColumn("plain", F.replace("rosdep_key", F.lit("-pip"), F.lit(""))).join(added, ["change_id", "plain"], "left")
-    both = both.join(moved.select("change_id").distinct().withColumn("moves", F.lit(True)), "change_id", "left") if moved is not None else both.withColumn("moves", F.lit(None).cast("boolean"))
+    kept = stored(both.withColumn("state", state))
+    out = stored(_judged(kept, kept.withColumn("edits", _edits(F.col("old"), F.col("new"))), moved))
+    drop(kept)
+    return out
 
-    old, new = F.col("old"), F.col("new")
+
+def _edits(old: Column, new: Column) -> Column:
+    """The kinds of an edit between two entries."""
     starred = F.array_contains(F.map_keys(old), "*")
     platform = F.exists(F.map_keys(new), lambda p: ~F.array_contains(F.map_keys(old), p))
     version = _any(new, lambda p, v, _: old[p][v].isNull() & old[p]["*"].isNull())
     by_pip = _any(new, lambda p, v, x: (_match(old, p, v)["manager"] == "pip") & (F.coalesce(x["manager"], F.lit("")) != "pip"))
     differs = _any(new, lambda p, v, x: _match(old, p, v)["details"] != x["details"]) | _any(old, lambda p, v, x: _match(new, p, v)["details"] != x["details"])
-    edited = F.col("state") == "edited"
-    found = [
-        F.when(edited & ~starred & (platform | version), "A.2"), F.when(edited & differs, "B.1a"), F.when(edited & by_pip, "B.2a"),
+    return F.array_compact(F.array(F.when(~starred & (platform | version), "A.2"), F.when(differs, "B.1a"), F.when(by_pip, "B.2a")))
+
+
+def _judged(states: DataFrame, rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """(change_id, rosdep_key, state, kinds) of rows (change_id, rosdep_key, state, edits); states has their states."""
+    place = ["change_id", "rosdep_key"]
+    # the other form of a key in the same change
+    pip = states.where("state <> 'added' AND endswith(rosdep_key, '-pip')").select("change_id", F.expr("substring(rosdep_key, 1, length(rosdep_key) - 4)").alias("rosdep_key"), F.lit(True).alias("was_pip"))
+    added = states.where("state = 'added'").select("change_id", F.col("rosdep_key").alias("plain"), F.lit(True).alias("plain_added"))
+    both = rows.join(pip, place, "left").withColumn("plain", F.replace("rosdep_key", F.lit("-pip"), F.lit(""))).join(added, ["change_id", "plain"], "left")
+    both = both.join(moved.select("change_id").distinct().withColumn("moves", F.lit(True)), "change_id", "left") if moved is not None else both.withColumn("moves", F.lit(None).cast("boolean"))
+    of_key = [
         F.when(F.col("state") == "added", F.when(F.col("was_pip"), "B.2a").otherwise("A.1")),
         F.when((F.col("state") == "removed") & F.col("rosdep_key").endswith("-pip") & F.col("plain_added").isNull() & F.col("moves"), "B.2a"),
     ]
-    out = stored(both.select(*place, "state", F.array_compact(F.array(*found)).alias("kinds")))
-    drop(kept)
+    found = F.when(F.col("state") == "edited", F.coalesce("edits", F.array().cast("array<string>"))).otherwise(F.array_compact(F.array(*of_key)))
+    return both.select(*place, "state", found.alias("kinds"))
+
+
+def kinds_of_documents(both: DataFrame, moved: DataFrame | None = None) -> DataFrame:
+    """As kinds(), for both (change_id, rosdep_key, old, new), a key's documents around the change, null where there is none,
+    each key once. What an edit is depends on the two documents alone, and changes that have the same two share it."""
+    state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("edited")
+    kept = stored(both.withColumn("state", state))
+    edits = kept.where("state = 'edited'").select("old", "new").distinct()
+    maps = stored(entry_maps(edits.select(F.explode(F.array("old", "new")).alias("doc")).distinct().select(F.col("doc").alias("rosdep_key"), "doc")))
+    of = lambda side: maps.select(F.col("rosdep_key").alias(side), F.col("entry").alias(f"{side}_entry"))
+    edits = stored(edits.join(of("old"), "old").join(of("new"), "new").select("old", "new", _edits(F.col("old_entry"), F.col("new_entry")).alias("edits")))
+    out = stored(_judged(kept, kept.join(edits, ["old", "new"], "left"), moved))
+    drop(kept, maps, edits)
     return out
 
 

@@ -156,12 +156,25 @@ def _diff(old: str, new: str, moved: bool) -> str:
     return out + ("\n--- a/distribution.yaml\n+++ b/distribution.yaml\n@@ -1 +1 @@\n-a\n+b" if moved else "")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """A fixed number of tasks, which small ones are not put together from."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as changes (change_id, k, m: see _text()). They are dealt out by key, as their file is small enough for few tasks
+    to read, and the reading of what is made of them is not."""
+    return read(spark, sf_dir, "orders").repartition(_tasks(spark), "o_orderkey").select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").cast("string").alias("k"), (F.col("o_orderkey") % len(_CHANGES)).alias("m"))
+
+
+def _text(of) -> Column:
+    """A text of each change, where k and m are its number and its place among the shapes."""
+    return _case(F.col("m"), [_filled(of(c), k=F.col("k")) for c in _CHANGES])
+
+
 def _change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order as a change: its files before and after, and the diff. Orders are dealt out by key, as their file is small
-    enough for few tasks to read, and the reading of what is made of them is not; a fixed number is not put together again."""
-    o = read(spark, sf_dir, "orders").repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey").select(F.col("o_orderkey").alias("change_id"), F.col("o_custkey").cast("string").alias("k"), (F.col("o_orderkey") % len(_CHANGES)).alias("m"))
-    text = lambda f: _case(F.col("m"), [_filled(f(c), k=F.col("k")) for c in _CHANGES])
-    return o.select("change_id", text(lambda c: c[0]).alias("before"), text(lambda c: c[1]).alias("after"), text(lambda c: _diff(*c)).alias("value"))
+    """An order as a change: its files before and after, and the diff."""
+    return _orders(spark, sf_dir).select("change_id", _text(lambda c: c[0]).alias("before"), _text(lambda c: c[1]).alias("after"), _text(lambda c: _diff(*c)).alias("value"))
 
 
 def _affected(rows: DataFrame) -> DataFrame:
@@ -186,11 +199,16 @@ SELECT concat(o_orderkey, ' ', side) AS doc_id, line, replace('/' || path, '/k',
 
 def c06_change_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of each change (J19) from its diff and its files before and after."""
-    rows = _change_rows(spark, sf_dir)
-    affected = _affected(rows).select(F.substring_index("doc_id", " ", 1).cast("long").alias("change_id"), yaml_index.top_key(F.col("path")).alias("rosdep_key"))
-    docs = lambda side: mapping.documents(rows.select("change_id", F.col(side).alias("text")))
-    moved = rows.where("contains(value, '+++ b/distribution.yaml')").select("change_id")
-    found = changes.of_change(changes.kinds(docs("before"), docs("after"), affected, moved))
+    o = _orders(spark, sf_dir)
+    diffs = o.select("change_id", _text(lambda c: _diff(*c)).alias("value"))
+    lines = formats.changed_lines(diffs.withColumnRenamed("change_id", "diff_id")).where("path = 'rosdep/base.yaml'")
+    side = lambda name: F.flatten(F.collect_list(F.when(F.col("side") == name, F.col("lines")))).alias(name)
+    lines = lines.groupBy(F.col("diff_id").alias("change_id")).agg(side("removed"), side("added"))
+    # changes of one key stand beside each other, as they have texts in common
+    near = o.join(lines.hint("merge"), "change_id", "left").repartition(_tasks(spark), "k").sortWithinPartitions("k")
+    both = mapping.documents_around(near.select("change_id", "removed", "added", _text(lambda c: c[0]).alias("before"), _text(lambda c: c[1]).alias("after")))
+    moved = diffs.where("contains(value, '+++ b/distribution.yaml')").select("change_id")
+    found = changes.of_change(changes.kinds_of_documents(both, moved))
     return found.select("change_id", F.array_join("kinds", ",").alias("kinds"))
 
 

@@ -159,3 +159,27 @@ def test_set_join_and_containment(spark, monkeypatch):
     tidy = lambda s: s.strip(" ").lower()
     assert found == sorted((i, j) for i, n in enumerate(needles) for j, t in enumerate(texts) if n and t is not None and tidy(n) not in ("", "none", "unknown") and tidy(n) in tidy(t))
     assert resolve.contained(left.limit(0), right, "it", "jt").count() == 0 and resolve.contained(left, right.limit(0), "it", "jt").count() == 0
+
+
+def test_one_reading_of_a_change_gives_the_kinds_of_documents_and_lines_apart(spark):
+    """Odd texts and lines too: null, no mapping, broken off, lines above the first key, keys of the wrong shape, aliases."""
+    from pyspark.sql import functions as F
+
+    texts = [
+        None, "", "- a\n- b\n", "k: [a, {\n", "a: {ubuntu: [x]}\n", "# c\n\na:\n  ubuntu: [x, y]\nb: text\n", "a-pip:\n  ubuntu:\n    pip: [x]\nb: {fedora: null}\n", "a: &x\n  ubuntu: [x]\nb: *x\n'*': {'*': [y]}\n",
+        "b:\n  ubuntu:\n    '*': [n]\n    focal: [m]\n", "b:\n  ubuntu:\n    '*': [n]\n", "a: {ubuntu: [x]}\n" * 2, "? [a, b]\n: {ubuntu: [x]}\n", "b:\n  ubuntu:\n    pip:\n      packages: [n]\n" + "a: {ubuntu: [x]}\n# " + "long" * 4_000 + "\n",
+    ]
+    lines = [None, [], [1], [2, 5], [99]]
+    rows = [(i, before, after, lines[(i + j) % 5], lines[(i // 5 + j) % 5]) for j in range(2) for i, (before, after) in enumerate(((x, y) for x in texts for y in texts), j * 1_000)]
+    changed = spark.createDataFrame(rows, "change_id long, before string, after string, removed array<int>, added array<int>")
+    moved = changed.where("change_id % 2 = 0").select("change_id")
+    got = changes.kinds_of_documents(mapping.documents_around(changed), moved)
+
+    docs = lambda side: mapping.documents(changed.select("change_id", F.col(side).alias("text")))
+    sides = [changed.select(F.concat_ws(" ", F.col("change_id").cast("string"), F.lit(s)).alias("doc_id"), F.col(s).alias("text"), F.col(n).alias("n")) for s, n in (("before", "removed"), ("after", "added"))]
+    both = sides[0].union(sides[1])
+    paths = yaml_index.changed_paths(both.select("doc_id", "text"), both.select("doc_id", F.explode("n").alias("line")))
+    affected = paths.select(F.substring_index("doc_id", " ", 1).cast("long").alias("change_id"), yaml_index.top_key(F.col("path")).alias("rosdep_key"))
+    want = changes.kinds(docs("before"), docs("after"), affected, moved)
+    plain = lambda df: sorted((r["change_id"], r["rosdep_key"], r["state"], sorted(r["kinds"])) for r in df.collect())
+    assert plain(got) == plain(want) and {k for r in plain(got) for k in r[3]} == {"A.1", "A.2", "B.1a", "B.2a"}

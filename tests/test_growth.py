@@ -261,3 +261,15 @@ def test_vectors_meet_as_blocks_and_give_what_cosine_gives(spark):
         resolve.BLOCK = keep
     pairs = left.join(right.withColumnRenamed("v", "w"), "k").select("a", "b", F.round(S.cosine(F.col("v"), F.col("w")), 4).alias("cosine")).collect()
     assert len(found) == len(pairs) > 500 and sorted(map(repr, found)) == sorted(map(repr, pairs))
+
+
+def test_an_edit_of_two_documents_is_judged_once_for_all_changes(spark, monkeypatch):
+    from pkgloom.operators import changes
+    from pkgloom.sources import yaml_index
+
+    seen, real = [], changes.entry_maps
+    monkeypatch.setattr(changes, "entry_maps", lambda docs, *ids: seen.append(docs.count()) or real(docs, *ids))
+    # nodes are not made as rows of their own
+    monkeypatch.setattr(yaml_index, "nodes", None)
+    n = registry.queries()["c06_change_kinds"](spark, SF).count()
+    assert n == 1_500 and seen and sum(seen) < 100
