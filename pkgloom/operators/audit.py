@@ -10,7 +10,8 @@ from ..functions.names import lookup_key, platform_name
 from .mapping import pip_counterparts
 
 _OUT = ["rosdep_key", "os_name", "os_version", "type", "reason", "package_name", "expected"]
-_DEFECTS = "array<struct<type:string,reason:string,package_name:string,expected:string>>"
+#: Kinds of rows of an audit: a state's package, a proposed package, a key that is wanted or exempt.
+_RULE, _FOUND, _WANTED, _EXEMPT = range(4)
 
 
 def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: DataFrame, wanted: DataFrame | None = None, distributions: DataFrame | None = None) -> DataFrame:
@@ -25,64 +26,69 @@ def audit(states: DataFrame, found: DataFrame, existing: DataFrame, targets: Dat
     ver_ord). After the first version of a platform with a pip definition that the system could serve, later versions
     of that platform are not looked at.
 
-    All that is said of a place meets in one aggregation, and what the places of a key tell each other is a window over
-    the key, so that neither states nor found are made more than once. Of keys, places and packages there are as many as
-    the index has, and files of them are far smaller than their rows: joins are merged, so that no estimate sends one side
-    through the driver.
+    All that is said of a place meets in one task, sorted by place once: what a place, a platform and a key say as a whole
+    are windows over that order, so that neither states nor found are made more than once and no table of places is held.
+    Of keys, places and packages there are as many as the index has, and files of them are far smaller than their rows:
+    joins are merged, so that no estimate sends one side through the driver.
     """
     place = ["rosdep_key", "os_name", "os_version"]
     none = F.lit(None).cast("string")
+    # a row for each package of a state, or for a state without any
     rows = states.join(targets.withColumn("aimed", F.lit(True)), ["os_name", "os_version"], "left")
     rows = rows.select(*place, "state", "package_manager", "ver_ord", "aimed", F.explode_outer(F.when(F.col("state") == "LISTED", F.col("packages"))).alias("package"))
     # rows without a package are dealt out by their keys
     rows = rows.withColumn("look", F.coalesce("package", F.concat(F.lit("\u0001"), "rosdep_key")))
     present = existing.select("os_name", "os_version", F.col("package").alias("look")).distinct().withColumn("there", F.lit(True))
     rows = rows.join(present.hint("merge"), ["os_name", "os_version", "look"], "left")
-    one = F.struct("package", F.coalesce("there", F.lit(False)).alias("there"))
-    listed = F.col("package").isNotNull()
-    rows = rows.select(*place, "state", "package_manager", "ver_ord", "aimed", F.when(listed, one).alias("one"), F.when(listed, platform_name(F.col("package"), F.col("os_name"))).alias("listed_name"))
-    rows = rows.unionByName(found.select(*place, "bin_name", platform_name(F.col("bin_name"), F.col("os_name")).alias("expected_name"), F.lit(True).alias("known")), allowMissingColumns=True)
+    rows = rows.select(*place, F.lit(_RULE).alias("kind"), "state", "package_manager", "ver_ord", "aimed", "package", F.when(F.col("package").isNotNull(), F.coalesce("there", F.lit(False))).alias("there"))
+    of_kind = lambda kind, table, os_name, os_version, package: table.select("rosdep_key", os_name.alias("os_name"), os_version.alias("os_version"), F.lit(kind).alias("kind"), package.alias("package"))
+    rows = rows.unionByName(of_kind(_FOUND, found, F.col("os_name"), F.col("os_version"), F.col("bin_name")), allowMissingColumns=True)
     if wanted is not None:
         exempt = distributions.select("rosdep_key") if distributions is not None else wanted.select("rosdep_key").limit(0)
-        whole = lambda keys, flag: keys.select("rosdep_key", none.alias("os_name"), none.alias("os_version"), F.lit(True).alias(flag))
-        rows = rows.unionByName(whole(wanted, "wanted"), allowMissingColumns=True).unionByName(whole(exempt, "exempt"), allowMissingColumns=True)
-    flags = ["known", "wanted", "exempt"] if wanted is not None else ["known"]
-    first = lambda c: F.first(c, ignorenulls=True).alias(c)
-    rows = rows.repartition("rosdep_key").groupBy(*place).agg(
-        *map(first, ["state", "package_manager", "ver_ord", "aimed", *flags]), F.collect_list("one").alias("packages"), F.collect_set("listed_name").alias("listed_names"),
-        F.when(F.col("rosdep_key").isNotNull(), F.min("bin_name")).alias("expected"), F.collect_set("expected_name").alias("expected_names"),
+        for kind, keys in ((_WANTED, wanted), (_EXEMPT, exempt)):
+            rows = rows.unionByName(of_kind(kind, keys, none, none, none), allowMissingColumns=True)
+    rows = rows.repartition("rosdep_key").sortWithinPartitions(*place, "kind")
+    in_place, of_platform, of_key = W.partitionBy(*place).orderBy("kind"), W.partitionBy("rosdep_key", "os_name"), W.partitionBy("rosdep_key")
+    of_place = in_place.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    is_rule, is_found, listed = F.col("kind") == _RULE, F.col("kind") == _FOUND, (F.col("kind") == _RULE) & F.col("package").isNotNull()
+    first = lambda c: F.first(c, ignorenulls=True).over(of_place).alias(c)
+    any_of = lambda kind, over: F.max(F.col("kind") == kind).over(over)
+    names = lambda of: F.collect_set(F.when(of, platform_name(F.col("package"), F.col("os_name")))).over(of_place)
+    rows = rows.select(
+        *place, "kind", "package", "there", *map(first, ["state", "package_manager", "ver_ord", "aimed"]), F.row_number().over(in_place).alias("row"),
+        F.when(F.col("rosdep_key").isNotNull(), F.min(F.when(is_found, F.col("package"))).over(of_place)).alias("expected"), F.min(F.when(listed, F.col("package"))).over(of_place).alias("least"),
+        F.coalesce(F.min("there").over(of_place), F.lit(True)).alias("all_there"), names(is_rule).alias("listed_names"), names(is_found).alias("expected_names"),
+        any_of(_WANTED, of_place).alias("wanted"), F.max(F.col("state").isNotNull()).over(of_key).alias("ruled"), any_of(_FOUND, of_key).alias("any_known"), any_of(_EXEMPT, of_key).alias("any_exempt"),
     )
     has, is_listed = F.col("expected").isNotNull(), F.col("state") == "LISTED"
-    all_there = F.forall("packages", lambda x: x["there"])
-    pip = is_listed & all_there & (F.col("package_manager") == "pip") & has & F.col("aimed")
-    stop = F.min(F.when(pip, F.col("ver_ord"))).over(W.partitionBy("rosdep_key", "os_name"))
-    of_key = W.partitionBy("rosdep_key")
-    ruled = F.max(F.col("state").isNotNull()).over(of_key).alias("ruled")
-    rows = rows.select("*", stop.alias("stop"), ruled, *(F.coalesce(F.max(f).over(of_key), F.lit(False)).alias(f"any_{f}") for f in flags))
+    pip = is_listed & F.col("all_there") & (F.col("package_manager") == "pip") & has & F.col("aimed")
+    rows = rows.withColumn("stop", F.min(F.when(pip, F.col("ver_ord"))).over(of_platform))
+    # what is said of a place as a whole is said by its first row
+    head = F.col("row") == 1
+    rows = rows.where(head | listed)
 
     def out(kind: str, reason: str, name=none, expected=F.col("expected")):
         return F.struct(F.lit(kind).alias("type"), F.lit(reason).alias("reason"), name.alias("package_name"), expected.alias("expected"))
 
-    def when(test, defect):
-        return F.when(test, F.array(defect)).otherwise(F.array().cast(_DEFECTS))
+    def when(*tests):
+        """The defects whose tests hold."""
+        return F.array_compact(F.array(*(F.when(test, defect) for test, defect in tests)))
 
     def taken(defects, rows: DataFrame) -> DataFrame:
         # outer, as Spark otherwise makes the defects once more for a filter on their number
         return rows.select(*place, F.inline_outer(defects)).where("type IS NOT NULL").select(*_OUT)
 
-    differs = is_listed & all_there & (F.coalesce("package_manager", F.lit("")) != "pip") & has & (F.sort_array("listed_names") != F.sort_array("expected_names"))
-    of_place = F.concat(
-        when((F.col("state") == "NULL") & has, out("A.2", "missing")), when((F.col("state") == "EMPTY") & has, out("B.1b", "empty_list")),
-        F.transform(F.filter("packages", lambda x: ~x["there"]), lambda x: out("B.1a", "not_found", x["package"])),
-        F.when(pip, F.transform("packages", lambda x: out("B.2a", "pip", x["package"]))).otherwise(F.array().cast(_DEFECTS)),
-        when(differs, out("B.1b", "differs", F.array_min("packages")["package"])),
+    differs = is_listed & F.col("all_there") & (F.coalesce("package_manager", F.lit("")) != "pip") & has & (F.sort_array("listed_names") != F.sort_array("expected_names"))
+    at_place = when(
+        (head & (F.col("state") == "NULL") & has, out("A.2", "missing")), (head & (F.col("state") == "EMPTY") & has, out("B.1b", "empty_list")),
+        (listed & ~F.col("there"), out("B.1a", "not_found", F.col("package"))), (listed & pip, out("B.2a", "pip", F.col("package"))),
+        (head & differs, out("B.1b", "differs", F.col("least"))),
     )
     told = F.col("aimed") & (F.col("stop").isNull() | (F.col("ver_ord") <= F.col("stop")))
     if wanted is None:
-        return taken(of_place, rows.where(told))
-    absent, unknown = ~F.col("ruled"), F.col("ruled") & ~F.col("any_known")
-    of_key = F.concat(when(absent, out("A.1", "absent", expected=none)), when(unknown, out("B.1a", "no_info", expected=none)))
-    defects = F.when(told & (F.col("any_known") | F.col("any_exempt")), of_place).when(F.col("wanted") & ~F.col("any_exempt"), of_key)
+        return taken(at_place, rows.where(told))
+    at_key = when((~F.col("ruled"), out("A.1", "absent", expected=none)), (F.col("ruled") & ~F.col("any_known"), out("B.1a", "no_info", expected=none)))
+    defects = F.when(told & (F.col("any_known") | F.col("any_exempt")), at_place).when(head & F.col("wanted") & ~F.col("any_exempt"), at_key)
     return taken(defects, rows).unionByName(_of_keys(states, existing, targets, wanted, exempt))
 
 

@@ -131,6 +131,10 @@ def match_status(found: Column, expected: Column) -> Column:
     )
 
 
+#: Characters of a document that stands in a key; a digest has as many.
+LONG = 64
+
+
 def audited(changes: DataFrame, touched: DataFrame, versions: DataFrame, configs: DataFrame, found: DataFrame, existing: DataFrame) -> DataFrame:
     """(change_id, found, expected, status): what the audit says of the keys that each change touches, on their documents
     and the configuration in force before it, against what is expected. One plan for all changes.
@@ -146,9 +150,10 @@ def audited(changes: DataFrame, touched: DataFrame, versions: DataFrame, configs
     # configurations are few: their times are compared, not joined by a window over all changes
     starts = F.broadcast(starts.groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "config"))).alias("starts")))
     asked = asked.join(starts).withColumn("config", F.element_at(F.filter("starts", lambda s: s["at"] <= F.col("at")), -1)["config"]).drop("starts")
-    # a key's document under a configuration is a key of its own, which the changes that meet it share
-    key = F.to_json(F.array("rosdep_key", F.col("config").cast("string"), "doc")).alias("own")
-    asked = stored(asked.select("change_id", "rosdep_key", "config", "doc", key))
+    # a key's document under a configuration is a key of its own, which the changes that meet it share; a long document is
+    # named by its digest, as all rows of the audit carry the key
+    doc = F.when(F.length("doc") > LONG, F.sha2("doc", 256)).otherwise(F.col("doc"))
+    asked = stored(asked.select("change_id", "rosdep_key", "config", "doc", F.to_json(F.array("rosdep_key", F.col("config").cast("string"), doc)).alias("own")))
     meant = asked.select("change_id", "own")
     kept, asked = asked, stored(asked.select("rosdep_key", "config", "doc", "own").distinct())
     rule = normalised(asked.where("doc <> ''").select(F.col("own").alias("rosdep_key"), "doc"))

@@ -273,3 +273,65 @@ def test_an_edit_of_two_documents_is_judged_once_for_all_changes(spark, monkeypa
     monkeypatch.setattr(yaml_index, "nodes", None)
     n = registry.queries()["c06_change_kinds"](spark, SF).count()
     assert n == 1_500 and seen and sum(seen) < 100
+
+
+def test_rows_of_an_audit_are_sorted_once_and_not_held_as_places(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["c11_index_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = next(i for i, x in enumerate(plan) if re.search(r"Exchange hashpartitioning\(rosdep_key#\d+, \d+\), REPARTITION", x))
+    above = plan[:dealt]
+    assert len([x for x in above if re.search(r"- Window \[", x)]) == 3 and len([x for x in above if re.search(r"\) Sort \[|- Sort \[", x)]) == 1
+    assert not [x for x in above if "Aggregate" in x]
+
+
+def test_an_audit_of_odd_rows(spark):
+    """Null and empty keys, keys and packages twice, null packages, targets without an order and places that are none."""
+    from pkgloom.operators import audit
+
+    states = [
+        ("a", "u", "1", "LISTED", ["x", "y"], "apt"), ("a", "u", "2", "LISTED", ["x", "x"], "pip"), ("a", "f", "1", "NULL", None, None), ("b", "u", "1", "LISTED", ["q"], "pip"), ("b", "u", "2", "LISTED", ["q"], "apt"), ("b", "f", "1", "EMPTY", [], "dnf"),
+        (None, "u", "1", "LISTED", ["x"], "apt"), (None, "u", "2", "NULL", None, None), ("c", "u", "1", "LISTED", [None], "apt"), ("c", "z", "9", "LISTED", ["x"], "apt"), ("e", "u", "1", "LISTED", ["x"], "apt"), ("", None, "1", "NULL", None, None), ("g-pip", "u", "1", "LISTED", ["x"], "pip"),
+    ]
+    found = [("a", "u", "1", "x"), ("a", "u", "1", "x"), ("a", "u", "1", "z"), ("a", "f", "1", "af"), ("b", "u", "1", "q"), ("b", "u", "2", "bb"), ("b", "f", "1", None), ("b", "f", "1", "b2"), (None, "u", "1", "x"), (None, "u", "2", "n"), ("c", "u", "1", "m"), ("c", "z", "9", "m"), ("h", "u", "1", "hh"), ("", "u", "1", None), ("g-pip", "u", "1", "x")]
+    there = [("u", "1", "x"), ("u", "1", "x"), ("u", "2", "x"), ("u", "1", "q"), ("u", "2", "bb"), ("u", "1", None), ("f", "1", "e")]
+    place = "rosdep_key string, os_name string, os_version string"
+    tables = [
+        spark.createDataFrame(rows, schema)
+        for rows, schema in (
+            (states, f"{place}, state string, packages array<string>, package_manager string"), (found, f"{place}, bin_name string"), (there, "os_name string, os_version string, package string"),
+            ([("u", "1", 0), ("u", "2", 1), ("f", "1", None)], "os_name string, os_version string, ver_ord int"),
+        )
+    ]
+    keys = lambda *names: spark.createDataFrame([(k,) for k in names], "rosdep_key string")
+    plain = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    of_places = [
+        ("a", "f", "1", "A.2", "missing", None, "af"), ("a", "u", "1", "B.1a", "not_found", "y", "x"), ("b", "f", "1", "B.1b", "empty_list", None, "b2"), ("b", "u", "1", "B.2a", "pip", "q", "q"),
+        ("c", "u", "1", "B.1b", "differs", None, "m"), ("g-pip", "u", "1", "B.2a", "pip", "x", "x"),
+    ]
+    absent = lambda k: (k, None, None, "A.1", "absent", None, None)
+    wanted = keys("a", "a", "b", "d", None, "e", "h", "pyz", "")
+    assert plain(audit.audit(*tables)) == sorted(of_places, key=repr)
+    assert plain(audit.audit(*tables, wanted)) == sorted([*of_places, *map(absent, ("d", "h", "pyz")), ("e", None, None, "B.1a", "no_info", None, None)], key=repr)
+    assert plain(audit.audit(*tables, wanted, keys("e", "h", None))) == sorted([*of_places, *map(absent, ("d", "pyz"))], key=repr)
+
+
+def test_a_long_document_is_not_carried_through_the_audit(spark, monkeypatch):
+    from datetime import datetime
+
+    from pkgloom.operators import changes
+
+    seen, real = [], changes.audit.audit
+    monkeypatch.setattr(changes.audit, "audit", lambda *a: seen.extend(r[0] for r in a[4].collect()) or real(*a))
+    docs = ['{"ubuntu":["%s"]}' % ("x" * 500 + e) for e in "ab"] + [None]
+    versions = spark.createDataFrame([("k", datetime(2000, 1, 1 + i), d) for i, d in enumerate(docs)] + [(None, datetime(2000, 1, 1), docs[0])], "rosdep_key string, at timestamp, doc string")
+    rows = spark.createDataFrame([(i, datetime(2000, 1, 1 + i), ["B.1a"]) for i in range(4)], "change_id long, at timestamp, expected array<string>")
+    configs = spark.createDataFrame([(0, datetime(1900, 1, 1), "ubuntu", "noble", 0)], "config int, at timestamp, os_name string, os_version string, ver_ord int")
+    found = spark.createDataFrame([("k", "ubuntu", "noble", "x" * 500 + "a")], "rosdep_key string, os_name string, os_version string, bin_name string")
+    there = spark.createDataFrame([("ubuntu", "noble", "x" * 500 + "a")], "os_name string, os_version string, package string")
+    touched = spark.createDataFrame([(i, "k") for i in range(4)] + [(0, "k"), (3, None), (9, "k")], "change_id long, rosdep_key string")
+    out = changes.audited(rows, touched, versions, configs, found, there)
+    assert {r["change_id"]: (r["found"], r["status"]) for r in out.collect()} == {0: (["A.1"], "mismatch"), 1: ([], "mismatch"), 2: (["B.1"], "exact_match"), 3: (["A.1", "B.1"], "match_with_extra")}
+    assert len(seen) == 5 and max(map(len, seen)) <= changes.LONG + 20
