@@ -335,3 +335,52 @@ def test_a_long_document_is_not_carried_through_the_audit(spark, monkeypatch):
     out = changes.audited(rows, touched, versions, configs, found, there)
     assert {r["change_id"]: (r["found"], r["status"]) for r in out.collect()} == {0: (["A.1"], "mismatch"), 1: ([], "mismatch"), 2: (["B.1"], "exact_match"), 3: (["A.1", "B.1"], "match_with_extra")}
     assert len(seen) == 5 and max(map(len, seen)) <= changes.LONG + 20
+
+
+def test_candidates_are_moved_once_for_all_weights(spark, monkeypatch):
+    """One exchange by group, of the rows and not of their copies by weight, which only the best become."""
+    from pkgloom.operators import equivalence
+
+    seen, real = [], equivalence.select.top_k
+
+    def kept(*a):
+        out = real(*a)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            seen.append(out._jdf.queryExecution().executedPlan().toString())
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        return out
+
+    monkeypatch.setattr(equivalence.select, "top_k", kept)
+    assert registry.queries()["c08_weight_sweep"](spark, SF).count() == 11
+    (plan,) = seen
+    assert [re.sub(r"#\d+", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)] == ["baseline_idL, repo_name, repo_version"]
+    assert re.search(r"Generate inline.*Aggregate.*Window.*Sort \[.*Exchange", plan, re.S) and "Generate" not in plan.split("Exchange hash")[1]
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_the_best_by_each_weight_is_what_ranks_give(spark, k):
+    """Ties in score go by the scan order; null groups, features and names; scores of 0, below and missing; candidates that are out."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pkgloom.operators import select
+
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, None]), rng.choice(["f", None]), rng.choice(["1", ""]), rng.choice(["a", "b", None]), (rng.randrange(3), None if i % 9 == 0 else 0, i), rng.choice([0.0, 0.4, 0.6]), rng.choice([None, 0.0, 1.0, 1.0, 2.5, -1.0]), rng.choice([0.0, 1.0, 1.0, 2.0])) for i in range(90)]
+    kept = spark.createDataFrame(rows, "baseline_id long, repo_name string, repo_version string, bin_name string, cand_ord struct<prio:int,source_ord:int,row_ord:long>, coverage double, first double, second double")
+    weights = [0.0, 0.1, 0.5, 0.7, 1.0]
+    out = [*select.GROUP, "w", "bin_name", "cand_ord", "score", "rank"]
+    got = select.top_k(kept, k, ("w",), {w: F.round(select.weighed(w, F.col("first"), F.col("second")), 6) for w in weights}).select(*out)
+    copies = kept.withColumn("w", F.explode(F.array(*map(F.lit, weights))))
+    want = select.top_k(copies.withColumn("score", F.round(select.weighed(F.col("w"), F.col("first"), F.col("second")), 6)), k, ("w",)).select(*out)
+    assert got.count() > 20 * k and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert select.top_k(kept.limit(0), k, ("w",), {0.5: F.col("first")}).count() == 0
+
+
+@pytest.mark.parametrize("name", ["c08_weight_sweep", "j21_extra_rates"])
+def test_names_that_are_found_are_not_broadcast(spark, name):
+    joins = [x for x in planned(registry.queries()[name](spark, SF)).splitlines() if re.search(r"Join.*entry", x)]
+    assert joins and not [x for x in joins if "Broadcast" in x]
