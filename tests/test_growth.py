@@ -384,3 +384,14 @@ def test_the_best_by_each_weight_is_what_ranks_give(spark, k):
 def test_names_that_are_found_are_not_broadcast(spark, name):
     joins = [x for x in planned(registry.queries()[name](spark, SF)).splitlines() if re.search(r"Join.*entry", x)]
     assert joins and not [x for x in joins if "Broadcast" in x]
+
+
+def test_matches_are_made_once_for_counts_and_ranks(spark):
+    from pkgloom.operators import compare
+
+    truth = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "entry int, platform string, name string")
+    found = spark.createDataFrame([("t", 1, "u", "a"), ("s", 1, "u", "a"), ("s", 2, "u", "b"), (None, 1, "u", "a")], "tool string, entry int, platform string, name string")
+    df = compare.overall(compare.platform_matches(truth, found, spark.createDataFrame([("t",), ("s",), (None,), ("r",), ("t",)], "tool string")))
+    assert len(re.findall(r"Join .*entry", planned(df))) == 1
+    # a method without a name has a rank that is not given
+    assert sorted(map(tuple, df.collect())) == [("r", 0, 0, 2, 2, 0.0, 0.0, 4), ("s", 2, 0, 0, 2, 100.0, 100.0, 1), ("t", 1, 0, 1, 2, 50.0, 50.0, 2)]
